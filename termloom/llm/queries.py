@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash
+from . import langid, licenses, linededup, mixing, packing, pii, quality, simhash
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_licenses": licenses.op2_licenses,
     "op4_quality": quality.op4_quality,
+    "op5_line_dedup": linededup.op5_line_dedup,
     "op6_packing": packing.op6_packing,
+    "op7_langid": langid.op7_langid,
+    "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLE = {"op4_quality": quality.SQL}
+ORACLE = {"op4_quality": quality.SQL, "op5_line_dedup": linededup.SQL, "op9_mixing": mixing.SQL}
