@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, linededup, mixing, packing, pii, quality, simhash
+from . import langid, licenses, linededup, mixing, packing, pii, quality, simhash, suffix
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_packing": packing.op6_packing,
     "op7_langid": langid.op7_langid,
+    "op8_substrings": suffix.op8_substrings,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
