@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, linededup, mixing, packing, pii, quality, simhash, suffix
+from . import ann, langid, licenses, linededup, mixing, packing, pii, quality, simhash, suffix
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_licenses": licenses.op2_licenses,
+    "op3_ann": ann.op3_ann,
     "op4_quality": quality.op4_quality,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op6_packing": packing.op6_packing,
