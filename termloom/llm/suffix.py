@@ -4,20 +4,22 @@ A byte goes if a string of ``span`` bytes that covers it also starts in a
 document with a smaller id.  Equal strings are brought together before they are
 sorted:
 
+0. A document that equals one with a smaller id loses all that strings cover and
+   is settled by its digest.
 1. Every string of ``span`` bytes has a least 16-byte hash; runs of neighbouring
    strings with the same least hash form a region.  Equal strings have equal
-   hashes, so a hash that only one document has needs no further look.  Runs are
-   met in sorted partitions, one row after the other.
-2. Regions of shared hashes are cut from their texts.  Equal regions of one task
-   are settled there, so of a passage with thousands of copies each task sends
+   hashes, so a hash that only one document has needs no further look.  Hashes
+   are met in sorted partitions, one row after the other.
+2. Regions of shared hashes are cut from their texts.  Equal regions of one batch
+   are settled there, so of a passage with thousands of copies each batch sends
    one.
 3. Regions with the same hash meet in a shard.  Equal ones are settled at once;
    different ones are joined into one text whose suffix array is built by
    induced sorting, and neighbours that share a prefix of ``span`` bytes give
    the strings that stand in several documents.
 
-Texts are shuffled only for documents that have such regions, behind a bitmap of
-fixed size (2 MB) over ids.
+Texts are shuffled once, compressed and by id; the steps that need them read the
+same shuffle again.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_rows, pa_schema, stored, utf8
-from .linededup import in_bitmap
 from .sais import common_prefixes, suffix_array
 
 SPAN, SEED_BYTES = 50, 16
@@ -43,7 +45,8 @@ LAST = (1 << 63) - 1
 
 
 def text_hash(raw: bytes) -> int:
-    return int.from_bytes(xxhash.xxh64_digest(raw), "big", signed=True)
+    """15 bits that tell texts of rows with the same id apart."""
+    return xxhash.xxh64_intdigest(raw) >> 49
 
 
 def least_hashes(text: bytes, span: int = SPAN) -> np.ndarray:
@@ -79,53 +82,63 @@ def regions(text: bytes, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.n
     return m[starts], starts, counts
 
 
-def shared(keyed: DataFrame, span: int = SPAN) -> DataFrame:
-    """(key, place): regions whose hash stands in documents with different keys.
+def hashes_of(text: bytes, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Regions with their hashes cut to 48 bits: what collides is told apart by its bytes."""
+    h, first, n = regions(text, span)
+    return (h >> np.uint64(16)).view(np.int64), first, n
 
-    place holds first string and number of strings: first * 4096 + number.
-    """
-    spark = keyed.sparkSession
-    schema, out_schema = pa_schema(spark, "h long, key long, place long"), pa_schema(spark, "key long, place long")
+
+def shared(texts: DataFrame, span: int = SPAN) -> DataFrame:
+    """(h, key): region hashes that documents with different keys have."""
+    schema = pa_schema(texts.sparkSession, "h long, key long")
+
+    def batch_of(h, key):
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(key)], schema=schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = [], 0
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h, first, n = regions(utf8(text), span)
-                if len(h):
-                    held.append((h.view(np.int64), np.full(len(h), k), first * 4096 + n))
-                    size += len(h)
+            hs, keys, size = [], [], 0
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = np.unique(hashes_of(unpack(data), span)[0])
+                hs.append(h)
+                keys.append(np.full(len(h), k))
+                size += len(h)
                 if size > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], schema=schema)
-                    held, size = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], schema=schema)
+                    yield batch_of(np.concatenate(hs), np.concatenate(keys))
+                    hs, keys, size = [], [], 0
+            if size:
+                yield batch_of(np.concatenate(hs), np.concatenate(keys))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by hash and key.  Of an unfinished run only rows of its first
-        key may have to wait, and they are few: the rest is known to be shared."""
-        held = [np.zeros(0, np.int64)] * 3
+        """Rows come by hash and key.  Of the last run of a batch at most the rows
+        of one key wait for the next batch; known: that run is shared already."""
+        held, known = (np.zeros(0, np.int64), np.zeros(0, np.int64)), None
         for batch in batches:
-            now = [np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(held)]
-            h, key, place = now
-            if not len(h):
+            if not batch.num_rows:
                 continue
+            h, key = (np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(held))
             starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             ends = np.append(starts[1:], len(h))
             differ = key[starts] != key[ends - 1]
+            if known is not None and h[0] == known:
+                differ[0] = True
             hit = np.repeat(differ, ends - starts)
-            # The last run may go on: if it is known to be shared, one of its rows (already reported) stays as a witness.
-            s = int(starts[-1])
-            if differ[-1]:
-                held = [h[-1:], np.full(1, -1), np.full(1, -1)]
-            else:
-                held = [h[s:], key[s:], place[s:]]
-            hit &= place >= 0
+            known = h[-1] if differ[-1] else None
+            last = int(starts[-1])
+            held = (h[:0], key[:0]) if differ[-1] else (h[last:], key[last:])
             if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(place[hit])], schema=out_schema)
+                yield batch_of(h[hit], key[hit])
+
+    rows = texts.mapInArrow(cut, "h long, key long")
+    return rows.repartition("h").sortWithinPartitions("h", "key").mapInArrow(meet, "h long, key long")
+
 
-    rows = keyed.select("key", "text").mapInArrow(cut, "h long, key long, place long")
-    return rows.repartition("h").sortWithinPartitions("h", "key").mapInArrow(meet, "key long, place long")
+def pack(text: str | None) -> bytes:
+    return zstandard.compress(utf8(text), 1)
+
+
+def unpack(data: bytes) -> bytes:
+    return zstandard.decompress(data)
 
 
 def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +149,8 @@ def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[at], reach[np.append(at[1:], len(first)) - 1]
 
 
-def sort_shard(entries: list[tuple[int, int, int, bytes]], span: int = SPAN) -> list[tuple[int, int, int, int]]:
-    """(key, text hash, first byte, end) that go, of regions (key, text hash, place of the first byte, bytes)."""
+def sort_shard(entries: list[tuple[int, int, bytes]], span: int = SPAN) -> list[tuple[int, int]]:
+    """(key, mark) of intervals that go, of regions (key, mark, bytes)."""
     lengths = np.array([len(b) for *_, b in entries])
     begins = np.cumsum(lengths + 1) - (lengths + 1)
     text = np.frombuffer(b"\xff".join(b for *_, b in entries), np.uint8)  # no byte of UTF-8
@@ -161,48 +174,47 @@ def sort_shard(entries: list[tuple[int, int, int, bytes]], span: int = SPAN) ->
     out = []
     at = np.flatnonzero(np.append(True, (gone[1:] != gone[:-1] + 1) | (owner[gone[1:]] != owner[gone[:-1]])))
     for a, b in zip(gone[at].tolist(), gone[np.append(at[1:], len(gone)) - 1].tolist(), strict=True):
-        key, th, place, _ = entries[owner[a]]
-        out.append((key, th, place + a - int(begins[owner[a]]), place + b - int(begins[owner[a]]) + span))
+        key, m, _ = entries[owner[a]]
+        out.append((key, (m & -8192) + (a - int(begins[owner[a]]) << 13) + b - a + span))
     return out
 
 
-SPANS = "key long, th long, first long, end long"
+def mark(th: int, first: int, length: int) -> int:
+    """15 bits of the text's hash, 34 of the first byte, 13 of the length."""
+    return th << 47 | first << 13 | length
 
 
-def spans(keyed: DataFrame, span: int = SPAN) -> DataFrame:
-    """(key, th, first, end): byte intervals that go, of texts with hash th."""
-    spark = keyed.sparkSession
-    places = stored(shared(keyed, span))
-    per_doc = places.groupBy("key").agg(F.collect_list("place").alias("places"))
-    texts = in_bitmap(keyed, places.select("key").distinct(), "key").join(per_doc, "key")
-    schema = "h long, key long, th long, first long, end long, bytes binary, rest boolean"
-    arrow, out_schema = pa_schema(spark, schema), pa_schema(spark, SPANS)
+def spans(texts: DataFrame, firsts: DataFrame, span: int = SPAN) -> DataFrame:
+    """(key, mark): byte intervals that go.  texts: (key, data), dealt out by key."""
+    spark = texts.sparkSession
+    hits = shared(firsts, span).repartition("key").groupBy("key").agg(F.collect_list("h").alias("hits"))
+    schema = "h long, key long, mark long, bytes binary"
+    arrow, out_schema = pa_schema(spark, schema), pa_schema(spark, "key long, mark long")
 
     def cut(batches):
         """Regions with their bytes.  Of equal ones in a batch the smallest key's is
-        sent; the others' strings are settled: they are rows without bytes."""
+        sent; the others are settled: they are rows without bytes."""
         for batch in batches:
             best: dict[tuple, tuple] = {}
             rows = []
-            for key, text, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = utf8(text)
-                m, th = least_hashes(raw, span).view(np.int64), text_hash(raw)
-                for p in set(places):
-                    first, n = p >> 12, p & 4095
-                    if first + n > len(m):  # of another row with the same id
-                        continue
-                    h, region = int(m[first]), raw[first : first + n + span - 1]
-                    end = first + len(region)
-                    old = best.get((h, region))
+            for key, data, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                raw = unpack(data)
+                th = text_hash(raw)
+                h, first, n = hashes_of(raw, span)
+                some = np.flatnonzero(np.isin(h, np.array(own, np.int64)))
+                for h1, f, k in zip(h[some].tolist(), first[some].tolist(), n[some].tolist(), strict=True):
+                    region = raw[f : f + k + span - 1]
+                    m = mark(th, f, len(region))
+                    old = best.get((h1, region))
                     if old is None or old[0] > key:
-                        best[h, region] = key, th, first, end
+                        best[h1, region] = key, m
                         if old:
-                            rows.append((h, *old, None, True))
+                            rows.append((h1, *old, None))
                     elif old[0] < key:
-                        rows.append((h, key, th, first, end, None, True))
+                        rows.append((h1, key, m, None))
                     else:
-                        rows.append((h, key, th, first, end, region, False))  # the same document's again
-            rows += [(h, *x, region, False) for (h, region), x in best.items()]
+                        rows.append((h1, key, m, region))  # the same document's again
+            rows += [(h1, *x, region) for (h1, region), x in best.items()]
             for at in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[at : at + 20_000], strict=True), arrow, strict=True)], schema=arrow)
 
@@ -218,7 +230,7 @@ def spans(keyed: DataFrame, span: int = SPAN) -> DataFrame:
             for region, found in group.items():
                 least = min(found)[0]
                 out.extend(x for x in found if x[0] > least)
-                heads += [(k, th, first, region) for k, th, first, _ in found if k == least]
+                heads += [(k, m, region) for k, m in found if k == least]
             if len(group) > 1 and len({k for k, *_ in heads}) > 1:
                 shard.extend(heads)
                 size += sum(len(r) + 1 for *_, r in heads)
@@ -238,22 +250,23 @@ def spans(keyed: DataFrame, span: int = SPAN) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows, strict=True)], schema=out_schema)
 
         for batch in batches:
-            for h, key, th, first, end, region in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for h, key, m, region in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if h != h0:
                     close()
                     h0 = h
                     if size > SHARD or len(out) > 50_000:
                         if rows := flush():
                             yield batch_of(rows)
-                group.setdefault(region, []).append((key, th, first, end))
+                if region is None:
+                    out.append((key, m))
+                else:
+                    group.setdefault(region, []).append((key, m))
         close()
         if rows := flush():
             yield batch_of(rows)
 
-    sent = stored(texts.select("key", "text", "places").mapInArrow(cut, schema))
-    settled = sent.where("rest").select("key", "th", "first", "end")
-    met = sent.where("not rest").select("h", "key", "th", "first", "end", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(settle, SPANS)
-    return settled.union(met)
+    regions_ = texts.join(hits, "key").mapInArrow(cut, schema)
+    return regions_.repartition("h").sortWithinPartitions("h").mapInArrow(settle, "key long, mark long")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = False) -> DataFrame:
@@ -268,19 +281,30 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if span < SEED_BYTES + 1:
         raise ValueError(f"span must be over {SEED_BYTES} bytes")
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    gone = stored(spans(keyed, span).distinct())
-    per_doc = gone.groupBy("key").agg(F.collect_list(F.struct("th", "first", "end")).alias("gone"))
-    losing = in_bitmap(keyed, gone.select("key").distinct(), "key").join(per_doc, "key")
+    small = stored(keyed.select("key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")))
+    least = small.groupBy("whole").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
+    copies = stored(small.join(least, "whole").where("key > least").select("key", "whole", "n_bytes").distinct())
+
+    def compress():
+        return lambda x: ((x[0], pack(x[1])),)
+
+    texts = map_rows(keyed, compress, "key long, data binary", 2_000).repartition("key")
+    # A row whose id also has a copy of another text is looked at: only ids all of whose rows are copies stay out.
+    rows_of, copied = small.select("key", "whole").distinct().groupBy("key").agg(F.count("*").alias("rows")), copies.groupBy("key").agg(F.count("*").alias("copied"))
+    settled = copied.join(rows_of, "key").where(F.col("rows") == F.col("copied")).select("key")
+    gone = spans(texts, texts.join(settled, "key", "left_anti"), span)
+    per_doc = gone.repartition("key").groupBy("key").agg(F.collect_list("mark").alias("marks"))
 
     def make():
         def row(x):
-            key, text, intervals = x
-            raw = utf8(text)
+            key, data, marks = x
+            raw = unpack(data)
             th = text_hash(raw)
-            own = sorted((i["first"], i["end"]) for i in intervals if i["th"] == th)
+            own = sorted((m >> 13 & (1 << 34) - 1, m & 8191) for m in marks if m >> 47 == th)
             if not own:  # another row with the same id loses bytes
                 return
-            first, end = merged(*np.array(own, np.int64).T)
+            first, length = np.array(own, np.int64).T
+            first, end = merged(first, first + length)
             keep, at = [], 0
             for a, b in zip(first.tolist(), end.tolist(), strict=True):
                 keep.append(raw[at:a])
@@ -290,9 +314,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return row
 
-    lost = map_rows(losing, make, "key long, whole string, n_removed long, n_spans long, kept string" + ", bytes binary" * with_text, 2_000)
-    all_ = keyed.select("key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), *([F.encode("text", "utf-8").alias("raw")] if with_text else []))
-    both = all_.join(lost.distinct(), ["key", "whole"], "left")
+    schema = "key long, whole string, n_removed long, n_spans long, kept string" + ", bytes binary" * with_text
+    lost = map_rows(texts.join(per_doc, "key"), make, schema, 2_000)
+    empty = hashlib.sha256(b"").hexdigest()
+    long = copies.where(F.col("n_bytes") >= span).select("key", "whole", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept"), *([F.lit(b"").alias("bytes")] if with_text else []))
+    lost = lost.join(long, ["key", "whole"], "left_anti").distinct().union(long.select(*lost.columns))
+    all_ = keyed.select("key", F.sha2("text", 256).alias("whole"), F.octet_length("text").cast("long").alias("n_bytes"), F.encode("text", "utf-8").alias("raw")) if with_text else small
+    both = all_.join(lost, ["key", "whole"], "left")
     return both.select(
         F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"),
         "n_bytes",
