@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import MAX_ID
 
@@ -23,8 +24,12 @@ def _shifted(ids: Column) -> Column:
 def first_violation(ids: Column, universe: Column | int | None = None) -> Column:
     """Index of the first element that isn't above the one before it, or not
     below ``universe``; null if there is none."""
-    bad = lambda x: (x["b"] <= x["a"]) if universe is None else ((x["b"] <= x["a"]) | (x["b"] >= (F.lit(universe) if isinstance(universe, int) else universe)))
-    flags = F.transform(_shifted(ids), lambda x: F.coalesce(bad(x), F.lit(False)) if universe is None else F.coalesce(x["b"] <= x["a"], F.lit(False)) | (x["b"] >= universe))
+
+    def bad(x: Column) -> Column:
+        down = F.coalesce(x["b"] <= x["a"], F.lit(False))
+        return down if universe is None else down | (x["b"] >= universe)
+
+    flags = F.transform(_shifted(ids), bad)
     at = F.array_position(flags, True)
     return F.when(at > 0, at - 1)
 
@@ -74,10 +79,13 @@ def varint_encode(xs: Column) -> Column:
     return F.unhex(F.array_join(F.transform(xs, varint_hex), ""))
 
 
-@F.pandas_udf("array<bigint>")
-def varint_decode(data: pd.Series) -> pd.Series:
+def varint_decode(data: Column | str) -> Column:
     """LEB128 bytes as numbers; a fifth byte above 0x0F or a cut-off end raises."""
+    return _decode(data)
+
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _decode(data: pd.Series) -> pd.Series:
     def one(raw):
         if raw is None:
             return None

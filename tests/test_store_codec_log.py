@@ -1,0 +1,141 @@
+"""Snapshots, segments, codecs and update logs."""
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from termloom import schema
+from termloom.functions import codec
+from termloom.operators import boolean, lookup
+from termloom.operators.build import Index, delete_documents, index_documents, index_weighted
+from termloom.sources import store
+from termloom.streaming import log
+
+
+def index_of(spark, rows, positional=True):
+    return index_documents(spark.createDataFrame(rows, "doc_id bigint, terms array<string>"), positional)
+
+
+ROWS = [(7, ["b", "c"]), (2, ["a"]), (4, ["a", "b", "a"]), (9, [])]
+
+
+def same(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_snapshot(spark, tmp_path):
+    i = index_of(spark, ROWS)
+    store.save(i, f"{tmp_path}/s")
+    back = store.load(spark, f"{tmp_path}/s")
+    assert same(back.postings, i.postings) and same(back.docs, i.docs) and same(back.positions, i.positions)
+    store.save(delete_documents(i, spark.createDataFrame([(4,)], "doc_id bigint")), f"{tmp_path}/s")
+    assert lookup.num_docs(store.load(spark, f"{tmp_path}/s")) == 3
+    with pytest.raises(Exception):
+        store.load(spark, f"{tmp_path}/none").docs.count()
+    for f in tmp_path.glob("s/v*/postings/*.parquet"):
+        f.write_bytes(b"damaged")
+    with pytest.raises(Exception):
+        store.load(spark, f"{tmp_path}/s").postings.collect()
+
+
+def test_segments(spark, tmp_path):
+    s = store.SegmentStore(spark, f"file://{tmp_path}/seg")
+    assert s.manifest().count() == 0 and s.postings().count() == 0
+    i = index_of(spark, ROWS)
+    s.seal(i, 0)
+    s.seal(index_of(spark, [(20, ["a"])]), 1)
+    m = {r.segment_id: r for r in s.manifest().collect()}
+    assert (m[0].term_count, m[0].doc_count, m[0].min_doc_id, m[0].max_doc_id, m[0].total_doc_len) == (3, 4, 2, 9, 6) and m[1].doc_count == 1
+    one = s.open(0)
+    assert same(one.postings.drop("segment_id"), i.postings) and same(one.docs.drop("segment_id"), i.docs) and same(one.positions.drop("segment_id"), i.positions)
+    assert sorted(r.doc_id for r in boolean.candidates_any(s.open(), ["a"]).collect()) == [2, 4, 20]
+    assert s.blocks().where("term = 'a' and segment_id = 0").first().n == 2
+    s.verify()
+    assert s.resident_metadata_len() > 0 and s.posting_payload_len() > 0
+    # Only the segment's own files are read, and the term reaches the scan.
+    plan = s.open(0).postings.where("term = 'a'")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,a)]" in plan and "PartitionFilters: [isnotnull(segment_id" in plan
+    s.postings().where("segment_id = 1").drop("segment_id").withColumn("w", F.lit(5).cast("long")).write.mode("append").parquet(f"{tmp_path}/seg/postings/segment_id=1")
+    with pytest.raises(schema.ChecksumMismatch):
+        s.verify()
+
+
+def test_validation(spark, tmp_path):
+    docs = spark.createDataFrame([(1, 3), (2, 1)], "doc_id bigint, doc_len bigint")
+    posts = lambda rows: spark.createDataFrame(rows, "term string, doc_id bigint, w bigint")
+    store.validate_postings(posts([("a", 1, 3)]), docs)
+    for rows, error in (([("a", 1, 0)], schema.ZeroWeight), ([("a", 1, 1), ("a", 1, 2)], schema.NonIncreasingDocId), ([("a", 5, 1)], schema.UnknownDocId), ([("a", 1, 2**32)], schema.WeightOverflow)):
+        with pytest.raises(error):
+            store.validate_postings(posts(rows), docs)
+    with pytest.raises(schema.DuplicateDocId):
+        store.validate_document_lengths(docs.union(docs))
+    with pytest.raises(schema.UnsortedDocId):
+        store.validate_document_lengths(spark.createDataFrame([(2, 1, 0), (1, 1, 1)], "doc_id bigint, doc_len bigint, at int"), "at")
+    with pytest.raises(schema.DocLengthOverflow):
+        store.validate_document_lengths(spark.createDataFrame([(2, 2**32)], "doc_id bigint, doc_len bigint"))
+    lists = spark.createDataFrame([("a", [(1, 2)]), ("b", [])], "term string, postings array<struct<doc_id:bigint,w:bigint>>")
+    with pytest.raises(schema.EmptyPostingList):
+        store.validate_postings(store.from_term_lists(docs, lists).postings, docs, lists)
+    at = lambda rows: spark.createDataFrame(rows, schema.POSITIONS)
+    store.validate_positions(at([("a", 1, [0, 2])]), docs)
+    for rows, error in (([("", 1, [0])], schema.EmptyTerm), ([("a", 1, [1, 1])], schema.PositionOutOfRange), ([("a", 2, [1])], schema.PositionOutOfRange), ([("a", 8, [0])], schema.UnknownDocId)):
+        with pytest.raises(error):
+            store.validate_positions(at(rows), docs)
+    zero = index_weighted(spark.createDataFrame([(2, [("x", 0)])], "doc_id bigint, terms array<struct<term:string,weight:bigint>>"))
+    with pytest.raises(schema.ZeroWeight):
+        store.SegmentStore(spark, f"file://{tmp_path}/z").seal(Index(zero.postings, zero.docs), 0)
+
+
+SORTED = st.lists(st.integers(0, 2**32 - 1), unique=True, max_size=20).map(sorted)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(SORTED, min_size=1, max_size=8))
+def test_codec_round_trip(spark, lists):
+    df = spark.createDataFrame([(x,) for x in lists], "ids array<bigint>")
+    gaps = codec.gaps_from_sorted_ids(F.col("ids"))
+    r = df.select("ids", codec.ids_from_gaps(gaps).alias("a"), codec.ids_from_gaps_unchecked(gaps).alias("b"), codec.decompress_set(codec.compress_set(F.col("ids"))).alias("c"), codec.gaps_from_sorted_ids_unchecked(F.col("ids")).alias("d"), gaps.alias("g")).collect()
+    for x in r:
+        assert x.ids == x.a == x.b == x.c and x.d == x.g
+
+
+def test_codec_rejects(spark):
+    one = lambda v: spark.createDataFrame([(v,)], "ids array<bigint>")
+    at = lambda v, u=None: one(v).select(codec.first_violation(F.col("ids"), u)).first()[0]
+    assert at([1, 2, 2]) == 2 and at([5, 1]) == 1 and at([1, 2, 9], 9) == 2 and at([1, 2], 3) is None and at([]) is None and at([7], 7) == 0
+    with pytest.raises(Exception, match="UnsortedIds"):
+        one([10, 10]).select(codec.gaps_from_sorted_ids(F.col("ids"))).collect()
+    with pytest.raises(Exception, match="IdOverflow"):
+        one([2**32 - 1, 1]).select(codec.ids_from_gaps(F.col("ids"))).collect()
+    assert one([2**32 - 1, 1]).select(codec.ids_from_gaps_unchecked(F.col("ids"))).first()[0] == [2**32 - 1] * 2
+    assert one([10, 4]).select(codec.gaps_from_sorted_ids_unchecked(F.col("ids"))).first()[0] == [10, 0]
+    raw = lambda b: spark.createDataFrame([(bytearray(b),)], "b binary").select(codec.varint_decode("b"))
+    assert raw(b"\x7f\x80\x01\xff\xff\xff\xff\x0f").first()[0] == [127, 128, 2**32 - 1]
+    for bad in (b"\xff\xff\xff\xff\x1f", b"\x80"):
+        with pytest.raises(Exception):
+            raw(bad).collect()
+    r = one([3, 8, 12]).select(codec.element(F.col("ids"), 1), codec.element(F.col("ids"), 9), codec.rank(F.col("ids"), 9)).first()
+    assert tuple(r) == (8, None, 2)
+    assert spark.range(1).select(F.crc32(F.lit("123456789").cast("binary"))).first()[0] == 0xCBF43926
+
+
+EVENTS = [(1, "add", 1, ["a"]), (2, "add", 2, ["a", "b"]), (3, "add", 3, []), (4, "add", 1, ["c"]), (5, "delete", 1, None), (6, "add", 4, ["b"]), (7, "delete", 9, None)]
+KIND = "event_id bigint, op string, doc_id bigint, terms array<string>"
+
+
+def test_log(spark, tmp_path):
+    events = spark.createDataFrame(EVENTS, KIND)
+    rows = lambda df: sorted((r.doc_id, tuple(r.terms)) for r in df.collect())
+    want = [(2, ("a", "b")), (3, ()), (4, ("b",))]
+    assert rows(log.state(events)) == want
+    snapshot = log.state(events.where("event_id <= 4"))
+    assert rows(snapshot) == [(1, ("c",)), (2, ("a", "b")), (3, ())] and rows(log.state(events, snapshot, 4)) == want
+    assert lookup.num_docs(log.replay(events)) == 3
+    source = f"{tmp_path}/in"
+    spark.createDataFrame(EVENTS[:4], KIND).coalesce(1).write.parquet(source)
+    follow = lambda: log.follow(spark.readStream.schema(KIND).parquet(source), f"{tmp_path}/state", f"{tmp_path}/cp").awaitTermination()
+    follow()
+    spark.createDataFrame(EVENTS[4:], KIND).coalesce(1).write.mode("append").parquet(source)
+    follow()
+    assert rows(spark.read.parquet(f"{tmp_path}/state/batch=1").select("doc_id", "terms")) == want
