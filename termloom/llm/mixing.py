@@ -119,10 +119,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Rows without words are dropped where their source takes none of them.
     """
     _, sources = plan(docs, id_col, text_col, source_col, **how)
-    s = sources.select(F.col("source").alias("_source"), "copies", "threshold")
-    n = docs.withColumn("hash", hash60(id_col)) if "hash" not in docs.columns else docs
-    got = n.join(s, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_n", takes())
-    return got.where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("own"), hash60(id_col).alias("hash"))
+    got = rows.join(sources, F.col("own").eqNullSafe(F.col("source"))).withColumn("n", takes()).where("n > 0")
+    return got.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
