@@ -1,8 +1,10 @@
 """Line dedup by content-defined chunks.
 
 A text is cut into chunks of lines.  A rolling hash over the hashes of the last
-two lines decides where a chunk ends, so the same lines are cut the same way
-wherever they stand and inserted lines move no boundary but those around them.
+two lines decides where a chunk may end; of neighbouring places the first one
+counts, so a chunk has two lines at least (but for a text's last one).  The same
+lines are cut the same way wherever they stand, and inserted lines move no
+boundary but those around them.
 Chunks of two or more lines (with something in them) that stand more than once
 in the corpus are removed but for their first place, by (doc_id, position).
 
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, stored
 
-#: A chunk ends after a line where the rolling hash is divisible by this.
-EVERY = 3
+#: A chunk may end after a line where the rolling hash is divisible by this.
+EVERY = 2
 PRIME, BASE = 268435399, 1000003
 MARK, ESCAPE = "\x01\x02", "\x01\x03"
 BITS = 24
@@ -40,13 +42,16 @@ def chunks(text: Column, every: int = EVERY) -> Column:
     """
     lines = F.split(F.replace(text, F.lit("\x01"), F.lit(ESCAPE)), "\n", -1)
     hashes = F.transform(lines, line_hash)
-    one = F.concat(F.array(F.lit(0).cast("long")), hashes)
-    two = F.concat(F.array(F.lit(0).cast("long"), F.lit(0).cast("long")), hashes)
-    zipped = F.slice(F.arrays_zip(lines.alias("line"), one.alias("one"), two.alias("two")), 1, F.size(lines))
+    zero = F.lit(0).cast("long")
+    late = [F.concat(F.array(*[zero] * k), hashes) for k in (1, 2, 3)]
+    zipped = F.slice(F.arrays_zip(lines.alias("line"), *[x.alias(f"h{k}") for k, x in enumerate(late, 1)]), 1, F.size(lines))
+
+    def hit(older: Column, newer: Column) -> Column:
+        return (older * BASE + newer) % PRIME % every == 0
 
     def glue(x: Column, i: Column) -> Column:
-        rolled = (x["two"] * BASE + x["one"]) % PRIME  # of the two lines before
-        return F.concat(F.when(i == 0, "").when((i > 1) & (rolled % every == 0), MARK).otherwise("\n"), x["line"])
+        end = (i > 1) & hit(x["h2"], x["h1"]) & ~((i > 2) & hit(x["h3"], x["h2"]))
+        return F.concat(F.when(i == 0, "").when(end, MARK).otherwise("\n"), x["line"])
 
     return F.split(F.array_join(F.transform(zipped, glue), ""), MARK, -1)
 
@@ -71,9 +76,10 @@ def in_bitmap(df: DataFrame, hashes: DataFrame, col: str) -> DataFrame:
     return df.join(F.broadcast(maps), bucket == F.col("_b")).where(F.pmod(F.floor(byte / F.pow(F.lit(2), place % 8)), F.lit(2)) == 1).select(df.columns)
 
 
-def repeated(keyed: DataFrame, every: int = EVERY) -> DataFrame:
-    """(key, th, removed): the places of chunks that go, for rows that lose any."""
-    all_ = keyed.select("key", "th", F.posexplode("chunks").alias("pos", "chunk")).where(multi_line(F.col("chunk"))).withColumn("h", F.xxhash64("chunk"))
+def repeated(docs: DataFrame, every: int = EVERY) -> DataFrame:
+    """(key, th, removed): the places of chunks that go, for rows (key, th, text) that lose any."""
+    cut = docs.where(F.instr("text", "\n") > 0).select("key", "th", F.posexplode(chunks(F.col("text"), every)).alias("pos", "chunk"))
+    all_ = stored(cut.where(multi_line(F.col("chunk"))).withColumn("h", F.xxhash64("chunk")))
     counts = all_.select("h").groupBy("h").count().where("count > 1")
     some = stored(in_bitmap(all_, counts.select("h"), "h"))
     place = F.struct("key", "th", "pos")
@@ -87,18 +93,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts stay null; empty texts stay empty, and a text may become empty.
     Rows with the same id and text count as one document and keep the same.
-    Null ids come last.  An empty table gives no rows.  With ``count``, columns
-    ``n_chunks`` and ``n_removed`` follow.
+    Null ids come last.  An empty table gives no rows.  With ``count``, a column
+    ``n_removed`` (chunks) follows.
     """
     own = docs.columns
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("key"), F.xxhash64(text_col).alias("th"), chunks(F.col(text_col), every).alias("chunks"))
-    gone = repeated(base.where(F.size("chunks") > 0), every)
-    both = base.join(gone, ["key", "th"], "left")
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("key")
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), key, F.xxhash64(text_col).alias("th"))
+    gone = repeated(base.select("key", "th", F.col(f"row.`{text_col}`").alias("text")), every)
+    text = F.col(f"row.`{text_col}`")
+    # Only texts that lose something are cut again; the generator makes their chunks a column.
+    both = base.join(gone, ["key", "th"], "left").select("row", "removed", F.explode(F.array(F.when(F.col("removed").isNotNull(), chunks(text, every)))).alias("chunks"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.col("removed"))
-    text = F.when(F.col("removed").isNull(), F.col(f"row.`{text_col}`")).otherwise(plain(F.array_join(F.transform(kept, lambda i: F.get("chunks", i)), "\n")))
-    out = [text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in own]
+    rest = F.when(F.col("removed").isNull(), text).otherwise(plain(F.array_join(F.transform(kept, lambda i: F.get("chunks", i)), "\n")))
+    out = [rest.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in own]
     if count:
-        out += [F.when(F.col("chunks").isNull(), 0).otherwise(F.size("chunks")).cast("long").alias("n_chunks"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed")]
+        out.append(F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"))
     return both.select(*out)
 
 
@@ -109,10 +118,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS i FROM documents WHERE text IS NOT NULL),
 h AS (SELECT doc_id, line, i, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM l),
-b AS (SELECT doc_id, line, i, CASE WHEN i > 1 AND ((lag(h, 2) OVER w * {BASE} + lag(h, 1) OVER w) % {PRIME}) % {EVERY} = 0 THEN 1 ELSE 0 END AS cut FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+a AS (SELECT doc_id, line, i, i > 1 AND ((lag(h, 2) OVER w * {BASE} + lag(h, 1) OVER w) % {PRIME}) % {EVERY} = 0 AS hit FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT doc_id, line, i, CASE WHEN hit AND NOT coalesce(lag(hit) OVER w, false) THEN 1 ELSE 0 END AS cut FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 g AS (SELECT doc_id, line, i, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM b),
 c AS (SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS chunk FROM g GROUP BY doc_id, pos),
 m AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) > 1 AND contains(trim(chunk, ' ' || chr(9) || chr(13) || chr(10)), chr(10)) AS gone FROM c),
-r AS (SELECT doc_id, string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed FROM m GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN r USING (doc_id)
+r AS (SELECT doc_id, string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept, count(*) FILTER (WHERE gone) AS n_removed FROM m GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN r USING (doc_id)
 """
