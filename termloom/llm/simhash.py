@@ -1,22 +1,28 @@
 """SimHash near-duplicates.
 
-A fingerprint takes the majority of each bit over the XXH64 hashes of a text's
-word shingles.  Fingerprints that differ in at most k = 4 of 64 bits share at
-least 8 - k = 4 of their 8 positional bytes.  The inverted index therefore lists
-distinct fingerprints under every choice of four positions and their bytes, so a
-list is as short as four bytes make it; within a list the shared positional
-bytes of a pair are tallied, pairs that reach the minimum are verified by their
-differing bits, and verified pairs are linked.
+A fingerprint takes the majority of each bit over hashes of a text's word
+shingles.  Fingerprints of 64 bits that differ in at most 4 share at least 4 of
+their 8 positional bytes.  The inverted index therefore lists distinct
+fingerprints under every choice of four positions and their bytes, so a list is
+as short as four bytes make it; within a list the shared positional bytes of a
+pair are tallied, pairs that reach the minimum are verified by their differing
+bits, and verified pairs are linked.
+
+Wide fingerprints (four words of 64 bits) serve looser similarities, where words
+alone guarantee no shared byte: they are listed under pairs of neighbouring
+bytes, and two texts whose shingles overlap by 0.8 share such a pair with a
+probability of 0.94, of 0.9 with 0.999.
 
 Hot groups: exact copies are one fingerprint and meet only in partial
-aggregates.  A list of near copies is searched breadth first, so it yields a
-spanning forest instead of all its pairs; around any one fingerprint at most
-41,449 distinct ones can differ in up to 4 of the 32 bits that a list leaves
+aggregates.  A long list of near copies is searched breadth first, so it yields
+a spanning forest instead of all its pairs; around any one 64-bit fingerprint at
+most 41,449 distinct ones can differ in up to 4 of the 32 bits that a list leaves
 free.  Links, components and fingerprints stay in distributed tables.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -28,8 +34,38 @@ from pyspark.sql import functions as F
 from .common import LOWER, documents, map_rows, pa_schema, stored, utf8
 
 SEED = 42
-#: Every choice of four of eight byte positions, as bit masks.
-CHOICES = list(combinations(range(8), 4))
+MUL = np.uint64(0x9E3779B97F4A7C15)
+#: Lists up to this long are compared pair by pair, all of a batch at once.
+SHORT = 24
+
+
+def choices(words: int) -> list[tuple[int, int]]:
+    """(word, mask of positional bytes) of each list: four of eight bytes of a
+    64-bit fingerprint, or two of each four neighbours of a wide one."""
+    if words == 1:
+        return [(0, sum(255 << 8 * b for b in c)) for c in combinations(range(8), 4)]
+    return [(w, sum(255 << 8 * b for b in c)) for w in range(words) for half in (range(4), range(4, 8)) for c in combinations(half, 2)]
+
+
+def threshold(similarity: float, bits: int) -> int:
+    """Differing bits up to which texts count as so similar: the number expected
+    at that overlap of shingles, and 0.8 standard deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + 0.8 * math.sqrt(bits * p * (1 - p)))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * MUL
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def node_of(fp: np.ndarray) -> np.ndarray:
+    """One signed number for each fingerprint (rows of words): itself, or a hash of its words."""
+    out = fp[:, 0]
+    for k in range(1, fp.shape[1]):
+        out = mixed(out * MUL + fp[:, k])
+    return np.ascontiguousarray(out).view(np.int64)
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -45,110 +81,142 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :], strict=False)), np.uint64, len(words) - n + 1)
 
 
-def fingerprint(text: str | None, n: int = 4) -> int:
-    """A bit is 1 if more than half the hashes have it; no words: 0."""
+def fingerprint(text: str | None, n: int = 4, words: int = 1) -> list[int]:
+    """Words of the fingerprint.  A bit is 1 if more than half the hashes have it;
+    without words in the text all are 0.  Further words mix the same hashes anew."""
     h = shingle_hashes(text, n)
     if not len(h):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 200):  # sums of a byte each don't overflow
-        ones += np.add.reduce(np.unpackbits(h[at : at + 200].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+        return [0] * words
+    out = []
+    for k in range(words):
+        own = mixed(h + np.uint64(k * int(MUL) % 2**64)) if k else h
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(own), 200):  # sums of a byte each don't overflow
+            ones += np.add.reduce(np.unpackbits(own[at : at + 200].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+        out.append(int(np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)[0]))
+    return out
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4) -> DataFrame:
-    """doc_id and its fingerprint as a signed 64-bit integer."""
+def columns(words: int) -> list[str]:
+    return [f"f{k}" for k in range(words)]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, words: int = 1) -> DataFrame:
+    """doc_id, node and the fingerprint's words f0, f1, ... as signed 64-bit integers."""
 
     def make():
-        return lambda x: ((x[0], signed(fingerprint(x[1], n))),)
+        def row(x):
+            fp = fingerprint(x[1], n, words)
+            yield x[0], int(node_of(np.array([fp], np.uint64))[0]), *map(signed, fp)
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), make, "doc_id long, fp long")
+        return row
 
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), make, "doc_id long, node long, " + ", ".join(f"{c} long" for c in columns(words)))
 
-def spread(fps: DataFrame) -> DataFrame:
-    """(key, fp): a fingerprint under each of its 70 choices of positional bytes."""
-    masks = np.array([sum(255 << 8 * b for b in c) for c in CHOICES], np.uint64)
-    schema = pa_schema(fps.sparkSession, "choice short, key long, fp long")
+
+def spread(fps: DataFrame, words: int = 1) -> DataFrame:
+    """(choice, key, f0, ...): a fingerprint under each of its choices of positional bytes."""
+    kind = "choice short, key long, " + ", ".join(f"{c} long" for c in columns(words))
+    schema, all_ = pa_schema(fps.sparkSession, kind), choices(words)
+    which, masks = np.array([w for w, _ in all_]), np.array([m for _, m in all_], np.uint64)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
-                fp = batch.column(0).slice(at, 4000).to_numpy(zero_copy_only=False).view(np.uint64)
-                keys = (fp[:, None] & masks[None, :]).ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(masks), dtype=np.int16), len(fp))), pa.array(keys), pa.array(np.repeat(fp, len(masks)).view(np.int64))], schema=schema)
+                part = batch.slice(at, 4000)
+                fp = np.column_stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in part.columns])
+                keys = (fp[:, which] & masks[None, :]).ravel().view(np.int64)
+                many = [pa.array(np.repeat(fp[:, k], len(all_)).view(np.int64)) for k in range(words)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(all_), dtype=np.int16), len(fp))), pa.array(keys), *many], schema=schema)
+
+    return fps.select(*columns(words)).mapInArrow(run, kind)
 
-    return fps.select("fp").mapInArrow(run, "choice short, key long, fp long")
 
+def near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Which rows of words reach the shared positional bytes that ``most``
+    differing bits leave, and differ in no more bits."""
+    differ = a ^ b
+    shared = (np.ascontiguousarray(differ).view(np.uint8).reshape(len(differ), -1) == 0).sum(1)
+    out = shared >= 8 * a.shape[-1] - most
+    out[out] = np.bitwise_count(differ[out]).sum(1) <= most
+    return out
 
-def forest(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Spanning links of one list: breadth first over pairs that share at least
-    8 - most positional bytes and differ in at most ``most`` bits."""
+
+def forest(fp: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Spanning links of one list, breadth first."""
     links, rest = [], fp
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            differ = rest ^ x
-            tally = np.zeros(len(rest), np.int8)
-            for b in range(8):
-                tally += (differ & np.uint64(255 << 8 * b)) == 0
-            near = tally >= 8 - most
-            near[near] = np.bitwise_count(differ[near]) <= most
-            if near.any():
-                found = rest[near]
-                links += [(int(x), int(y)) for y in found]
+            hit = near(rest, x[None, :], most)
+            if hit.any():
+                found = rest[hit]
+                links.append((np.repeat(x[None, :], len(found), 0), found))
                 queue += list(found)
-                rest = rest[~near]
+                rest = rest[~hit]
     return links
 
 
-def links(fps: DataFrame, most: int = 4) -> DataFrame:
-    """(a, b): links between distinct fingerprints that connect exactly those
-    which chains of at most ``most`` differing bits connect (most <= 4).
+def list_links(fp: np.ndarray, edges: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of several whole lists that lie one after the other between edges."""
+    found, sizes = [], np.diff(edges)
+    for k in np.flatnonzero(sizes > SHORT).tolist():
+        found += forest(fp[edges[k] : edges[k + 1]], most)
+    left = np.repeat(np.where(sizes > SHORT, 0, sizes), sizes) - (np.arange(edges[-1] - edges[0]) - np.repeat(edges[:-1] - edges[0], sizes)) - 1  # how many of its list follow
+    for away in range(1, int(left.max(initial=0)) + 1):
+        i = np.flatnonzero(left >= away) + edges[0]
+        hit = near(fp[i], fp[i + away], most)
+        if hit.any():
+            found.append((fp[i[hit]], fp[i[hit] + away]))
+    return found
+
+
+def links(fps: DataFrame, most: int = 4, words: int = 1) -> DataFrame:
+    """(a, b): links between nodes of distinct fingerprints that connect those
+    which chains of at most ``most`` differing bits connect (all of them for one
+    word and most <= 4; else those that share a list).
 
     Lists are met one after the other in sorted partitions, so a task holds one
     list and never a whole partition.
     """
-    if not 0 <= most <= 4:
+    if words == 1 and not 0 <= most <= 4:
         raise ValueError("four positional bytes are guaranteed for at most 4 differing bits")
     schema = pa_schema(fps.sparkSession, "a long, b long")
-    # A list of one fingerprint can't link: only keys that occur again go on.
-    listed = spread(fps).repartition("choice", "key").sortWithinPartitions("choice", "key", "fp")
+    listed = spread(fps, words).repartition("choice", "key").sortWithinPartitions("choice", "key")
 
     def run(batches):
-        held, last = np.zeros(0, np.uint64), None
+        held, last = np.zeros((0, words), np.uint64), None
 
         def out(found):
-            a, b = np.array(found, np.uint64).reshape(-1, 2).T
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a).view(np.int64)), pa.array(np.ascontiguousarray(b).view(np.int64))], schema=schema)
+            a, b = (node_of(np.concatenate(x)) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            choice, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            fp = fp.view(np.uint64)
+            choice, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            fp = np.column_stack([batch.column(2 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(words)])
             cuts = np.flatnonzero((choice[1:] != choice[:-1]) | (key[1:] != key[:-1])) + 1
-            edges = [0, *cuts.tolist(), len(key)]
             found = []
-            first = (int(choice[0]), int(key[0]))
-            if first != last and len(held) > 1:
-                found += forest(held, most)
-            head = np.concatenate([held, fp[: edges[1]]]) if first == last else fp[: edges[1]]
-            if len(edges) > 2:
-                if len(head) > 1:
-                    found += forest(head, most)
-                long = np.flatnonzero(np.diff(edges[1:-1]) > 1) + 1
-                for k in long.tolist():
-                    found += forest(fp[edges[k] : edges[k + 1]], most)
-                head = fp[edges[-2] :]
-            held, last = head, (int(choice[-1]), int(key[-1]))
+            if (int(choice[0]), int(key[0])) != last:
+                found += list_links(held, np.array([0, len(held)]), most)
+                held = held[:0]
+            if len(cuts):
+                fp, n = np.concatenate([held, fp]), len(held)
+                edges = np.concatenate([[0], cuts + n])
+                found += list_links(fp, edges, most)
+                held = fp[edges[-1] :]
+            else:
+                held = np.concatenate([held, fp])
+            last = int(choice[-1]), int(key[-1])
             if found:
                 yield out(found)
-        if len(held) > 1 and (found := forest(held, most)):
+        if found := list_links(held, np.array([0, len(held)]), most):
             yield out(found)
 
     return listed.mapInArrow(run, "a long, b long")
@@ -174,23 +242,31 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, most: int = 4) -> DataFrame:
-    """doc_id, fp (signed), component_id: the smallest doc_id that links reach.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, most: int = 4, similarity: float | None = None) -> DataFrame:
+    """doc_id, node (the fingerprint, signed) and component_id: the smallest
+    doc_id that links reach.
+
+    By default fingerprints of 64 bits are linked at up to ``most`` differing
+    bits.  With ``similarity`` wide ones are linked where they say that so large
+    a share of the texts' shingles is common.
 
     Null and empty texts have no words: fingerprint 0, linked like any other.
     Null ids are left out of the minimum and get their component's.  Repeated
     rows give a row each.  An empty table gives no rows.  Other columns are
     ignored.
     """
-    fps = stored(fingerprints(docs, id_col, text_col, n))
-    own = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    tree = components(links(own, most))
-    root = own.join(tree, own.fp == tree.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    words = 1 if similarity is None else 4
+    if similarity is not None:
+        most = threshold(similarity, 64 * words)
+    fps = stored(fingerprints(docs, id_col, text_col, n, words))
+    own = stored(fps.groupBy("node", *columns(words)).agg(F.min("doc_id").alias("least")))
+    tree = components(links(own, most, words)).withColumnRenamed("node", "linked")
+    root = own.join(tree, own.node == tree.linked, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = root.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = root.join(least, "root").select("node", "component_id")
+    return fps.join(named, "node").select("doc_id", "node", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(documents(spark, sf_dir))
-    return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return got.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
