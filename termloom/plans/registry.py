@@ -203,14 +203,14 @@ def set_operations(spark, sf):
 
 def _planned(spark, plan: planner.CandidatePlan) -> DataFrame:
     if plan.scan_all:
-        return spark.createDataFrame([(True, None)], "scan_all boolean, doc_id bigint")
+        return spark.createDataFrame([(True, -1)], "scan_all boolean, doc_id bigint")
     return plan.candidates.select(F.lit(False).alias("scan_all"), "doc_id")
 
 
 def _plan_sql(terms: str, answer: str, ratio: float = 0.6) -> str:
     return f""", e AS (SELECT count(*) AS est FROM p WHERE term IN ({terms})),
 c AS (SELECT est >= 200000 OR CAST(CAST(est AS FLOAT) / CAST((SELECT count(*) FROM d) AS FLOAT) AS FLOAT) > CAST({ratio} AS FLOAT) AS broad FROM e)
-SELECT false AS scan_all, doc_id FROM ({answer}) a, c WHERE NOT broad UNION ALL SELECT true, NULL FROM c WHERE broad"""
+SELECT false AS scan_all, doc_id FROM ({answer}) a, c WHERE NOT broad UNION ALL SELECT true, -1 FROM c WHERE broad"""
 
 
 @query(_plan_sql("'license'", "SELECT doc_id FROM p WHERE term = 'license'"))
@@ -466,8 +466,8 @@ def compressed_sets(spark, sf):
     return packed.select("term", F.concat(F.lit("["), F.array_join(codec.decompress_set(F.col("data")), ", "), F.lit("]")).alias("ids"))
 
 
-@query(", v AS (SELECT doc_id, pos, term, lag(len(term)) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM tok WHERE doc_id < 100) SELECT d.doc_id, (SELECT min(pos) FROM v WHERE v.doc_id = d.doc_id AND len(term) <= before) AS first_bad FROM d WHERE d.doc_id < 100")
+@query(", v AS (SELECT doc_id, pos, term, lag(len(term)) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM tok WHERE doc_id < 100) SELECT d.doc_id, coalesce((SELECT min(pos) FROM v WHERE v.doc_id = d.doc_id AND len(term) <= before), -1) AS first_bad FROM d WHERE d.doc_id < 100")
 def validate_sorted(spark, sf):
     docs = tokenised(documents(spark, sf).where("doc_id < 100"))
     sizes = F.transform("terms", lambda t: F.char_length(t).cast("long"))
-    return docs.select("doc_id", (codec.first_violation(sizes)).cast("int").alias("first_bad"))
+    return docs.select("doc_id", F.coalesce(codec.first_violation(sizes), F.lit(-1)).cast("int").alias("first_bad"))
