@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..functions.tokens import terms_of, token_rows, tokenised
 from ..operators import boolean, lookup, phrase, score
-from ..operators.build import Index, block_table, delete_documents, index_documents, index_impacts, index_texts, index_weighted, latest, term_stats, upsert_documents
+from ..operators.build import Index, block_table, blocked, delete_documents, index_documents, index_impacts, index_texts, index_weighted, latest, term_stats, upsert_documents
 from ..sources import store
 from ..streaming import log
 from . import planner
@@ -144,13 +144,13 @@ def postings_with_len(spark, sf):
     return lookup.postings_with_lengths(index(spark, sf), "license")
 
 
-BLOCKS = """, b AS (SELECT term, doc_id, w, (row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 128 AS block_no FROM p WHERE term IN ('the', 'of', 'license')),
+BLOCKS = """, b AS (SELECT term, doc_id, w, (row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 128 AS block_no FROM p),
 g AS (SELECT term, block_no, max(doc_id) AS last_doc_id, count(*) AS n, max(w) AS max_weight FROM b GROUP BY term, block_no)"""
 
 
 @query(BLOCKS + " SELECT term, block_no, coalesce(lag(last_doc_id) OVER (PARTITION BY term ORDER BY block_no), 0) AS base_doc_id, last_doc_id, n, max_weight FROM g")
 def posting_blocks(spark, sf):
-    return block_table(boolean.of_terms(index(spark, sf).postings, ["the", "of", "license"]))
+    return block_table(index(spark, sf).postings)
 
 
 @query(BLOCKS + " SELECT doc_id, w, doc_len FROM b JOIN d USING (doc_id) WHERE term = 'the' AND block_no = 1")
@@ -437,37 +437,39 @@ def cached_terms(spark, sf):
     return cache.phrase_match(["in", "onbleea", "of"])
 
 
-@query("SELECT term, doc_id, CAST(pos AS INTEGER) AS pos FROM tok WHERE doc_id < 100")
+@query("SELECT term, doc_id, CAST(pos AS INTEGER) AS pos FROM tok")
 def export_positions(spark, sf):
-    return lookup.sorted_posting_lists(index_texts(documents(spark, sf).where("doc_id < 100"), positional=True)).select("term", "doc_id", F.explode("ps").alias("pos"))
+    return lookup.sorted_posting_lists(index(spark, sf, True)).select("term", "doc_id", F.explode("ps").alias("pos"))
 
 
 # Codecs
 
 
 def _id_lists(spark, sf) -> DataFrame:
-    rows = boolean.of_terms(index(spark, sf).postings, ["license", "der", "the"])
-    return rows.groupBy("term").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    """(term, block_no, ids): all posting lists, cut into blocks so that no array grows with the corpus."""
+    return blocked(index(spark, sf).postings).groupBy("term", "block_no").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
 
 
-GAPS = ", g AS (SELECT term, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS gap FROM p WHERE term IN ('license', 'der', 'the'))"
+def _text(ids):
+    return F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]"))
 
 
-@query(GAPS + " SELECT term, CAST(list(gap ORDER BY doc_id) AS VARCHAR) AS gaps, CAST(list(doc_id ORDER BY doc_id) AS VARCHAR) AS ids FROM g GROUP BY term")
+LISTS = ", b AS (SELECT term, doc_id, (row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 128 AS block_no FROM p), g AS (SELECT term, block_no, doc_id, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term, block_no ORDER BY doc_id), 0) AS gap FROM b)"
+
+
+@query(LISTS + " SELECT term, block_no, CAST(list(gap ORDER BY doc_id) AS VARCHAR) AS gaps, CAST(list(doc_id ORDER BY doc_id) AS VARCHAR) AS ids FROM g GROUP BY term, block_no")
 def gaps_roundtrip(spark, sf):
-    gaps = _id_lists(spark, sf).select("term", codec.gaps_from_sorted_ids(F.col("ids")).alias("gaps"))
-    text = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
-    return gaps.select("term", text(F.col("gaps")).alias("gaps"), text(codec.ids_from_gaps(F.col("gaps"))).alias("ids"))
+    gaps = _id_lists(spark, sf).select("term", "block_no", codec.gaps_from_sorted_ids(F.col("ids")).alias("gaps"))
+    return gaps.select("term", "block_no", _text(F.col("gaps")).alias("gaps"), _text(codec.ids_from_gaps(F.col("gaps"))).alias("ids"))
 
 
-@query("SELECT term, CAST(list(doc_id ORDER BY doc_id) AS VARCHAR) AS ids FROM p WHERE term IN ('license', 'der', 'the') GROUP BY term")
+@query(LISTS + " SELECT term, block_no, CAST(list(doc_id ORDER BY doc_id) AS VARCHAR) AS ids FROM g GROUP BY term, block_no")
 def compressed_sets(spark, sf):
-    packed = _id_lists(spark, sf).select("term", codec.compress_set(F.col("ids")).alias("data"))
-    return packed.select("term", F.concat(F.lit("["), F.array_join(codec.decompress_set(F.col("data")), ", "), F.lit("]")).alias("ids"))
+    packed = _id_lists(spark, sf).select("term", "block_no", codec.compress_set(F.col("ids")).alias("data"))
+    return packed.select("term", "block_no", _text(codec.decompress_set(F.col("data"))).alias("ids"))
 
 
-@query(", v AS (SELECT doc_id, pos, term, lag(len(term)) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM tok WHERE doc_id < 100) SELECT d.doc_id, coalesce((SELECT min(pos) FROM v WHERE v.doc_id = d.doc_id AND len(term) <= before), -1) AS first_bad FROM d WHERE d.doc_id < 100")
+@query(", v AS (SELECT doc_id, pos, len(term) <= lag(len(term)) OVER (PARTITION BY doc_id ORDER BY pos) AS bad FROM tok), m AS (SELECT doc_id, min(pos) AS place FROM v WHERE bad GROUP BY doc_id) SELECT d.doc_id, coalesce(place, -1) AS first_bad FROM d LEFT JOIN m USING (doc_id)")
 def validate_sorted(spark, sf):
-    docs = tokenised(documents(spark, sf).where("doc_id < 100"))
     sizes = F.transform("terms", lambda t: F.char_length(t).cast("long"))
-    return docs.select("doc_id", F.coalesce(codec.first_violation(sizes), F.lit(-1)).cast("int").alias("first_bad"))
+    return tokenised(documents(spark, sf)).select("doc_id", F.coalesce(codec.first_violation(sizes), F.lit(-1)).cast("int").alias("first_bad"))
