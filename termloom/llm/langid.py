@@ -58,7 +58,8 @@ def profile(keys: np.ndarray, counts: np.ndarray, top: int = TOP) -> np.ndarray:
 
 
 def held_out(id_col: str):
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0
+    """Whether a row is kept out of learning; rows without an id are not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> dict[str, list[int]]:
