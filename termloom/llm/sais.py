@@ -22,7 +22,7 @@ def by_doubling(s: np.ndarray) -> np.ndarray:
     while True:
         key = rank * (n + 2)
         key[: n - h] += rank[h:]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.empty(n, np.int64)
         new[order] = np.cumsum(np.append(True, key[order][1:] != key[order][:-1]))
         if new[order[-1]] == n:
@@ -62,7 +62,7 @@ def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, ends: np.ndarray)
     sa = np.full(n, -1, np.int64)
     # Larger types, upwards: the last suffix first, then bucket by bucket.
     heads = begins.copy()
-    where = np.searchsorted(s[lms], np.arange(k + 1)) if len(lms) else np.zeros(k + 1, np.int64)
+    where = np.searchsorted(s[lms], np.arange(k + 1, dtype=np.int64)) if len(lms) else np.zeros(k + 1, np.int64)
     scatter(sa, s[-1:], np.array([n - 1]), heads, 1)
     for c in range(k):
         done = begins[c]
@@ -107,10 +107,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 2:
         return np.arange(n)
-    s = s.astype(np.int64)
     k = int(s.max()) + 1
     if k > WIDE:
         return by_doubling(s)
+    s = s.astype(np.uint16)  # numpy sorts these by radix
     small = classify(s)
     ends = np.cumsum(np.bincount(s, minlength=k))
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
