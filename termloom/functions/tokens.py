@@ -20,5 +20,9 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def token_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, term), a row for each token of (doc_id, terms); pos from 0."""
-    return docs.select("doc_id", F.posexplode("terms").alias("pos", "term"))
+    """(doc_id, pos, term), a row for each token of (doc_id, terms); pos from 0.
+
+    The outer form keeps Catalyst from testing for empty arrays first, which
+    would tokenize every text twice.
+    """
+    return docs.select("doc_id", F.posexplode_outer("terms").alias("pos", "term")).where("pos is not null")
