@@ -78,7 +78,7 @@ def in_bitmap(df: DataFrame, hashes: DataFrame, col: str) -> DataFrame:
 
 def repeated(docs: DataFrame, every: int = EVERY) -> DataFrame:
     """(key, th, removed): the places of chunks that go, for rows (key, th, text) that lose any."""
-    cut = docs.where(F.instr("text", "\n") > 0).select("key", "th", F.posexplode(chunks(F.col("text"), every)).alias("pos", "chunk"))
+    cut = docs.where(F.instr("text", "\n") > 0).select("key", "th", F.posexplode_outer(chunks(F.col("text"), every)).alias("pos", "chunk"))  # outer: no test for empty arrays, which would cut each text twice
     all_ = stored(cut.where(multi_line(F.col("chunk"))).withColumn("h", F.xxhash64("chunk")))
     counts = all_.select("h").groupBy("h").count().where("count > 1")
     some = stored(in_bitmap(all_, counts.select("h"), "h"))
