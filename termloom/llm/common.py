@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the package to executors, which may have no copy of it: once for each context."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(sc, "_termloom", None) is None and package.is_dir():
+        sc._termloom = tempfile.mkdtemp(prefix="termloom-")
+        with zipfile.ZipFile(f"{sc._termloom}/termloom.zip", "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(f"{sc._termloom}/termloom.zip")
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """Writes a DataFrame to the shared folder and reads it back: it cuts the
     lineage, survives lost executors, and gives later joins a known size."""
@@ -66,6 +79,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], Iterable[tuple]
 
 
 def pa_schema(spark: SparkSession, schema: str) -> pa.Schema:
+    """The Arrow schema of a function's rows; its executors get the package."""
+    ship(spark)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 

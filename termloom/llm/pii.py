@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, map_rows, stored, utf8
+from .common import LOWER, documents, map_rows, ship, stored, utf8
 
 KINDS = ("email", "ip", "card", "phone", "term-general", "term-remove")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -221,6 +221,7 @@ def redact(text: str | None, spans) -> str | None:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """docs with sanitised texts; rows are matched by their (unique) id."""
     spans = sensitive(docs, id_col, text_col, **thresholds).where(F.size("all_spans") > 0).select(F.col("doc_id").alias(id_col), F.col("all_spans").alias("_spans"))
+    ship(docs.sparkSession)
     clean = F.pandas_udf(lambda t, s: t.combine(s, lambda x, y: redact(x, None if y is None else [(z["start"], z["kind"], z["end"]) for z in y])), "string")
     return docs.join(spans, id_col, "left").withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(clean(text_col, "_spans"))).drop("_spans")
 

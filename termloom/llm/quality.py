@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, utf8
+from .common import documents, map_rows, ship, utf8
 
 #: Rows of each partition on which rules are timed.
 SAMPLE = 40
@@ -179,6 +179,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", order: list[str] | None =
     order = order or estimate(docs, text_col)
     import pyarrow as pa
 
+    ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -288,12 +288,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def compress():
         return lambda x: ((x[0], pack(x[1])),)
 
-    # The condition is one that inner joins would add: with it all uses share one shuffle.
+    # The condition is one that inner joins would add, and what meets texts is dealt out
+    # in the same explicit way: so all uses share one shuffle.
     texts = map_rows(keyed, compress, "key long, data binary", 2_000).where("key is not null").repartition("key")
     # A row whose id also has a copy of another text is looked at: only ids all of whose rows are copies stay out.
     rows_of, copied = small.select("key", "whole").distinct().groupBy("key").agg(F.count("*").alias("rows")), copies.groupBy("key").agg(F.count("*").alias("copied"))
-    settled = copied.join(rows_of, "key").where(F.col("rows") == F.col("copied")).select("key")
-    gone = spans(texts, texts.join(settled, "key", "left_anti"), span)
+    settled = copied.join(rows_of, "key").where(F.col("rows") == F.col("copied")).select("key", F.lit(True).alias("settled")).repartition("key")
+    # Not an anti join: Catalyst would move that below the shuffle and shuffle texts again.
+    firsts = texts.join(settled, "key", "left").where("settled is null").select("key", "data")
+    gone = spans(texts, firsts, span)
     per_doc = gone.repartition("key").groupBy("key").agg(F.collect_list("mark").alias("marks"))
 
     def make():
