@@ -7,7 +7,6 @@ expressions.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,11 +80,7 @@ def varint_encode(xs: Column) -> Column:
 
 def varint_decode(data: Column | str) -> Column:
     """LEB128 bytes as numbers; a fifth byte above 0x0F or a cut-off end raises."""
-    return _decode(data)
 
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _decode(data: pd.Series) -> pd.Series:
     def one(raw):
         if raw is None:
             return None
@@ -103,7 +98,8 @@ def _decode(data: pd.Series) -> pd.Series:
             raise ValueError("varint is cut off")
         return out
 
-    return data.map(one)
+    # A local function travels to executors by value, which need no copy of this module.
+    return F.pandas_udf(lambda xs: xs.map(one), T.ArrayType(T.LongType()))(data)
 
 
 def compress_set(ids: Column) -> Column:
