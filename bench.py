@@ -52,8 +52,7 @@ def main() -> None:
         if "index" in state:
             state["index"].unpersist()
         i = index_documents(tokenised(spark.read.parquet(f"{SF}/documents.parquet")), positional=True)
-        # Sorted by term, cached blocks hold ranges of terms and their statistics let others be skipped.
-        i = type(i)(i.postings.repartitionByRange(int(CPUS), "term").sortWithinPartitions("term", "doc_id"), i.docs, i.positions.repartitionByRange(int(CPUS), "term").sortWithinPartitions("term", "doc_id")).persist()
+        i = i.persist()
         state["index"], state["n"] = i, (i.postings.count(), i.positions.count(), i.docs.count())
 
     timed("build", build, 1)
