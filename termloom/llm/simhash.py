@@ -8,10 +8,14 @@ as short as four bytes make it; within a list the shared positional bytes of a
 pair are tallied, pairs that reach the minimum are verified by their differing
 bits, and verified pairs are linked.
 
-Wide fingerprints (four words of 64 bits) serve looser similarities, where words
-alone guarantee no shared byte: they are listed under pairs of neighbouring
-bytes, and two texts whose shingles overlap by 0.8 share such a pair with a
-probability of 0.94, of 0.9 with 0.999.
+A share of common shingles (Jaccard similarity) is no number of bits, so texts
+are linked at one by their shingle sets.  Sets of n that overlap by a share s
+have s n elements in common, so in any fixed order of all shingles they share
+one of their first n - s n + 1: sets are listed under those, and no pair is
+lost.  Shingles frequent in a sample come last, which keeps lists short; the
+order has no bearing on the result.  Pairs of a list pass bounds that hold
+without exception (sizes; parities of shingles in 256 places, of which no more
+differ than shingles do), then the sets themselves are compared.
 
 Hot groups: exact copies are one fingerprint and meet only in partial
 aggregates.  A long list of near copies is searched breadth first, so it yields
@@ -32,11 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, documents, map_rows, pa_schema, stored, utf8
+from .linededup import in_bitmap
 
 SEED = 42
 MUL = np.uint64(0x9E3779B97F4A7C15)
 #: Lists up to this long are compared pair by pair, all of a batch at once.
 SHORT = 24
+#: Texts, about, whose shingles are counted for the order, and shingles at most that are put last.
+SAMPLE, FREQUENT = 20_000, 200_000
 
 
 def choices(words: int) -> list[tuple[int, int]]:
@@ -242,25 +249,157 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, n))
+
+
+def parities(own: np.ndarray) -> list[int]:
+    """Four words: bit k is the parity of how many of the hashes fall in place k of 256."""
+    odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64).tolist()
+
+
+def shingle_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
+    """row_id, doc_id, node (a hash of the shingle set), size, parities p0, ...
+    and head (the shingles under which the set is listed) of rows (row_id, doc_id, text)."""
+    spark = rows.sparkSession
+    rate = max(1, rows.count() // SAMPLE)
+
+    def each():
+        return lambda x: [(h,) for h in shingle_set(x[0], n).view(np.int64).tolist()]
+
+    sample = rows.select("text").where(F.pmod(F.xxhash64("text"), F.lit(rate)) == 0).distinct()
+    counts = map_rows(sample, each, "h long", 200_000).groupBy("h").count().where("count > 2")
+    often = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas().sort_values("h")
+    shared = spark.sparkContext.broadcast((often["h"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+
+    def make():
+        known, times = shared.value
+
+        def row(x):
+            own = shingle_set(x[2], n)
+            size, hashes = len(own), own.view(np.int64)
+            head = hashes
+            if size:
+                rank = np.zeros(size, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    rank = np.where(known[at] == hashes, times[at], 0)
+                head = hashes[np.lexsort((hashes, rank))[: size - math.ceil(similarity * size - 1e-9) + 1]]
+            yield x[0], x[1], signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), size, *parities(own), head.tolist()
+
+        return row
+
+    return map_rows(rows.select("row_id", "doc_id", "text"), make, "row_id long, doc_id long, node long, size int, p0 long, p1 long, p2 long, p3 long, head array<long>", 2_000)
+
+
+def list_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b, h) of lists (h, nodes): all pairs of a short list (h null).  Of a long one its
+    first node and each one's neighbour with each other, and its nodes (as a, b null) with its h."""
+    schema = pa_schema(lists.sparkSession, "a long, b long, h long")
+
+    def run(batches):
+        for batch in batches:
+            a, b, of = [], [], []
+            for h, nodes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.sort(nodes.values.to_numpy(zero_copy_only=False))
+                if len(own) <= SHORT:
+                    i, j = np.triu_indices(len(own), 1)
+                    a.append(own[i])
+                    b.append(own[j])
+                else:
+                    a += [np.repeat(own[:1], len(own) - 1), own[:-1]]
+                    b += [own[1:], own[1:]]
+                    of.append((h, own))
+            if a:
+                x, y = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], schema=schema)
+            for h, own in of:
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64()), pa.array(np.full(len(own), h))], schema=schema)
+
+    return lists.mapInArrow(run, "a long, b long, h long")
+
+
+def unlike_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes of one list that no links connect so far, of rows (h, parts), parts being (root, node)."""
+    schema = pa_schema(members.sparkSession, "a long, b long")
+
+    def run(batches):
+        for batch in batches:
+            for parts in batch.column(1):
+                x = parts.values
+                root, node = (x.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+                order = np.argsort(root, kind="stable")
+                root, node = root[order], node[order]
+                ends = np.searchsorted(root, root, side="right")
+                for i in np.flatnonzero(ends < len(root)).tolist():
+                    rest = node[ends[i] :]
+                    own = np.full(len(rest), node[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, rest)), pa.array(np.maximum(own, rest))], schema=schema)
+
+    return members.mapInArrow(run, "a long, b long")
+
+
+def alike(pairs: DataFrame, own: DataFrame, rows: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets overlap by the similarity."""
+    info = own.select("node", "size", "p0", "p1", "p2", "p3", "row")
+    a, b = (info.toDF(*[f"{c}_{x}" for c in info.columns]) for x in "ab")
+    both = pairs.distinct().join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
+    differ = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(4)), F.lit(0))
+    total = F.col("size_a") + F.col("size_b")
+    # Sets of a share s in common differ in (1 - s) / (1 + s) of their sizes' sum at most.
+    may = (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-6) & (differ <= total * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    left = stored(both.where(may).select("a", "b", "row_a", "row_b"))
+
+    def make():
+        return lambda x: [(x[0], shingle_set(x[1], n).view(np.int64).tolist())]
+
+    wanted = left.select(F.explode(F.array("row_a", "row_b")).alias("row_id")).distinct()
+    sets = stored(map_rows(rows.join(wanted, "row_id", "left_semi").select("row_id", "text"), make, "row_id long, own array<long>", 2_000))
+    x, y = sets.toDF("row_a", "own_a"), sets.toDF("row_b", "own_b")
+    common = F.size(F.array_intersect("own_a", "own_b"))
+    return left.join(x, "row_a").join(y, "row_b").where(common / (F.size("own_a") + F.size("own_b") - common) >= similarity).select("a", "b")
+
+
+def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
+    """row_id, doc_id, node and root of stored rows (row_id, doc_id, text): root is the
+    smallest node that links reach, a link being a Jaccard similarity of at least ``similarity``."""
+    sets = stored(shingle_rows(rows, n, similarity))
+    own = stored(sets.groupBy("node", "size", "p0", "p1", "p2", "p3").agg(F.min("row_id").alias("row")))
+    heads = sets.select(F.explode("head").alias("h"), "node")
+    common = stored(heads.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("h"))  # most shingles list one set only
+    lists = in_bitmap(heads, common, "h").groupBy("h").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
+    first = stored(list_pairs(lists))
+    edges = stored(alike(first.where("h IS NULL").select("a", "b"), own, rows, n, similarity))
+    tree = components(edges)
+    members = first.where("h IS NOT NULL").select("h", F.col("a").alias("node"))
+    if not members.isEmpty():  # of long lists, the pairs not connected by now
+        parts = members.join(tree, "node", "left").groupBy("h").agg(F.collect_list(F.struct(F.coalesce("root", "node").alias("root"), "node")).alias("parts"))
+        tree = components(edges.union(alike(unlike_pairs(parts), own, rows, n, similarity)))
+    return sets.select("row_id", "doc_id", "node").join(tree, "node", "left").select("row_id", "doc_id", "node", F.coalesce("root", "node").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, most: int = 4, similarity: float | None = None) -> DataFrame:
     """doc_id, node (the fingerprint, signed) and component_id: the smallest
     doc_id that links reach.
 
     By default fingerprints of 64 bits are linked at up to ``most`` differing
-    bits.  With ``similarity`` wide ones are linked where they say that so large
-    a share of the texts' shingles is common.
+    bits.  With ``similarity`` (above 0) texts are linked whose sets of shingles
+    have at least this Jaccard similarity, all of them, and node is a hash of the set.
 
-    Null and empty texts have no words: fingerprint 0, linked like any other.
+    Null and empty texts have no words: fingerprint 0 (or the empty set), linked
+    like any other.
     Null ids are left out of the minimum and get their component's.  Repeated
     rows give a row each.  An empty table gives no rows.  Other columns are
     ignored.
     """
-    words = 1 if similarity is None else 4
     if similarity is not None:
-        most = threshold(similarity, 64 * words)
-    fps = stored(fingerprints(docs, id_col, text_col, n, words))
-    own = stored(fps.groupBy("node", *columns(words)).agg(F.min("doc_id").alias("least")))
-    tree = components(links(own, most, words)).withColumnRenamed("node", "linked")
+        rows = stored(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+        named = stored(similar_rows(rows, n, similarity))
+        return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "node", "component_id")
+    fps = stored(fingerprints(docs, id_col, text_col, n))
+    own = stored(fps.groupBy("node", *columns(1)).agg(F.min("doc_id").alias("least")))
+    tree = components(links(own, most)).withColumnRenamed("node", "linked")
     root = own.join(tree, own.node == tree.linked, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
     named = root.join(least, "root").select("node", "component_id")

@@ -270,6 +270,61 @@ def test_links_of_crowded_fingerprints(spark):
         assert {min(x) for x in mine.values()} == set(comp) and all(len({comp[i] for i in x}) == 1 for x in mine.values())
 
 
+def graded_texts():
+    """Texts and versions of them with more and more words changed, a crowd of near copies, and a common passage."""
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{int(rng.integers(0, 10**6))}"
+    passage = [word() for _ in range(60)]
+    texts = []
+    for size in (20, 60, 150):
+        for _ in range(12):
+            base = [word() for _ in range(size)]
+            texts.append(base)
+            for part in (0.05, 0.1, 0.14, 0.18, 0.25):
+                start = int(rng.integers(0, size))
+                other = list(base)
+                for k in range(int(part * size)):
+                    other[(start + k) % size] = word()
+                texts.append(other)
+    crowd = [word() for _ in range(100)]
+    for k in range(60):
+        other = list(crowd)
+        other[k] = word()
+        other[(37 * k + 11) % 100] = word()
+        texts.append(other)
+    texts += [passage + [word() for _ in range(int(rng.integers(5, 40)))] for _ in range(60)]
+    return [(d, " ".join(t)) for d, t in enumerate(texts)]
+
+
+def brute_similar(rows, similarity=0.8, n=5):
+    """Root (a row's number) of each row: links at Jaccard similarities of whole shingle sets."""
+    sets, root = [set(simhash.shingle_hashes(t, n).tolist()) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a == sets[j] or both and both / (len(a) + len(sets[j]) - both) >= similarity:
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_similarity_equals_brute(spark, similarity):
+    rows = [r for r in AWKWARD if r[0]] + [(1000 + d, t) for d, t in graded_texts() + corpus(60)]
+    roots = brute_similar(rows, similarity)
+    least = {}
+    for (d, _), r in zip(rows, roots, strict=True):
+        least[r] = min(least.get(r, d), d if d is not None else 10**9)
+    got = simhash.near_duplicates(table(spark, shuffled(rows)), n=5, similarity=similarity)
+    assert sorted((str(r.doc_id), r.component_id) for r in got.collect()) == sorted((str(d), least[r]) for (d, _), r in zip(rows, roots, strict=True))
+    assert simhash.near_duplicates(table(spark, []), similarity=similarity).count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = [(int(a), int(b)) for a, b in rng.integers(-40, 40, (50, 2))] + [(k, k + 1) for k in range(100, 130)]
