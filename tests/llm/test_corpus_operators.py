@@ -422,3 +422,13 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in kept[4]} == {d for d, _ in kept[3]}
     run = corpus_pipeline.run(spark, f"{tmp_path}/sf")
     assert run.count() == len(kept[4]) and len(corpus_pipeline.STAGES) == 5
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(None, a), (None, a), (4, b), (4, b), (9, b + " more"), (None, b), (1, c), (7, c), (7, d), (8, d + " more"), (None, None), (3, "")]
+    docs = table(spark, rows, clash=False).withColumn("row_id", F.lit("x"))
+    got = corpus_pipeline.near_deduplication(spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("None", a), ("4", b), ("1", c), ("7", d), ("3", "")])
+    assert corpus_pipeline.near_deduplication(spark, docs.limit(0), "").count() == 0
