@@ -1,20 +1,20 @@
 """Personal data: patterns, then information-theoretic sanitisation.
 
 Pattern spans (email, ip, card, phone) name the protected entities.  A term of
-an entity's context (the nearest words on either side) discloses it as far as
-their co-occurrence in the corpus goes: with N documents, n(e) that hold the
-entity, n(t) that hold the term and n(e,t) that hold the term in a context of
-the entity, the disclosure is
+the documents that hold an entity discloses it as far as their co-occurrence in
+the corpus goes: with N documents, n(e) that hold the entity, n(t) that hold the
+term and n(e,t) that hold both, the disclosure is
 
     PMI(e; t) / IC(e) = log2(n(e,t) N / (n(e) n(t))) / log2(N / n(e)),
 
 the share of the entity's information that the term alone gives.  Terms with
-enough support (at least two documents and two different contexts, so copies of
-one text are no evidence) whose share reaches a threshold are generalised, from
-a higher threshold on removed, wherever they stand in a context of that entity.
+enough support (at least two documents with different words, so copies of one
+text are no evidence) whose share reaches a threshold are generalised, from a
+higher threshold on removed, wherever they stand in a document that holds that
+entity.
 
-All counts cover every document.  n(t) is counted for terms of supported pairs
-only: a bitmap of fixed size (2 MB, whatever the corpus) lets other words be
+All counts cover whole documents, all of them.  n(t) is counted for terms of
+documents with a supported entity only: a bitmap of fixed size (2 MB, whatever the corpus) lets other words be
 skipped, and false hits of the bitmap fall out in the join that follows.
 """
 
@@ -22,11 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import islice
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, documents, map_rows, ship, stored, utf8
@@ -37,11 +36,11 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: Words of contexts: runs of A-Z, a-z and all beyond ASCII.
+#: Words: runs of A-Z, a-z and all beyond ASCII.
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 TERMS = bytes(c if c > 127 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-#: Context: so many words, within so many characters, before and after a span; shorter words are no terms.
-NEAR, REACH, SHORT = 6, 200, 3
+#: Shorter words are no terms.
+SHORT = 3
 BITS = 24
 
 
@@ -91,52 +90,45 @@ def key(x: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def contexts(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, int, bool, int]]:
-    """(entity, term, start, end, first, context): terms near a span and outside
-    all spans; first marks one of each (entity, term) of the text, context is a
-    hash of the words around, the same for copies."""
-    taken = [(a, b) for a, _, b, _ in spans]
-    out, seen, low = [], set(), 0
-    for a, kind, b, value in spans:
-        entity = key(f"{kind}:{value}".encode("utf-8", "replace"))
-        from_, to = max(0, a - REACH), min(len(text), b + REACH)
-        before = [m for m in TERM.finditer(text, from_, a) if m.start() > from_ or not from_]
-        after = list(islice((m for m in TERM.finditer(text, b, to) if m.end() < to or to == len(text)), NEAR))
-        while low < len(taken) and taken[low][1] < from_:
-            low += 1
-        close = []
-        for x in islice(taken, low, None) if low < 1000 else taken[low : low + 2 * REACH + b - a]:
-            if x[0] >= to:
-                break
-            close.append(x)
-        around = before[-NEAR:] + after
-        context = key(" ".join(m[0] for m in around).encode("utf-8", "replace"))
-        for m in around:
-            term = m[0].encode("utf-8", "replace").translate(LOWER)
-            if len(term) < SHORT or any(m.start() < y and m.end() > x for x, y in close):
-                continue
-            pair = entity, key(term)
-            out.append((*pair, m.start(), m.end(), pair not in seen, context))
-            seen.add(pair)
-    return out
-
-
-FOUND = "row_id long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long,start:int,end:int,first:boolean,context:long>>, entities array<long>"
+def terms(text: str, spans: list[tuple[int, int, int, str]]) -> tuple[list[tuple[int, int, int]], int]:
+    """(term, start, end) of each word outside all spans, and a hash of the
+    words, the same for copies."""
+    out, words, known, at = [], [], {}, 0
+    ends, last = [], 0  # spans by start, each with the furthest end so far
+    for x in spans:
+        last = max(last, x[2])
+        ends.append(last)
+    for m in TERM.finditer(text):
+        word, (a, b) = m[0], m.span()
+        while at < len(spans) and spans[at][0] < b:
+            at += 1
+        if at and ends[at - 1] > a:
+            continue
+        words.append(word)
+        if word not in known:
+            term = word.encode("utf-8", "replace").translate(LOWER)
+            known[word] = key(term) if len(term) >= SHORT else None
+        if known[word] is not None:
+            out.append((known[word], a, b))
+    return out, key(" ".join(words).encode("utf-8", "replace"))
+
+
+FOUND = "row_id long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, terms array<struct<term:long,start:int,end:int>>, context long, entities array<long>"
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pattern spans and contexts of every row."""
+    """Pattern spans of every row, and the terms of those that have any."""
 
     def make():
         def row(x):
             text = x[2] or ""
             spans = base_spans(text)
             n = [sum(s[1] == k for s in spans) for k in range(4)]
-            yield x[0], x[1], *n, hashlib.sha256(joined(spans).encode()).hexdigest(), [s[:3] for s in spans], contexts(text, spans) if spans else [], list({key(f"{s[1]}:{s[3]}".encode("utf-8", "replace")) for s in spans})
+            yield x[0], x[1], *n, hashlib.sha256(joined(spans).encode()).hexdigest(), [s[:3] for s in spans], *(terms(text, spans) if spans else ([], 0)), list({key(f"{s[1]}:{s[3]}".encode("utf-8", "replace")) for s in spans})
 
         return row
 
-    return map_rows(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), make, FOUND, 5_000)
+    return map_rows(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), make, FOUND, 1_000)
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
@@ -176,14 +168,20 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text"
 
 def disclosing(docs: DataFrame, seen: DataFrame, text_col: str = "text", support: int = 2, general: float = 0.8, remove: float = 0.9) -> DataFrame:
     """(entity, term, kind): pairs whose disclosure reaches a threshold; kind 4 generalise, 5 remove."""
-    n = seen.count()
-    near = seen.select(F.explode("near").alias("x")).groupBy("x.entity", "x.term")
-    pairs = near.agg(F.count_if("x.first").alias("n_et"), F.min("x.context").alias("a"), F.max("x.context").alias("b"))
-    pairs = stored(pairs.where((F.col("n_et") >= support) & (F.col("a") < F.col("b"))).drop("a", "b"))
-    n_e = seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    n_t = document_frequency(docs, pairs.select("term").distinct(), text_col)
-    share = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(float(n)) / F.col("n_e"))
-    known = pairs.join(n_e, "entity").join(n_t, "term").where(F.col("n_e") < n).withColumn("share", share)
+    n = float(seen.count())
+    holds = seen.select("row_id", F.explode("entities").alias("entity"))
+    n_e = holds.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < n))
+    holds = stored(holds.join(n_e, "entity"))
+    words = seen.join(holds.select("row_id").distinct(), "row_id", "left_semi").select("row_id", "context", F.explode(F.array_distinct("terms.term")).alias("term"))
+    n_t = document_frequency(docs, words.groupBy("term").count().where(F.col("count") >= support).select("term"), text_col)
+
+    def share(n_et: Column) -> Column:
+        return F.log2(n_et * n / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(n) / F.col("n_e"))
+
+    # A pair can't be in more documents than the rarer of both: terms too common for that never count.
+    may = holds.join(words.join(n_t, "term"), "row_id").where(share(F.least("n_e", "n_t")) >= general - 1e-9)
+    pairs = may.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_et"), F.min("context").alias("a"), F.max("context").alias("b"))
+    known = pairs.where((F.col("n_et") >= support) & (F.col("a") < F.col("b"))).withColumn("share", share(F.col("n_et")))
     return known.where(F.col("share") >= general).select("entity", "term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind"))
 
 
@@ -196,11 +194,12 @@ def sensitive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     are ignored.
     """
     seen = stored(found(docs, id_col, text_col))
-    bad = disclosing(docs, seen, text_col, support, general, remove)
-    near = seen.select("row_id", F.explode("near").alias("x")).select("row_id", "x.entity", "x.term", "x.start", "x.end")
-    hits = near.join(bad, ["entity", "term"]).groupBy("row_id", "start", "end").agg(F.max("kind").alias("kind"))
+    bad = stored(disclosing(docs, seen, text_col, support, general, remove))
+    told = seen.select("row_id", F.explode("entities").alias("entity")).join(bad, "entity").groupBy("row_id", "term").agg(F.max("kind").alias("kind"))
+    places = seen.join(told.select("row_id").distinct(), "row_id", "left_semi").select("row_id", F.explode("terms").alias("x")).select("row_id", "x.term", "x.start", "x.end")
+    hits = places.join(told, ["row_id", "term"])
     per_row = hits.groupBy("row_id").agg(F.collect_list(F.struct("start", "kind", "end")).alias("terms"))
-    both = seen.drop("near", "entities").join(per_row, "row_id", "left")
+    both = seen.drop("terms", "context", "entities").join(per_row, "row_id", "left")
     return both.withColumn("all_spans", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms"))))
 
 

@@ -69,6 +69,16 @@ def test_disclosure(spark):
     assert clean[1] == "we met  common at [EMAIL] today" and clean[100] == rows[4][1]
 
 
+def test_disclosure_reaches_whole_documents(spark):
+    far = [" ".join(f"{a}{b}" for b in ("cat", "dog", "cow", "hen", "ant", "elk", "owl", "bee", "fox", "ape") for a in x) for x in (["red", "wet"], ["old", "raw"])]
+    rows = [(1, f"Zebulon heads this page\n{far[0]} zeb@corp.example {far[0]} again Zebulon"), (2, f"{far[1]} zeb@corp.example {far[1]} and zebulon"), (3, "Zebulon without an address")]
+    rows += [(100 + k, f"heads this page again and common words {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}") for k in range(90)]
+    got = {r.doc_id: r for r in pii.sensitive(table(spark, rows)).collect()}
+    tagged = {d: [(s.start, t[s.start : s.end]) for s in got[d].all_spans if s.kind > 3] for d, t in rows}
+    assert tagged[1] == [(m.start(), "Zebulon") for m in re.finditer("Zebulon", rows[0][1])] and len(tagged[1]) == 2
+    assert [x for _, x in tagged[2]] == ["zebulon"] and not any(tagged[d] for d, _ in rows[2:])
+
+
 def test_pii_awkward(spark):
     got = pii.sensitive(table(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD) and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() and not r.all_spans for r in got)
