@@ -1,33 +1,22 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, on numpy arrays.
 
-The scans of induced sorting are done a bucket at a time: all suffixes that a
-bucket holds induce their predecessors at once, in order, and what falls into
-the same bucket makes a further wave.  That is linear in the text and runs at
-array speed for a byte alphabet.  The reduced string of a byte text has a large
-alphabet; beyond :data:`WIDE` symbols its suffixes are ranked by doubling.
+Suffixes are classified, the substrings between leftmost-smaller positions are
+sorted and named, the string of names is sorted by the same function, and the
+order of all suffixes is induced from it: at every level, whatever the alphabet.
+
+The scans of induced sorting run over ranges of buckets.  A bucket induces into
+itself or into buckets further on in the scan; a range within which nothing
+induces anything is done at once, by a few array operations.  A bucket that
+induces into itself (a symbol next to itself) is done in waves, each of which
+takes what the wave before has put there.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Larger alphabets are ranked by doubling instead of bucket by bucket.
-WIDE = 1024
-
-
-def by_doubling(s: np.ndarray) -> np.ndarray:
-    """Suffix array of any integer array by prefix doubling."""
-    n, h = len(s), 1
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64) + 1
-    while True:
-        key = rank * (n + 2)
-        key[: n - h] += rank[h:]
-        order = np.argsort(key)
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.append(True, key[order][1:] != key[order][:-1]))
-        if new[order[-1]] == n:
-            return order
-        rank, h = new, 2 * h
+#: So few suffixes are put down one by one, which is faster than array operations.
+FEW = 24
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -45,7 +34,7 @@ def scatter(sa: np.ndarray, chars: np.ndarray, items: np.ndarray, edge: np.ndarr
     order = np.argsort(chars, kind="stable")
     c, x = chars[order], items[order]
     starts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-    counts = np.diff(np.append(starts, len(c)))
+    counts = np.append(starts[1:], len(c)) - starts
     within = np.arange(len(c)) - np.repeat(starts, counts)
     if step > 0:
         sa[edge[c] + within] = x
@@ -55,50 +44,67 @@ def scatter(sa: np.ndarray, chars: np.ndarray, items: np.ndarray, edge: np.ndarr
         edge[c[starts]] -= counts
 
 
-def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def buckets_ahead(s: np.ndarray, small: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket the first one that it, or one after it, induces into on the
+    way up, and the last one that it, or one before it, induces into on the way down."""
+    own = ~small[:-1]
+    up = np.full(k, k, np.int64)
+    np.minimum.at(up, s[1:][own], s[:-1][own].astype(np.int64))
+    down = np.full(k, -1, np.int64)
+    np.maximum.at(down, s[1:][~own], s[:-1][~own].astype(np.int64))
+    return np.minimum.accumulate(up[::-1])[::-1], np.maximum.accumulate(down)
+
+
+def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, ends: np.ndarray, ahead: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The order of all suffixes that the given order of leftmost-smaller ones induces."""
     n, k = len(s), len(ends)
     begins = np.append(0, ends[:-1])
     sa = np.full(n, -1, np.int64)
-    # Larger types, upwards: the last suffix first, then bucket by bucket.
-    heads = begins.copy()
-    where = np.searchsorted(s[lms], np.arange(k + 1, dtype=np.int64)) if len(lms) else np.zeros(k + 1, np.int64)
+    heads, tails = begins.copy(), ends.copy()
+    if len(lms):
+        scatter(sa, s[lms[::-1]], lms[::-1], tails, -1)
     scatter(sa, s[-1:], np.array([n - 1]), heads, 1)
-    for c in range(k):
+    up, down = (x.tolist() for x in ahead)
+
+    def put(part: np.ndarray, kind: bool, edge: np.ndarray, step: int) -> None:
+        if len(part) <= FEW:
+            for p in part.tolist():
+                if p > 0 and small[p - 1] == kind:
+                    c = s[p - 1]
+                    sa[edge[c] - (step < 0)] = p - 1
+                    edge[c] += step
+            return
+        before = part[part > 0] - 1
+        before = before[small[before] == kind]
+        if len(before):
+            scatter(sa, s[before], before, edge, step)
+
+    # Larger types, upwards; the leftmost-smaller suffixes stand at the ends of their buckets.
+    c = 0
+    while c < k:
+        if up[c] > c:
+            put(sa[begins[c] : ends[up[c] - 1]], False, heads, 1)
+            c = up[c]
+            continue
         done = begins[c]
-        while True:
-            part = sa[done : heads[c]] if done < heads[c] else None
-            if part is None:
-                break
-            done = heads[c]
-            before = part[part > 0] - 1
-            before = before[~small[before]]
-            if len(before):
-                scatter(sa, s[before], before, heads, 1)
-        part = lms[where[c] : where[c + 1]]
-        if len(part):
-            before = part - 1
-            before = before[(before >= 0)]
-            before = before[~small[before]]
-            if len(before):
-                scatter(sa, s[before], before, heads, 1)
-    # Smaller types, downwards.
-    tails = ends.copy()
-    for c in range(k - 1, -1, -1):
+        while done < heads[c]:
+            part, done = sa[done : heads[c]], heads[c]
+            put(part, False, heads, 1)
+        put(sa[tails[c] : ends[c]], False, heads, 1)
+        c += 1
+    # Smaller types, downwards; they take the places of the leftmost-smaller ones too.
+    tails, c = ends.copy(), k - 1
+    while c >= 0:
+        if down[c] < c:
+            put(sa[begins[down[c] + 1] : ends[c]][::-1], True, tails, -1)
+            c = down[c]
+            continue
         done = ends[c]
         while tails[c] < done:
-            part = sa[tails[c] : done][::-1]
-            done = tails[c]
-            before = part[part > 0] - 1
-            before = before[small[before]]
-            if len(before):
-                scatter(sa, s[before], before, tails, -1)
-        part = sa[begins[c] : heads[c]][::-1]
-        if len(part):
-            before = part[part > 0] - 1
-            before = before[small[before]]
-            if len(before):
-                scatter(sa, s[before], before, tails, -1)
+            part, done = sa[tails[c] : done][::-1], tails[c]
+            put(part, True, tails, -1)
+        put(sa[begins[c] : heads[c]][::-1], True, tails, -1)
+        c -= 1
     return sa
 
 
@@ -108,16 +114,14 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     k = int(s.max()) + 1
-    if k > WIDE:
-        return by_doubling(s)
-    s = s.astype(np.uint16)  # numpy sorts these by radix
+    s = s.astype(np.uint16 if k < 1 << 16 else np.int64)  # numpy sorts 16 bits by radix
     small = classify(s)
-    ends = np.cumsum(np.bincount(s, minlength=k))
+    ends, ahead = np.cumsum(np.bincount(s, minlength=k)), buckets_ahead(s, small, k)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if not len(lms):
-        return induce(s, small, lms, ends)
+        return induce(s, small, lms, ends, ahead)
     # Sort the substrings between leftmost-smaller positions.
-    first = induce(s, small, lms[np.argsort(s[lms], kind="stable")], ends)
+    first = induce(s, small, lms[np.argsort(s[lms], kind="stable")], ends, ahead)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = first[is_lms[first]]
@@ -137,8 +141,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     names = np.empty(len(lms), np.int64)
     names[number[ordered]] = np.cumsum(np.append(True, ~same)) - 1
     if names[number[ordered[-1]]] == len(lms) - 1:
-        return induce(s, small, ordered, ends)
-    return induce(s, small, lms[suffix_array(names)], ends)
+        return induce(s, small, ordered, ends, ahead)
+    return induce(s, small, lms[suffix_array(names)], ends, ahead)
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
