@@ -28,6 +28,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: A text is tokenized in parts of about so many characters, cut only where the tokenizer itself always cuts.
 PART = 1 << 19
 SPECIAL = "<|endoftext|>"
+#: White space from this length on isn't given to the fast encoder.
+BLANK = 20_000
 #: White space as the tokenizer's pattern knows it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -53,33 +55,37 @@ class Tokenizer:
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.json, self.slow = at("byte_bpe_50k.json"), None
         self.cut = re.compile(f" (?=[^{SPACE}])")
+        self.blank = re.compile(f"(?<![{SPACE}])[{SPACE}]{{{BLANK},}}")
 
     def ids(self, text: str) -> array:
         """Token ids, as unsigned 32-bit integers."""
-        out = array("I")
-        if SPECIAL in text:
-            from tokenizers import Tokenizer as Own
-
-            self.slow = self.slow or Own.from_file(self.json)
-            out.extend(self.slow.encode(text, add_special_tokens=False).ids)
-            return out
-        at = 0
+        out, at = array("I"), 0
         while len(text) - at > 2 * PART:
             m = self.cut.search(text, at + PART)
             if not m:
                 break
-            out.extend(self.fast.encode_ordinary(text[at : m.start()]))
+            out.extend(self.part(text[at : m.start()]))
             at = m.start()
-        out.extend(self.fast.encode_ordinary(text[at:] if at else text))
+        out.extend(self.part(text[at:] if at else text))
         return out
 
+    def part(self, text: str) -> list[int]:
+        """Ids of a part.  Special tokens, and white space so long that the fast
+        encoder's regular expression would overflow its stack, go to the other library."""
+        if SPECIAL in text or self.blank.search(text):
+            from tokenizers import Tokenizer as Own
+
+            self.slow = self.slow or Own.from_file(self.json)
+            return self.slow.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
 
 class Packer:
     """Streams pieces into sequences.
 
-    limits: most tokens, segments and loss-bearing tokens of a sequence.  cut: a
-    piece may be cut to fill what a sequence has left when no piece fits, and
-    the last pieces are cut into powers of two.
+    limits: most tokens, segments and loss-bearing tokens of a sequence.  The first
+    ``free`` tokens of a piece bear no loss, the others do.  cut: a piece may be cut
+    where no waiting piece fits, and what is short at the end is cut into powers of two.
     """
 
     def __init__(self, limits: tuple[int, int, int], base: int, cut: bool = True, pool: int = 768):
@@ -88,22 +94,22 @@ class Packer:
         self.want = np.zeros((3, pool))  # demands of the waiting pieces; zero tokens: a free slot
         self.wait: list = [None] * pool
         self.free = list(range(pool))[::-1]
+        self.ending = False
 
-    def add(self, doc, start: int, ids: bytes, total: int, loss: int) -> list[tuple]:
-        """One piece of at most the token limit; returns rows of sequences closed by it."""
+    def add(self, doc, start: int, ids: bytes, total: int, free: int) -> list[tuple]:
+        """One piece that a sequence can hold; returns rows of sequences closed by it."""
         if len(ids) // 4 == self.limits[0]:  # it fills a sequence of its own
             self.next += 1
-            return [(doc, start, len(ids) // 4, zlib.crc32(ids), total, loss, self.next - 1, 0)]
+            return [(doc, start, len(ids) // 4, zlib.crc32(ids), total, len(ids) // 4 - free, self.next - 1, 0)]
         out: list[tuple] = []
-        if not self.free:
-            out = self.place()
-        self.put(doc, start, ids, total, loss)
+        while not self.free:
+            out += self.place()
+        self.put(self.free.pop(), (doc, start, ids, total, free))
         return out
 
-    def put(self, doc, start: int, ids: bytes, total: int, loss: int) -> None:
-        k = self.free.pop()
-        self.wait[k] = (doc, start, ids, total, loss)
-        self.want[:, k] = len(ids) // 4, 1, loss
+    def put(self, k: int, x: tuple) -> None:
+        self.wait[k] = x
+        self.want[:, k] = demand(x)
 
     def take(self, k: int) -> tuple:
         x, self.wait[k] = self.wait[k], None
@@ -113,16 +119,7 @@ class Packer:
 
     def put_down(self, x: tuple) -> None:
         self.fill.append(x)
-        self.left -= (len(x[2]) // 4, 1, x[4])
-
-    def split(self, k: int, n: int) -> tuple:
-        """Takes the first n tokens of a waiting piece."""
-        doc, start, ids, total, loss = self.wait[k]
-        # Of a document's tokens all but the first bear loss; in other data the tail keeps what the head can't hold.
-        head = min(loss, n - (start == 0 and loss < len(ids) // 4))
-        self.wait[k] = (doc, start + n, ids[4 * n :], total, loss - head)
-        self.want[:, k] = len(ids) // 4 - n, 1, loss - head
-        return doc, start, ids[: 4 * n], total, head
+        self.left -= demand(x)
 
     def best(self) -> int | None:
         """The waiting piece that the heuristic places next; none fits: None."""
@@ -132,60 +129,79 @@ class Packer:
         k = int(score.argmax())
         return k if fits[k] else None
 
+    def longest(self) -> tuple[int, int]:
+        """The waiting piece of which most tokens fit, and how many those are."""
+        w = self.want
+        n = np.minimum(np.minimum(w[0], self.left[0]), w[0] - w[2] + self.left[2]) * (self.left[1] >= 1)
+        k = int(n.argmax())
+        return k, int(n[k])
+
     def place(self) -> list[tuple]:
-        """Moves one piece from the pool into the open sequence (closing it as often as needed)."""
-        while True:
-            tokens = self.left[0]
-            if self.cut and 0 < tokens and self.left[1] == 1:  # the last segment: a piece that fills the rest exactly
-                k = int(self.want[0].argmax())
-                if self.want[0, k] > tokens and self.left[2] >= tokens:
-                    self.put_down(self.split(k, int(tokens)))
-                    return self.close() + self.place()
-            k = self.best() if tokens else None
-            if k is not None:
-                self.put_down(self.take(k))
+        """Moves one piece, or the head of one, into the open sequence; where nothing fits that is closed."""
+        k = self.best()
+        if self.cut and (k is None or self.left[1] == 1):  # the last segment should use up what is left
+            at, n = self.longest()
+            if n > (0 if k is None else self.want[0, k]):
+                if n == self.want[0, at]:
+                    self.put_down(self.take(at))
+                else:
+                    head, rest = split(self.wait[at], n)
+                    self.put_down(head)
+                    self.put(at, rest)
                 return self.close() if self.left[0] == 0 else []
-            rows: list[tuple] = []
-            if self.cut and tokens and self.left[1] >= 1 and self.left[2] >= tokens:
-                k = int(self.want[0].argmax())
-                if self.want[0, k] > tokens:
-                    self.put_down(self.split(k, int(tokens)))
-            rows = self.close()
-            return rows + self.place() if rows else rows
+        if k is None:
+            return self.close()
+        self.put_down(self.take(k))
+        return self.close() if self.left[0] == 0 else []
 
     def close(self) -> list[tuple]:
-        rows, at = [], 0
-        for doc, start, ids, total, loss in self.fill:
-            n = len(ids) // 4
-            rows.append((doc, start, n, zlib.crc32(ids), total, loss, self.next, at))
-            at += n
-        if rows:
-            self.next += 1
+        """Rows of the open sequence, which is then empty."""
+        pieces, rows = self.fill, []
         self.fill, self.left = [], self.limits.copy()
+        for part in powers(pieces) if self.cut and self.ending and pieces else [pieces] * bool(pieces):
+            at = 0
+            for doc, start, ids, total, free in part:
+                n = len(ids) // 4
+                rows.append((doc, start, n, zlib.crc32(ids), total, n - free, self.next, at))
+                at += n
+            self.next += 1
         return rows
 
     def end(self) -> Iterator[tuple]:
-        """Empties the pool.  The last, short sequence is cut at powers of two, which need no padding."""
+        """Empties the pool."""
+        self.ending = True
         while len(self.free) < len(self.wait):
             yield from self.place()
-        if self.cut:
-            rest, self.fill = self.fill, []
-            n = sum(len(x[2]) // 4 for x in rest)
-            while rest:
-                room = 1 << (n.bit_length() - 1)
-                n -= room
-                while room:
-                    doc, start, ids, total, loss = rest.pop(0)
-                    k = min(room, len(ids) // 4)
-                    head = min(loss, k - (start == 0 and loss < len(ids) // 4))
-                    self.fill.append((doc, start, ids[: 4 * k], total, head))
-                    if k < len(ids) // 4:
-                        rest.insert(0, (doc, start + k, ids[4 * k :], total, loss - head))
-                    room -= k
-                yield from self.close()
         yield from self.close()
 
 
+def demand(x: tuple) -> tuple[int, int, int]:
+    """Tokens, segments and loss-bearing tokens of a piece."""
+    return len(x[2]) // 4, 1, len(x[2]) // 4 - x[4]
+
+
+def split(x: tuple, n: int) -> tuple[tuple, tuple]:
+    """A piece's first n tokens, and the others."""
+    doc, start, ids, total, free = x
+    return (doc, start, ids[: 4 * n], total, min(free, n)), (doc, start + n, ids[4 * n :], total, max(free - n, 0))
+
+
+def powers(pieces: list[tuple]) -> Iterator[list[tuple]]:
+    """The pieces cut into sequences whose lengths are powers of two, which need no padding."""
+    rest, n = pieces[::-1], sum(len(x[2]) // 4 for x in pieces)
+    while n:
+        room, own = 1 << (n.bit_length() - 1), []
+        n -= room
+        while room:
+            x = rest.pop()
+            if len(x[2]) // 4 > room:
+                x, tail = split(x, room)
+                rest.append(tail)
+            own.append(x)
+            room -= len(x[2]) // 4
+        yield own
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -198,39 +214,45 @@ def pack(
     tokenizer: Callable | None = None,
     tokenizers: str | None = None,
     prompt_col: str | None = None,
+    prompt_share: float = 0.0,
 ) -> DataFrame:
     """One row for each piece: where it comes from and where it stands.
 
-    Each text becomes its token ids and ``end_id``.  ``prompt_col`` names a text
-    that precedes the text and bears no loss (instruction data); without it all
-    but a document's first token bear loss.  Examples longer than ``max_tokens``
-    are cut at that length, so no token is lost; with ``cut`` false nothing else
-    is cut.  ``tokenizers`` is the folder of the vocabulary files.
+    Each text becomes its token ids and ``end_id``.  A document's prompt bears no
+    loss: ``prompt_col`` names a text that precedes the text (instruction data), or
+    the prompt is this share of the document's tokens, rounded down, and its first
+    token at least.  Examples longer than a sequence holds are cut, so no token is
+    lost; with ``cut`` false nothing else is cut, and a piece that bears more loss
+    than ``max_loss`` is an error.  ``tokenizers`` is the folder of the vocabulary files.
 
     Null or empty text: the end id alone.  Very long texts are tokenized part by
     part.  Repeated ids: each row is packed for itself.  Null ids stay null.  An
     empty table gives no rows.  Other columns are ignored.
     """
     limits = (max_tokens, max_segments, max_loss)
-    if min(limits) < 1:
-        raise ValueError("limits must be positive")
+    if min(limits) < 1 or not 0 <= prompt_share <= 1:
+        raise ValueError("limits must be positive, shares from 0 to 1")
 
     def make():
         tok = tokenizer() if tokenizer else Tokenizer(tokenizers)
         packer = Packer(limits, TaskContext.get().partitionId() << 40, cut)
-        most = min(max_tokens, max_loss) if cut else max_tokens
 
         def row(x):
             doc, text, *prompt = x
             ids = tok.ids(prompt[0]) if prompt and prompt[0] else array("I")
-            free = len(ids) if prompt else 1
+            free = len(ids)
             ids.extend(tok.ids(text or ""))
             ids.append(end_id)
-            total, out = len(ids), []
-            for at in range(0, total, most):
-                part = ids[at : at + most]
-                loss = len(part) - min(max(free - at, 0), len(part))
-                out += packer.add(doc, at, part.tobytes(), total, min(loss, max_loss))
+            total, out, at = len(ids), [], 0
+            if not prompt:
+                free = max(1, int(prompt_share * total))
+            while at < total:
+                own = max(free - at, 0)
+                n = min(total - at, max_tokens, own + max_loss) if cut else min(total - at, max_tokens)
+                if n - min(own, n) > max_loss:
+                    raise ValueError(f"document {doc} has a piece with over {max_loss} loss-bearing tokens")
+                out += packer.add(doc, at, ids[at : at + n].tobytes(), total, min(own, n))
+                at += n
             return out
 
         row.close = packer.end
@@ -240,7 +262,13 @@ def pack(
     return map_rows(docs.select(*cols), make, SCHEMA)
 
 
+#: How documents are packed for training: eight segments, a quarter of each document as its
+#: prompt, and loss on seven eighths of a sequence at most.
+TRAINING = {"max_segments": 8, "max_loss": 1792, "prompt_share": 0.25}
+
+
 def op6_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2,048 tokens, under all three limits."""
     from .common import documents
 
-    return pack(documents(spark, sf_dir))
+    return pack(documents(spark, sf_dir), **TRAINING)
