@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words: space, and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,6 +55,19 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], n: str, spread: list[str], ways: int = 64) -> DataFrame:
+    """Inner join of left with right, whose rows are unique for the key and count in ``n`` the
+    rows of left that have it.  A key with more than a thousandth of all those rows (there are
+    less than a thousand such) is split ``ways`` ways by the columns ``spread`` of left."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(n) * 1000 > total).select(*on).distinct().withColumn("_hot", F.lit(True)))  # under 1,000 keys
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(ways))).otherwise(0).cast("long").alias("_part")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    a = left.join(hot, on, "left").select(*left.columns, part)
+    b = right.join(hot, on, "left").select(*right.columns, F.explode(parts).alias("_part"))
+    return a.join(b, [*on, "_part"]).drop("_part")
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], Iterable[tuple]]], schema: str, rows_per_batch: int = 20_000) -> DataFrame:
     """mapInArrow over rows.
 

@@ -4,21 +4,23 @@ A byte goes if a string of ``span`` bytes that covers it also starts in a
 document with a smaller id.  Equal strings are brought together before they are
 sorted:
 
-0. A document that equals one with a smaller id loses all that strings cover and
-   is settled by its digest.
+0. A document that equals one with a smaller id loses all of its bytes (if a string
+   fits it at all) and is settled by its digest.
 1. Every string of ``span`` bytes has a least 16-byte hash; runs of neighbouring
    strings with the same least hash form a region.  Equal strings have equal
-   hashes, so a hash that only one document has needs no further look.  Hashes
+   hashes, so a hash that only one row has needs no further look.  Hashes
    are met in sorted partitions, one row after the other.
-2. Regions of shared hashes are cut from their texts.  Equal regions of one batch
-   are settled there, so of a passage with thousands of copies each batch sends
-   one.
-3. Regions with the same hash meet in a shard.  Equal ones are settled at once;
-   different ones are joined into one text whose suffix array is built by
-   induced sorting, and neighbours that share a prefix of ``span`` bytes give
-   the strings that stand in several documents.
-
-Texts are shuffled once, compressed and by id; the steps that need them read the
+2. Regions of shared hashes are cut from their texts.  Of equal regions in a batch
+   the one with the smallest id is sent, so of a passage with thousands of copies
+   each batch sends one.
+3. Regions with the same hash meet in a shard.  All of a shard are joined into one
+   text whose suffix array is built by induced sorting, and neighbours that share a
+   prefix of ``span`` bytes give the strings that stand in several documents.  Of a
+   group too large for one shard the regions that hold a first string wait for the
+   next; a hash that a sample finds in very many texts is split by the next least
+   hash of its strings.
+
+Texts are shuffled once, compressed and by row; the steps that need them read the
 same shuffle again.
 """
 
@@ -34,39 +36,44 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, pa_schema, stored, utf8
+from .common import documents, hot_join, map_rows, pa_schema, stored, utf8
 from .sais import common_prefixes, suffix_array
 
 SPAN, SEED_BYTES = 50, 16
 MUL_A, MUL_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Strings of a region at most (its length is kept in 12 bits); bytes after which a shard is sorted.
-LONGEST, SHARD = 4095, 1 << 20
+#: Strings of a region at most (its length is kept in 13 bits); bytes after which a shard is sorted.
+LONGEST, SHARD = 4095, 1 << 21
+#: The id as which null counts.
 LAST = (1 << 63) - 1
+#: One text in so many is looked at for common hashes; texts of that sample that make one common; common ones at most.
+RATE, OFTEN, COMMON = 64, 64, 1000
 
 
-def text_hash(raw: bytes) -> int:
-    """15 bits that tell texts of rows with the same id apart."""
-    return xxhash.xxh64_intdigest(raw) >> 49
-
-
-def least_hashes(text: bytes, span: int = SPAN) -> np.ndarray:
-    """For each string of ``span`` bytes, the least hash of its 16-byte strings."""
-    n = len(text)
-    if n < span:
-        return np.zeros(0, np.uint64)
+def seed_hashes(text: bytes) -> np.ndarray:
+    """A hash of each 16-byte string."""
     raw = np.frombuffer(text, np.uint8)
-    at = np.ascontiguousarray(np.lib.stride_tricks.as_strided(raw, (n - 7, 8), (1, 1))).view(np.uint64).ravel()
+    at = np.ascontiguousarray(np.lib.stride_tricks.as_strided(raw, (len(text) - 7, 8), (1, 1))).view(np.uint64).ravel()
     x = (at[:-8] ^ (at[8:] * MUL_B)) * MUL_A
     x ^= x >> np.uint64(32)
     x *= MUL_B
     x ^= x >> np.uint64(29)
-    width, done = span - SEED_BYTES + 1, 1
+    return x
+
+
+def window_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours."""
+    done = 1
     while 2 * done <= width:
         x = np.minimum(x[:-done], x[done:])
         done *= 2
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
+def least_hashes(text: bytes, span: int = SPAN) -> np.ndarray:
+    """For each string of ``span`` bytes, the least hash of its 16-byte strings."""
+    return window_least(seed_hashes(text), span - SEED_BYTES + 1) if len(text) >= span else np.zeros(0, np.uint64)
+
+
 def regions(text: bytes, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first string, number of strings) of each region."""
     m = least_hashes(text, span)
@@ -88,49 +95,94 @@ def hashes_of(text: bytes, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return (h >> np.uint64(16)).view(np.int64), first, n
 
 
+def by_next_hash(text: bytes, first: int, count: int, span: int) -> list[tuple[int, int, int]]:
+    """(key, first string, strings): a region cut where the next least hash of its strings changes."""
+    x = seed_hashes(text[first : first + count + span - 1])
+    most = np.uint64(2**64 - 1)
+    m = window_least(x, span - SEED_BYTES + 1)[0]
+    m2 = window_least(np.where(x == m, most, x), span - SEED_BYTES + 1)
+    at = np.flatnonzero(np.append(True, m2[1:] != m2[:-1]))
+    keys = ((m2[at] ^ (m >> np.uint64(7))) * MUL_A).view(np.int64)
+    return list(zip(keys.tolist(), (at + first).tolist(), np.diff(np.append(at, count)).tolist(), strict=True))
+
+
+def text_hashes(batch: pa.RecordBatch, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(h, row) of all texts of a batch (row, data), each hash once for a row, by hash."""
+    hs, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        hs.append(np.unique(hashes_of(unpack(data), span)[0]))
+        rows.append(np.full(len(hs[-1]), k, np.int64))
+    h, row = np.concatenate(hs), np.concatenate(rows)
+    order = np.argsort(h, kind="stable")
+    return h[order], row[order]
+
+
 def shared(texts: DataFrame, span: int = SPAN) -> DataFrame:
-    """(h, key): region hashes that documents with different keys have."""
-    schema = pa_schema(texts.sparkSession, "h long, key long")
+    """(h, row): region hashes that texts (row, data) have in common.
+
+    A hash that several rows of a batch have is known to be shared: two of them
+    go on to meet other batches' rows, the others need not meet anything.
+    """
+    schema = pa_schema(texts.sparkSession, "h long, row long, known boolean")
 
-    def batch_of(h, key):
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(key)], schema=schema)
+    def batches_of(h, row, known):
+        for at in range(0, len(h), 100_000):
+            to = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(h[to]), pa.array(row[to]), pa.array(known[to])], schema=schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, keys, size = [], [], 0
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = np.unique(hashes_of(unpack(data), span)[0])
-                hs.append(h)
-                keys.append(np.full(len(h), k))
-                size += len(h)
-                if size > 100_000:
-                    yield batch_of(np.concatenate(hs), np.concatenate(keys))
-                    hs, keys, size = [], [], 0
-            if size:
-                yield batch_of(np.concatenate(hs), np.concatenate(keys))
+            h, row = text_hashes(batch, span)
+            if not len(h):
+                continue
+            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            ends = np.append(starts[1:], len(h))
+            several = row[starts] != row[ends - 1]  # rows of one text come together
+            sent = np.ones(len(h), bool)
+            sent[np.repeat(several, ends - starts)] = False
+            sent[starts], sent[ends - 1] = True, True
+            yield from batches_of(h[sent], row[sent], np.zeros(int(sent.sum()), bool))
+            many = ~sent
+            yield from batches_of(h[many], row[many], np.ones(int(many.sum()), bool))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by hash and key.  Of the last run of a batch at most the rows
-        of one key wait for the next batch; known: that run is shared already."""
+        """Rows come by hash and row, known ones last.  Of the last run of a batch at most
+        the entries of one row wait for the next batch; known: that run is shared already."""
         held, known = (np.zeros(0, np.int64), np.zeros(0, np.int64)), None
         for batch in batches:
-            if not batch.num_rows:
+            told = batch.column(2).to_numpy(zero_copy_only=False)
+            if told.any():
+                yield batch.filter(batch.column(2)).select(["h", "row"])
+            if told.all():
                 continue
-            h, key = (np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(held))
+            batch = batch.filter(pa.array(~told))
+            h, row = (np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(held))
             starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             ends = np.append(starts[1:], len(h))
-            differ = key[starts] != key[ends - 1]
+            differ = row[starts] != row[ends - 1]
             if known is not None and h[0] == known:
                 differ[0] = True
             hit = np.repeat(differ, ends - starts)
             known = h[-1] if differ[-1] else None
             last = int(starts[-1])
-            held = (h[:0], key[:0]) if differ[-1] else (h[last:], key[last:])
+            held = (h[:0], row[:0]) if differ[-1] else (h[last:], row[last:])
             if hit.any():
-                yield batch_of(h[hit], key[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(row[hit])], names=["h", "row"])
+
+    rows = texts.mapInArrow(cut, "h long, row long, known boolean")
+    return rows.repartition(F.when(F.col("known"), F.col("row")).otherwise(F.col("h"))).sortWithinPartitions("known", "h", "row").mapInArrow(meet, "h long, row long")
+
+
+def common(texts: DataFrame, span: int = SPAN) -> np.ndarray:
+    """Hashes that very many texts have, as a sample shows; at most :data:`COMMON`.
+    They are dealt out more finely; results don't depend on which they are."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(text_hashes(batch, span)[0])], names=["h"])
 
-    rows = texts.mapInArrow(cut, "h long, key long")
-    return rows.repartition("h").sortWithinPartitions("h", "key").mapInArrow(meet, "h long, key long")
+    counts = texts.where(F.pmod("row", F.lit(RATE)) == 0).mapInArrow(cut, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    return np.array(sorted(r.h for r in counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()), np.int64)
 
 
 def pack(text: str | None) -> bytes:
@@ -149,47 +201,49 @@ def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[at], reach[np.append(at[1:], len(first)) - 1]
 
 
-def sort_shard(entries: list[tuple[int, int, bytes]], span: int = SPAN) -> list[tuple[int, int]]:
-    """(key, mark) of intervals that go, of regions (key, mark, bytes)."""
+def sort_shard(entries: list[tuple[int, int, int, bytes]], span: int = SPAN) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, bytes]]]:
+    """Of regions (key, row, mark, bytes) the (row, mark) of intervals that go, and
+    the regions that hold a string whose smallest key is theirs."""
     lengths = np.array([len(b) for *_, b in entries])
     begins = np.cumsum(lengths + 1) - (lengths + 1)
     text = np.frombuffer(b"\xff".join(b for *_, b in entries), np.uint8)  # no byte of UTF-8
     sa = suffix_array(text)
     lcp = common_prefixes(text, sa, span)
     owner = np.repeat(np.arange(len(entries)), lengths + 1)[: len(text)]
-    whole = np.zeros(len(text), bool)  # a string of the region starts here
-    whole[np.arange(len(text))[np.arange(len(text)) + span <= (begins + lengths)[owner]]] = True
+    whole = np.arange(len(text)) + span <= (begins + lengths)[owner]  # a string of the region starts here
     keys = np.array([k for k, *_ in entries], np.int64)
     group = np.cumsum(np.append(0, lcp[sa[1:]] < span))
     inside = whole[sa]
     pos, group = sa[inside], group[inside]
-    if not len(pos):
-        return []
     own = keys[owner[pos]]
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     least = np.repeat(np.minimum.reduceat(own, starts), np.diff(np.append(starts, len(group))))
+    held = np.zeros(len(entries), bool)
+    held[owner[pos[own == least]]] = True
+    kept = [e for e, ok in zip(entries, held.tolist(), strict=True) if ok]
     gone = np.sort(pos[own > least])
     if not len(gone):
-        return []
+        return [], kept
     out = []
     at = np.flatnonzero(np.append(True, (gone[1:] != gone[:-1] + 1) | (owner[gone[1:]] != owner[gone[:-1]])))
     for a, b in zip(gone[at].tolist(), gone[np.append(at[1:], len(gone)) - 1].tolist(), strict=True):
-        key, m, _ = entries[owner[a]]
-        out.append((key, (m & -8192) + (a - int(begins[owner[a]]) << 13) + b - a + span))
-    return out
+        _, row, m, _ = entries[owner[a]]
+        out.append((row, (m & -8192) + (a - int(begins[owner[a]]) << 13) + b - a + span))
+    return out, kept
 
 
-def mark(th: int, first: int, length: int) -> int:
-    """15 bits of the text's hash, 34 of the first byte, 13 of the length."""
-    return th << 47 | first << 13 | length
+def mark(check: int, first: int, length: int) -> int:
+    """15 bits that tell rows with the same number apart, 34 of the first byte, 13 of the length."""
+    return (check & 0x7FFF) << 47 | first << 13 | length
 
 
 def spans(texts: DataFrame, firsts: DataFrame, span: int = SPAN) -> DataFrame:
-    """(key, mark): byte intervals that go.  texts: (key, data), dealt out by key."""
+    """(row, mark): byte intervals that go.  texts: (row, check, key, data), dealt out by row."""
     spark = texts.sparkSession
-    hits = shared(firsts, span).repartition("key").groupBy("key").agg(F.collect_list("h").alias("hits"))
-    schema = "h long, key long, mark long, bytes binary"
-    arrow, out_schema = pa_schema(spark, schema), pa_schema(spark, "key long, mark long")
+    hits = shared(firsts.select("row", "data"), span).repartition("row").groupBy("row").agg(F.collect_list("h").alias("hits"))
+    often = common(firsts.select("row", "data"), span)
+    schema = "h long, key long, row long, mark long, bytes binary"
+    arrow, out_schema = pa_schema(spark, schema), pa_schema(spark, "row long, mark long")
 
     def cut(batches):
         """Regions with their bytes.  Of equal ones in a batch the smallest key's is
@@ -197,76 +251,65 @@ def spans(texts: DataFrame, firsts: DataFrame, span: int = SPAN) -> DataFrame:
         for batch in batches:
             best: dict[tuple, tuple] = {}
             rows = []
-            for key, data, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for row, check, key, data, own in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 raw = unpack(data)
-                th = text_hash(raw)
                 h, first, n = hashes_of(raw, span)
-                some = np.flatnonzero(np.isin(h, np.array(own, np.int64)))
-                for h1, f, k in zip(h[some].tolist(), first[some].tolist(), n[some].tolist(), strict=True):
+                some = np.isin(h, np.array(own, np.int64))
+                fine = some & np.isin(h, often)
+                some = np.flatnonzero(some & ~fine)
+                cuts = list(zip(h[some].tolist(), first[some].tolist(), n[some].tolist(), strict=True))
+                for i in np.flatnonzero(fine).tolist():
+                    cuts += by_next_hash(raw, int(first[i]), int(n[i]), span)
+                for h1, f, k in cuts:
                     region = raw[f : f + k + span - 1]
-                    m = mark(th, f, len(region))
+                    x = key, row, mark(check, f, len(region))
                     old = best.get((h1, region))
                     if old is None or old[0] > key:
-                        best[h1, region] = key, m
+                        best[h1, region] = x
                         if old:
                             rows.append((h1, *old, None))
                     elif old[0] < key:
-                        rows.append((h1, key, m, None))
+                        rows.append((h1, *x, None))
                     else:
-                        rows.append((h1, key, m, region))  # the same document's again
+                        rows.append((h1, *x, region))  # the same document's again
             rows += [(h1, *x, region) for (h1, region), x in best.items()]
             for at in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[at : at + 20_000], strict=True), arrow, strict=True)], schema=arrow)
 
     def settle(batches):
-        """Groups of a hash, whole, in order; several groups make a shard."""
-        shard, size, out = [], 0, []
-        h0, group = None, {}
-
-        def close():
-            """Ends a group: equal regions are settled, different ones go to the shard."""
-            nonlocal size
-            heads = []
-            for region, found in group.items():
-                least = min(found)[0]
-                out.extend(x for x in found if x[0] > least)
-                heads += [(k, m, region) for k, m in found if k == least]
-            if len(group) > 1 and len({k for k, *_ in heads}) > 1:
-                shard.extend(heads)
-                size += sum(len(r) + 1 for *_, r in heads)
-            group.clear()
-
-        def flush():
-            nonlocal size
-            if shard:
-                out.extend(sort_shard(shard, span))
-                shard.clear()
-                size = 0
-            rows = list(out)
-            out.clear()
-            return rows
+        """Groups of a hash in order; several groups make a shard, and a large one several."""
+        shard, size, h0, begin, limit = [], 0, None, 0, 2 * SHARD
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows, strict=True)], schema=out_schema)
 
         for batch in batches:
-            for h, key, m, region in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if h != h0:
-                    close()
-                    h0 = h
-                    if size > SHARD or len(out) > 50_000:
-                        if rows := flush():
-                            yield batch_of(rows)
+            out = []
+            for h, key, row, m, region in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if region is None:
-                    out.append((key, m))
-                else:
-                    group.setdefault(region, []).append((key, m))
-        close()
-        if rows := flush():
-            yield batch_of(rows)
-
-    regions_ = texts.join(hits, "key").mapInArrow(cut, schema)
-    return regions_.repartition("h").sortWithinPartitions("h").mapInArrow(settle, "key long, mark long")
+                    out.append((row, m))
+                    continue
+                if h != h0:
+                    if size > SHARD:
+                        out += sort_shard(shard, span)[0]
+                        shard, size = [], 0
+                    h0, begin, limit = h, len(shard), 2 * SHARD
+                elif size > limit:  # in the middle of a group
+                    out += sort_shard(shard[:begin], span)[0] if begin else []
+                    gone, shard = sort_shard(shard[begin:], span)
+                    out += gone
+                    begin, size = 0, sum(len(x[3]) + 1 for x in shard)
+                    limit = 2 * max(size, SHARD)
+                shard.append((key, row, m, region))
+                size += len(region) + 1
+            if out:
+                yield batch_of(out)
+        if shard and (out := sort_shard(shard, span)[0]):
+            yield batch_of(out)
+
+    regions_ = texts.join(hits, "row").mapInArrow(cut, schema)
+    dealt = F.when(F.col("bytes").isNull(), F.col("row")).otherwise(F.col("h"))
+    return regions_.repartition(dealt).sortWithinPartitions("h", "key").mapInArrow(settle, "row long, mark long")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = False) -> DataFrame:
@@ -274,38 +317,47 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null text counts as empty.  Rows with the same id are one document: they
     don't remove each other's strings, and each loses what other documents take
-    from it.  Null ids are larger than all others.  Texts are read whole; an
+    from it.  Null counts as the largest id, 2^63 - 1.  Texts are read whole; an
     empty table gives no rows; other columns are ignored.  With ``with_text``,
     the remaining bytes follow (they may break a character, so they are binary).
     """
     if span < SEED_BYTES + 1:
         raise ValueError(f"span must be over {SEED_BYTES} bytes")
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    small = stored(keyed.select("key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")))
-    least = small.groupBy("whole").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
-    copies = stored(small.join(least, "whole").where("key > least").select("key", "whole", "n_bytes").distinct())
+    doc_id, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("key"), text.alias("text"), F.sha2(text, 256).alias("whole"))
+    numbers = [F.xxhash64("key", "whole").alias("row"), F.xxhash64(F.lit("check"), "whole", "key").alias("check")]
+    small = stored(keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), "whole"))
+    least = stored(small.groupBy("whole").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n")).where("least < most"))
+    copies = stored(hot_join(small, least, ["whole"], "n", ["key"]).where("key > least").select("key", "whole", "n_bytes").distinct())
 
     def compress():
-        return lambda x: ((x[0], pack(x[1])),)
+        seen: set = set()
+
+        def row(x):
+            if x[:2] in seen:  # the same row again
+                return ()
+            if len(seen) < 100_000:
+                seen.add(x[:2])
+            return ((*x[:3], pack(x[3])),)
+
+        return row
 
     # The condition is one that inner joins would add, and what meets texts is dealt out
     # in the same explicit way: so all uses share one shuffle.
-    texts = map_rows(keyed, compress, "key long, data binary", 2_000).where("key is not null").repartition("key")
-    # A row whose id also has a copy of another text is looked at: only ids all of whose rows are copies stay out.
-    rows_of, copied = small.select("key", "whole").distinct().groupBy("key").agg(F.count("*").alias("rows")), copies.groupBy("key").agg(F.count("*").alias("copied"))
-    settled = copied.join(rows_of, "key").where(F.col("rows") == F.col("copied")).select("key", F.lit(True).alias("settled")).repartition("key")
+    long_enough = keyed.where(F.octet_length("text") >= span).select(*numbers, "key", "text")
+    texts = map_rows(long_enough, compress, "row long, check long, key long, data binary", 2_000).where("row is not null").repartition("row")
+    settled = copies.select(*numbers).distinct().select("row", F.col("check").alias("settled")).repartition("row")
     # Not an anti join: Catalyst would move that below the shuffle and shuffle texts again.
-    firsts = texts.join(settled, "key", "left").where("settled is null").select("key", "data")
+    firsts = texts.join(settled, "row", "left").where("settled is null or settled <> check").select("row", "data")
     gone = spans(texts, firsts, span)
-    per_doc = gone.repartition("key").groupBy("key").agg(F.collect_list("mark").alias("marks"))
+    per_row = gone.repartition("row").groupBy("row").agg(F.collect_list("mark").alias("marks"))
 
     def make():
         def row(x):
-            key, data, marks = x
+            _, check, key, data, marks = x
             raw = unpack(data)
-            th = text_hash(raw)
-            own = sorted((m >> 13 & (1 << 34) - 1, m & 8191) for m in marks if m >> 47 == th)
-            if not own:  # another row with the same id loses bytes
+            own = sorted((m >> 13 & (1 << 34) - 1, m & 8191) for m in marks if m >> 47 == check & 0x7FFF)
+            if not own:
                 return
             first, length = np.array(own, np.int64).T
             first, end = merged(first, first + length)
@@ -319,14 +371,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return row
 
     schema = "key long, whole string, n_removed long, n_spans long, kept string" + ", bytes binary" * with_text
-    lost = map_rows(texts.join(per_doc, "key"), make, schema, 2_000)
+    lost = map_rows(texts.join(per_row, "row"), make, schema, 2_000)
     empty = hashlib.sha256(b"").hexdigest()
     long = copies.where(F.col("n_bytes") >= span).select("key", "whole", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept"), *([F.lit(b"").alias("bytes")] if with_text else []))
     lost = lost.join(long, ["key", "whole"], "left_anti").distinct().union(long.select(*lost.columns))
-    all_ = keyed.select("key", F.sha2("text", 256).alias("whole"), F.octet_length("text").cast("long").alias("n_bytes"), F.encode("text", "utf-8").alias("raw")) if with_text else small
+    all_ = keyed.select("doc_id", "key", "whole", F.octet_length("text").cast("long").alias("n_bytes"), F.encode("text", "utf-8").alias("raw")) if with_text else small
     both = all_.join(lost, ["key", "whole"], "left")
     return both.select(
-        F.when(F.col("key") != LAST, F.col("key")).alias("doc_id"),
+        "doc_id",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
@@ -336,4 +388,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 50-byte strings of smaller ids take from each document."""
     return substring_dedup(documents(spark, sf_dir))
