@@ -10,7 +10,13 @@ abandoned as soon as the test
     partial * D / d  >  r * (1 + e / sqrt(d))^2
 
 rejects that its distance could be within r, the k-th best distance so far.
-Candidates that are never abandoned are scored on their original vectors.
+Candidates that are never abandoned are scored on their original vectors, each by the
+same sums in the same order, so equal vectors have equal scores.
+
+Search takes two rounds: the lists nearest to a query give it a first r, which goes
+with it to the other lists.  How many lists a query visits follows from the sample
+that trains them: as many as hold nearly all near neighbours there.  On clustered
+vectors these are few; without any structure no index of lists can do with few.
 
 Lists come from k-means on a bounded sample; every vector is indexed.  A list is
 dealt out in blocks of about :data:`BLOCK` rows, so a list that a hot vector
@@ -29,9 +35,11 @@ from pyspark.sql import functions as F
 from .common import pa_schema, stored
 
 #: Vectors that train the lists, at most; lists, at most; rows of a block, about.
-TRAIN, LISTS, BLOCK = 16_384, 1024, 4096
-#: Coordinates of a column block; the test's e; candidates between two updates of r.
-COLUMNS, TEST, STRIDE = 16, 2.1, 512
+TRAIN, LISTS, BLOCK = 16_384, 2048, 4096
+#: Coordinates of a column block; the test's e; pairs of a query and a candidate looked at in one go.
+COLUMNS, TEST, PAIRS = 16, 2.1, 1 << 20
+#: Share of the sample's near neighbours that the visited lists hold; share of these lists that give the first r.
+RECALL, NEAR = 0.95, 0.1
 
 
 class Space:
@@ -51,6 +59,25 @@ class Space:
             n = np.bincount(near, minlength=len(self.centres))
             self.centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], self.centres)
 
+    def probes(self, sample: np.ndarray, n: int, k: int, recall: float = RECALL, seed: int = 8) -> int:
+        """How many of its nearest lists a query visits: as many as hold the share
+        ``recall`` of near neighbours in the sample, for up to 256 of its vectors.
+
+        The sample's neighbours are those that k of n rows come to there (one at least),
+        so they lie no nearer than those of all rows.
+        """
+        rng, x = np.random.default_rng(seed), self.rows(sample)
+        own = np.sort(rng.choice(len(x), min(256, len(x)), replace=False))
+        inner = sample[own].astype(np.float64) @ sample.astype(np.float64).T
+        inner[np.arange(len(own)), own] = -np.inf
+        few = min(max(1, round(k * len(x) / n)), len(x) - 1)
+        if few < 1:
+            return len(self.centres)
+        best = np.argpartition(-inner, few - 1, axis=1)[:, :few]
+        place = np.argsort(np.argsort(self.away(self.queries(sample[own])), axis=1, kind="stable"), axis=1, kind="stable")
+        ranks = np.sort(np.take_along_axis(place, self.nearest(x)[best], axis=1).ravel())
+        return int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)]) + 1
+
     def rows(self, x: np.ndarray) -> np.ndarray:
         """Database vectors, lengthened and rotated."""
         x = x.astype(np.float64)
@@ -73,32 +100,36 @@ def column_blocks(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(b, np.einsum("ij,ij->i", b, b)) for b in cut]
 
 
-def scan(columns: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, k: int) -> np.ndarray:
-    """Rows of a block that may be among the k nearest to the rotated query."""
-    n, d = len(columns[0][0]), len(q)
-    kept, dist, r = np.zeros(0, np.int64), np.zeros(0), math.inf
-    for at in range(0, n, STRIDE):
-        rows, part, done = slice(at, min(at + STRIDE, n)), 0.0, 0
-        for block, squares in columns:
-            own = q[done : done + block.shape[1]]
-            part = part + squares[rows] - 2 * (block[rows] @ own) + own @ own
-            done += block.shape[1]
-            if r < math.inf:
-                test = (1 + TEST / math.sqrt(done)) ** 2 * done / d if done < d else 1
-                ok = part <= r * test + 1e-9
-                if not ok.all():
-                    rows = np.flatnonzero(ok) + at if isinstance(rows, slice) else rows[ok]
-                    part = part[ok]
-                    if not len(rows):
-                        break
-        if len(part):
-            kept = np.concatenate([kept, np.arange(rows.start, rows.stop) if isinstance(rows, slice) else rows])
-            dist = np.concatenate([dist, part])
-            if len(dist) >= k:
-                r = np.partition(dist, k - 1)[k - 1]
-                ok = dist <= r + 1e-9
-                kept, dist = kept[ok], dist[ok]
-    return kept
+def scan(columns: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, r: np.ndarray, k: int, slack: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs: rows of a block that may be among the k nearest to each of
+    the rotated queries and within its squared distance r.
+
+    Partial distances grow by one column block for all queries at once; after each,
+    the test abandons pairs.  Once few are left, only these are looked at.
+    """
+    n, d, done, alive, part = len(columns[0][0]), q.shape[1], 0, None, np.zeros(1)
+    for block, squares in columns:
+        own = q[:, done : done + block.shape[1]]
+        done += block.shape[1]
+        test = (1 + TEST / math.sqrt(done)) ** 2 * done / d if done < d else 1.0
+        squared = np.einsum("ij,ij->i", own, own)
+        if alive is None or alive.dtype == bool:
+            part = part + squares[None, :] - 2 * own @ block.T + squared[:, None]
+            ok = part <= (r * test + slack)[:, None]
+            alive = ok if alive is None else alive & ok
+            if done < d and 4 * np.count_nonzero(alive) < alive.size:
+                i, j = np.nonzero(alive)
+                part, alive = part[i, j], np.stack([i, j])
+        else:
+            i, j = alive
+            part = part + squares[j] - 2 * np.einsum("ij,ij->i", own[i], block[j]) + squared[i]
+            ok = part <= r[i] * test + slack
+            part, alive = part[ok], alive[:, ok]
+    if alive.dtype == bool:
+        if n > k:
+            alive &= part <= np.partition(np.where(alive, part, np.inf), k - 1, axis=1)[:, k - 1 : k] + slack
+        return np.nonzero(alive)
+    return alive[0], alive[1]
 
 
 def matrix(column) -> np.ndarray:
@@ -106,13 +137,18 @@ def matrix(column) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
 
 
-def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, probes: float = 0.7, n_lists: int | None = None) -> DataFrame:
+def inner_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row of x with that of y: the same sum in the same order, whatever stands beside them."""
+    return np.add.reduce(np.ascontiguousarray(x, np.float64) * np.ascontiguousarray(y, np.float64), axis=1)
+
+
+def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, probes: float | None = None, n_lists: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each query.
 
     ``is_query``: a condition on rows.  Candidates are all rows with another id.
     score is the inner product of the original vectors, in doubles.  ``probes``
-    is the share of lists that a query visits (at least eight, and as many as
-    hold 4k vectors).
+    is the share of lists that a query visits, if not as many as the sample asks for
+    (in any case as many as hold 4k vectors).
 
     Vectors that are null, zero, or hold null or non-finite components take no
     part; nor do those of another length than the commonest (of equally common
@@ -122,9 +158,10 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     """
     spark = vectors.sparkSession
     x = F.col("v")
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"), is_query.alias("q"))
     v = v.where(x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0))
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, c: a + c * c))
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
     widths = v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not widths:
@@ -135,11 +172,13 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     sample = v.where(F.pmod(F.xxhash64("id", "v"), F.lit(step)) == 0).select("v").limit(TRAIN).collect()
     if not sample:
         sample = v.select("v").limit(1).collect()
-    space = Space(np.array([r[0] for r in sample]), longest, n_lists or min(LISTS, max(16, n // (BLOCK // 2))))
+    trained = np.array([r[0] for r in sample])
+    space = Space(trained, longest, n_lists or min(LISTS, max(16, round(math.sqrt(n) / 2))))
     shared = spark.sparkContext.broadcast(space)  # at most LISTS centres and a rotation
     lists = len(space.centres)
+    visited = math.ceil(probes * lists) if probes is not None else space.probes(trained, n, k)
 
-    put = pa_schema(spark, "id long, v array<double>, q boolean, list int")
+    put = pa_schema(spark, f"id long, v {kind}, q boolean, list int")
 
     def assign(batches):
         for b in batches:
@@ -147,46 +186,50 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
                 near = shared.value.nearest(shared.value.rows(matrix(b.column(1)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(put.field(1).type), b.column(2), pa.array(near)], schema=put)
 
-    index = stored(v.mapInArrow(assign, "id long, v array<double>, q boolean, list int").withColumn("part", F.monotonically_increasing_id()))
+    index = stored(v.mapInArrow(assign, f"id long, v {kind}, q boolean, list int").withColumn("part", F.monotonically_increasing_id()))
     counts = np.zeros(lists, np.int64)
     for r in index.groupBy("list").count().collect():  # a row for each list
         counts[r["list"]] = r["count"]
     blocks = np.maximum(1, -(-counts // BLOCK))
-    least = max(8, math.ceil(probes * lists))
-
     dealt = F.pmod(F.col("part"), F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("list") + 1)).cast("int")
-    candidates = index.select("list", dealt.alias("block"), F.lit(False).alias("q"), "id", "v")
-    asked = pa_schema(spark, "list int, block int, q boolean, id long, v array<double>")
+    candidates = index.select("list", dealt.alias("block"), F.lit(float("inf")).alias("r"), F.lit(False).alias("q"), "id", "v")
+    visit = f"list int, block int, r double, q boolean, id long, v {kind}"
+    asked = pa_schema(spark, visit)
+
+    def visits(queries: DataFrame, first: bool) -> DataFrame:
+        """Each query (id, v, r) for each block of the lists of one round."""
+
+        def run(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                away = shared.value.away(shared.value.queries(matrix(b.column(1))))
+                order = np.argsort(away, axis=1, kind="stable")
+                take, li, bl = [], [], []
+                for i, o in enumerate(order):
+                    enough = int(np.searchsorted(np.cumsum(counts[o]), 4 * k)) + 1
+                    near, most = max(enough, math.ceil(NEAR * visited)), max(enough, visited)
+                    for c in o[:near] if first else o[near:most]:
+                        take += [i] * int(blocks[c])
+                        li += [int(c)] * int(blocks[c])
+                        bl += range(int(blocks[c]))
+                for at in range(0, len(take), 10_000):
+                    t = pa.array(take[at : at + 10_000])
+                    m = len(t)
+                    yield pa.RecordBatch.from_arrays([pa.array(li[at : at + m], pa.int32()), pa.array(bl[at : at + m], pa.int32()), b.column(2).take(t), pa.array([True] * m), b.column(0).take(t), b.column(1).take(t).cast(asked.field(5).type)], schema=asked)
+
+        return queries.select("id", "v", "r").mapInArrow(run, visit)
 
-    def probe(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            away = shared.value.away(shared.value.queries(matrix(b.column(1))))
-            order = np.argsort(away, axis=1, kind="stable")
-            take, li, bl = [], [], []
-            for i, o in enumerate(order):
-                enough = int(np.searchsorted(np.cumsum(counts[o]), 4 * k)) + 1
-                for c in o[: max(least, enough)]:
-                    take += [i] * int(blocks[c])
-                    li += [int(c)] * int(blocks[c])
-                    bl += range(int(blocks[c]))
-            for at in range(0, len(take), 10_000):
-                t = pa.array(take[at : at + 10_000])
-                m = len(t)
-                yield pa.RecordBatch.from_arrays([pa.array(li[at : at + m], pa.int32()), pa.array(bl[at : at + m], pa.int32()), pa.array([True] * m), b.column(0).take(t), b.column(1).take(t).cast(asked.field(4).type)], schema=asked)
-
-    queries = index.where("q").groupBy("id").agg(F.min("v").alias("v")).mapInArrow(probe, "list int, block int, q boolean, id long, v array<double>")
     out = pa_schema(spark, "query_id long, vec_id long, score double")
+    slack = 1e-9 * max(1.0, longest * longest)
 
     def scan_blocks(batches):
         """Rows come by block, candidates before queries; a task holds one block."""
         now, ids, vecs, columns = None, [], [], None
         for b in batches:
-            li, bl, qs = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            bid, bv = b.column(3).to_numpy(zero_copy_only=False), matrix(b.column(4))
+            li, bl, rs, qs = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            bid, bv = b.column(4).to_numpy(zero_copy_only=False), matrix(b.column(5))
             cuts = [0, *(np.flatnonzero((li[1:] != li[:-1]) | (bl[1:] != bl[:-1]) | (qs[1:] != qs[:-1])) + 1).tolist(), len(li)]
-            res: list[tuple] = []
             for a, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == e:
                     continue
@@ -200,22 +243,38 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
                     continue
                 if columns is None:
                     own, original = np.concatenate(ids), np.concatenate(vecs)
-                    turned = shared.value.rows(original)
-                    columns = column_blocks(turned)
-                for q, raw, turned_q in zip(bid[a:e].tolist(), bv[a:e], shared.value.queries(bv[a:e]), strict=True):
-                    near = scan(columns, turned_q, k + int((own == q).sum()))
-                    near = near[own[near] != q]
-                    score = original[near] @ raw
-                    best = np.lexsort((own[near], -score))[:k]
-                    res += [(q, int(own[near[i]]), float(score[i])) for i in best]
-            if res:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*res, strict=True), out, strict=True)], schema=out)
-
-    both = candidates.union(queries).repartition("list", "block").sortWithinPartitions("list", "block", "q")
-    hits = both.mapInArrow(scan_blocks, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    columns = column_blocks(shared.value.rows(original))
+                    same = np.unique(own, return_counts=True)[1].max()  # rows that share an id, at most
+                step = max(1, PAIRS // len(own))
+                for at in range(a, e, step):
+                    to = min(at + step, e)
+                    i, j = scan(columns, shared.value.queries(bv[at:to]), rs[at:to], k + int(same), slack)
+                    other = own[j] != bid[at:to][i]
+                    i, j = i[other], j[other]
+                    score = inner_products(original[j], bv[at:to][i])
+                    order = np.lexsort((own[j], -score, i))
+                    i, j, score = i[order], j[order], score[order]
+                    starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, int)
+                    best = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i)))) < k
+                    yield pa.RecordBatch.from_arrays([pa.array(bid[at:to][i[best]]), pa.array(own[j[best]]), pa.array(score[best])], schema=out)
+
+    def round_of(queries: DataFrame, first: bool) -> DataFrame:
+        both = candidates.union(visits(queries, first)).repartition("list", "block").sortWithinPartitions("list", "block", "q")
+        return both.mapInArrow(scan_blocks, "query_id long, vec_id long, score double")
+
+    def best(hits: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    queries = stored(index.where("q").groupBy("id").agg(F.min("v").alias("v")))
+    near = stored(best(round_of(queries.withColumn("r", F.lit(float("inf"))), True)))
+    # The k-th score as a squared distance of lengthened vectors.
+    kth = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    r = F.coalesce(F.lit(longest * longest) + norm * norm - 2 * F.col("kth"), F.lit(float("inf")))
+    rest = round_of(queries.join(kth, "id", "left").withColumn("r", r), False)
+    return best(near.drop("rank").union(rest)).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products found of every 20th vector with all others."""
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
