@@ -14,6 +14,7 @@ import re
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,7 +168,7 @@ class Rule:
 def rules() -> tuple[Rule, ...]:
     """All rules in order.
 
-    A tag rule and a grant rule are made of every line's SPDX words.  Priority:
+    A tag rule and a grant rule are made of every line's SPDX words; the grant rule's keyword is the tag.  Priority:
     tag 90, address 80, grant 70, named version 60, legal text of eight words or
     more 65, other names 40, general hints 20.
     """
@@ -185,7 +186,7 @@ def rules() -> tuple[Rule, ...]:
             out.append(Rule(label, keyword.encode(), compiled(p), rank))
         if not general:
             out.append(Rule(label, b"spdx", compiled(f"spdx license identifier {tag}"), 90))
-            out.append(Rule(label, b"under", compiled(f"under (?:the )?(?:terms of (?:the )?)?{tag}"), 70))
+            out.append(Rule(label, f" {tag} ".encode(), compiled(f"under (?:the )?(?:terms of (?:the )?)?{tag}"), 70))
     return tuple(out)
 
 
@@ -246,12 +247,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans:
         def row(x):
             line = normalise(x[1])
             got = detections(line)
-            at = {s: line.count(b" ", 0, s) - 1 for s, _, _ in got}
-            pinned = [at[s] for s, _, r in got if r.pinned]
+            blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+            at = np.searchsorted(blanks, [s for s, _, _ in got]).tolist()  # a word has as many blanks before it as its number, from 1
+            pinned = [i - 1 for i, (_, _, r) in zip(at, got, strict=True) if r.pinned]
             base = sorted({r.label for _, _, r in got if r.pinned})
             labels = sorted({r.label for _, _, r in got})
-            out = x[0], line.count(b" ") - 1, len(pinned), min(pinned, default=None), max(pinned, default=None), ",".join(base), ",".join(labels), max((r.priority for _, _, r in got), default=0) / 100
-            yield (*out, [(at[s], line.count(b" ", s, e) + 1, r.label, r.priority) for s, e, r in got]) if spans else out
+            out = x[0], len(blanks) - 1, len(pinned), min(pinned, default=None), max(pinned, default=None), ",".join(base), ",".join(labels), max((r.priority for _, _, r in got), default=0) / 100
+            if spans:
+                ends = np.searchsorted(blanks, [e for _, e, _ in got]).tolist()
+                out = *out, [(i - 1, j - i + 1, r.label, r.priority) for i, j, (_, _, r) in zip(at, ends, got, strict=True)]
+            yield out
 
         return row
 
@@ -260,4 +265,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document."""
     return scan(documents(spark, sf_dir))

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import struct
+import time
 import zlib
 
 import pytest
@@ -124,6 +125,16 @@ def test_suppression_brute():
     assert len(licenses.rules()) > 300
 
 
+def test_licenses_of_very_long_texts(spark):
+    """Time grows with the text, not with its detections' product."""
+    text = "cc by x all rights reserved, under the terms of the Apache License 2.0; " * 140_000
+    t = time.perf_counter()
+    (r,) = licenses.scan(table(spark, [(1, text)], clash=False), spans=True).collect()
+    assert time.perf_counter() - t < 40 and len(text) > 10_000_000
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (15 * 140_000, 280_000, 0, 15 * 139_999 + 3)
+    assert r.base_labels == "cc-by,reserved" and {(x.first_word, x.n_words) for x in r.spans[:3]} == {(0, 2), (3, 3), (6, 6)}
+
+
 # Quality
 
 
