@@ -2,26 +2,28 @@
 
 A fingerprint takes the majority of each bit over hashes of a text's word
 shingles.  Fingerprints of 64 bits that differ in at most 4 share at least 4 of
-their 8 positional bytes.  The inverted index therefore lists distinct
-fingerprints under every choice of four positions and their bytes, so a list is
-as short as four bytes make it; within a list the shared positional bytes of a
-pair are tallied, pairs that reach the minimum are verified by their differing
-bits, and verified pairs are linked.
+their 8 positional bytes.  The inverted index lists distinct fingerprints under
+every choice of three positions and their bytes.  Of each pair of a list the
+shared positional bytes are tallied; pairs that reach the minimum of four are
+verified by their differing bits, and verified pairs are linked, each in the first
+of the lists that they share.
 
 A share of common shingles (Jaccard similarity) is no number of bits, so texts
 are linked at one by their shingle sets.  Sets of n that overlap by a share s
 have s n elements in common, so in any fixed order of all shingles they share
 one of their first n - s n + 1: sets are listed under those, and no pair is
 lost.  Shingles frequent in a sample come last, which keeps lists short; the
-order has no bearing on the result.  Pairs of a list pass bounds that hold
-without exception (sizes; parities of shingles in 256 places, of which no more
-differ than shingles do), then the sets themselves are compared.
+order has no bearing on the result.  Shared lists are tallied per pair of a text
+and a list's hub, and the pair with the most is looked at; what that leaves apart
+is compared pair by pair.  Pairs pass bounds that hold without exception (sizes;
+parities of shingles in 256 places, of which no more differ than shingles do), then
+the sets themselves are compared.
 
 Hot groups: exact copies are one fingerprint and meet only in partial
-aggregates.  A long list of near copies is searched breadth first, so it yields
-a spanning forest instead of all its pairs; around any one 64-bit fingerprint at
-most 41,449 distinct ones can differ in up to 4 of the 32 bits that a list leaves
-free.  Links, components and fingerprints stay in distributed tables.
+aggregates; joins split hot keys.  A long list is looked at by a fourth position
+(which a pair with four shared bytes has), and what is long still is searched from
+one fingerprint to the next, so it yields a spanning forest instead of all its
+pairs.  Links, components and fingerprints stay in distributed tables.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, map_rows, pa_schema, stored, utf8
+from .common import LOWER, documents, hot_join, map_rows, pa_schema, stored, utf8
 from .linededup import in_bitmap
 
 SEED = 42
@@ -44,35 +46,15 @@ MUL = np.uint64(0x9E3779B97F4A7C15)
 SHORT = 24
 #: Texts, about, whose shingles are counted for the order, and shingles at most that are put last.
 SAMPLE, FREQUENT = 20_000, 200_000
+#: Longer lists of texts that are not alike are compared part by part.
+PART = 2_048
 
 
-def choices(words: int) -> list[tuple[int, int]]:
-    """(word, mask of positional bytes) of each list: four of eight bytes of a
-    64-bit fingerprint, or two of each four neighbours of a wide one."""
-    if words == 1:
-        return [(0, sum(255 << 8 * b for b in c)) for c in combinations(range(8), 4)]
-    return [(w, sum(255 << 8 * b for b in c)) for w in range(words) for half in (range(4), range(4, 8)) for c in combinations(half, 2)]
-
-
-def threshold(similarity: float, bits: int) -> int:
-    """Differing bits up to which texts count as so similar: the number expected
-    at that overlap of shingles, and 0.8 standard deviations more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + 0.8 * math.sqrt(bits * p * (1 - p)))
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * MUL
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def node_of(fp: np.ndarray) -> np.ndarray:
-    """One signed number for each fingerprint (rows of words): itself, or a hash of its words."""
-    out = fp[:, 0]
-    for k in range(1, fp.shape[1]):
-        out = mixed(out * MUL + fp[:, k])
-    return np.ascontiguousarray(out).view(np.int64)
+#: The three positions of each list, and their bytes' mask.
+CHOICES = list(combinations(range(8), 3))
+MASKS = np.array([sum(255 << 8 * b for b in c) for c in CHOICES], np.uint64)
+#: Positional bytes that fingerprints share at least, if 4 bits differ at most.
+MINIMUM = 4
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -88,142 +70,147 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :], strict=False)), np.uint64, len(words) - n + 1)
 
 
-def fingerprint(text: str | None, n: int = 4, words: int = 1) -> list[int]:
-    """Words of the fingerprint.  A bit is 1 if more than half the hashes have it;
-    without words in the text all are 0.  Further words mix the same hashes anew."""
+def fingerprint(text: str | None, n: int = 4) -> int:
+    """A bit is 1 if more than half the hashes have it; without words in the text all are 0."""
     h = shingle_hashes(text, n)
-    if not len(h):
-        return [0] * words
-    out = []
-    for k in range(words):
-        own = mixed(h + np.uint64(k * int(MUL) % 2**64)) if k else h
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(own), 200):  # sums of a byte each don't overflow
-            ones += np.add.reduce(np.unpackbits(own[at : at + 200].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-        out.append(int(np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)[0]))
-    return out
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 200):  # sums of a byte each don't overflow
+        ones += np.add.reduce(np.unpackbits(h[at : at + 200].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def columns(words: int) -> list[str]:
-    return [f"f{k}" for k in range(words)]
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, words: int = 1) -> DataFrame:
-    """doc_id, node and the fingerprint's words f0, f1, ... as signed 64-bit integers."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4) -> DataFrame:
+    """row_id, doc_id and node, the fingerprint as a signed 64-bit integer."""
 
     def make():
-        def row(x):
-            fp = fingerprint(x[1], n, words)
-            yield x[0], int(node_of(np.array([fp], np.uint64))[0]), *map(signed, fp)
-
-        return row
+        return lambda x: ((x[0], x[1], signed(fingerprint(x[2], n))),)
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), make, "doc_id long, node long, " + ", ".join(f"{c} long" for c in columns(words)))
+    return map_rows(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), make, "row_id long, doc_id long, node long")
 
 
-def spread(fps: DataFrame, words: int = 1) -> DataFrame:
-    """(choice, key, f0, ...): a fingerprint under each of its choices of positional bytes."""
-    kind = "choice short, key long, " + ", ".join(f"{c} long" for c in columns(words))
-    schema, all_ = pa_schema(fps.sparkSession, kind), choices(words)
-    which, masks = np.array([w for w, _ in all_]), np.array([m for _, m in all_], np.uint64)
+def spread(nodes: DataFrame) -> DataFrame:
+    """(choice, key, node): each fingerprint under each of its choices of positional bytes."""
+    schema = pa_schema(nodes.sparkSession, "choice short, key long, node long")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
-                fp = np.column_stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in part.columns])
-                keys = (fp[:, which] & masks[None, :]).ravel().view(np.int64)
-                many = [pa.array(np.repeat(fp[:, k], len(all_)).view(np.int64)) for k in range(words)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(all_), dtype=np.int16), len(fp))), pa.array(keys), *many], schema=schema)
+                fp = batch.column(0).slice(at, 4000).to_numpy(zero_copy_only=False)
+                keys = (fp.view(np.uint64)[:, None] & MASKS[None, :]).ravel().view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(MASKS), dtype=np.int16), len(fp))), pa.array(keys), pa.array(np.repeat(fp, len(MASKS)))], schema=schema)
 
-    return fps.select(*columns(words)).mapInArrow(run, kind)
+    return nodes.select("node").mapInArrow(run, "choice short, key long, node long")
+
+
+def same_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows of eight: whether the positional bytes are the same."""
+    return np.ascontiguousarray(a ^ b).view(np.uint8).reshape(-1, 8) == 0
 
 
 def near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Which rows of words reach the shared positional bytes that ``most``
-    differing bits leave, and differ in no more bits."""
-    differ = a ^ b
-    shared = (np.ascontiguousarray(differ).view(np.uint8).reshape(len(differ), -1) == 0).sum(1)
-    out = shared >= 8 * a.shape[-1] - most
-    out[out] = np.bitwise_count(differ[out]).sum(1) <= most
+    """Which fingerprints reach the minimum of shared positional bytes, and then differ in at most ``most`` bits."""
+    out = same_bytes(a, b).sum(1) >= MINIMUM
+    out[out] = np.bitwise_count((a ^ b)[out]) <= most
     return out
 
 
+def pairs_within(fp: np.ndarray, edges: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs of positions within short lists that lie one after the other between edges."""
+    found, sizes = [], np.diff(edges)
+    left = np.repeat(edges[1:], sizes) - np.arange(len(fp)) - 1  # how many of its list follow
+    for away in range(1, int(left.max(initial=0)) + 1):
+        i = np.flatnonzero(left >= away)
+        i = i[near(fp[i], fp[i + away], most)]
+        found.append((i, i + away))
+    return found
+
+
 def forest(fp: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Spanning links of one list, breadth first."""
+    """Spanning links of one list: from each fingerprint to those near it that nothing has reached yet."""
     links, rest = [], fp
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            hit = near(rest, x[None, :], most)
+            hit = near(rest, np.broadcast_to(x, rest.shape), most)
             if hit.any():
                 found = rest[hit]
-                links.append((np.repeat(x[None, :], len(found), 0), found))
+                links.append((np.repeat(x, len(found)), found))
                 queue += list(found)
                 rest = rest[~hit]
     return links
 
 
-def list_links(fp: np.ndarray, edges: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links of several whole lists that lie one after the other between edges."""
+def long_list(fp: np.ndarray, choice: int, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of a long list, by each further position in turn."""
+    found = []
+    for p in set(range(8)) - set(CHOICES[choice]):
+        own = fp >> np.uint64(8 * p) & np.uint64(255)
+        order = np.argsort(own.astype(np.uint8), kind="stable")
+        ends = np.flatnonzero(np.append(own[order][1:] != own[order][:-1], True)) + 1
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            if b - a > 1:
+                found += forest(fp[order[a:b]], most)
+    return found
+
+
+def list_links(fp: np.ndarray, edges: np.ndarray, choice: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of several whole lists, of one choice each, that lie one after the other between edges."""
     found, sizes = [], np.diff(edges)
     for k in np.flatnonzero(sizes > SHORT).tolist():
-        found += forest(fp[edges[k] : edges[k + 1]], most)
-    left = np.repeat(np.where(sizes > SHORT, 0, sizes), sizes) - (np.arange(edges[-1] - edges[0]) - np.repeat(edges[:-1] - edges[0], sizes)) - 1  # how many of its list follow
-    for away in range(1, int(left.max(initial=0)) + 1):
-        i = np.flatnonzero(left >= away) + edges[0]
-        hit = near(fp[i], fp[i + away], most)
-        if hit.any():
-            found.append((fp[i[hit]], fp[i[hit] + away]))
+        found += long_list(fp[edges[k] : edges[k + 1]], int(choice[k]), most)
+    short = sizes <= SHORT
+    inside = np.repeat(short, sizes)
+    fp, masks = fp[inside], np.repeat(MASKS[choice[short]], sizes[short])
+    for i, j in pairs_within(fp, np.append(0, np.cumsum(sizes[short])), most):
+        same = same_bytes(fp[i], fp[j])
+        first = (same & (np.cumsum(same, axis=1) <= 3)).astype(np.uint8) * np.uint8(255)
+        own = np.ascontiguousarray(first).view(np.uint64).ravel() == masks[i]  # the first list that they share
+        found.append((fp[i[own]], fp[j[own]]))
     return found
 
 
-def links(fps: DataFrame, most: int = 4, words: int = 1) -> DataFrame:
-    """(a, b): links between nodes of distinct fingerprints that connect those
-    which chains of at most ``most`` differing bits connect (all of them for one
-    word and most <= 4; else those that share a list).
+def links(nodes: DataFrame, most: int = 4) -> DataFrame:
+    """(a, b): links between distinct fingerprints (node) that connect those which
+    chains of at most ``most`` differing bits connect.
 
     Lists are met one after the other in sorted partitions, so a task holds one
-    list and never a whole partition.
+    list (8 bytes a fingerprint) and never a whole partition.
     """
-    if words == 1 and not 0 <= most <= 4:
+    if not 0 <= most <= 8 - MINIMUM:
         raise ValueError("four positional bytes are guaranteed for at most 4 differing bits")
-    schema = pa_schema(fps.sparkSession, "a long, b long")
-    listed = spread(fps, words).repartition("choice", "key").sortWithinPartitions("choice", "key")
+    schema = pa_schema(nodes.sparkSession, "a long, b long")
+    listed = spread(nodes).repartition("choice", "key").sortWithinPartitions("choice", "key")
 
     def run(batches):
-        held, last = np.zeros((0, words), np.uint64), None
+        held, last = np.zeros(0, np.uint64), None
 
         def out(found):
-            a, b = (node_of(np.concatenate(x)) for x in zip(*found, strict=True))
+            a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            choice, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            fp = np.column_stack([batch.column(2 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(words)])
-            cuts = np.flatnonzero((choice[1:] != choice[:-1]) | (key[1:] != key[:-1])) + 1
-            found = []
-            if (int(choice[0]), int(key[0])) != last:
-                found += list_links(held, np.array([0, len(held)]), most)
+            choice, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            fp = fp.view(np.uint64)
+            starts = np.flatnonzero(np.append(True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])))
+            found, of = [], choice[starts]
+            if (int(choice[0]), int(key[0])) != last and len(held):
+                found += list_links(held, np.array([0, len(held)]), np.array([last[0]]), most)
                 held = held[:0]
-            if len(cuts):
-                fp, n = np.concatenate([held, fp]), len(held)
-                edges = np.concatenate([[0], cuts + n])
-                found += list_links(fp, edges, most)
-                held = fp[edges[-1] :]
-            else:
-                held = np.concatenate([held, fp])
-            last = int(choice[-1]), int(key[-1])
+            fp, n = np.concatenate([held, fp]), len(held)
+            edges = np.append(0, starts[1:] + n)
+            if len(starts) > 1:
+                found += list_links(fp[: edges[-1]], edges, of[:-1], most)
+            held, last = fp[edges[-1] :], (int(choice[-1]), int(key[-1]))
             if found:
                 yield out(found)
-        if found := list_links(held, np.array([0, len(held)]), most):
+        if len(held) and (found := list_links(held, np.array([0, len(held)]), np.array([last[0]]), most)):
             yield out(found)
 
     return listed.mapInArrow(run, "a long, b long")
@@ -238,8 +225,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.union(e.select("b", "a")).toDF("a", "b")
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        e = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        e = hot_join(both, low, ["a"], "n", ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         small = e.join(low, "a")
         e = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).where("a <> b").distinct())
@@ -293,90 +280,137 @@ def shingle_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     return map_rows(rows.select("row_id", "doc_id", "text"), make, "row_id long, doc_id long, node long, size int, p0 long, p1 long, p2 long, p3 long, head array<long>", 2_000)
 
 
-def list_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b, h) of lists (h, nodes): all pairs of a short list (h null).  Of a long one its
-    first node and each one's neighbour with each other, and its nodes (as a, b null) with its h."""
-    schema = pa_schema(lists.sparkSession, "a long, b long, h long")
+def hub_pairs(some: DataFrame) -> DataFrame:
+    """(a, b): of lists (h, node) the first node of each with every other one.
+
+    Ranges of (h, node) cut a long list into many tasks, each with a hub of its own.
+    """
+    schema = pa_schema(some.sparkSession, "a long, b long")
 
     def run(batches):
+        h0 = hub = None
         for batch in batches:
-            a, b, of = [], [], []
-            for h, nodes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.sort(nodes.values.to_numpy(zero_copy_only=False))
-                if len(own) <= SHORT:
-                    i, j = np.triu_indices(len(own), 1)
-                    a.append(own[i])
-                    b.append(own[j])
-                else:
-                    a += [np.repeat(own[:1], len(own) - 1), own[:-1]]
-                    b += [own[1:], own[1:]]
-                    of.append((h, own))
-            if a:
-                x, y = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], schema=schema)
-            for h, own in of:
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64()), pa.array(np.full(len(own), h))], schema=schema)
-
-    return lists.mapInArrow(run, "a long, b long, h long")
-
-
-def unlike_pairs(members: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes of one list that no links connect so far, of rows (h, parts), parts being (root, node)."""
-    schema = pa_schema(members.sparkSession, "a long, b long")
+            if not batch.num_rows:
+                continue
+            h, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            hubs = node[starts]
+            if h[0] == h0:
+                hubs[0] = hub
+            h0, hub = h[-1], hubs[-1]
+            a = np.repeat(hubs, np.diff(np.append(starts, len(h))))
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != node]), pa.array(node[a != node])], schema=schema)
+
+    return some.repartitionByRange("h", "node").sortWithinPartitions("h", "node").mapInArrow(run, "a long, b long")
+
+
+def unlike_pairs(lists: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, row_a, row_b): pairs of one list that no links connect so far and that
+    no bound rules out, of rows (h, x, y, part, size, root, node, row, p0, ...).
+
+    A group (h, x, y) is one list, or the pairs between two parts of a long one.
+    """
+    schema = pa_schema(lists.sparkSession, "a long, b long, row_a long, row_b long")
+    bound = (1 - similarity) / (1 + similarity)
+
+    def pairs(c: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
+        _, x, y, part, size, root, node, row, *p = c
+        left = np.repeat(np.append(starts[1:], len(size)), np.diff(np.append(starts, len(size)))) - np.arange(len(size)) - 1  # rows of the group that follow
+        found = []
+        for away in range(1, int(left.max(initial=0)) + 1):
+            i = np.flatnonzero(left >= away)
+            i = i[size[i] >= similarity * size[i + away] - 1e-6]  # they come by size
+            if not len(i):
+                break
+            j = i + away
+            ok = (root[i] != root[j]) & ((x[i] == y[i]) | (part[i] != part[j]))
+            ok &= sum(np.bitwise_count((q[i] ^ q[j]).view(np.uint64)).astype(np.int64) for q in p) <= bound * (size[i] + size[j]) + 1e-6
+            found.append((i[ok], j[ok]))
+        i, j = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
+        less = node[i] < node[j]
+        i, j = np.where(less, i, j), np.where(less, j, i)
+        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), pa.array(row[i]), pa.array(row[j])], schema=schema)
 
     def run(batches):
+        held = None
         for batch in batches:
-            for parts in batch.column(1):
-                x = parts.values
-                root, node = (x.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-                order = np.argsort(root, kind="stable")
-                root, node = root[order], node[order]
-                ends = np.searchsorted(root, root, side="right")
-                for i in np.flatnonzero(ends < len(root)).tolist():
-                    rest = node[ends[i] :]
-                    own = np.full(len(rest), node[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, rest)), pa.array(np.maximum(own, rest))], schema=schema)
-
-    return members.mapInArrow(run, "a long, b long")
-
-
-def alike(pairs: DataFrame, own: DataFrame, rows: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets overlap by the similarity."""
-    info = own.select("node", "size", "p0", "p1", "p2", "p3", "row")
-    a, b = (info.toDF(*[f"{c}_{x}" for c in info.columns]) for x in "ab")
-    both = pairs.distinct().join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
-    differ = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(4)), F.lit(0))
-    total = F.col("size_a") + F.col("size_b")
-    # Sets of a share s in common differ in (1 - s) / (1 + s) of their sizes' sum at most.
-    may = (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-6) & (differ <= total * ((1 - similarity) / (1 + similarity)) + 1e-6)
-    left = stored(both.where(may).select("a", "b", "row_a", "row_b"))
+            if not batch.num_rows:
+                continue
+            c = [col.to_numpy(zero_copy_only=False) for col in batch.columns]
+            if held is not None:
+                c = [np.concatenate(z) for z in zip(held, c, strict=True)]
+            starts = np.flatnonzero(np.append(True, (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])))
+            last = starts[-1]
+            held = [z[last:] for z in c]
+            if last:
+                yield pairs([z[:last] for z in c], starts[:-1])
+        if held is not None:
+            yield pairs(held, np.array([0]))
+
+    return lists.mapInArrow(run, "a long, b long, row_a long, row_b long")
+
+
+def alike(pairs: DataFrame, rows: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of stored (a, b, row_a, row_b) whose rows' shingle sets overlap by the similarity.
+
+    Texts are joined, not sets, which are three times as large on their way; a bitmap
+    of fixed size keeps most texts that no pair needs where they are.
+    """
 
     def make():
-        return lambda x: [(x[0], shingle_set(x[1], n).view(np.int64).tolist())]
+        held = [None, None]
 
-    wanted = left.select(F.explode(F.array("row_a", "row_b")).alias("row_id")).distinct()
-    sets = stored(map_rows(rows.join(wanted, "row_id", "left_semi").select("row_id", "text"), make, "row_id long, own array<long>", 2_000))
-    x, y = sets.toDF("row_a", "own_a"), sets.toDF("row_b", "own_b")
-    common = F.size(F.array_intersect("own_a", "own_b"))
-    return left.join(x, "row_a").join(y, "row_b").where(common / (F.size("own_a") + F.size("own_b") - common) >= similarity).select("a", "b")
+        def row(x):
+            a, b, row_a, text_a, text_b = x
+            if held[0] != row_a:
+                held[:] = row_a, shingle_set(text_a, n)
+            one, two = held[1], shingle_set(text_b, n)
+            common = len(np.intersect1d(one, two, assume_unique=True))
+            return ((a, b),) if common / (len(one) + len(two) - common) >= similarity else ()
+
+        return row
+
+    wanted = pairs.select(F.explode(F.array("row_a", "row_b")).alias("row_id")).select(F.xxhash64("row_id").alias("h"))
+    texts = in_bitmap(rows.select("row_id", "text", F.xxhash64("row_id").alias("h")), wanted, "h").drop("h")
+    both = pairs.join(texts.toDF("row_b", "text_b"), "row_b").join(texts.toDF("row_a", "text_a"), "row_a")
+    return map_rows(both.select("a", "b", "row_a", "text_a", "text_b"), make, "a long, b long", 2_000)
 
 
 def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     """row_id, doc_id, node and root of stored rows (row_id, doc_id, text): root is the
-    smallest node that links reach, a link being a Jaccard similarity of at least ``similarity``."""
+    smallest node that links reach, a link being a Jaccard similarity of at least ``similarity``.
+
+    First each node is compared with the hub that it shares most lists with; then,
+    of lists whose nodes are not connected by that, the pairs between components.
+    """
+    parities_ = ["p0", "p1", "p2", "p3"]
     sets = stored(shingle_rows(rows, n, similarity))
-    own = stored(sets.groupBy("node", "size", "p0", "p1", "p2", "p3").agg(F.min("row_id").alias("row")))
-    heads = sets.select(F.explode("head").alias("h"), "node")
-    common = stored(heads.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("h"))  # most shingles list one set only
-    lists = in_bitmap(heads, common, "h").groupBy("h").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
-    first = stored(list_pairs(lists))
-    edges = stored(alike(first.where("h IS NULL").select("a", "b"), own, rows, n, similarity))
+    first = sets.groupBy("node").agg(F.min(F.struct("row_id", "size", *parities_, "head")).alias("x"), F.count("*").alias("n"))
+    own = stored(first.select("node", "n", F.col("x.row_id").alias("row"), *[f"x.{c}" for c in ("size", *parities_, "head")]))
+    heads = own.select(F.explode("head").alias("h"), "node")
+    common = heads.groupBy("h").count().where("count > 1").select("h")  # most shingles list one set only
+    some = stored(in_bitmap(heads, common, "h"))
+    tally = hub_pairs(some).groupBy("a", "b").count()
+    best = tally.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
+    info = own.drop("head", "n")
+    a, b = (info.toDF(*[f"{c}_{x}" if c != "node" else x for c in info.columns]) for x in "ab")
+    both = best.join(a, "a").join(b, "b")
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in parities_), F.lit(0))
+    # Sets of a share s in common differ in (1 - s) / (1 + s) of their sizes' sum at most.
+    may = (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-6) & (differ <= (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    edges = stored(alike(stored(both.where(may).select("a", "b", "row_a", "row_b")), rows, n, similarity))
     tree = components(edges)
-    members = first.where("h IS NOT NULL").select("h", F.col("a").alias("node"))
-    if not members.isEmpty():  # of long lists, the pairs not connected by now
-        parts = members.join(tree, "node", "left").groupBy("h").agg(F.collect_list(F.struct(F.coalesce("root", "node").alias("root"), "node")).alias("parts"))
-        tree = components(edges.union(alike(unlike_pairs(parts), own, rows, n, similarity)))
-    return sets.select("row_id", "doc_id", "node").join(tree, "node", "left").select("row_id", "doc_id", "node", F.coalesce("root", "node").alias("root"))
+    placed = stored(some.join(tree, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root")))
+    apart = placed.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    parts = F.ceil(F.col("n") / PART)
+    rest = placed.join(apart.select("h", "n"), "h").withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rest = rest.select("h", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "root", "node").join(info, "node")
+    lists = rest.select("h", "x", "y", "part", "size", "root", "node", "row", *parities_).repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "size")
+    more = stored(unlike_pairs(lists, similarity).distinct())
+    if not more.isEmpty():
+        tree = components(edges.union(alike(more, rows, n, similarity)))
+    rooted = stored(own.select("node", "n").join(tree, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
+    return hot_join(sets.select("row_id", "doc_id", "node"), rooted, ["node"], "n", ["row_id"]).drop("n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, most: int = 4, similarity: float | None = None) -> DataFrame:
@@ -396,16 +430,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if similarity is not None:
         rows = stored(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
         named = stored(similar_rows(rows, n, similarity))
-        return named.join(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "node", "component_id")
+        least = stored(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")))
+        return hot_join(named, least, ["root"], "n", ["row_id"]).select("doc_id", "node", "component_id")
     fps = stored(fingerprints(docs, id_col, text_col, n))
-    own = stored(fps.groupBy("node", *columns(1)).agg(F.min("doc_id").alias("least")))
-    tree = components(links(own, most)).withColumnRenamed("node", "linked")
-    root = own.join(tree, own.node == tree.linked, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = root.join(least, "root").select("node", "component_id")
-    return fps.join(named, "node").select("doc_id", "node", "component_id")
+    own = stored(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    tree = components(links(own, most))
+    root = stored(own.join(tree, "node", "left").select("node", "n", "least", F.coalesce("root", "node").alias("root")))
+    least = stored(root.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")))
+    named = stored(hot_join(root, least, ["root"], "nodes", ["node"]).select("node", "n", "component_id"))
+    return hot_join(fps, named, ["node"], "n", ["row_id"]).select("doc_id", "node", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document, and the smallest id its links reach."""
     got = near_duplicates(documents(spark, sf_dir))
     return got.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")

@@ -227,7 +227,7 @@ def brute_components(rows, fp, most=4):
 
 def test_fingerprints():
     for _, t in AWKWARD + corpus(40):
-        assert simhash.fingerprint(t) == [brute_fingerprint(t)] and simhash.fingerprint(t, 5, 4)[0] == brute_fingerprint(t, 5)
+        assert simhash.fingerprint(t) == brute_fingerprint(t) and simhash.fingerprint(t, 5) == brute_fingerprint(t, 5)
 
 
 def test_simhash(spark):
@@ -252,7 +252,7 @@ def test_links_of_crowded_fingerprints(spark):
             fps.add(x ^ int(sum(1 << int(b) for b in rng.choice(64, 5, replace=False))))
     fps = sorted(fps)
     for most in (0, 2, 4):
-        edges = simhash.links(spark.createDataFrame([(simhash.signed(f),) for f in fps], "f0 long"), most).collect()
+        edges = simhash.links(spark.createDataFrame([(simhash.signed(f),) for f in fps], "node long"), most).collect()
         assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= most for r in edges)
         comp = brute_components([(i, None) for i in range(len(fps))], fps, most)
         root = {simhash.signed(f): simhash.signed(f) for f in fps}
@@ -270,6 +270,25 @@ def test_links_of_crowded_fingerprints(spark):
         assert {min(x) for x in mine.values()} == set(comp) and all(len({comp[i] for i in x}) == 1 for x in mine.values())
 
 
+def test_tally_rejects_and_each_pair_is_found_once():
+    """Of a list of three shared bytes only pairs with a fourth go on, each in one list."""
+    rng = np.random.default_rng(12)
+    a = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    three = a ^ np.uint64(0x0101010101000000)  # five bytes differ, by one bit each
+    four = a ^ np.uint64(0x0101010100000000)
+    assert not simhash.near(a, three, 8).any() and simhash.near(a, four, 4).all() and not simhash.near(a, four, 3).any()
+    fps = np.unique(np.concatenate([a, three, four]))
+    found = []
+    for choice in range(len(simhash.CHOICES)):
+        key = fps & simhash.MASKS[choice]
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        for x, y in simhash.list_links(fps[order], np.append(starts, len(fps)), np.full(len(starts), choice), 4):
+            found += [tuple(sorted(p)) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    want = {(int(x), int(y)) for i, x in enumerate(fps) for y in fps[i + 1 :] if (int(x) ^ int(y)).bit_count() <= 4}
+    assert len(found) == len(set(found)) and set(found) == want and len(want) >= 600
+
+
 def graded_texts():
     """Texts and versions of them with more and more words changed, a crowd of near copies, and a common passage."""
     rng = np.random.default_rng(11)
@@ -439,10 +458,9 @@ def test_pipeline(spark, tmp_path):
     lines = brute_lines(want)
     assert dict(kept[1]) == lines and len(kept[1]) == len(want)
     left = sorted(lines.items())
-    # Wide fingerprints as one number; the small corpus loses no pair to the index.
-    wide = [sum(w << 64 * k for k, w in enumerate(simhash.fingerprint(t, 5, 4))) for _, t in left]
-    comp = brute_components(left, wide, simhash.threshold(0.8, 256))
-    single = [(d, t) for (d, t), c in zip(left, comp, strict=True) if c == d]
+    roots = brute_similar(left)
+    first = {r: min(d for (d, _), x in zip(left, roots, strict=True) if x == r) for r in set(roots)}
+    single = [(d, t) for (d, t), r in zip(left, roots, strict=True) if first[r] == d]
     assert sorted(kept[2]) == single and len(single) < len(left)
     sources = {r.doc_id: r.source for r in docs.collect()}
     taken = {d: n for d, *_, n in brute_mix([(d, t, sources[d]) for d, t in single])}
