@@ -59,11 +59,11 @@ def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, ends: np.ndarray,
     """The order of all suffixes that the given order of leftmost-smaller ones induces."""
     n, k = len(s), len(ends)
     begins = np.append(0, ends[:-1])
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     heads, tails = begins.copy(), ends.copy()
     if len(lms):
         scatter(sa, s[lms[::-1]], lms[::-1], tails, -1)
-    scatter(sa, s[-1:], np.array([n - 1]), heads, 1)
+    scatter(sa, s[-1:], np.array([n - 1], np.int32), heads, 1)
     up, down = (x.tolist() for x in ahead)
 
     def put(part: np.ndarray, kind: bool, edge: np.ndarray, step: int) -> None:
@@ -114,10 +114,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     k = int(s.max()) + 1
-    s = s.astype(np.uint16 if k < 1 << 16 else np.int64)  # numpy sorts 16 bits by radix
+    s = s.astype(np.uint16 if k < 1 << 16 else np.int32)  # numpy sorts 16 bits by radix
     small = classify(s)
     ends, ahead = np.cumsum(np.bincount(s, minlength=k)), buckets_ahead(s, small, k)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + 1
     if not len(lms):
         return induce(s, small, lms, ends, ahead)
     # Sort the substrings between leftmost-smaller positions.
@@ -126,33 +126,45 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     is_lms[lms] = True
     ordered = first[is_lms[first]]
     # Name them: equal neighbours share a name.
-    number = np.zeros(n, np.int64)
-    number[lms] = np.arange(len(lms))
+    number = np.zeros(n, np.int32)
+    number[lms] = np.arange(len(lms), dtype=np.int32)
     length = np.append(np.diff(lms) + 1, n - lms[-1] + 1)  # the last one ends with the text's end
     a, b = ordered[:-1], ordered[1:]
     la, lb = length[number[a]], length[number[b]]
     same = (la == lb) & (a != lms[-1]) & (b != lms[-1])
     pairs = np.flatnonzero(same)
+    if k <= 256 and len(pairs):  # eight symbols at once; what goes on beyond those is compared below
+        words = byte_words(s, 0)
+        x = words[a[pairs]] ^ words[b[pairs]]
+        low = np.minimum(la[pairs], 8).astype(np.uint64) * np.uint64(8)
+        differ = (x << (np.uint64(64) - low)) != 0
+        same[pairs[differ]] = False
+        pairs = pairs[~differ & (la[pairs] > 8)]
     if len(pairs):
         ln = la[pairs]
         offset = np.arange(ln.sum()) - np.repeat(np.cumsum(ln) - ln, ln)
         differ = s[np.repeat(a[pairs], ln) + offset] != s[np.repeat(b[pairs], ln) + offset]
         same[pairs] = ~np.logical_or.reduceat(differ, np.cumsum(ln) - ln)
-    names = np.empty(len(lms), np.int64)
+    names = np.empty(len(lms), np.int32)
     names[number[ordered]] = np.cumsum(np.append(True, ~same)) - 1
     if names[number[ordered[-1]]] == len(lms) - 1:
         return induce(s, small, ordered, ends, ahead)
     return induce(s, small, lms[suffix_array(names)], ends, ahead)
 
 
+def byte_words(s: np.ndarray, more: int) -> np.ndarray:
+    """The eight bytes from each position on (and of ``more`` positions beyond the end) as one number, first lowest."""
+    padded = np.concatenate([s.astype(np.uint8), np.zeros(more + 16, np.uint8)])
+    return np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(s) + more + 8, 8), (1, 1))).view(np.uint64).ravel()
+
+
 def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """For each position, in text order, the bytes (at most ``most``) that its
     suffix shares with the suffix before it in the suffix array."""
     n = len(s)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
-    padded = np.concatenate([s.astype(np.uint8), np.zeros(most + 16, np.uint8)])
-    words = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (n + most + 8, 8), (1, 1))).view(np.uint64).ravel()
+    words = byte_words(s, most)
     out = np.zeros(n, np.int64)
     at = np.flatnonzero(phi >= 0)
     other = phi[at]

@@ -34,7 +34,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, documents, hot_join, map_rows, pa_schema, stored, utf8
@@ -371,28 +371,33 @@ def alike(pairs: DataFrame, rows: DataFrame, n: int, similarity: float) -> DataF
         return row
 
     wanted = pairs.select(F.explode(F.array("row_a", "row_b")).alias("row_id")).select(F.xxhash64("row_id").alias("h"))
-    texts = in_bitmap(rows.select("row_id", "text", F.xxhash64("row_id").alias("h")), wanted, "h").drop("h")
+    texts = in_bitmap(rows.select("row_id", "text", F.xxhash64("row_id").alias("h")), wanted, "h").groupBy("row_id").agg(F.first("text").alias("text"))
     both = pairs.join(texts.toDF("row_b", "text_b"), "row_b").join(texts.toDF("row_a", "text_a"), "row_a")
     return map_rows(both.select("a", "b", "row_a", "text_a", "text_b"), make, "a long, b long", 2_000)
 
 
+def row_number(doc_id: Column, text: Column) -> Column:
+    """A number that rows with the same id and text share, the same whenever a table is read."""
+    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
+
+
 def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
-    """row_id, doc_id, node and root of stored rows (row_id, doc_id, text): root is the
-    smallest node that links reach, a link being a Jaccard similarity of at least ``similarity``.
+    """row_id, doc_id, node and root of rows (row_id, doc_id, text): root is the smallest
+    node that links reach, a link being a Jaccard similarity of at least ``similarity``.
+    Rows that share a row_id (:func:`row_number`) have the same id and text.
 
     First each node is compared with the hub that it shares most lists with; then,
     of lists whose nodes are not connected by that, the pairs between components.
     """
     parities_ = ["p0", "p1", "p2", "p3"]
     sets = stored(shingle_rows(rows, n, similarity))
-    first = sets.groupBy("node").agg(F.min(F.struct("row_id", "size", *parities_, "head")).alias("x"), F.count("*").alias("n"))
-    own = stored(first.select("node", "n", F.col("x.row_id").alias("row"), *[f"x.{c}" for c in ("size", *parities_, "head")]))
-    heads = own.select(F.explode("head").alias("h"), "node")
-    common = heads.groupBy("h").count().where("count > 1").select("h")  # most shingles list one set only
-    some = stored(in_bitmap(heads, common, "h"))
+    own = stored(sets.groupBy("node", "size", *parities_).agg(F.min("row_id").alias("row"), F.count("*").alias("n")))
+    heads = sets.select(F.explode("head").alias("h"), "node")
+    common = heads.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("h")  # most shingles list one set only
+    some = stored(in_bitmap(heads, common, "h").distinct())
     tally = hub_pairs(some).groupBy("a", "b").count()
     best = tally.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
-    info = own.drop("head", "n")
+    info = own.drop("n")
     a, b = (info.toDF(*[f"{c}_{x}" if c != "node" else x for c in info.columns]) for x in "ab")
     both = best.join(a, "a").join(b, "b")
     differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in parities_), F.lit(0))
@@ -428,7 +433,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored.
     """
     if similarity is not None:
-        rows = stored(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+        doc_id = F.col(id_col).cast("long")
+        rows = docs.select(row_number(doc_id, F.col(text_col)).alias("row_id"), doc_id.alias("doc_id"), F.col(text_col).alias("text"))
         named = stored(similar_rows(rows, n, similarity))
         least = stored(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")))
         return hot_join(named, least, ["root"], "n", ["row_id"]).select("doc_id", "node", "component_id")

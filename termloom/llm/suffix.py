@@ -42,7 +42,7 @@ from .sais import common_prefixes, suffix_array
 SPAN, SEED_BYTES = 50, 16
 MUL_A, MUL_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Strings of a region at most (its length is kept in 13 bits); bytes after which a shard is sorted.
-LONGEST, SHARD = 4095, 1 << 21
+LONGEST, SHARD = 4095, 1 << 22
 #: The id as which null counts.
 LAST = (1 << 63) - 1
 #: One text in so many is looked at for common hashes; texts of that sample that make one common; common ones at most.
@@ -123,12 +123,7 @@ def shared(texts: DataFrame, span: int = SPAN) -> DataFrame:
     A hash that several rows of a batch have is known to be shared: two of them
     go on to meet other batches' rows, the others need not meet anything.
     """
-    schema = pa_schema(texts.sparkSession, "h long, row long, known boolean")
-
-    def batches_of(h, row, known):
-        for at in range(0, len(h), 100_000):
-            to = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(h[to]), pa.array(row[to]), pa.array(known[to])], schema=schema)
+    schema = pa_schema(texts.sparkSession, "h long, row long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,25 +133,26 @@ def shared(texts: DataFrame, span: int = SPAN) -> DataFrame:
             starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             ends = np.append(starts[1:], len(h))
             several = row[starts] != row[ends - 1]  # rows of one text come together
-            sent = np.ones(len(h), bool)
-            sent[np.repeat(several, ends - starts)] = False
-            sent[starts], sent[ends - 1] = True, True
-            yield from batches_of(h[sent], row[sent], np.zeros(int(sent.sum()), bool))
-            many = ~sent
-            yield from batches_of(h[many], row[many], np.ones(int(many.sum()), bool))
+            known = np.repeat(several, ends - starts)
+            known[starts], known[ends - 1] = False, False
+            h = np.where(known, -1 - h, h)  # below zero: known
+            order = np.argsort(row, kind="stable")  # a row's hashes side by side: they compress
+            h, row = h[order], row[order]
+            for at in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000]), pa.array(row[at : at + 100_000])], schema=schema)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by hash and row, known ones last.  Of the last run of a batch at most
+        """Rows come by hash and row, known ones first.  Of the last run of a batch at most
         the entries of one row wait for the next batch; known: that run is shared already."""
         held, known = (np.zeros(0, np.int64), np.zeros(0, np.int64)), None
         for batch in batches:
-            told = batch.column(2).to_numpy(zero_copy_only=False)
-            if told.any():
-                yield batch.filter(batch.column(2)).select(["h", "row"])
-            if told.all():
+            h, row = (batch.column(i).to_numpy() for i in range(2))
+            n = int(np.searchsorted(h, 0))
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - h[:n]), pa.array(row[:n])], schema=schema)
+            if n == len(h):
                 continue
-            batch = batch.filter(pa.array(~told))
-            h, row = (np.concatenate([a, batch.column(i).to_numpy()]) for i, a in enumerate(held))
+            h, row = np.concatenate([held[0], h[n:]]), np.concatenate([held[1], row[n:]])
             starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             ends = np.append(starts[1:], len(h))
             differ = row[starts] != row[ends - 1]
@@ -167,10 +163,10 @@ def shared(texts: DataFrame, span: int = SPAN) -> DataFrame:
             last = int(starts[-1])
             held = (h[:0], row[:0]) if differ[-1] else (h[last:], row[last:])
             if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(row[hit])], names=["h", "row"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(row[hit])], schema=schema)
 
-    rows = texts.mapInArrow(cut, "h long, row long, known boolean")
-    return rows.repartition(F.when(F.col("known"), F.col("row")).otherwise(F.col("h"))).sortWithinPartitions("known", "h", "row").mapInArrow(meet, "h long, row long")
+    rows = texts.mapInArrow(cut, "h long, row long")
+    return rows.repartition(F.when(F.col("h") < 0, F.col("row")).otherwise(F.col("h"))).sortWithinPartitions("h", "row").mapInArrow(meet, "h long, row long")
 
 
 def common(texts: DataFrame, span: int = SPAN) -> np.ndarray:
@@ -267,9 +263,9 @@ def spans(texts: DataFrame, firsts: DataFrame, span: int = SPAN) -> DataFrame:
                     if old is None or old[0] > key:
                         best[h1, region] = x
                         if old:
-                            rows.append((h1, *old, None))
+                            rows.append((None, None, *old[1:], None))
                     elif old[0] < key:
-                        rows.append((h1, *x, None))
+                        rows.append((None, None, *x[1:], None))
                     else:
                         rows.append((h1, *x, region))  # the same document's again
             rows += [(h1, *x, region) for (h1, region), x in best.items()]
@@ -278,7 +274,7 @@ def spans(texts: DataFrame, firsts: DataFrame, span: int = SPAN) -> DataFrame:
 
     def settle(batches):
         """Groups of a hash in order; several groups make a shard, and a large one several."""
-        shard, size, h0, begin, limit = [], 0, None, 0, 2 * SHARD
+        shard, size, h0, begin, limit = [], 0, None, 0, SHARD
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows, strict=True)], schema=out_schema)
@@ -293,7 +289,7 @@ def spans(texts: DataFrame, firsts: DataFrame, span: int = SPAN) -> DataFrame:
                     if size > SHARD:
                         out += sort_shard(shard, span)[0]
                         shard, size = [], 0
-                    h0, begin, limit = h, len(shard), 2 * SHARD
+                    h0, begin, limit = h, len(shard), max(SHARD, 2 * size)
                 elif size > limit:  # in the middle of a group
                     out += sort_shard(shard[:begin], span)[0] if begin else []
                     gone, shard = sort_shard(shard[begin:], span)
