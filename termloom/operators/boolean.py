@@ -1,5 +1,5 @@
 """Boolean candidates.  Query terms are few and known, so they filter the scan
-of postings (the filter reaches below the aggregate that makes postings)."""
+of entries (the filter reaches below the aggregate that makes entries)."""
 
 from __future__ import annotations
 
@@ -20,13 +20,13 @@ def of_terms(df: DataFrame, query: Iterable) -> DataFrame:
 
 def candidates_any(index: Index, query: Iterable, mask: DataFrame | Column | None = None) -> DataFrame:
     """doc_ids with at least one query term; no terms: none."""
-    return visible(of_terms(index.postings, query), mask).select("doc_id").distinct()
+    return visible(of_terms(index.entries, query), mask).select("doc_id").distinct()
 
 
 def candidates_all(index: Index, query: Iterable, mask: DataFrame | Column | None = None) -> DataFrame:
     """doc_ids with every distinct query term; no terms, or an unknown one: none."""
     query = list(dict.fromkeys(query))
-    rows = visible(of_terms(index.postings, query), mask)
+    rows = visible(of_terms(index.entries, query), mask)
     return rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") == len(query)).select("doc_id")
 
 
@@ -36,7 +36,7 @@ def candidates_all_multiplicity(index: Index, query: Iterable[str], mask: DataFr
     enough = F.lit(False)
     for term, k in need.items():
         enough = enough | ((F.col("term") == term) & (F.col("w") >= k))
-    rows = visible(of_terms(index.postings, need), mask).where(enough)
+    rows = visible(of_terms(index.entries, need), mask).where(enough)
     return rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") == len(need)).select("doc_id")
 
 

@@ -1,6 +1,6 @@
-"""From documents to an index: postings, documents, positions, statistics.
+"""From documents to an index: entries, documents, positions, statistics.
 
-postings (term, doc_id, w) has one row for each term of a document; docs
+entries (term, doc_id, w) has one row for each term of a document; docs
 (doc_id, doc_len) one for each live document, empty ones too; positions (term,
 doc_id, ps) the sorted token positions.
 """
@@ -13,31 +13,39 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import token_rows, tokenised
-from ..schema import BLOCK_SIZE, DOCS, POSITIONS, DuplicateDocId, postings_schema
+from ..schema import BLOCK_SIZE, DOCS, POSITIONS, DuplicateDocId, entries_schema
+
+
+#: Ids that are numbered together.
+RANGE = 1 << 16
 
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame
+    entries: DataFrame
     docs: DataFrame
     positions: DataFrame | None = None
 
     @property
     def stats(self) -> DataFrame:
-        return term_stats(self.postings)
+        return term_stats(self.entries)
 
     def persist(self) -> Index:
-        """Keeps the tables for further queries."""
-        return replace(self, postings=self.postings.persist(), docs=self.docs.persist(), positions=self.positions and self.positions.persist())
+        """Keeps the tables for further queries.
+
+        Positions come first: entries that are made of them then read what is kept.
+        """
+        positions = self.positions.persist() if self.positions is not None else None
+        return replace(self, entries=self.entries.persist(), docs=self.docs.persist(), positions=positions)
 
     def unpersist(self) -> None:
-        for df in (self.postings, self.docs, self.positions):
+        for df in (self.entries, self.docs, self.positions):
             if df is not None:
                 df.unpersist()
 
 
 def empty_index(spark: SparkSession) -> Index:
-    return Index(spark.createDataFrame([], postings_schema()), spark.createDataFrame([], DOCS), spark.createDataFrame([], POSITIONS))
+    return Index(spark.createDataFrame([], entries_schema()), spark.createDataFrame([], DOCS), spark.createDataFrame([], POSITIONS))
 
 
 def require_unique(docs: DataFrame, live: DataFrame | None = None) -> None:
@@ -50,14 +58,18 @@ def require_unique(docs: DataFrame, live: DataFrame | None = None) -> None:
 
 
 def index_documents(docs: DataFrame, positional: bool = False, checked: bool = False) -> Index:
-    """Index of (doc_id, terms): weights are term frequencies, lengths token counts."""
+    """Index of (doc_id, terms): weights are term frequencies, lengths token counts.
+
+    Tokens are grouped once: with positions, an entry's weight is how many there are.
+    """
     if checked:
         require_unique(docs)
     rows = token_rows(docs)
-    postings = rows.groupBy("term", "doc_id").agg(F.count("*").alias("w"))
     lengths = docs.select("doc_id", F.size("terms").cast("long").alias("doc_len"))
-    positions = rows.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("ps")) if positional else None
-    return Index(postings, lengths, positions)
+    if not positional:
+        return Index(rows.groupBy("term", "doc_id").agg(F.count("*").alias("w")), lengths)
+    positions = rows.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("ps"))
+    return Index(positions.select("term", "doc_id", F.size("ps").cast("long").alias("w")), lengths, positions)
 
 
 def index_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", positional: bool = False) -> Index:
@@ -75,17 +87,17 @@ def index_weighted(docs: DataFrame, checked: bool = False) -> Index:
     kind = dict(docs.select(F.explode("terms").alias("x")).select("x.*").dtypes)["weight"]
     whole = kind in ("bigint", "int", "smallint", "tinyint")
     pairs = docs.select("doc_id", F.explode("terms").alias("x")).select("doc_id", "x.term", F.col("x.weight").cast("long" if whole else "double").alias("weight"))
-    postings = pairs.groupBy("term", "doc_id").agg(F.sum("weight").alias("w"))
+    entries = pairs.groupBy("term", "doc_id").agg(F.sum("weight").alias("w"))
     length = F.aggregate("terms", F.lit(0).cast("long"), lambda a, x: a + x["weight"]) if whole else F.size("terms").cast("long")
-    return Index(postings, docs.select("doc_id", length.alias("doc_len")))
+    return Index(entries, docs.select("doc_id", length.alias("doc_len")))
 
 
 def index_impacts(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> Index:
     """Dense vectors as signed integer impacts: the term is the dimension."""
     at = F.posexplode(vector_col).alias("term", "x")
     rows = vectors.select(F.col(id_col).cast("long").alias("doc_id"), at)
-    postings = rows.select(F.col("term").cast("long").alias("term"), "doc_id", F.round(F.col("x").cast("double") * scale).cast("long").alias("w"))
-    return Index(postings, vectors.select(F.col(id_col).cast("long").alias("doc_id"), F.size(vector_col).cast("long").alias("doc_len")))
+    entries = rows.select(F.col("term").cast("long").alias("term"), "doc_id", F.round(F.col("x").cast("double") * scale).cast("long").alias("w"))
+    return Index(entries, vectors.select(F.col(id_col).cast("long").alias("doc_id"), F.size(vector_col).cast("long").alias("doc_len")))
 
 
 def _both(a: DataFrame | None, b: DataFrame | None) -> DataFrame | None:
@@ -96,14 +108,14 @@ def add_documents(index: Index, new: Index, checked: bool = True) -> Index:
     """Both indexes as one; ids must not be live already."""
     if checked:
         require_unique(new.docs, index.docs)
-    return Index(index.postings.unionByName(new.postings), index.docs.unionByName(new.docs), _both(index.positions, new.positions))
+    return Index(index.entries.unionByName(new.entries), index.docs.unionByName(new.docs), _both(index.positions, new.positions))
 
 
 def delete_documents(index: Index, tombstones: DataFrame) -> Index:
     """The index without the documents named by tombstones (doc_id)."""
     gone = tombstones.select("doc_id").distinct()
     anti = lambda df: df.join(gone, "doc_id", "left_anti").select(*df.columns)
-    return Index(anti(index.postings), anti(index.docs), None if index.positions is None else anti(index.positions))
+    return Index(anti(index.entries), anti(index.docs), None if index.positions is None else anti(index.positions))
 
 
 def upsert_documents(index: Index, new: Index) -> Index:
@@ -117,22 +129,31 @@ def latest(versions: DataFrame, key: str, version: str) -> DataFrame:
     return versions.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("x")).select(key, "x.*")
 
 
-def term_stats(postings: DataFrame) -> DataFrame:
-    """(term, df, total_weight, max_weight, min_weight, all_finite)."""
+def term_stats(entries: DataFrame, *more: str, **sums: Column) -> DataFrame:
+    """(term, df, total_weight, max_weight, min_weight, all_finite), and further aggregates by name."""
     w = F.col("w").cast("double")
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("w").alias("total_weight"), F.max("w").alias("max_weight"), F.min("w").alias("min_weight"), F.bool_and(~F.isnan(w) & (F.abs(w) < float("inf"))).alias("all_finite"))
+    return entries.groupBy(*more, "term").agg(F.count("*").alias("df"), F.sum("w").alias("total_weight"), F.max("w").alias("max_weight"), F.min("w").alias("min_weight"), F.bool_and(~F.isnan(w) & (F.abs(w) < float("inf"))).alias("all_finite"), *[c.alias(n) for n, c in sums.items()])
+
 
+def blocked(entries: DataFrame, size: int = BLOCK_SIZE, *more: str) -> DataFrame:
+    """entries with block_no: the number of each list's block of ``size``, by document.
 
-def blocked(postings: DataFrame, size: int = BLOCK_SIZE, *more: str) -> DataFrame:
-    """postings with block_no: the number of each list's block of ``size``, by document."""
-    at = Window.partitionBy(*more, "term").orderBy("doc_id")
-    return postings.withColumn("block_no", F.floor((F.row_number().over(at) - 1) / size).cast("long"))
+    Entries are counted by range of ids; each range is numbered by itself, from where
+    the ranges before it end, so no list is one task's work.
+    """
+    own = entries.columns
+    ranged = entries.withColumn("_range", F.floor(F.col("doc_id") / RANGE))
+    key = [*more, "term", "_range"]
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*more, "term").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy(*key).agg(F.count("*").alias("_n")).select(*key, before.alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*key).orderBy("doc_id")) - 1
+    return ranged.join(starts, key).select(*own, F.floor(place / size).cast("long").alias("block_no"))
 
 
-def block_table(postings: DataFrame, size: int = BLOCK_SIZE, *more: str) -> DataFrame:
+def block_table(entries: DataFrame, size: int = BLOCK_SIZE, *more: str) -> DataFrame:
     """(term, block_no, base_doc_id, last_doc_id, n, max_weight): a block covers
     documents above base, the last one of the block before (0 at first), up to last."""
-    b = blocked(postings, size, *more).groupBy(*more, "term", "block_no").agg(F.max("doc_id").alias("last_doc_id"), F.count("*").alias("n"), F.max("w").alias("max_weight"))
+    b = blocked(entries, size, *more).groupBy(*more, "term", "block_no").agg(F.max("doc_id").alias("last_doc_id"), F.count("*").alias("n"), F.max("w").alias("max_weight"))
     before = F.lag("last_doc_id").over(Window.partitionBy(*more, "term").orderBy("block_no"))
     return b.select(*more, "term", "block_no", F.coalesce(before, F.lit(0)).cast("long").alias("base_doc_id"), "last_doc_id", "n", "max_weight")
 

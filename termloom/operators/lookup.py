@@ -47,7 +47,7 @@ def document_len(index: Index, doc_id: int, absent: int | None = 0) -> int | Non
 
 
 def _of(index: Index, term) -> DataFrame:
-    return index.postings.where(F.col("term") == F.lit(term))
+    return index.entries.where(F.col("term") == F.lit(term))
 
 
 def document_frequency(index: Index, term) -> int:
@@ -63,17 +63,17 @@ def max_weight(index: Index, term):
 
 
 def terms(index: Index) -> DataFrame:
-    return index.postings.select("term").distinct()
+    return index.entries.select("term").distinct()
 
 
 def term_meta(index: Index) -> DataFrame:
     """(term, df, max_weight, total_weight), a row for each live term."""
-    return term_stats(index.postings).select("term", "df", "max_weight", "total_weight")
+    return term_stats(index.entries).select("term", "df", "max_weight", "total_weight")
 
 
 def term_frequencies(index: Index, pairs: DataFrame) -> DataFrame:
     """pairs (doc_id, term) with w, 0 where the document lacks the term."""
-    return pairs.join(index.postings, ["doc_id", "term"], "left").select("doc_id", "term", F.coalesce("w", F.lit(0)).alias("w"))
+    return pairs.join(index.entries, ["doc_id", "term"], "left").select("doc_id", "term", F.coalesce("w", F.lit(0)).alias("w"))
 
 
 def term_frequency(index: Index, doc_id: int, term):
@@ -81,27 +81,31 @@ def term_frequency(index: Index, doc_id: int, term):
     return r[0] if r else 0
 
 
-def postings_of(index: Index, term) -> DataFrame:
+def entries_of(index: Index, term) -> DataFrame:
     """(doc_id, w) of a term."""
     return _of(index, term).select("doc_id", "w")
 
 
-def postings_with_lengths(index: Index, term) -> DataFrame:
-    """(doc_id, w, doc_len) of a term, all that a length-normalised score needs."""
-    return _of(index, term).join(index.docs, "doc_id").select("doc_id", "w", "doc_len")
+def entries_with_lengths(index: Index, term) -> DataFrame:
+    """(doc_id, w, doc_len) of a term, all that a length-normalised score needs.
+
+    An entry of a document that isn't listed raises UnknownDocId when it is read.
+    """
+    unknown = F.raise_error(F.concat(F.lit("UnknownDocId: "), F.col("doc_id").cast("string"))).cast("long")
+    return _of(index, term).join(index.docs, "doc_id", "left").select("doc_id", "w", F.coalesce("doc_len", unknown).alias("doc_len"))
 
 
 def require_known_documents(index: Index) -> None:
-    """Raises UnknownDocId if a posting's document isn't listed."""
-    if bad := index.postings.join(index.docs, "doc_id", "left_anti").limit(1).collect():
+    """Raises UnknownDocId if an entry's document isn't listed."""
+    if bad := index.entries.join(index.docs, "doc_id", "left_anti").limit(1).collect():
         raise UnknownDocId(str(bad[0]))
 
 
-def posting_blocks(index: Index, term, size: int = BLOCK_SIZE) -> DataFrame:
+def entry_blocks(index: Index, term, size: int = BLOCK_SIZE) -> DataFrame:
     return block_table(_of(index, term), size)
 
 
-def block_postings(index: Index, term, block_no: int, size: int = BLOCK_SIZE, lengths: bool = False) -> DataFrame:
+def block_entries(index: Index, term, block_no: int, size: int = BLOCK_SIZE, lengths: bool = False) -> DataFrame:
     """(doc_id, w[, doc_len]) of one block.  An unknown term has no rows; of a
     known term a block that it doesn't have raises IndexError."""
     n = document_frequency(index, term)
@@ -125,6 +129,6 @@ def term_positions(index: Index, term: str) -> DataFrame:
     return index.positions.where(F.col("term") == term).select("doc_id", "ps")
 
 
-def sorted_posting_lists(index: Index) -> DataFrame:
+def sorted_entry_lists(index: Index) -> DataFrame:
     """(term, doc_id, ps) by term, then document."""
     return index.positions.orderBy("term", "doc_id")

@@ -1,9 +1,9 @@
 """Phrases and proximity over token positions.
 
-A phrase is matched on token rows: each token of the phrase votes for the place
-where the phrase would start, and a place with all votes is a match.  Proximity
-works on position lists of documents that hold every term, with built-in
-higher-order functions.  All results are distinct doc_ids.
+Both work on position lists of documents that hold every term, with built-in
+functions that take time in proportion to the lists.  On token rows each token of a
+phrase votes for the place where the phrase would start, and a place with all votes
+is a match.  All results are distinct doc_ids.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import CacheMismatch
 from .boolean import of_terms
 from .build import Index, visible
 
@@ -44,18 +45,22 @@ def phrase_in(tokens: DataFrame, phrase: Sequence[str], mask: DataFrame | Column
 
 
 def phrase_match(index: Index, phrase: Sequence[str], mask: DataFrame | Column | None = None) -> DataFrame:
-    return phrase_in(token_table(index), phrase, mask)
+    """doc_ids whose positions hold the phrase.
 
-
-def position_lists(tokens: DataFrame, terms: Iterable[str]) -> DataFrame:
-    """(doc_id, p0, p1, ...): sorted positions of each of the distinct terms, of
-    documents that hold all of them."""
-    terms = list(dict.fromkeys(terms))
-    lists = [F.array_sort(F.collect_list(F.when(F.col("term") == t, F.col("pos")))).alias(f"p{i}") for i, t in enumerate(terms)]
-    out = of_terms(tokens, terms).groupBy("doc_id").agg(*lists)
-    for i in range(len(terms)):
-        out = out.where(F.size(f"p{i}") > 0)
-    return out
+    Only documents that hold all of its terms are looked at; in them the terms' lists,
+    moved to where the phrase would start, must have a place in common.
+    """
+    phrase = list(phrase)
+    if not phrase:
+        return _none(index.positions)
+    if len(phrase) == 1:
+        return visible(of_terms(index.positions, phrase), mask).select("doc_id").distinct()
+    names = {t: f"p{i}" for i, t in enumerate(dict.fromkeys(phrase))}
+    starts = [F.transform(names[t], (lambda at: lambda p: p - at)(i)) for i, t in enumerate(phrase)]
+    common = starts[0]
+    for s in starts[1:]:
+        common = F.array_intersect(common, s)
+    return _lists_of(index, list(names), mask).where(F.size(common) > 0).select("doc_id")
 
 
 def _lists_of(index: Index, terms: Sequence[str], mask) -> DataFrame:
@@ -65,29 +70,44 @@ def _lists_of(index: Index, terms: Sequence[str], mask) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), *lists).where(F.col("n") == len(terms))
 
 
+def _places(n: int) -> Column:
+    """All occurrences (pos, t) of the lists p0, p1, ... by position."""
+    return F.sort_array(F.concat(*[F.transform(f"p{t}", (lambda t: lambda p: F.struct(p.cast("long").alias("pos"), F.lit(t).alias("t")))(t)) for t in range(n)]))
+
+
 def _unordered(counts: Counter, window: int) -> Column:
-    """Some span of the window, starting at an occurrence, holds each term often enough."""
-    names = [f"p{i}" for i in range(len(counts))]
+    """Some span of the window holds each term often enough.
+
+    One pass: each term's last k places are kept, k being how often it is asked for;
+    at every place the earliest of those must lie in the window that ends there.
+    """
+    needs = list(counts.values())
+    start = F.struct(*[F.array(*[F.lit(-(1 << 40))] * k).alias(f"a{t}") for t, k in enumerate(needs)], F.lit(False).alias("ok"))
 
-    def holds(start: Column) -> Column:
-        ok = F.lit(True)
-        for name, k in zip(names, counts.values(), strict=True):
-            ok = ok & (F.size(F.filter(name, lambda p: (p >= start) & (p <= start + window))) >= k)
-        return ok
+    def step(acc: Column, x: Column) -> Column:
+        held = [F.when(x["t"] == t, F.concat(F.slice(acc[f"a{t}"], 2, k - 1), F.array(x["pos"]))).otherwise(acc[f"a{t}"]) for t, k in enumerate(needs)]
+        inside = F.lit(True)
+        for a in held:
+            inside = inside & (x["pos"] - a[0] <= window)
+        return F.struct(*[a.alias(f"a{t}") for t, a in enumerate(held)], (acc["ok"] | inside).alias("ok"))
 
-    return F.exists(F.concat(*names), holds)
+    return F.aggregate(_places(len(needs)), start, step, lambda acc: acc["ok"])
 
 
-def _ordered(query: Sequence[str], names: dict[str, str], window: int) -> Column:
-    """From some occurrence of the first term, the next of each in turn stays in the window."""
+def _ordered(query: Sequence[str], terms: Sequence[str], window: int) -> Column:
+    """Some increasing places of the query's terms lie in the window.
 
-    def chain(start: Column) -> Column:
-        at = start
-        for term in query[1:]:
-            at = F.array_min(F.filter(names[term], (lambda prev: lambda p: p > prev)(at)))
-        return F.coalesce(at - start <= window, F.lit(False))
+    One pass: for each beginning of the query the latest place where places for it,
+    all so far, can start.
+    """
+    never, at = F.lit(-(1 << 40)), [terms.index(t) for t in query]
+    start = F.struct(F.array(*[never] * len(query)).alias("best"), F.lit(False).alias("ok"))
+
+    def step(acc: Column, x: Column) -> Column:
+        best = [F.when(x["t"] == t, F.greatest(acc["best"][j], acc["best"][j - 1]) if j else x["pos"]).otherwise(acc["best"][j]) for j, t in enumerate(at)]
+        return F.struct(F.array(*best).alias("best"), (acc["ok"] | (x["pos"] - best[-1] <= window)).alias("ok"))
 
-    return F.exists(names[query[0]], chain)
+    return F.aggregate(_places(len(terms)), start, step, lambda acc: acc["ok"])
 
 
 def near_terms(index: Index, query: Sequence[str], window: int, ordered: bool = False, mask: DataFrame | Column | None = None) -> DataFrame:
@@ -102,7 +122,7 @@ def near_terms(index: Index, query: Sequence[str], window: int, ordered: bool =
         return _none(index.positions)
     counts = Counter(query)
     rows = _lists_of(index, list(counts), mask)
-    condition = _ordered(query, {t: f"p{i}" for i, t in enumerate(counts)}, window) if ordered else _unordered(counts, window)
+    condition = _ordered(query, list(counts), window) if ordered else _unordered(counts, window)
     return rows.where(condition).select("doc_id")
 
 
@@ -115,7 +135,7 @@ def near_match(index: Index, a: str, b: str, window: int, mask: DataFrame | Colu
 def segmented(index: Index, segment_id: Column) -> Index:
     """An index whose tables carry a segment_id (a condition on doc_id gives it)."""
     tag = lambda df: df.withColumn("segment_id", segment_id)
-    return Index(tag(index.postings), tag(index.docs), None if index.positions is None else tag(index.positions))
+    return Index(tag(index.entries), tag(index.docs), None if index.positions is None else tag(index.positions))
 
 
 def over_segments(match, index: Index, *args, **kwargs) -> DataFrame:
@@ -125,7 +145,7 @@ def over_segments(match, index: Index, *args, **kwargs) -> DataFrame:
     The segment joins the document key, so one pass serves all segments.
     """
     key = F.struct("segment_id", "doc_id")
-    keyed = Index(index.postings, index.docs, index.positions.select("term", key.alias("doc_id"), "ps"))
+    keyed = Index(index.entries, index.docs, index.positions.select("term", key.alias("doc_id"), "ps"))
     mask = kwargs.pop("mask", None)
     hits = match(keyed, *args, **kwargs).select("doc_id.*")
     return visible(hits, mask).select("doc_id").distinct()
@@ -141,6 +161,11 @@ class TermCache:
     def __init__(self, index: Index):
         self.index, self._held = index, {}
 
+    def require(self, index: Index) -> None:
+        """Raises CacheMismatch unless this cache was made for the index."""
+        if not self.index.positions.sameSemantics(index.positions):
+            raise CacheMismatch("the cache was made for another index")
+
     def term_positions(self, term: str) -> DataFrame:
         return self._entry(term)[0]
 
@@ -159,10 +184,14 @@ class TermCache:
             positions = positions.unionByName(f)
         return Index(positions.select("term", "doc_id", F.size("ps").cast("long").alias("w")), self.index.docs, positions)
 
-    def phrase_match(self, phrase: Sequence[str], mask=None) -> DataFrame:
+    def phrase_match(self, phrase: Sequence[str], mask=None, index: Index | None = None) -> DataFrame:
+        if index is not None:
+            self.require(index)
         return phrase_match(self.as_index(phrase), phrase, mask) if phrase else _none(self.index.positions)
 
-    def near_terms(self, query: Sequence[str], window: int, ordered: bool = False, mask=None) -> DataFrame:
+    def near_terms(self, query: Sequence[str], window: int, ordered: bool = False, mask=None, index: Index | None = None) -> DataFrame:
+        if index is not None:
+            self.require(index)
         return near_terms(self.as_index(query), query, window, ordered, mask) if query else _none(self.index.positions)
 
     def near_match(self, a: str, b: str, window: int, mask=None) -> DataFrame:
@@ -175,7 +204,7 @@ class TermCache:
     def is_empty(self) -> bool:
         return not self._held
 
-    def posting_count(self) -> int:
+    def entry_count(self) -> int:
         return sum(n for _, n, _ in self._held.values())
 
     def position_count(self) -> int:

@@ -1,8 +1,8 @@
 """Exact top-k by sparse inner product.
 
 The plan is one filtered scan, a partial and a final aggregate by document, and
-a bounded top-k; the query is a broadcast of its few terms, or, for one query, a
-case expression that needs no join at all.  Scores are summed in doubles: with
+a bounded top-k; the query is a small table, which Spark broadcasts where it is under
+its limit, or, for one query of few terms, a case expression that needs no join at all.  Scores are summed in doubles: with
 integer or dyadic weights they don't depend on the order of summation.
 """
 
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .boolean import of_terms
 from .build import Index, visible
 
-#: Query terms above this many go into a broadcast table instead of an expression.
-INLINE = 64
+#: Query terms above this many go into a table instead of an expression; above the other no filter lists them.
+INLINE, LISTED = 64, 1000
 
 
 def normalise(query: Iterable[tuple]) -> dict:
@@ -30,13 +30,13 @@ def normalise(query: Iterable[tuple]) -> dict:
     return {t: w for t, w in out.items() if w != 0}
 
 
-def scores(postings: DataFrame, query: Iterable[tuple], mask: DataFrame | Column | None = None) -> DataFrame:
+def scores(entries: DataFrame, query: Iterable[tuple], mask: DataFrame | Column | None = None) -> DataFrame:
     """(doc_id, score) of all documents with a score other than zero."""
     q = normalise(query)
-    rows = visible(of_terms(postings, q), mask)
+    rows = visible(of_terms(entries, q) if len(q) <= LISTED else entries, mask)
     if len(q) > INLINE:
-        table = postings.sparkSession.createDataFrame(list(q.items()), "term " + dict(postings.dtypes)["term"] + ", qw double")
-        rows = rows.join(F.broadcast(table), "term")
+        table = entries.sparkSession.createDataFrame(list(q.items()), "term " + dict(entries.dtypes)["term"] + ", qw double")
+        rows = rows.join(table, "term")
         part = F.col("qw") * F.col("w")
     else:
         part = F.lit(None).cast("double")
@@ -52,15 +52,16 @@ def best(scored: DataFrame, k: int) -> DataFrame:
 
 def top_k(index: Index, query: Iterable[tuple], k: int, mask: DataFrame | Column | None = None) -> DataFrame:
     """(doc_id, score) of the k best documents; what a mask hides takes no place."""
-    return best(scores(index.postings, query, mask), k)
+    return best(scores(index.entries, query, mask), k)
 
 
 def top_k_many(index: Index, queries: dict, k: int, mask: DataFrame | Column | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank) of several queries in one pass over the postings."""
+    """(query_id, doc_id, score, rank) of several queries in one pass over the entries."""
     flat = [(qid, t, w) for qid, q in queries.items() for t, w in normalise(q).items()]
-    kind = dict(index.postings.dtypes)["term"]
-    table = index.postings.sparkSession.createDataFrame(flat, f"query_id {'bigint' if all(isinstance(x, int) for x in queries) else 'string'}, term {kind}, qw double")
-    rows = visible(of_terms(index.postings, [t for _, t, _ in flat]), mask).join(F.broadcast(table), "term")
+    kind = dict(index.entries.dtypes)["term"]
+    table = index.entries.sparkSession.createDataFrame(flat, f"query_id {'bigint' if all(isinstance(x, int) for x in queries) else 'string'}, term {kind}, qw double")
+    terms = {t for _, t, _ in flat}
+    rows = visible(of_terms(index.entries, terms) if len(terms) <= LISTED else index.entries, mask).join(table, "term")
     scored = rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score")).where("score <> 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -69,44 +70,67 @@ def top_k_many(index: Index, queries: dict, k: int, mask: DataFrame | Column | N
 def weight_bounds(index: Index, query: Iterable[tuple]) -> DataFrame:
     """(term, min_weight, max_weight, all_finite) of the query's terms."""
     w = F.col("w").cast("double")
-    return of_terms(index.postings, normalise(query)).groupBy("term").agg(F.min("w").alias("min_weight"), F.max("w").alias("max_weight"), F.bool_and(~F.isnan(w) & (F.abs(w) < math.inf)).alias("all_finite"))
+    return of_terms(index.entries, normalise(query)).groupBy("term").agg(F.min("w").alias("min_weight"), F.max("w").alias("max_weight"), F.bool_and(~F.isnan(w) & (F.abs(w) < math.inf)).alias("all_finite"))
 
 
-def nonnegative(index: Index, query: Iterable[tuple]) -> bool:
-    """Whether no posting can lower a score, so that upper bounds hold."""
+def nonnegative(index: Index, query: Iterable[tuple], stats: DataFrame | None = None) -> bool:
+    """Whether no entry can lower a score, so that upper bounds hold.
+
+    stats: stored (term, min_weight, all_finite), else taken from the entries.
+    """
     q = normalise(query)
     if any(not 0 <= w < math.inf for w in q.values()):
         return False
-    r = weight_bounds(index, q.items()).agg(F.min("min_weight"), F.bool_and("all_finite")).first()
+    bounds = weight_bounds(index, q.items()) if stats is None else of_terms(stats, q)
+    r = bounds.agg(F.min("min_weight"), F.bool_and("all_finite")).first()
     return r[0] is None or bool(r[0] >= 0 and r[1])
 
 
-def bucket_bounds(postings: DataFrame, width: int) -> DataFrame:
+def bucket_bounds(entries: DataFrame, width: int) -> DataFrame:
     """(term, bucket, max_weight): the largest weight of a term in each range of ``width`` ids."""
-    return postings.groupBy("term", F.floor(F.col("doc_id") / width).alias("bucket")).agg(F.max("w").alias("max_weight"))
+    return entries.groupBy("term", F.floor(F.col("doc_id") / width).alias("bucket")).agg(F.max("w").alias("max_weight"))
+
+
+def stored_bounds(blocks: DataFrame, query: Iterable[tuple], width: int) -> DataFrame:
+    """The same from stored blocks (term, base_doc_id, last_doc_id, max_weight), a row for
+    128 entries; a block counts for each range that it may reach into."""
+    reach = F.sequence(F.floor(F.col("base_doc_id") / width), F.floor(F.col("last_doc_id") / width))
+    rows = of_terms(blocks, normalise(query)).select("term", F.explode(reach).alias("bucket"), "max_weight")
+    return rows.groupBy("term", "bucket").agg(F.max("max_weight").alias("max_weight"))
+
+
+def reachable(per_bucket: DataFrame, least: float) -> DataFrame:
+    """The ranges whose bound reaches a score."""
+    return per_bucket.where(F.col("score") >= least).select(F.col("doc_id").alias("_bucket"))
 
 
-def top_k_pruned(index: Index, query: Iterable[tuple], k: int, width: int = 4096, bounds: DataFrame | None = None, mask: DataFrame | Column | None = None) -> DataFrame:
+def top_k_pruned(
+    index: Index, query: Iterable[tuple], k: int, width: int = 4096, bounds: DataFrame | None = None, mask: DataFrame | Column | None = None, stats: DataFrame | None = None
+) -> DataFrame:
     """The same answer as :func:`top_k`, skipping id ranges that can't reach it.
 
     The best ranges by upper bound are scored first; their k-th score is the
     threshold that other ranges' bounds must reach (a tie may still win by its
-    id).  Worth it with stored bounds and uneven weights; without proof that no
-    posting lowers a score it is the plain plan.
+    id).  Worth it with stored bounds and statistics, which then are all that is read
+    besides those ranges, and with uneven weights; without proof that no entry lowers a
+    score it is the plain plan.
     """
     q = normalise(query)
-    if k < 1 or not q or not nonnegative(index, q.items()):
+    if k < 1 or not q or not nonnegative(index, q.items(), stats):
         return top_k(index, q.items(), k, mask)
-    bounds = bucket_bounds(of_terms(index.postings, q), width) if bounds is None else bounds
+    bounds = bucket_bounds(of_terms(index.entries, q), width) if bounds is None else bounds
     per = scores(bounds.select("term", F.col("bucket").alias("doc_id"), F.col("max_weight").alias("w")), q.items())
     ahead = [r.doc_id for r in best(per, 4).collect()]
     bucket = F.floor(F.col("doc_id") / width)
-    first = best(scores(index.postings.where(bucket.isin(ahead)), q.items(), mask), k).collect()
+    near = F.lit(False)
+    for b in ahead:  # as ranges of ids, which reach the scan
+        near = near | F.col("doc_id").between(b * width, (b + 1) * width - 1)
+    first = best(scores(index.entries.where(near), q.items(), mask), k).collect()
     if len(first) < k:
         return top_k(index, q.items(), k, mask)
     least = first[-1].score
-    keep = per.where(F.col("score") >= least).select(F.col("doc_id").alias("_bucket"))
-    rows = index.postings.withColumn("_bucket", bucket).join(keep, "_bucket", "left_semi").drop("_bucket")
+    keep = reachable(per, least)
+    rows = index.entries.withColumn("_bucket", bucket).join(keep, "_bucket", "left_semi").drop("_bucket")
     return best(scores(rows, q.items(), mask), k)
 
 
@@ -121,7 +145,7 @@ class SegmentedHits:
 def segment_bounds(segmented: DataFrame, query: Iterable[tuple], maxima: DataFrame | None = None) -> list[tuple[int, float]]:
     """(segment, upper bound) of segments that can score at all, highest first.
 
-    maxima: stored (segment_id, term, max_weight), else taken from the postings.
+    maxima: stored (segment_id, term, max_weight), else taken from the entries.
     """
     q = normalise(query)
     if maxima is None:
@@ -134,8 +158,9 @@ def segment_bounds(segmented: DataFrame, query: Iterable[tuple], maxima: DataFra
 
 
 def top_k_with_stats(segmented: DataFrame, query: Iterable[tuple], k: int, seed: DataFrame | None = None, mask: DataFrame | Column | None = None, maxima: DataFrame | None = None, n_segments: int | None = None) -> SegmentedHits:
-    """Top-k over segments (postings with segment_id), one by one from the highest
-    bound; segments whose bound lies below the k-th score so far are skipped.
+    """Top-k over segments (entries with segment_id) from the highest bound on, in
+    batches of one, two, four and so on, each of them one job; segments whose bound
+    lies below the k-th score before their batch are skipped.
 
     seed: hits (doc_id, score) found elsewhere, such as in a live index.  With
     weights that may lower scores nothing is skipped.
@@ -150,11 +175,13 @@ def top_k_with_stats(segmented: DataFrame, query: Iterable[tuple], k: int, seed:
         done = seen
     else:
         done = 0
-        for segment, bound in segment_bounds(segmented, q.items(), maxima):
-            if len(hits) == k and bound < hits[-1][1]:
+        waiting = segment_bounds(segmented, q.items(), maxima)
+        while waiting:
+            batch = [s for s, bound in waiting[: max(1, done + 1)] if len(hits) < k or bound >= hits[-1][1]]
+            if not batch:
                 break
-            done += 1
-            rows = best(scores(segmented.where(F.col("segment_id") == segment), q.items(), mask), k).collect()  # k rows
+            done, waiting = done + len(batch), waiting[len(batch) :]
+            rows = best(scores(segmented.where(F.col("segment_id").isin(batch)), q.items(), mask), k).collect()  # k rows
             hits = sorted(hits + [(r.doc_id, r.score) for r in rows], key=lambda x: (-x[1], x[0]))[:k]
     hits = sorted(hits, key=lambda x: (-x[1], x[0]))[:k]
     return SegmentedHits(spark.createDataFrame(hits, "doc_id bigint, score double"), seen, done, seen - done)
@@ -167,4 +194,4 @@ def top_k_segments(segmented: DataFrame, query: Iterable[tuple], k: int, mask: D
 
 def top_k_segments_and_live(segmented: DataFrame, live: Index, query: Iterable[tuple], k: int, mask: DataFrame | Column | None = None) -> DataFrame:
     """Exact top-k over sealed segments and a live index."""
-    return best(scores(segmented.select("term", "doc_id", "w").unionByName(live.postings.select("term", "doc_id", "w")), query, mask), k)
+    return best(scores(segmented.select("term", "doc_id", "w").unionByName(live.entries.select("term", "doc_id", "w")), query, mask), k)

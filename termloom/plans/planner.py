@@ -39,7 +39,7 @@ def estimate(index: Index, query: Iterable, stats: DataFrame | None = None) -> i
     """Sum of document frequencies over distinct terms; from stats alone where given."""
     if stats is not None:
         return of_terms(stats, query).agg(F.sum("df")).first()[0] or 0
-    return of_terms(index.postings, query).count()
+    return of_terms(index.entries, query).count()
 
 
 def _plan(index: Index, query: Iterable, config: PlannerConfig, answer, stats: DataFrame | None, n: int | None) -> CandidatePlan:

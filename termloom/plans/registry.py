@@ -61,8 +61,8 @@ def hidden(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("SELECT term, doc_id, w FROM p")
-def build_postings(spark, sf):
-    return index(spark, sf).postings
+def build_entries(spark, sf):
+    return index(spark, sf).entries
 
 
 @query("SELECT doc_id, doc_len FROM d")
@@ -93,7 +93,7 @@ def weighted(spark, sf) -> Index:
 @query(WEIGHTED + "SELECT p.term, p.doc_id, p.w, d.doc_len FROM p JOIN d USING (doc_id)")
 def add_weighted_dup(spark, sf):
     i = weighted(spark, sf)
-    return i.postings.join(i.docs, "doc_id").select("term", "doc_id", "w", "doc_len")
+    return i.entries.join(i.docs, "doc_id").select("term", "doc_id", "w", "doc_len")
 
 
 @query("SELECT term, count(*) AS df, CAST(sum(w) AS BIGINT) AS total_weight, max(w) AS max_weight, min(w) AS min_weight, true AS all_finite FROM p WHERE doc_id % 7 <> 0 GROUP BY term")
@@ -113,7 +113,7 @@ def turns(spark, sf) -> DataFrame:
 def upsert_latest(spark, sf):
     old = latest(turns(spark, sf).where("turn <= 1"), "doc_id", "turn")
     new = latest(turns(spark, sf).where("turn > 1"), "doc_id", "turn")
-    return upsert_documents(index_texts(old), index_texts(new)).postings
+    return upsert_documents(index_texts(old), index_texts(new)).entries
 
 
 @query(TURNS)
@@ -121,7 +121,7 @@ def log_replay(spark, sf):
     t = turns(spark, sf)
     events = t.select(F.col("turn").cast("long").alias("event_id"), F.lit(log.ADD).alias("op"), "doc_id", terms_of(F.col("text")).alias("terms"))
     snapshot = log.state(events.where("event_id <= 3"))
-    return log.replay(events, snapshot, 3).postings
+    return log.replay(events, snapshot, 3).entries
 
 
 # Lookups
@@ -135,13 +135,13 @@ def term_frequency(spark, sf):
 
 
 @query("SELECT doc_id, w FROM p WHERE term = 'license'")
-def postings_scan(spark, sf):
-    return lookup.postings_of(index(spark, sf), "license")
+def entries_scan(spark, sf):
+    return lookup.entries_of(index(spark, sf), "license")
 
 
 @query("SELECT doc_id, w, doc_len FROM p JOIN d USING (doc_id) WHERE term = 'license'")
-def postings_with_len(spark, sf):
-    return lookup.postings_with_lengths(index(spark, sf), "license")
+def entries_with_len(spark, sf):
+    return lookup.entries_with_lengths(index(spark, sf), "license")
 
 
 BLOCKS = """, b AS (SELECT term, doc_id, w, (row_number() OVER (PARTITION BY term ORDER BY doc_id) - 1) // 128 AS block_no FROM p),
@@ -149,16 +149,16 @@ g AS (SELECT term, block_no, max(doc_id) AS last_doc_id, count(*) AS n, max(w) A
 
 
 @query(BLOCKS + " SELECT term, block_no, coalesce(lag(last_doc_id) OVER (PARTITION BY term ORDER BY block_no), 0) AS base_doc_id, last_doc_id, n, max_weight FROM g")
-def posting_blocks(spark, sf):
-    return block_table(index(spark, sf).postings)
+def entry_blocks(spark, sf):
+    return block_table(index(spark, sf).entries)
 
 
 @query(BLOCKS + " SELECT doc_id, w, doc_len FROM b JOIN d USING (doc_id) WHERE term = 'the' AND block_no = 1")
-def block_postings(spark, sf):
+def block_entries(spark, sf):
     i = index(spark, sf)
     if lookup.document_frequency(i, "the") <= 128:  # at the smallest scale
-        return lookup.postings_with_lengths(i, "the").where(F.lit(False))
-    return lookup.block_postings(i, "the", 1, lengths=True)
+        return lookup.entries_with_lengths(i, "the").where(F.lit(False))
+    return lookup.block_entries(i, "the", 1, lengths=True)
 
 
 @query("SELECT doc_id, pos FROM tok WHERE term = 'license'")
@@ -310,7 +310,7 @@ def sealed(spark, sf, positional: bool = False, part=None) -> store.SegmentStore
     s = store.SegmentStore(spark, _scratch(spark))
     i = index(spark, sf, positional).persist()
     if part is not None:
-        i = Index(i.postings.where(part), i.docs.where(part), None if i.positions is None else i.positions.where(part))
+        i = Index(i.entries.where(part), i.docs.where(part), None if i.positions is None else i.positions.where(part))
     s.seal(i, by=F.floor(F.col("doc_id") / 250))
     i.unpersist()
     return s
@@ -318,7 +318,7 @@ def sealed(spark, sf, positional: bool = False, part=None) -> store.SegmentStore
 
 @query("SELECT term, count(*) AS df, CAST(sum(w) AS BIGINT) AS total_weight, max(w) AS max_weight, min(w) AS min_weight, true AS all_finite FROM p GROUP BY term")
 def seal_roundtrip(spark, sf):
-    return term_stats(sealed(spark, sf).postings())
+    return term_stats(sealed(spark, sf).entries())
 
 
 @query("SELECT doc_id // 250 AS segment_id, 1 AS format_version, count(DISTINCT term) AS term_count, count(DISTINCT doc_id) AS doc_count, min(doc_id) AS min_doc_id, max(doc_id) AS max_doc_id, CAST(sum(w) AS BIGINT) AS total_doc_len, 128 AS block_size FROM p GROUP BY 1")
@@ -328,30 +328,30 @@ def segment_manifest(spark, sf):
 
 @query(_top_sql(dict(MULTI), 10))
 def topk_multi_segment(spark, sf):
-    return score.top_k_segments(sealed(spark, sf).postings(), MULTI, 10)
+    return score.top_k_segments(sealed(spark, sf).entries(), MULTI, 10)
 
 
 @query(_top_sql(dict(MULTI), 10, where="doc_id % 7 <> 0"))
 def topk_segments_filtered(spark, sf):
-    return score.top_k_segments(sealed(spark, sf).postings(), MULTI, 10, hidden(spark, sf))
+    return score.top_k_segments(sealed(spark, sf).entries(), MULTI, 10, hidden(spark, sf))
 
 
 @query(_top_sql(dict(MULTI), 10))
 def topk_files_and_live(spark, sf):
     live = index_documents(tokenised(documents(spark, sf).where("doc_id % 2 = 1")))
-    return score.top_k_segments_and_live(sealed(spark, sf, part=F.col("doc_id") % 2 == 0).postings(), live, MULTI, 10)
+    return score.top_k_segments_and_live(sealed(spark, sf, part=F.col("doc_id") % 2 == 0).entries(), live, MULTI, 10)
 
 
 @query(_top_sql(dict(MULTI), 10))
 def topk_stats(spark, sf):
     s = sealed(spark, sf)
-    return score.top_k_with_stats(s.postings(), MULTI, 10, maxima=s.terms(), n_segments=s.manifest().count()).hits
+    return score.top_k_with_stats(s.entries(), MULTI, 10, maxima=s.terms(), n_segments=s.manifest().count()).hits
 
 
 @query("SELECT x.violation, 0 AS n FROM (VALUES ('non_increasing_doc'), ('zero_weight'), ('weight_overflow'), ('unknown_doc'), ('duplicate_doc')) x(violation)")
 def audit(spark, sf):
     i = index(spark, sf)
-    return store.audit_postings(i.postings, i.docs)
+    return store.audit_entries(i.entries, i.docs)
 
 
 @query("SELECT term, count(*) AS df FROM p GROUP BY term")
@@ -439,15 +439,15 @@ def cached_terms(spark, sf):
 
 @query("SELECT term, doc_id, CAST(pos AS INTEGER) AS pos FROM tok")
 def export_positions(spark, sf):
-    return lookup.sorted_posting_lists(index(spark, sf, True)).select("term", "doc_id", F.explode("ps").alias("pos"))
+    return lookup.sorted_entry_lists(index(spark, sf, True)).select("term", "doc_id", F.explode("ps").alias("pos"))
 
 
 # Codecs
 
 
 def _id_lists(spark, sf) -> DataFrame:
-    """(term, block_no, ids): all posting lists, cut into blocks so that no array grows with the corpus."""
-    return blocked(index(spark, sf).postings).groupBy("term", "block_no").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    """(term, block_no, ids): all entry lists, cut into blocks so that no array grows with the corpus."""
+    return blocked(index(spark, sf).entries).groupBy("term", "block_no").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
 
 
 def _text(ids):

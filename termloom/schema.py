@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 FORMAT_VERSION = 1
-#: Postings of a block.
+#: Entries of a block.
 BLOCK_SIZE = 128
 #: Largest id and position of the data model.
 MAX_ID = 2**32 - 1
@@ -17,7 +17,7 @@ MAX_ID = 2**32 - 1
 LONG = T.LongType()
 
 
-def postings_schema(term: T.DataType | None = None, weight: T.DataType | None = None) -> T.StructType:
+def entries_schema(term: T.DataType | None = None, weight: T.DataType | None = None) -> T.StructType:
     return T.StructType([T.StructField("term", term or T.StringType()), T.StructField("doc_id", LONG), T.StructField("w", weight or LONG)])
 
 
@@ -39,11 +39,11 @@ class UnsortedDocId(IndexDataError):
 
 
 class NonIncreasingDocId(IndexDataError):
-    """A posting list's document ids must increase strictly."""
+    """An entry list's document ids must increase strictly."""
 
 
 class ZeroWeight(IndexDataError):
-    """Sealed postings can't have weight zero."""
+    """Sealed entries can't have weight zero."""
 
 
 class WeightOverflow(IndexDataError):
@@ -55,15 +55,15 @@ class DocLengthOverflow(IndexDataError):
 
 
 class DuplicateTermId(IndexDataError):
-    """A term has two posting lists."""
+    """A term has two entry lists."""
 
 
 class UnsortedTermId(IndexDataError):
     """Terms must increase strictly."""
 
 
-class EmptyPostingList(IndexDataError):
-    """A posting list has no postings."""
+class EmptyEntryList(IndexDataError):
+    """An entry list has no entries."""
 
 
 class EmptyTerm(IndexDataError):
@@ -71,7 +71,7 @@ class EmptyTerm(IndexDataError):
 
 
 class UnknownDocId(IndexDataError):
-    """A posting names a document that isn't listed."""
+    """An entry names a document that isn't listed."""
 
 
 class PositionOutOfRange(IndexDataError):
@@ -79,7 +79,15 @@ class PositionOutOfRange(IndexDataError):
 
 
 class ChecksumMismatch(IndexDataError):
-    """Stored postings differ from what was written."""
+    """Stored entries differ from what was written."""
+
+
+class DuplicateSegment(IndexDataError):
+    """A published segment has this id."""
+
+
+class CacheMismatch(IndexDataError):
+    """A term cache of another index."""
 
 
 class UnsortedIds(IndexDataError):

@@ -1,24 +1,27 @@
 """Stored indexes: snapshots, and immutable segments under a manifest.
 
-A segment is Parquet sorted by term and document, so row-group statistics serve
-as its term directory.  A segment exists once a manifest file names it; that file
-is written last.  Object stores and HDFS publish a file whole when it is closed
-or renamed, which is the durability given here: there is no fsync.
+A segment is Parquet in ranges of (segment, term, document), so file and row-group
+statistics serve as its term directory and a frequent term spans files.  It exists
+once a manifest file names its folder; that file is written last.  Object stores and
+HDFS publish a file whole when it is closed or renamed, which is the durability given
+here: there is no fsync.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.build import Index, block_table, term_stats
 from ..schema import (
-    BLOCK_SIZE, DOCS, FORMAT_VERSION, MANIFEST, MAX_ID, POSITIONS, ChecksumMismatch, DocLengthOverflow, DuplicateDocId, EmptyPostingList, EmptyTerm, IndexDataError,
-    NonIncreasingDocId, PositionOutOfRange, UnknownDocId, UnsortedDocId, WeightOverflow, ZeroWeight, postings_schema,
+    BLOCK_SIZE, DOCS, FORMAT_VERSION, MANIFEST, MAX_ID, POSITIONS, ChecksumMismatch, DocLengthOverflow, DuplicateDocId, DuplicateSegment, DuplicateTermId, EmptyEntryList, EmptyTerm, IndexDataError,
+    NonIncreasingDocId, PositionOutOfRange, UnknownDocId, UnsortedDocId, UnsortedTermId, WeightOverflow, ZeroWeight, entries_schema,
 )
 
+POINTER = "version string, term string, weight string, positional boolean"
 #: Kept by Parquet for each row group of a sorted term column: statistics that let other terms be skipped.
 ROWS_PER_FILE = 4_000_000
 
@@ -28,29 +31,40 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _pointers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the published snapshots, of which the largest counts."""
+    fs, p = _fs(spark, f"{path}/pointers")
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    done = [n for n in names if n.isdigit() and fs.exists(_fs(spark, f"{path}/pointers/{n}/_SUCCESS")[1])]
+    return sorted(map(int, done))
+
+
 def save(index: Index, path: str) -> None:
     """A snapshot of a live index; a reader sees the old one or the new one.
 
-    The new tables go to a folder of their own; the pointer file that names it
-    is replaced last.
+    The new tables go to a folder of their own.  Then a pointer with the next number is
+    written, which counts once its write has succeeded; none is ever replaced or removed,
+    so a reader finds one at any time.  Of two that save at once one may fail.
     """
     spark = index.docs.sparkSession
-    version = f"v{spark.sparkContext._jvm.System.nanoTime()}"
-    index.postings.write.parquet(f"{path}/{version}/postings")
-    index.docs.write.parquet(f"{path}/{version}/docs")
+    version = f"v{uuid.uuid4().hex}"
     if index.positions is not None:
         index.positions.write.parquet(f"{path}/{version}/positions")
-    kind = dict(index.postings.dtypes)
-    spark.createDataFrame([(version, kind["term"], kind["w"], index.positions is not None)], "version string, term string, weight string, positional boolean").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    index.entries.write.parquet(f"{path}/{version}/entries")
+    index.docs.write.parquet(f"{path}/{version}/docs")
+    kind = dict(index.entries.dtypes)
+    number = max(_pointers(spark, path), default=0) + 1
+    spark.createDataFrame([(version, kind["term"], kind["w"], index.positions is not None)], POINTER).coalesce(1).write.json(f"{path}/pointers/{number}")
 
 
 def load(spark: SparkSession, path: str) -> Index:
     """The snapshot last saved; missing or damaged files raise."""
-    c = spark.read.schema("version string, term string, weight string, positional boolean").json(f"{path}/current").first()
-    if c is None:
+    numbers = _pointers(spark, path)
+    if not numbers:
         raise IndexDataError(f"no snapshot at {path}")
+    c = spark.read.schema(POINTER).json(f"{path}/pointers/{numbers[-1]}").first()
     at = f"{path}/{c.version}"
-    return Index(spark.read.schema(f"term {c.term}, doc_id bigint, w {c.weight}").parquet(f"{at}/postings"), spark.read.schema(DOCS).parquet(f"{at}/docs"), spark.read.schema(POSITIONS).parquet(f"{at}/positions") if c.positional else None)
+    return Index(spark.read.schema(f"term {c.term}, doc_id bigint, w {c.weight}").parquet(f"{at}/entries"), spark.read.schema(DOCS).parquet(f"{at}/docs"), spark.read.schema(POSITIONS).parquet(f"{at}/positions") if c.positional else None)
 
 
 def _first(df: DataFrame):
@@ -58,38 +72,60 @@ def _first(df: DataFrame):
     return rows[0] if rows else None
 
 
+def _first_unsorted(df: DataFrame, key: str, order: str):
+    """A row whose key isn't above all those before it in the given order, or None.
+
+    Ranges of the order are looked at each for itself; then their ends are compared.
+    """
+    ranged = df.repartitionByRange(order).withColumn("_range", F.spark_partition_id())
+    before = F.lag(key).over(Window.partitionBy("_range").orderBy(order))
+    if r := _first(ranged.withColumn("_before", before).where(F.col(key) <= F.col("_before"))):
+        return r
+    ends = ranged.groupBy("_range").agg(F.min(key).alias("low"), F.max(key).alias("high")).orderBy("_range").collect()  # a row for each partition
+    return next((b for a, b in zip(ends, ends[1:], strict=False) if b.low <= a.high), None)
+
+
 def validate_document_lengths(docs: DataFrame, order: str | None = None) -> None:
     """Ids stand once (and, given an order column, increase in it); lengths fit 32 bits."""
     if r := _first(docs.groupBy("doc_id").count().where("count > 1")):
         raise DuplicateDocId(str(r))
-    if order:
-        w = Window.orderBy(order)  # the caller's own sequence: one list, as it was written
-        if r := _first(docs.withColumn("before", F.lag("doc_id").over(w)).where("doc_id <= before")):
-            raise UnsortedDocId(str(r))
+    if order and (r := _first_unsorted(docs, "doc_id", order)):
+        raise UnsortedDocId(str(r))
     if r := _first(docs.where((F.col("doc_len") < 0) | (F.col("doc_len") > MAX_ID))):
         raise DocLengthOverflow(str(r))
 
 
-def audit_postings(postings: DataFrame, docs: DataFrame) -> DataFrame:
+def validate_term_lists(lists: DataFrame, order: str | None = None) -> None:
+    """Lists (term, entries) as callers bring them: none is empty, terms stand once
+    (and, given an order column, increase in it)."""
+    if r := _first(lists.where(F.size("entries") == 0).select("term")):
+        raise EmptyEntryList(str(r))
+    if r := _first(lists.groupBy("term").count().where("count > 1")):
+        raise DuplicateTermId(str(r))
+    if order and (r := _first_unsorted(lists.select("term", order), "term", order)):
+        raise UnsortedTermId(str(r))
+
+
+def audit_entries(entries: DataFrame, docs: DataFrame) -> DataFrame:
     """(violation, n): duplicates, zero weights, weights beyond 32 bits, unknown documents."""
-    dup = postings.groupBy("term", "doc_id").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("non_increasing_doc").alias("violation"), "n")
-    sums = postings.agg(F.count_if(F.col("w") == 0).alias("zero_weight"), F.count_if(F.col("w") > MAX_ID).alias("weight_overflow"))
+    dup = entries.groupBy("term", "doc_id").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("non_increasing_doc").alias("violation"), "n")
+    sums = entries.agg(F.count_if(F.col("w") == 0).alias("zero_weight"), F.count_if(F.col("w") > MAX_ID).alias("weight_overflow"))
     flat = sums.select(F.explode(F.map_from_arrays(F.array(F.lit("zero_weight"), F.lit("weight_overflow")), F.array("zero_weight", "weight_overflow"))).alias("violation", "n"))
-    unknown = postings.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("unknown_doc").alias("violation"), "n")
+    unknown = entries.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("unknown_doc").alias("violation"), "n")
     twice = docs.groupBy("doc_id").count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit("duplicate_doc").alias("violation"), "n")
     return dup.union(flat).union(unknown).union(twice)
 
 
-_POSTING_ERRORS = {"non_increasing_doc": NonIncreasingDocId, "zero_weight": ZeroWeight, "weight_overflow": WeightOverflow, "unknown_doc": UnknownDocId, "duplicate_doc": DuplicateDocId}
+_ENTRY_ERRORS = {"non_increasing_doc": NonIncreasingDocId, "zero_weight": ZeroWeight, "weight_overflow": WeightOverflow, "unknown_doc": UnknownDocId, "duplicate_doc": DuplicateDocId}
 
 
-def validate_postings(postings: DataFrame, docs: DataFrame, lists: DataFrame | None = None) -> None:
-    """Raises the error of the first kind of violation.  lists: (term, postings
-    array) as callers bring them, to find empty lists."""
-    if lists is not None and (r := _first(lists.where(F.size("postings") == 0))):
-        raise EmptyPostingList(str(r))
-    for r in audit_postings(postings, docs).where("n > 0").collect():
-        raise _POSTING_ERRORS[r.violation](f"{r.n} postings")
+def validate_entries(entries: DataFrame, docs: DataFrame, lists: DataFrame | None = None) -> None:
+    """Raises the error of the first kind of violation.  lists: (term, entries
+    array) as callers bring them, to find empty and repeated ones."""
+    if lists is not None:
+        validate_term_lists(lists)
+    for r in audit_entries(entries, docs).where("n > 0").collect():
+        raise _ENTRY_ERRORS[r.violation](f"{r.n} entries")
 
 
 def validate_positions(positions: DataFrame, docs: DataFrame) -> None:
@@ -105,8 +141,8 @@ def validate_positions(positions: DataFrame, docs: DataFrame) -> None:
 
 
 def from_term_lists(docs: DataFrame, lists: DataFrame) -> Index:
-    """An index from ready posting lists (term, postings: array of struct(doc_id, w))."""
-    return Index(lists.select("term", F.explode("postings").alias("x")).select("term", "x.doc_id", "x.w"), docs)
+    """An index from ready entry lists (term, entries: array of struct(doc_id, w))."""
+    return Index(lists.select("term", F.explode("entries").alias("x")).select("term", "x.doc_id", "x.w"), docs)
 
 
 @dataclass(frozen=True)
@@ -118,47 +154,65 @@ class SegmentStore:
 
     def table(self, name: str, schema: str) -> DataFrame:
         """A table of all published segments."""
-        ids = [r.segment_id for r in self.manifest().select("segment_id").collect()]  # a row for each segment
+        own = [f"{self.path}/{name}/batch={b}" for b in self._batches() if self._exists(f"{name}/batch={b}")]
         full = f"{schema}, segment_id bigint"
-        if not ids:
+        if not own:
             return self.spark.createDataFrame([], full)
-        try:
-            return self.spark.read.schema(full).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/segment_id={i}" for i in ids])
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], full)
-            raise
-
-    def seal(self, index: Index, segment_id: int | None = None, by=None, checked: bool = True, term_type: str = "string") -> None:
+        return self.spark.read.schema(full).option("basePath", f"{self.path}/{name}").parquet(*own).drop("batch")
+
+    def _batches(self) -> list[str]:
+        """The folders that the manifest names, one for each seal."""
+        return sorted(r.path for r in self.manifest().select("path").distinct().collect())
+
+    def _exists(self, name: str) -> bool:
+        fs, p = _fs(self.spark, f"{self.path}/{name}")
+        return fs.exists(p)
+
+    def seal(self, index: Index, segment_id: int | None = None, by: Column | None = None, checked: bool = True, order: str | None = None) -> None:
         """Writes an index as a segment, or as several by a column expression of doc_id.
 
-        Tables are sorted by term and document; the manifest names the segments last.
+        All goes to folders of its own, entries once, and what describes them is made
+        of what was written.  The manifest names the segments last: a run that fails
+        leaves nothing that a reader sees.  An id that is published is refused.  ``order``:
+        a column of docs in which their ids must increase.
         """
-        if checked:
-            validate_document_lengths(index.docs)
-            validate_postings(index.postings, index.docs)
-            if index.positions is not None:
-                validate_positions(index.positions, index.docs)
+        batch = f"b{uuid.uuid4().hex}"
         tag = (by if by is not None else F.lit(segment_id)).cast("long")
-        spread = lambda df, *cols: df.withColumn("segment_id", tag).repartition("segment_id", cols[0]).sortWithinPartitions("segment_id", *cols).write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("segment_id")
-        spread(index.postings, "term", "doc_id").parquet(f"{self.path}/postings")
-        spread(index.docs, "doc_id").parquet(f"{self.path}/docs")
+
+        def write(df: DataFrame, name: str, *cols: str) -> DataFrame:
+            rows = df.withColumn("segment_id", tag) if "segment_id" not in df.columns else df
+            path = f"{self.path}/{name}/batch={batch}"
+            rows.repartitionByRange("segment_id", *cols).sortWithinPartitions("segment_id", *cols).write.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("segment_id").parquet(path)
+            return self.spark.read.schema(rows.schema).parquet(path)
+
+        if order:
+            validate_document_lengths(index.docs, order)
+        docs = write(index.docs.select("doc_id", "doc_len"), "docs", "doc_id")
+        own = docs.select("segment_id").distinct()
+        if r := _first(self.manifest().join(own, "segment_id", "left_semi")):
+            raise DuplicateSegment(f"segment {r.segment_id} is published")
+        positions = None
         if index.positions is not None:
-            spread(index.positions, "term", "doc_id").parquet(f"{self.path}/positions")
-        tagged = index.postings.withColumn("segment_id", tag)
-        block_table(tagged, BLOCK_SIZE, "segment_id").repartition("segment_id").write.mode("append").partitionBy("segment_id").parquet(f"{self.path}/blocks")
-        tagged.groupBy("segment_id", "term").agg(F.count("*").alias("df"), F.sum("w").alias("total_weight"), F.max("w").alias("max_weight"), _checksum().alias("checksum")).write.mode("append").partitionBy("segment_id").parquet(f"{self.path}/terms")
-        counts = self.spark.read.parquet(f"{self.path}/terms").groupBy("segment_id").agg(F.count("*").alias("term_count"))
-        docs = index.docs.withColumn("segment_id", tag).groupBy("segment_id").agg(F.count("*").alias("doc_count"), F.min("doc_id").alias("min_doc_id"), F.max("doc_id").alias("max_doc_id"), F.sum("doc_len").alias("total_doc_len"))
-        rows = docs.join(counts, "segment_id", "left").select("segment_id", F.lit(FORMAT_VERSION).alias("format_version"), F.coalesce("term_count", F.lit(0)).alias("term_count"), "doc_count", "min_doc_id", "max_doc_id", "total_doc_len", F.lit(BLOCK_SIZE).alias("block_size"), F.lit(self.path).alias("path"))
+            positions = write(index.positions.select("term", "doc_id", "ps"), "positions", "term", "doc_id")
+        entries = write(index.entries.select("term", "doc_id", "w"), "entries", "term", "doc_id")
+        if checked:
+            validate_document_lengths(docs)
+            validate_entries(entries, docs)
+            if positions is not None:
+                validate_positions(positions, docs)
+        write(block_table(entries, BLOCK_SIZE, "segment_id"), "blocks", "term", "block_no")
+        terms = write(term_stats(entries, "segment_id", checksum=checksum()), "terms", "term")
+        counts = terms.groupBy("segment_id").agg(F.count("*").alias("term_count"))
+        sums = docs.groupBy("segment_id").agg(F.count("*").alias("doc_count"), F.min("doc_id").alias("min_doc_id"), F.max("doc_id").alias("max_doc_id"), F.sum("doc_len").alias("total_doc_len"))
+        rows = sums.join(counts, "segment_id", "left").select("segment_id", F.lit(FORMAT_VERSION).alias("format_version"), F.coalesce("term_count", F.lit(0)).alias("term_count"), "doc_count", "min_doc_id", "max_doc_id", "total_doc_len", F.lit(BLOCK_SIZE).alias("block_size"), F.lit(batch).alias("path"))
         rows.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def manifest(self) -> DataFrame:
         fs, p = _fs(self.spark, f"{self.path}/manifest")
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest") if fs.exists(p) else self.spark.createDataFrame([], MANIFEST)
 
-    def postings(self, term: str = "string", weight: str = "bigint") -> DataFrame:
-        return self.table("postings", f"term {term}, doc_id bigint, w {weight}")
+    def entries(self, term: str = "string", weight: str = "bigint") -> DataFrame:
+        return self.table("entries", f"term {term}, doc_id bigint, w {weight}")
 
     def docs(self) -> DataFrame:
         return self.table("docs", "doc_id bigint, doc_len bigint")
@@ -170,36 +224,42 @@ class SegmentStore:
         return self.table("blocks", f"term {term}, block_no bigint, base_doc_id bigint, last_doc_id bigint, n bigint, max_weight {weight}")
 
     def terms(self, term: str = "string", weight: str = "bigint") -> DataFrame:
-        return self.table("terms", f"term {term}, df bigint, total_weight {weight}, max_weight {weight}, checksum bigint")
+        return self.table("terms", f"term {term}, df bigint, total_weight {weight}, max_weight {weight}, min_weight {weight}, all_finite boolean, checksum bigint")
+
+    def statistics(self, term: str = "string", weight: str = "bigint") -> DataFrame:
+        """(term, df, total_weight, max_weight, min_weight, all_finite) over all segments, from what is stored."""
+        sums = [F.sum("df").alias("df"), F.sum("total_weight").alias("total_weight"), F.max("max_weight").alias("max_weight"), F.min("min_weight").alias("min_weight"), F.bool_and("all_finite").alias("all_finite")]
+        return self.terms(term, weight).groupBy("term").agg(*sums)
 
     def open(self, segment_id: int | None = None) -> Index:
         """One segment, or all, as an index."""
         pick = lambda df: df if segment_id is None else df.where(F.col("segment_id") == segment_id)
-        return Index(pick(self.postings()), pick(self.docs()), pick(self.positions()))
+        return Index(pick(self.entries()), pick(self.docs()), pick(self.positions()))
 
     def verify(self) -> None:
-        """Reads all postings and compares each list's checksum with the one written."""
-        now = self.postings().groupBy("segment_id", "term").agg(_checksum().alias("now"))
+        """Reads all entries and compares each list's checksum with the one written."""
+        now = self.entries().groupBy("segment_id", "term").agg(checksum().alias("now"))
         bad = self.terms().join(now, ["segment_id", "term"], "full").where(~F.col("checksum").eqNullSafe(F.col("now")))
         if r := _first(bad):
             raise ChecksumMismatch(str(r))
 
     def _size(self, *tables: str) -> int:
         total = 0
-        for t in tables:
-            fs, p = _fs(self.spark, f"{self.path}/{t}")
-            total += fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+        for b in self._batches():
+            for t in tables:
+                fs, p = _fs(self.spark, f"{self.path}/{t}/batch={b}")
+                total += fs.getContentSummary(p).getLength() if fs.exists(p) else 0
         return total
 
     def resident_metadata_len(self) -> int:
-        """Bytes of the tables that describe postings."""
-        return self._size("terms", "blocks", "docs", "manifest")
+        """Bytes of the tables that describe entries."""
+        return self._size("terms", "blocks", "docs")
 
-    def posting_payload_len(self) -> int:
-        """Bytes of the postings and positions themselves."""
-        return self._size("postings", "positions")
+    def entry_payload_len(self) -> int:
+        """Bytes of the entries and positions themselves."""
+        return self._size("entries", "positions")
 
 
-def _checksum():
-    """Of a posting list: the sum of its rows' CRC32, so the order of rows doesn't matter."""
+def checksum() -> Column:
+    """Of an entry list: the sum of its rows' CRC32, so the order of rows doesn't matter."""
     return F.sum(F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("w").cast("string")).cast("binary")))

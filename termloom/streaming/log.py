@@ -29,18 +29,24 @@ def replay(events: DataFrame, snapshot: DataFrame | None = None, last_event_id:
 
 
 def follow(stream: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the state of a streamed log under ``state_path``, a folder for each batch.
+    """Keeps the state of a streamed log under ``state_path``, a folder for each batch:
+    (doc_id, terms, event_id) of live documents, and under ``deleted`` (doc_id, event_id).
 
     Each micro-batch starts from the state before it, so a batch that runs again
-    after a failure gives the same folder again.  Processes what is there, then stops.
+    after a failure gives the same folder again.  Of a document's events the one with
+    the largest id counts, in whatever batch it comes.  Processes what is there, then stops.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(f"{state_path}/batch={batch_id - 1}") if batch_id else None
         rows = batch.select("event_id", "op", "doc_id", "terms")
-        if before is not None:
-            rows = before.select(F.lit(-1).cast("long").alias("event_id"), F.lit(ADD).alias("op"), "doc_id", "terms").unionByName(rows)
-        latest(rows, "doc_id", "event_id").where(F.col("op") == ADD).select("doc_id", "terms").write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        if batch_id:
+            live = spark.read.parquet(f"{state_path}/batch={batch_id - 1}").select("event_id", F.lit(ADD).alias("op"), "doc_id", "terms")
+            gone = spark.read.parquet(f"{state_path}/deleted/batch={batch_id - 1}").select("event_id", F.lit(DELETE).alias("op"), "doc_id", F.lit(None).cast("array<string>").alias("terms"))
+            rows = live.unionByName(gone).unionByName(rows)
+        now = latest(rows, "doc_id", "event_id").persist()
+        now.where(F.col("op") != ADD).select("doc_id", "event_id").write.mode("overwrite").parquet(f"{state_path}/deleted/batch={batch_id}")
+        now.where(F.col("op") == ADD).select("doc_id", "terms", "event_id").write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        now.unpersist()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

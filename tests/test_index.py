@@ -26,8 +26,8 @@ def index(spark):
     return index_documents(docs_of(spark), positional=True).persist()
 
 
-def test_postings_and_lengths(index):
-    assert {(r.term, r.doc_id): r.w for r in index.postings.collect()} == {(t, d): ts.count(t) for d, ts in DOCS for t in ts}
+def test_entries_and_lengths(index):
+    assert {(r.term, r.doc_id): r.w for r in index.entries.collect()} == {(t, d): ts.count(t) for d, ts in DOCS for t in ts}
     assert {r.doc_id: r.doc_len for r in index.docs.collect()} == {d: len(ts) for d, ts in DOCS}
 
 
@@ -40,7 +40,7 @@ def test_statistics(index):
     assert [(r.doc_id, r.doc_len) for r in lookup.document_lengths(index).collect()] == [(1, 3), (3, 2), (4, 4), (6, 0), (9, 3)]
     assert lookup.positions(index, "fox", 4) == [0, 2, 3] and lookup.positions(index, "fox", 1) == []
     assert ids(lookup.docs_with_term(index, "red")) == [3, 9]
-    assert {(r.doc_id, r.w, r.doc_len) for r in lookup.postings_with_lengths(index, "red").collect()} == {(9, 2, 3), (3, 1, 2)}
+    assert {(r.doc_id, r.w, r.doc_len) for r in lookup.entries_with_lengths(index, "red").collect()} == {(9, 2, 3), (3, 1, 2)}
     lookup.require_known_documents(index)
 
 
@@ -81,22 +81,22 @@ def test_duplicate_delete_upsert(spark, index):
 def test_weighted(spark):
     rows = [(1, [("a", 1.0), ("a", 0.5), ("b", 0.0)]), (2, [("a", -2.0)]), (3, [])]
     i = index_weighted(spark.createDataFrame(rows, "doc_id bigint, terms array<struct<term:string,weight:float>>"))
-    assert {(r.term, r.doc_id): r.w for r in i.postings.collect()} == {("a", 1): 1.5, ("b", 1): 0.0, ("a", 2): -2.0}
+    assert {(r.term, r.doc_id): r.w for r in i.entries.collect()} == {("a", 1): 1.5, ("b", 1): 0.0, ("a", 2): -2.0}
     assert {r.doc_id: r.doc_len for r in i.docs.collect()} == {1: 3, 2: 1, 3: 0}
     whole = index_weighted(spark.createDataFrame([(1, [(7, 2), (7, 3)])], "doc_id bigint, terms array<struct<term:bigint,weight:bigint>>"))
-    assert whole.docs.first().doc_len == 5 and whole.postings.first().w == 5
+    assert whole.docs.first().doc_len == 5 and whole.entries.first().w == 5
     nan = index_weighted(spark.createDataFrame([(1, [("a", float("inf"))])], "doc_id bigint, terms array<struct<term:string,weight:float>>"))
     assert nan.stats.first().all_finite is False
 
 
 def test_blocks(spark):
     i = index_documents(docs_of(spark, [(d, ["t"]) for d in range(130)]))
-    got = [(r.block_no, r.base_doc_id, r.last_doc_id, r.n, r.max_weight) for r in block_table(i.postings).orderBy("block_no").collect()]
+    got = [(r.block_no, r.base_doc_id, r.last_doc_id, r.n, r.max_weight) for r in block_table(i.entries).orderBy("block_no").collect()]
     assert got == [(0, 0, 127, 128, 1), (1, 127, 129, 2, 1)]
-    assert ids(lookup.block_postings(i, "t", 1)) == [128, 129] and ids(lookup.block_postings(i, "no", 5)) == []
-    assert lookup.block_postings(i, "t", 1, lengths=True).count() == 2
+    assert ids(lookup.block_entries(i, "t", 1)) == [128, 129] and ids(lookup.block_entries(i, "no", 5)) == []
+    assert lookup.block_entries(i, "t", 1, lengths=True).count() == 2
     with pytest.raises(IndexError):
-        lookup.block_postings(i, "t", 2)
+        lookup.block_entries(i, "t", 2)
 
 
 def test_planner(spark):
@@ -119,4 +119,4 @@ def test_random_documents_have_no_false_negatives(spark):
         q = [rng.choice("abcdefghz") for _ in range(rng.randrange(1, 5))]
         assert ids(boolean.candidates_any(i, q)) == sorted(d for d, ts in rows if set(q) & set(ts))
         assert ids(boolean.candidates_all(i, q)) == sorted(d for d, ts in rows if set(q) <= set(ts))
-    assert term_stats(i.postings).where(F.col("df") > 29).count() == 0
+    assert term_stats(i.entries).where(F.col("df") > 29).count() == 0

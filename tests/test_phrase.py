@@ -70,7 +70,7 @@ def test_cache(spark):
     c = phrase.TermCache(i)
     assert c.is_empty and ids(c.phrase_match(["a", "b"])) == [1] and ids(c.near_match("b", "c", 1)) == [2]
     assert c.term_positions("missing").count() == 0 and "missing" in c and len(c) == 4
-    assert c.cached_terms() == ["a", "b", "c", "missing"] and c.posting_count() == 4 and c.position_count() == 5
+    assert c.cached_terms() == ["a", "b", "c", "missing"] and c.entry_count() == 4 and c.position_count() == 5
     assert c.remove_term("a") and not c.remove_term("a") and len(c) == 3
     c.clear()
     assert c.is_empty

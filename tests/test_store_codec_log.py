@@ -28,35 +28,35 @@ def test_snapshot(spark, tmp_path):
     i = index_of(spark, ROWS)
     store.save(i, f"{tmp_path}/s")
     back = store.load(spark, f"{tmp_path}/s")
-    assert same(back.postings, i.postings) and same(back.docs, i.docs) and same(back.positions, i.positions)
+    assert same(back.entries, i.entries) and same(back.docs, i.docs) and same(back.positions, i.positions)
     store.save(delete_documents(i, spark.createDataFrame([(4,)], "doc_id bigint")), f"{tmp_path}/s")
     assert lookup.num_docs(store.load(spark, f"{tmp_path}/s")) == 3
     with pytest.raises(Exception):
         store.load(spark, f"{tmp_path}/none").docs.count()
-    for f in tmp_path.glob("s/v*/postings/*.parquet"):
+    for f in tmp_path.glob("s/v*/entries/*.parquet"):
         f.write_bytes(b"damaged")
     with pytest.raises(Exception):
-        store.load(spark, f"{tmp_path}/s").postings.collect()
+        store.load(spark, f"{tmp_path}/s").entries.collect()
 
 
 def test_segments(spark, tmp_path):
     s = store.SegmentStore(spark, f"file://{tmp_path}/seg")
-    assert s.manifest().count() == 0 and s.postings().count() == 0
+    assert s.manifest().count() == 0 and s.entries().count() == 0
     i = index_of(spark, ROWS)
     s.seal(i, 0)
     s.seal(index_of(spark, [(20, ["a"])]), 1)
     m = {r.segment_id: r for r in s.manifest().collect()}
     assert (m[0].term_count, m[0].doc_count, m[0].min_doc_id, m[0].max_doc_id, m[0].total_doc_len) == (3, 4, 2, 9, 6) and m[1].doc_count == 1
     one = s.open(0)
-    assert same(one.postings.drop("segment_id"), i.postings) and same(one.docs.drop("segment_id"), i.docs) and same(one.positions.drop("segment_id"), i.positions)
+    assert same(one.entries.drop("segment_id"), i.entries) and same(one.docs.drop("segment_id"), i.docs) and same(one.positions.drop("segment_id"), i.positions)
     assert sorted(r.doc_id for r in boolean.candidates_any(s.open(), ["a"]).collect()) == [2, 4, 20]
     assert s.blocks().where("term = 'a' and segment_id = 0").first().n == 2
     s.verify()
-    assert s.resident_metadata_len() > 0 and s.posting_payload_len() > 0
+    assert s.resident_metadata_len() > 0 and s.entry_payload_len() > 0
     # Only the segment's own files are read, and the term reaches the scan.
-    plan = s.open(0).postings.where("term = 'a'")._jdf.queryExecution().toString()
+    plan = s.open(0).entries.where("term = 'a'")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,a)]" in plan and "PartitionFilters: [isnotnull(segment_id" in plan
-    s.postings().where("segment_id = 1").drop("segment_id").withColumn("w", F.lit(5).cast("long")).write.mode("append").parquet(f"{tmp_path}/seg/postings/segment_id=1")
+    s.entries().where("segment_id = 1").drop("segment_id").withColumn("w", F.lit(5).cast("long")).write.mode("append").parquet(next(iter(tmp_path.glob("seg/entries/batch=*/segment_id=1"))).as_posix())
     with pytest.raises(schema.ChecksumMismatch):
         s.verify()
 
@@ -64,19 +64,19 @@ def test_segments(spark, tmp_path):
 def test_validation(spark, tmp_path):
     docs = spark.createDataFrame([(1, 3), (2, 1)], "doc_id bigint, doc_len bigint")
     posts = lambda rows: spark.createDataFrame(rows, "term string, doc_id bigint, w bigint")
-    store.validate_postings(posts([("a", 1, 3)]), docs)
+    store.validate_entries(posts([("a", 1, 3)]), docs)
     for rows, error in (([("a", 1, 0)], schema.ZeroWeight), ([("a", 1, 1), ("a", 1, 2)], schema.NonIncreasingDocId), ([("a", 5, 1)], schema.UnknownDocId), ([("a", 1, 2**32)], schema.WeightOverflow)):
         with pytest.raises(error):
-            store.validate_postings(posts(rows), docs)
+            store.validate_entries(posts(rows), docs)
     with pytest.raises(schema.DuplicateDocId):
         store.validate_document_lengths(docs.union(docs))
     with pytest.raises(schema.UnsortedDocId):
         store.validate_document_lengths(spark.createDataFrame([(2, 1, 0), (1, 1, 1)], "doc_id bigint, doc_len bigint, at int"), "at")
     with pytest.raises(schema.DocLengthOverflow):
         store.validate_document_lengths(spark.createDataFrame([(2, 2**32)], "doc_id bigint, doc_len bigint"))
-    lists = spark.createDataFrame([("a", [(1, 2)]), ("b", [])], "term string, postings array<struct<doc_id:bigint,w:bigint>>")
-    with pytest.raises(schema.EmptyPostingList):
-        store.validate_postings(store.from_term_lists(docs, lists).postings, docs, lists)
+    lists = spark.createDataFrame([("a", [(1, 2)]), ("b", [])], "term string, entries array<struct<doc_id:bigint,w:bigint>>")
+    with pytest.raises(schema.EmptyEntryList):
+        store.validate_entries(store.from_term_lists(docs, lists).entries, docs, lists)
     at = lambda rows: spark.createDataFrame(rows, schema.POSITIONS)
     store.validate_positions(at([("a", 1, [0, 2])]), docs)
     for rows, error in (([("", 1, [0])], schema.EmptyTerm), ([("a", 1, [1, 1])], schema.PositionOutOfRange), ([("a", 2, [1])], schema.PositionOutOfRange), ([("a", 8, [0])], schema.UnknownDocId)):
@@ -84,7 +84,7 @@ def test_validation(spark, tmp_path):
             store.validate_positions(at(rows), docs)
     zero = index_weighted(spark.createDataFrame([(2, [("x", 0)])], "doc_id bigint, terms array<struct<term:string,weight:bigint>>"))
     with pytest.raises(schema.ZeroWeight):
-        store.SegmentStore(spark, f"file://{tmp_path}/z").seal(Index(zero.postings, zero.docs), 0)
+        store.SegmentStore(spark, f"file://{tmp_path}/z").seal(Index(zero.entries, zero.docs), 0)
 
 
 SORTED = st.lists(st.integers(0, 2**32 - 1), unique=True, max_size=20).map(sorted)
