@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..functions.tokens import terms_of, token_rows, tokenised
 from ..operators import boolean, lookup, phrase, score
-from ..operators.build import Index, block_table, blocked, delete_documents, index_documents, index_impacts, index_texts, index_weighted, latest, term_stats, upsert_documents
+from ..operators.build import Index, block_table, blocked, delete_documents, empty_index, index_documents, index_impacts, index_texts, index_weighted, latest, term_stats, upsert_documents
 from ..sources import store
 from ..streaming import log
 from . import planner
@@ -156,9 +156,8 @@ def entry_blocks(spark, sf):
 @query(BLOCKS + " SELECT doc_id, w, doc_len FROM b JOIN d USING (doc_id) WHERE term = 'the' AND block_no = 1")
 def block_entries(spark, sf):
     i = index(spark, sf)
-    if lookup.document_frequency(i, "the") <= 128:  # at the smallest scale
-        return lookup.entries_with_lengths(i, "the").where(F.lit(False))
-    return lookup.block_entries(i, "the", 1, lengths=True)
+    blocks = blocked(i.entries.where("term = 'the'")).where("block_no = 1")  # none at the smallest scale
+    return blocks.join(i.docs, "doc_id").select("doc_id", "w", "doc_len")
 
 
 @query("SELECT doc_id, pos FROM tok WHERE term = 'license'")
@@ -299,20 +298,16 @@ def weight_bounds(spark, sf):
 
 def _scratch(spark) -> str:
     """A folder that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return f"{base}/segments-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-    return f"file://{tempfile.mkdtemp(prefix='termloom-')}"
+    return f"{store.shared_dir(spark)}/segments-{uuid.uuid4().hex}"
 
 
 def sealed(spark, sf, positional: bool = False, part=None) -> store.SegmentStore:
     """documents as segments of 250 ids each."""
     s = store.SegmentStore(spark, _scratch(spark))
-    i = index(spark, sf, positional).persist()
+    i = index(spark, sf, positional)
     if part is not None:
         i = Index(i.entries.where(part), i.docs.where(part), None if i.positions is None else i.positions.where(part))
     s.seal(i, by=F.floor(F.col("doc_id") / 250))
-    i.unpersist()
     return s
 
 
@@ -354,11 +349,110 @@ def audit(spark, sf):
     return store.audit_entries(i.entries, i.docs)
 
 
-@query("SELECT term, count(*) AS df FROM p GROUP BY term")
+#: CRC32 (polynomial EDB88320, reflected) of "doc_id:w", bit by bit.
+CRC = """, m AS (SELECT term, doc_id, concat(doc_id, ':', w) AS s FROM p),
+c AS (SELECT term, doc_id // 250 AS segment_id, xor(list_reduce(list_transform(generate_series(0, 8 * length(s) - 1), lambda i: (ascii(substr(s, i // 8 + 1, 1)) >> (i % 8)::INT) & 1), lambda crc, b: xor(crc >> 1, 3988292384 * (xor(crc, b) & 1)), 4294967295), 4294967295) AS crc FROM m)"""
+
+
+@query(CRC + " SELECT segment_id, term, CAST(sum(crc) AS BIGINT) AS checksum FROM c GROUP BY segment_id, term")
 def checksum(spark, sf):
     s = sealed(spark, sf)
     s.verify()
-    return s.terms().groupBy("term").agg(F.sum("df").alias("df"))
+    return s.terms().select("segment_id", "term", "checksum")
+
+
+@query(""", x AS (SELECT term, doc_id, w FROM p WHERE doc_id < 50), k AS (SELECT doc_id FROM d WHERE doc_id < 50)
+SELECT 'non_increasing_doc' AS violation, count(*) AS n FROM x WHERE doc_id = 3 UNION ALL SELECT 'zero_weight', count(*) FROM x WHERE doc_id = 5 UNION ALL SELECT 'weight_overflow', count(*) FROM x WHERE doc_id = 7
+UNION ALL SELECT 'unknown_doc', count(*) FROM x WHERE doc_id % 10 = 9 UNION ALL SELECT 'duplicate_doc', 1""")
+def audit_faults(spark, sf):
+    """Entries with a fault of each kind, found and counted."""
+    i = index(spark, sf)
+    rows, docs = i.entries.where("doc_id < 50"), i.docs.where("doc_id < 50 and doc_id % 10 <> 9")
+    twice = rows.where("doc_id = 3")
+    bad = rows.withColumn("w", F.expr("CASE doc_id WHEN 5 THEN 0 WHEN 7 THEN 4294967296 ELSE w END"))
+    return store.audit_entries(bad.unionByName(twice), docs.union(docs.where("doc_id = 2")))
+
+
+@query("SELECT * FROM (VALUES ('DocLengthOverflow'), ('DuplicateDocId'), ('DuplicateTermId'), ('EmptyEntryList'), ('EmptyTerm'), ('PositionOutOfRange'), ('UnsortedDocId'), ('UnsortedTermId')) x(error)")
+def validations(spark, sf):
+    """The error that each planted fault raises."""
+    i = index(spark, sf, True)
+    docs, ps = i.docs.where("doc_id < 50"), i.positions.where("doc_id < 50")
+    lists = i.entries.where("term in ('the', 'license')").groupBy("term").agg(F.collect_list(F.struct("doc_id", "w")).alias("entries")).withColumn("at", F.col("term") == "the")
+    faults = [
+        lambda: store.validate_document_lengths(docs.withColumn("doc_len", F.lit(2**32))),
+        lambda: store.validate_document_lengths(docs.union(docs.where("doc_id = 2"))),
+        lambda: store.validate_document_lengths(docs.withColumn("at", -F.col("doc_id")), "at"),
+        lambda: store.validate_term_lists(lists.union(lists)),
+        lambda: store.validate_term_lists(lists.withColumn("entries", F.slice("entries", 1, 0))),
+        lambda: store.validate_term_lists(lists.withColumn("at", ~F.col("at")), "at"),
+        lambda: store.validate_positions(ps.withColumn("term", F.lit("")), docs),
+        lambda: store.validate_positions(ps.withColumn("ps", F.reverse(F.transform("ps", lambda p: p + 1_000_000))), docs),
+    ]
+    out = []
+    for f in faults:
+        try:
+            f()
+            out.append(("none",))
+        except store.IndexDataError as e:
+            out.append((type(e).__name__,))
+    store.validate_document_lengths(docs.withColumn("at", F.col("doc_id")), "at")
+    store.validate_term_lists(lists, "at")
+    store.validate_positions(ps, docs)
+    return spark.createDataFrame(out, "error string")
+
+
+@query("SELECT term, doc_id, w FROM p WHERE doc_id % 7 <> 0")
+def snapshot_roundtrip(spark, sf):
+    """Saved twice, the second time without hidden documents; the last one is loaded."""
+    path, i = _scratch(spark), index(spark, sf)
+    store.save(i, path)
+    store.save(delete_documents(i, hidden(spark, sf)), path)
+    return store.load(spark, path).entries
+
+
+@query("SELECT term, doc_id, CAST(pos AS INTEGER) AS pos FROM tok WHERE doc_id % 7 <> 0")
+def delete_positions(spark, sf):
+    return delete_documents(index(spark, sf, True), hidden(spark, sf)).positions.select("term", "doc_id", F.explode("ps").alias("pos"))
+
+
+@query("SELECT doc_id // 250 AS segment_id, term, doc_id, CAST(pos AS INTEGER) AS pos FROM tok")
+def sealed_positions(spark, sf):
+    return sealed(spark, sf, True).open().positions.select("segment_id", "term", "doc_id", F.explode("ps").alias("pos"))
+
+
+@query("SELECT DISTINCT doc_id FROM tok WHERE term = 'license'")
+def docs_with_term(spark, sf):
+    return lookup.docs_with_term(index(spark, sf, True), "license")
+
+
+@query("SELECT 0 AS num_docs, 0 AS total_doc_len, CAST(0 AS DOUBLE) AS avg_doc_len, CAST(NULL AS BIGINT) AS min_doc_id, CAST(NULL AS BIGINT) AS max_doc_id")
+def empty_stats(spark, sf):
+    return lookup.corpus_stats(empty_index(spark))
+
+
+@query(_top_sql(dict(MULTI), 10, where="doc_id % 7 <> 0"))
+def topk_pruned_mask(spark, sf):
+    return score.top_k_pruned(index(spark, sf), MULTI, 10, width=128, mask=hidden(spark, sf))
+
+
+@query(_top_sql(dict(MULTI), 10))
+def topk_pruned_sealed(spark, sf):
+    """Pruned by the bounds and statistics that sealing has stored."""
+    s = sealed(spark, sf)
+    return score.top_k_pruned(s.open(), MULTI, 10, width=128, bounds=score.stored_bounds(s.blocks(), MULTI, 128), stats=s.statistics())
+
+
+@query(_top_sql(dict(MULTI), 10, where="doc_id % 7 <> 0"))
+def topk_pruned_sealed_mask(spark, sf):
+    s = sealed(spark, sf)
+    return score.top_k_pruned(s.open(), MULTI, 10, width=128, bounds=score.stored_bounds(s.blocks(), MULTI, 128), stats=s.statistics(), mask=hidden(spark, sf))
+
+
+@query("SELECT min(w) >= 0 AS plain, false AS with_negative FROM p")
+def nonnegativity(spark, sf):
+    s = sealed(spark, sf)
+    return spark.createDataFrame([(score.nonnegative(s.open(), MULTI, s.statistics()), score.nonnegative(s.open(), [("the", 1.0), ("with", -2.0)]))], "plain boolean, with_negative boolean")
 
 
 # Phrases and proximity
@@ -412,7 +506,8 @@ def near_multiplicity(spark, sf):
 
 
 def _segments(spark, sf) -> Index:
-    return phrase.segmented(index(spark, sf, True), F.floor(F.col("doc_id") / 250))
+    """Sealed positional segments, as they are opened."""
+    return sealed(spark, sf, True).open()
 
 
 @query(_pairs("JOIN tok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN tok c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 WHERE a.term = 'in' AND b.term = 'onbleea' AND c.term = 'of' AND a.doc_id % 7 <> 0"))
@@ -469,6 +564,19 @@ def compressed_sets(spark, sf):
     return packed.select("term", "block_no", _text(codec.decompress_set(F.col("data"))).alias("ids"))
 
 
+@query(LISTS + " SELECT term, block_no, CAST(list(gap ORDER BY doc_id) AS VARCHAR) AS gaps, CAST(list(least(doc_id * 100000, 4294967295) ORDER BY doc_id) AS VARCHAR) AS held FROM g GROUP BY term, block_no")
+def unchecked_codecs(spark, sf):
+    """Gaps without a check, and sums that are held at the largest id."""
+    gaps = _id_lists(spark, sf).select("term", "block_no", codec.gaps_from_sorted_ids_unchecked(F.col("ids")).alias("gaps"))
+    wide = codec.ids_from_gaps_unchecked(F.transform("gaps", lambda g: g * 100_000))
+    return gaps.select("term", "block_no", _text(F.col("gaps")).alias("gaps"), _text(wide).alias("held"))
+
+
+@query(LISTS + ", o AS (SELECT *, row_number() OVER (PARTITION BY term, block_no ORDER BY doc_id) AS r FROM b) SELECT term, block_no, max(CASE WHEN r = 3 THEN doc_id END) AS third, count(CASE WHEN doc_id < 500 THEN 1 END) AS below FROM o GROUP BY term, block_no")
+def set_access(spark, sf):
+    return _id_lists(spark, sf).select("term", "block_no", codec.element(F.col("ids"), 2).alias("third"), codec.rank(F.col("ids"), 500).alias("below"))
+
+
 @query(", v AS (SELECT doc_id, pos, len(term) <= lag(len(term)) OVER (PARTITION BY doc_id ORDER BY pos) AS bad FROM tok), m AS (SELECT doc_id, min(pos) AS place FROM v WHERE bad GROUP BY doc_id) SELECT d.doc_id, coalesce(place, -1) AS first_bad FROM d LEFT JOIN m USING (doc_id)")
 def validate_sorted(spark, sf):
     sizes = F.transform("terms", lambda t: F.char_length(t).cast("long"))

@@ -9,6 +9,7 @@ here: there is no fsync.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -26,6 +27,18 @@ POINTER = "version string, term string, weight string, positional boolean"
 ROWS_PER_FILE = 4_000_000
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see, as the cluster names it in spark.checkpoint.dir; a
+    temporary one only where all is one machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='termloom-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
