@@ -16,7 +16,7 @@ lost.  Shingles frequent in a sample come last, which keeps lists short; the
 order has no bearing on the result.  Shared lists are tallied per pair of a text
 and a list's hub, and the pair with the most is looked at; what that leaves apart
 is compared pair by pair.  Pairs pass bounds that hold without exception (sizes;
-parities of shingles in 256 places, of which no more differ than shingles do), then
+parities of shingles in 1,024 places, of which no more differ than shingles do), then
 the sets themselves are compared.
 
 Hot groups: exact copies are one fingerprint and meet only in partial
@@ -46,6 +46,8 @@ MUL = np.uint64(0x9E3779B97F4A7C15)
 SHORT = 24
 #: Texts, about, whose shingles are counted for the order, and shingles at most that are put last.
 SAMPLE, FREQUENT = 20_000, 200_000
+#: Places whose parities are compared.
+PLACES = 1024
 #: Longer lists of texts that are not alike are compared part by part.
 PART = 2_048
 
@@ -240,14 +242,19 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, n))
 
 
-def parities(own: np.ndarray) -> list[int]:
-    """Four words: bit k is the parity of how many of the hashes fall in place k of 256."""
-    odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256).astype(np.uint8) & 1
-    return np.packbits(odd, bitorder="little").view(np.int64).tolist()
+def parities(own: np.ndarray) -> bytes:
+    """Bit k is the parity of how many of the hashes fall in place k of 1,024."""
+    odd = np.bincount((own >> np.uint64(54)).astype(np.int64), minlength=PLACES).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def odds(column) -> np.ndarray:
+    """Parities of an Arrow column, a row of words for each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PLACES // 64)
 
 
 def shingle_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
-    """row_id, doc_id, node (a hash of the shingle set), size, parities p0, ...
+    """row_id, doc_id, node (a hash of the shingle set), size, odd (parities)
     and head (the shingles under which the set is listed) of rows (row_id, doc_id, text)."""
     spark = rows.sparkSession
     rate = max(1, rows.count() // SAMPLE)
@@ -273,11 +280,11 @@ def shingle_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                     rank = np.where(known[at] == hashes, times[at], 0)
                 head = hashes[np.lexsort((hashes, rank))[: size - math.ceil(similarity * size - 1e-9) + 1]]
-            yield x[0], x[1], signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), size, *parities(own), head.tolist()
+            yield x[0], x[1], signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), size, parities(own), head.tolist()
 
         return row
 
-    return map_rows(rows.select("row_id", "doc_id", "text"), make, "row_id long, doc_id long, node long, size int, p0 long, p1 long, p2 long, p3 long, head array<long>", 2_000)
+    return map_rows(rows.select("row_id", "doc_id", "text"), make, "row_id long, doc_id long, node long, size int, odd binary, head array<long>", 2_000)
 
 
 def hub_pairs(some: DataFrame) -> DataFrame:
@@ -304,9 +311,26 @@ def hub_pairs(some: DataFrame) -> DataFrame:
     return some.repartitionByRange("h", "node").sortWithinPartitions("h", "node").mapInArrow(run, "a long, b long")
 
 
+def within_bounds(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, row_a, row_b): pairs that sizes and parities don't rule out.
+
+    Sets of a share s in common differ in (1 - s) / (1 + s) of their sizes' sum at most.
+    """
+    schema, bound = pa_schema(pairs.sparkSession, "a long, b long, row_a long, row_b long"), (1 - similarity) / (1 + similarity)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 5))
+                ok = (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6) & (np.bitwise_count(odds(batch.column(6)) ^ odds(batch.column(7))).sum(1, dtype=np.int64) <= bound * (x + y) + 1e-6)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:4]], schema=schema)
+
+    return pairs.select("a", "b", "row_a", "row_b", "size_a", "size_b", "odd_a", "odd_b").mapInArrow(run, "a long, b long, row_a long, row_b long")
+
+
 def unlike_pairs(lists: DataFrame, similarity: float) -> DataFrame:
     """(a, b, row_a, row_b): pairs of one list that no links connect so far and that
-    no bound rules out, of rows (h, x, y, part, size, root, node, row, p0, ...).
+    no bound rules out, of rows (h, x, y, part, size, root, node, row, odd).
 
     A group (h, x, y) is one list, or the pairs between two parts of a long one.
     """
@@ -314,7 +338,7 @@ def unlike_pairs(lists: DataFrame, similarity: float) -> DataFrame:
     bound = (1 - similarity) / (1 + similarity)
 
     def pairs(c: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
-        _, x, y, part, size, root, node, row, *p = c
+        _, x, y, part, size, root, node, row, odd = c
         left = np.repeat(np.append(starts[1:], len(size)), np.diff(np.append(starts, len(size)))) - np.arange(len(size)) - 1  # rows of the group that follow
         found = []
         for away in range(1, int(left.max(initial=0)) + 1):
@@ -324,7 +348,8 @@ def unlike_pairs(lists: DataFrame, similarity: float) -> DataFrame:
                 break
             j = i + away
             ok = (root[i] != root[j]) & ((x[i] == y[i]) | (part[i] != part[j]))
-            ok &= sum(np.bitwise_count((q[i] ^ q[j]).view(np.uint64)).astype(np.int64) for q in p) <= bound * (size[i] + size[j]) + 1e-6
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) <= bound * (size[i] + size[j]) + 1e-6
             found.append((i[ok], j[ok]))
         i, j = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
         less = node[i] < node[j]
@@ -336,7 +361,7 @@ def unlike_pairs(lists: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            c = [col.to_numpy(zero_copy_only=False) for col in batch.columns]
+            c = [col.to_numpy(zero_copy_only=False) for col in batch.columns[:-1]] + [odds(batch.columns[-1])]
             if held is not None:
                 c = [np.concatenate(z) for z in zip(held, c, strict=True)]
             starts = np.flatnonzero(np.append(True, (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]) | (c[2][1:] != c[2][:-1])))
@@ -389,9 +414,8 @@ def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     First each node is compared with the hub that it shares most lists with; then,
     of lists whose nodes are not connected by that, the pairs between components.
     """
-    parities_ = ["p0", "p1", "p2", "p3"]
     sets = stored(shingle_rows(rows, n, similarity))
-    own = stored(sets.groupBy("node", "size", *parities_).agg(F.min("row_id").alias("row"), F.count("*").alias("n")))
+    own = stored(sets.groupBy("node", "size", "odd").agg(F.min("row_id").alias("row"), F.count("*").alias("n")))
     heads = sets.select(F.explode("head").alias("h"), "node")
     common = heads.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("h")  # most shingles list one set only
     some = stored(in_bitmap(heads, common, "h").distinct())
@@ -399,18 +423,15 @@ def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     best = tally.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
     info = own.drop("n")
     a, b = (info.toDF(*[f"{c}_{x}" if c != "node" else x for c in info.columns]) for x in "ab")
-    both = best.join(a, "a").join(b, "b")
-    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in parities_), F.lit(0))
-    # Sets of a share s in common differ in (1 - s) / (1 + s) of their sizes' sum at most.
-    may = (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-6) & (differ <= (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
-    edges = stored(alike(stored(both.where(may).select("a", "b", "row_a", "row_b")), rows, n, similarity))
+    first = within_bounds(best.join(a, "a").join(b, "b"), similarity)
+    edges = stored(alike(stored(first), rows, n, similarity))
     tree = components(edges)
     placed = stored(some.join(tree, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root")))
     apart = placed.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     parts = F.ceil(F.col("n") / PART)
     rest = placed.join(apart.select("h", "n"), "h").withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     rest = rest.select("h", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "root", "node").join(info, "node")
-    lists = rest.select("h", "x", "y", "part", "size", "root", "node", "row", *parities_).repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "size")
+    lists = rest.select("h", "x", "y", "part", "size", "root", "node", "row", "odd").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "size")
     more = stored(unlike_pairs(lists, similarity).distinct())
     if not more.isEmpty():
         tree = components(edges.union(alike(more, rows, n, similarity)))
