@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, map_rows, ship, stored, utf8
+from .common import LOWER, documents, hot_join, map_rows, ship, stored, utf8
 
 KINDS = ("email", "ip", "card", "phone", "term-general", "term-remove")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -113,7 +113,7 @@ def terms(text: str, spans: list[tuple[int, int, int, str]]) -> tuple[list[tuple
     return out, key(" ".join(words).encode("utf-8", "replace"))
 
 
-FOUND = "row_id long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, terms array<struct<term:long,start:int,end:int>>, context long, entities array<long>"
+FOUND = "row_id long, doc_id long, text_a long, text_b long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, terms array<struct<term:long,start:int,end:int>>, context long, entities array<long>"
 
 
 def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,11 +124,16 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             text = x[2] or ""
             spans = base_spans(text)
             n = [sum(s[1] == k for s in spans) for k in range(4)]
-            yield x[0], x[1], *n, hashlib.sha256(joined(spans).encode()).hexdigest(), [s[:3] for s in spans], *(terms(text, spans) if spans else ([], 0)), list({key(f"{s[1]}:{s[3]}".encode("utf-8", "replace")) for s in spans})
+            yield *x[:2], *x[3:], *n, hashlib.sha256(joined(spans).encode()).hexdigest(), [s[:3] for s in spans], *(terms(text, spans) if spans else ([], 0)), list({key(f"{s[1]}:{s[3]}".encode("utf-8", "replace")) for s in spans})
 
         return row
 
-    return map_rows(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), make, FOUND, 1_000)
+    return map_rows(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), *text_keys(F.col(text_col))), make, FOUND, 1_000)
+
+
+def text_keys(text: Column) -> list[Column]:
+    """128 bits that tell texts apart; a text's spans depend on nothing else of its row."""
+    return [F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit("pii"), text, F.lit("pii")).alias("text_b")]
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
@@ -167,22 +172,22 @@ def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text"
 
 
 def disclosing(docs: DataFrame, seen: DataFrame, text_col: str = "text", support: int = 2, general: float = 0.8, remove: float = 0.9) -> DataFrame:
-    """(entity, term, kind): pairs whose disclosure reaches a threshold; kind 4 generalise, 5 remove."""
+    """(entity, term, n_e, kind): pairs whose disclosure reaches a threshold; kind 4 generalise, 5 remove."""
     n = float(seen.count())
     holds = seen.select("row_id", F.explode("entities").alias("entity"))
-    n_e = holds.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < n))
-    holds = stored(holds.join(n_e, "entity"))
+    n_e = stored(holds.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < n)))
+    holds = stored(hot_join(holds, n_e, ["entity"], "n_e", ["row_id"]))
     words = seen.join(holds.select("row_id").distinct(), "row_id", "left_semi").select("row_id", "context", F.explode(F.array_distinct("terms.term")).alias("term"))
-    n_t = document_frequency(docs, words.groupBy("term").count().where(F.col("count") >= support).select("term"), text_col)
+    n_t = stored(document_frequency(docs, words.groupBy("term").count().where(F.col("count") >= support).select("term"), text_col))
 
     def share(n_et: Column) -> Column:
         return F.log2(n_et * n / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(n) / F.col("n_e"))
 
     # A pair can't be in more documents than the rarer of both: terms too common for that never count.
-    may = holds.join(words.join(n_t, "term"), "row_id").where(share(F.least("n_e", "n_t")) >= general - 1e-9)
+    may = holds.join(hot_join(words, n_t, ["term"], "n_t", ["row_id"]), "row_id").where(share(F.least("n_e", "n_t")) >= general - 1e-9)
     pairs = may.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_et"), F.min("context").alias("a"), F.max("context").alias("b"))
     known = pairs.where((F.col("n_et") >= support) & (F.col("a") < F.col("b"))).withColumn("share", share(F.col("n_et")))
-    return known.where(F.col("share") >= general).select("entity", "term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind"))
+    return known.where(F.col("share") >= general).select("entity", "term", "n_e", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind"))
 
 
 def sensitive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 2, general: float = 0.8, remove: float = 0.9) -> DataFrame:
@@ -195,7 +200,7 @@ def sensitive(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     seen = stored(found(docs, id_col, text_col))
     bad = stored(disclosing(docs, seen, text_col, support, general, remove))
-    told = seen.select("row_id", F.explode("entities").alias("entity")).join(bad, "entity").groupBy("row_id", "term").agg(F.max("kind").alias("kind"))
+    told = hot_join(seen.select("row_id", F.explode("entities").alias("entity")), bad, ["entity"], "n_e", ["row_id"]).groupBy("row_id", "term").agg(F.max("kind").alias("kind"))
     places = seen.join(told.select("row_id").distinct(), "row_id", "left_semi").select("row_id", F.explode("terms").alias("x")).select("row_id", "x.term", "x.start", "x.end")
     hits = places.join(told, ["row_id", "term"])
     per_row = hits.groupBy("row_id").agg(F.collect_list(F.struct("start", "kind", "end")).alias("terms"))
@@ -218,14 +223,23 @@ def redact(text: str | None, spans) -> str | None:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
-    """docs with sanitised texts; rows are matched by their (unique) id."""
-    spans = sensitive(docs, id_col, text_col, **thresholds).where(F.size("all_spans") > 0).select(F.col("doc_id").alias(id_col), F.col("all_spans").alias("_spans"))
+    """docs with sanitised texts; all rows and columns stay.
+
+    Spans are matched to rows by their texts, whatever their ids: null and repeated
+    ones don't matter.  Null texts stay null, empty ones empty.  An empty table gives
+    no rows.
+    """
+    spans = sensitive(docs, id_col, text_col, **thresholds).where(F.size("all_spans") > 0).groupBy("text_a", "text_b").agg(F.first("all_spans").alias("spans"))
     ship(docs.sparkSession)
     clean = F.pandas_udf(lambda t, s: t.combine(s, lambda x, y: redact(x, None if y is None else [(z["start"], z["kind"], z["end"]) for z in y])), "string")
-    return docs.join(spans, id_col, "left").withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(clean(text_col, "_spans"))).drop("_spans")
+    text = F.col(f"row.`{text_col}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *text_keys(F.col(f"`{text_col}`")))
+    done = rows.join(spans, ["text_a", "text_b"], "left").select("row", F.when(F.col("spans").isNull(), text).otherwise(clean(text, F.col("spans"))).alias("clean"))
+    return done.select(*[(F.col("clean") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data, and the terms that disclose it, of every document."""
     got = sensitive(documents(spark, sf_dir))
     names = F.array(*map(F.lit, KINDS))
     text = F.concat_ws(",", F.transform("all_spans", lambda s: F.concat(F.element_at(names, s["kind"] + 1), F.lit(":"), s["start"], F.lit(":"), s["end"])))

@@ -80,6 +80,69 @@ def test_disclosure_reaches_whole_documents(spark):
     assert [x for _, x in tagged[2]] == ["zebulon"] and not any(tagged[d] for d, _ in rows[2:])
 
 
+def brute_disclosure(texts, support=2, general=0.8, remove=0.9):
+    """Spans of each text, by counting documents plainly."""
+    import math
+    from collections import defaultdict
+
+    spans = [pii.base_spans(t or "") for t in texts]
+    entities = [{(s[1], s[3]) for s in x} for x in spans]
+    split = [pii.terms(t or "", x) for t, x in zip(texts, spans, strict=True)]
+    words = [set(pii.utf8(t).translate(pii.TERMS).split()) for t in texts]
+    holds, n_et, contexts, out = defaultdict(int), defaultdict(int), defaultdict(set), []
+    for e in entities:
+        for x in e:
+            holds[x] += 1
+    for e, (found, context) in zip(entities, split, strict=True):
+        for x in e:
+            for term in {f[0] for f in found}:
+                n_et[x, term] += 1
+                contexts[x, term].add(context)
+    n_t = defaultdict(int)
+    for w in words:
+        for term in {pii.key(x) for x in w}:
+            n_t[term] += 1
+    n = len(texts)
+    kinds = {}
+    for (x, term), k in n_et.items():
+        if k >= support and support <= holds[x] < n and len(contexts[x, term]) > 1:
+            share = math.log2(k * n / (holds[x] * n_t[term])) / math.log2(n / holds[x])
+            if share >= general:
+                kinds[x, term] = 5 if share >= remove else 4
+    for e, x, (found, _) in zip(entities, spans, split, strict=True):
+        more = [(a, max(kinds[y, t] for y in e if (y, t) in kinds), b) for t, a, b in found if any((y, t) in kinds for y in e)]
+        out.append(sorted([s[:3] for s in x] + more))
+    return out
+
+
+def test_disclosure_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(21)
+    vocab = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "su") for b in ("ra", "no", "vi") for c in ("n", "s", "th", "la")]
+    people = [(f"p{k}@corp.example", rng.sample(vocab, 4)) for k in range(12)] + [("84.1.2.3", rng.sample(vocab, 2))]
+    rows = []
+    for d in range(150):
+        text = [rng.choice(vocab[:30]) for _ in range(rng.randrange(0, 25))]
+        for who, own in rng.sample(people, rng.choice((0, 0, 1, 1, 2))):
+            text += [who, *(w for w in own if rng.random() < 0.8)]
+        rng.shuffle(text)
+        rows.append((rng.choice((d, None, 5)), " ".join(text)))
+    rows += rows[:10] + [(1, None), (2, "")]
+    want = brute_disclosure([t for _, t in rows])
+    got = pii.sensitive(table(spark, rows)).collect()
+    assert sorted((str(r.doc_id), [tuple(s) for s in r.all_spans]) for r in got) == sorted((str(d), s) for (d, _), s in zip(rows, want, strict=True))
+    assert {k for s in want for _, k, _ in s} >= {0, 1, 4, 5}
+
+
+def test_sanitise_goes_by_text(spark):
+    rows = [(None, "mail joe@corp.example now"), (5, "call joe@corp.example"), (5, "call just text"), (5, "call joe@corp.example"), (6, None), (7, "")]
+    docs = table(spark, rows)
+    got = pii.sanitise(docs.withColumnRenamed("h", "spans"))
+    assert "spans" in got.columns and got.count() == len(rows)
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted([("None", "mail [EMAIL] now"), ("5", "call [EMAIL]"), ("5", "call just text"), ("5", "call [EMAIL]"), ("6", "None"), ("7", "")])
+
+
 def test_pii_awkward(spark):
     got = pii.sensitive(table(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD) and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() and not r.all_spans for r in got)
