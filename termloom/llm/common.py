@@ -28,9 +28,11 @@ def utf8(text: str | None) -> bytes:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see, as the cluster names it; one of our own only if none is named."""
+    """The folder that all executors see, as the cluster names it; a temporary one only where all is one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='termloom-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -55,16 +57,19 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], n: str, spread: list[str], ways: int = 64) -> DataFrame:
-    """Inner join of left with right, whose rows are unique for the key and count in ``n`` the
-    rows of left that have it.  A key with more than a thousandth of all those rows (there are
-    less than a thousand such) is split ``ways`` ways by the columns ``spread`` of left."""
-    total = right.agg(F.sum(n)).first()[0] or 0
-    hot = F.broadcast(right.where(F.col(n) * 1000 > total).select(*on).distinct().withColumn("_hot", F.lit(True)))  # under 1,000 keys
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], n: str, spread: list[str], by: list[str] | None = None, ways: int = 64) -> DataFrame:
+    """Inner join of left with stored right, whose column ``n`` counts the rows of left that
+    have its key.  A key with more than a thousandth of all those rows (there are less than
+    a thousand such) is split ``ways`` ways by the columns ``spread`` of left.  ``by``:
+    columns of the key that tell hot keys well enough, if others are large."""
+    by = by or on
+    counts = right.select(*on, n).distinct()
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col(n) * 1000 > total).select(*by).distinct().withColumn("_hot", F.lit(True)))  # under 1,000 keys
     part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(ways))).otherwise(0).cast("long").alias("_part")
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    a = left.join(hot, on, "left").select(*left.columns, part)
-    b = right.join(hot, on, "left").select(*right.columns, F.explode(parts).alias("_part"))
+    a = left.join(hot, by, "left").select(*left.columns, part)
+    b = right.join(hot, by, "left").select(*right.columns, F.explode(parts).alias("_part"))
     return a.join(b, [*on, "_part"]).drop("_part")
 
 

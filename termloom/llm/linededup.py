@@ -10,8 +10,8 @@ in the corpus are removed but for their first place, by (doc_id, position).
 
 Equality is that of bytes: hashes only choose candidates, and candidates are
 grouped by their text.  DataFrame functions only.  Counts are combined before
-each shuffle, so a chunk that stands in a third of all documents is as cheap as
-any other; a bitmap of fixed size (2 MB) keeps chunks whose hash stands alone
+each shuffle and the places of a frequent chunk are dealt to many tasks, so one that
+stands in a third of all documents is as cheap as any other; a bitmap of fixed size (2 MB) keeps chunks whose hash stands alone
 out of the shuffle that carries text.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, hot_join, stored
 
 #: A chunk may end after a line where the rolling hash is divisible by this.
 EVERY = 2
@@ -83,8 +83,8 @@ def repeated(docs: DataFrame, every: int = EVERY) -> DataFrame:
     counts = all_.select("h").groupBy("h").count().where("count > 1")
     some = stored(in_bitmap(all_, counts.select("h"), "h"))
     place = F.struct("key", "th", "pos")
-    first = some.groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    later = some.join(first, ["h", "chunk"]).where(place != F.col("first"))
+    first = stored(some.groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
+    later = hot_join(some, first, ["h", "chunk"], "n", ["key", "th", "pos"], by=["h"]).where(place != F.col("first"))
     return later.groupBy("key", "th").agg(F.collect_set("pos").alias("removed"))
 
 
@@ -112,6 +112,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without repeated chunks of lines, and how many went."""
     return line_dedup(documents(spark, sf_dir).select("doc_id", "text"), count=True)
 
 
