@@ -43,6 +43,8 @@ SPAN, SEED_BYTES = 50, 16
 MUL_A, MUL_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Strings of a region at most (its length is kept in 13 bits); bytes after which a shard is sorted.
 LONGEST, SHARD = 4095, 1 << 22
+#: Bytes of text for which there is one bucket of hashes; buckets at least; packed bytes of a bucket that are sorted at once.
+BUCKET, BUCKETS, LARGEST = 1 << 22, 64, 1 << 24
 #: The id as which null counts.
 LAST = (1 << 63) - 1
 #: One text in so many is looked at for common hashes; texts of that sample that make one common; common ones at most.
@@ -197,35 +199,95 @@ def merged(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[at], reach[np.append(at[1:], len(first)) - 1]
 
 
-def sort_shard(entries: list[tuple[int, int, int, bytes]], span: int = SPAN) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, bytes]]]:
-    """Of regions (key, row, mark, bytes) the (row, mark) of intervals that go, and
-    the regions that hold a string whose smallest key is theirs."""
-    lengths = np.array([len(b) for *_, b in entries])
+class Regions:
+    """Regions in columns: hash, key and number of the row, mark, bytes."""
+
+    def __init__(self, h, key, row, mark, data: list[bytes]):
+        self.h, self.key, self.row, self.mark = (np.asarray(x, np.int64) for x in (h, key, row, mark))
+        self.data = data
+
+    @property
+    def size(self) -> int:
+        return sum(map(len, self.data))
+
+    def take(self, at: np.ndarray) -> Regions:
+        data = self.data
+        return Regions(self.h[at], self.key[at], self.row[at], self.mark[at], [data[i] for i in at.tolist()])
+
+    def pack(self) -> bytes:
+        head = np.array([len(self.data)], np.int64)
+        return zstandard.compress(b"".join([x.tobytes() for x in (head, self.h, self.key, self.row, self.mark)] + self.data), 3)
+
+    @staticmethod
+    def unpack(packed: list[bytes]) -> Regions:
+        columns, data = [[], [], [], []], []
+        for x in map(zstandard.decompress, packed):
+            n = int(np.frombuffer(x, np.int64, 1)[0])
+            for k, c in enumerate(columns):
+                c.append(np.frombuffer(x, np.int64, n, 8 + 8 * n * k))
+            ends = (8 + 32 * n + np.cumsum(columns[3][-1] & 8191)).tolist()
+            data += [x[i:j] for i, j in zip([8 + 32 * n, *ends[:-1]], ends, strict=True)]
+        return Regions(*map(np.concatenate, columns), data)
+
+    def join(self, other: Regions) -> Regions:
+        return Regions(*(np.concatenate([getattr(self, c), getattr(other, c)]) for c in ("h", "key", "row", "mark")), self.data + other.data)
+
+
+def sort_shard(r: Regions, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, mark) of the intervals that go, and which regions hold a string whose smallest key is theirs."""
+    lengths = r.mark & 8191
     begins = np.cumsum(lengths + 1) - (lengths + 1)
-    text = np.frombuffer(b"\xff".join(b for *_, b in entries), np.uint8)  # no byte of UTF-8
+    text = np.frombuffer(b"\xff".join(r.data), np.uint8)  # no byte of UTF-8
     sa = suffix_array(text)
     lcp = common_prefixes(text, sa, span)
-    owner = np.repeat(np.arange(len(entries)), lengths + 1)[: len(text)]
+    owner = np.repeat(np.arange(len(lengths)), lengths + 1)[: len(text)]
     whole = np.arange(len(text)) + span <= (begins + lengths)[owner]  # a string of the region starts here
-    keys = np.array([k for k, *_ in entries], np.int64)
     group = np.cumsum(np.append(0, lcp[sa[1:]] < span))
     inside = whole[sa]
     pos, group = sa[inside], group[inside]
-    own = keys[owner[pos]]
+    own = r.key[owner[pos]]
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     least = np.repeat(np.minimum.reduceat(own, starts), np.diff(np.append(starts, len(group))))
-    held = np.zeros(len(entries), bool)
+    held = np.zeros(len(lengths), bool)
     held[owner[pos[own == least]]] = True
-    kept = [e for e, ok in zip(entries, held.tolist(), strict=True) if ok]
-    gone = np.sort(pos[own > least])
+    gone = np.sort(pos[own > least]).astype(np.int64)
     if not len(gone):
-        return [], kept
-    out = []
-    at = np.flatnonzero(np.append(True, (gone[1:] != gone[:-1] + 1) | (owner[gone[1:]] != owner[gone[:-1]])))
-    for a, b in zip(gone[at].tolist(), gone[np.append(at[1:], len(gone)) - 1].tolist(), strict=True):
-        _, row, m, _ = entries[owner[a]]
-        out.append((row, (m & -8192) + (a - int(begins[owner[a]]) << 13) + b - a + span))
-    return out, kept
+        return gone, gone, held
+    new = np.append(True, (gone[1:] != gone[:-1] + 1) | (owner[gone[1:]] != owner[gone[:-1]]))
+    at = np.flatnonzero(new)
+    first, last, of = gone[at], gone[np.append(at[1:], len(gone)) - 1], owner[gone[at]]
+    return r.row[of], (r.mark[of] & -8192) + (first - begins[of] << 13) + last - first + span, held
+
+
+def sort_all(r: Regions, span: int = SPAN) -> tuple[list[np.ndarray], list[np.ndarray], Regions]:
+    """The same for any regions, a shard at a time; those that hold a first string are left.
+
+    Groups of a hash stay together.  One that is larger than a shard is sorted in parts,
+    each with what is left of the parts before it: a string that goes is still there once.
+    """
+    r = r.take(np.argsort(r.h, kind="stable"))
+    size = (r.mark & 8191) + 1
+    starts = np.flatnonzero(np.append(True, r.h[1:] != r.h[:-1]))
+    ends = np.append(starts[1:], len(size))
+    upto = np.append(0, np.cumsum(size))
+    rows, marks, left, a = [], [], [], 0
+
+    def sort(at: np.ndarray) -> np.ndarray:
+        row, m, held = sort_shard(r.take(at), span)
+        rows.append(row)
+        marks.append(m)
+        return at[held]
+
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(upto[ends], upto[starts[a]] + SHARD, side="right")))
+        at = np.arange(starts[a], ends[b - 1])
+        kept = at[:0]
+        while len(at):
+            n = max(1, int(np.searchsorted(np.cumsum(size[at]), max(SHARD, int(size[kept].sum())), side="right"))) if b == a + 1 else len(at)
+            kept, at = sort(np.concatenate([kept, at[:n]])), at[n:]
+        left.append(kept)
+        a = b
+    return rows, marks, r.take(np.concatenate(left) if left else np.zeros(0, np.int64))
 
 
 def mark(check: int, first: int, length: int) -> int:
@@ -233,20 +295,24 @@ def mark(check: int, first: int, length: int) -> int:
     return (check & 0x7FFF) << 47 | first << 13 | length
 
 
-def spans(texts: DataFrame, firsts: DataFrame, span: int = SPAN) -> DataFrame:
-    """(row, mark): byte intervals that go.  texts: (row, check, key, data), dealt out by row."""
+def spans(texts: DataFrame, firsts: DataFrame, buckets: int, span: int = SPAN) -> DataFrame:
+    """(row, mark): byte intervals that go.  texts: (row, check, key, data), dealt out by row.
+
+    Regions travel packed, those of a batch and a bucket of hashes in one row.
+    """
     spark = texts.sparkSession
     hits = shared(firsts.select("row", "data"), span).repartition("row").groupBy("row").agg(F.collect_list("h").alias("hits"))
     often = common(firsts.select("row", "data"), span)
-    schema = "h long, key long, row long, mark long, bytes binary"
-    arrow, out_schema = pa_schema(spark, schema), pa_schema(spark, "row long, mark long")
+    schema = "bucket long, data binary"
+    out_schema = pa_schema(spark, "row long, mark long")
+    settled = -1
 
     def cut(batches):
-        """Regions with their bytes.  Of equal ones in a batch the smallest key's is
-        sent; the others are settled: they are rows without bytes."""
+        """Regions by bucket.  Of equal ones in a batch the smallest key's is sent; the
+        others are settled, and are marks only."""
         for batch in batches:
             best: dict[tuple, tuple] = {}
-            rows = []
+            again, done = [], []
             for row, check, key, data, own in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 raw = unpack(data)
                 h, first, n = hashes_of(raw, span)
@@ -263,49 +329,59 @@ def spans(texts: DataFrame, firsts: DataFrame, span: int = SPAN) -> DataFrame:
                     if old is None or old[0] > key:
                         best[h1, region] = x
                         if old:
-                            rows.append((None, None, *old[1:], None))
+                            done.append(old[1:])
                     elif old[0] < key:
-                        rows.append((None, None, *x[1:], None))
+                        done.append(x[1:])
                     else:
-                        rows.append((h1, *x, region))  # the same document's again
-            rows += [(h1, *x, region) for (h1, region), x in best.items()]
-            for at in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[at : at + 20_000], strict=True), arrow, strict=True)], schema=arrow)
+                        again.append((h1, *x, region))  # the same document's
+            if done:
+                row, m = np.array(done, np.int64).T
+                order = np.argsort(row, kind="stable")
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([settled]), "data": [zstandard.compress(row[order].tobytes() + m[order].tobytes(), 3)]})
+            if not best:
+                continue
+            all_ = Regions(*map(list, zip(*[(h1, *x, region) for (h1, region), x in best.items()], *again, strict=True)))
+            bucket = (all_.h.view(np.uint64) * MUL_B >> np.uint64(16)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)).tolist()
+            for n in range(0, len(cuts), 256):
+                parts = [order[i:j] for i, j in zip(cuts[n : n + 256], [*cuts, len(order)][n + 1 : n + 257], strict=True)]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(bucket[x[0]]) for x in parts]), "data": [all_.take(x).pack() for x in parts]})
 
     def settle(batches):
-        """Groups of a hash in order; several groups make a shard, and a large one several."""
-        shard, size, h0, begin, limit = [], 0, None, 0, SHARD
+        """Buckets in order.  Of one that grows too large what is left of it after sorting stays."""
+        now, packed, held, limit = None, [], None, LARGEST
+
+        def rows_of(row, m):
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(m)], schema=out_schema)
 
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows, strict=True)], schema=out_schema)
+        def sorted_():
+            nonlocal packed, held
+            r = Regions.unpack(packed)
+            row, m, held = sort_all(r if held is None else held.join(r), span)
+            packed = []
+            return rows_of(np.concatenate(row), np.concatenate(m))
 
         for batch in batches:
-            out = []
-            for h, key, row, m, region in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if region is None:
-                    out.append((row, m))
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket == settled:
+                    row, m = np.frombuffer(zstandard.decompress(data), np.int64).reshape(2, -1)
+                    yield rows_of(row, m)
                     continue
-                if h != h0:
-                    if size > SHARD:
-                        out += sort_shard(shard, span)[0]
-                        shard, size = [], 0
-                    h0, begin, limit = h, len(shard), max(SHARD, 2 * size)
-                elif size > limit:  # in the middle of a group
-                    out += sort_shard(shard[:begin], span)[0] if begin else []
-                    gone, shard = sort_shard(shard[begin:], span)
-                    out += gone
-                    begin, size = 0, sum(len(x[3]) + 1 for x in shard)
-                    limit = 2 * max(size, SHARD)
-                shard.append((key, row, m, region))
-                size += len(region) + 1
-            if out:
-                yield batch_of(out)
-        if shard and (out := sort_shard(shard, span)[0]):
-            yield batch_of(out)
+                if bucket != now:
+                    if packed:
+                        yield sorted_()
+                    now, held, limit = bucket, None, LARGEST
+                packed.append(data)
+                if sum(map(len, packed)) > limit:
+                    yield sorted_()
+                    limit = max(LARGEST, held.size // 2)
+        if packed:
+            yield sorted_()
 
     regions_ = texts.join(hits, "row").mapInArrow(cut, schema)
-    dealt = F.when(F.col("bytes").isNull(), F.col("row")).otherwise(F.col("h"))
-    return regions_.repartition(dealt).sortWithinPartitions("h", "key").mapInArrow(settle, "row long, mark long")
+    dealt = F.when(F.col("bucket") == settled, F.xxhash64("data")).otherwise(F.col("bucket"))
+    return regions_.repartition(dealt).sortWithinPartitions("bucket").mapInArrow(settle, "row long, mark long")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, with_text: bool = False) -> DataFrame:
@@ -345,7 +421,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     settled = copies.select(*numbers).distinct().select("row", F.col("check").alias("settled")).repartition("row")
     # Not an anti join: Catalyst would move that below the shuffle and shuffle texts again.
     firsts = texts.join(settled, "row", "left").where("settled is null or settled <> check").select("row", "data")
-    gone = spans(texts, firsts, span)
+    total = small.agg(F.sum("n_bytes")).first()[0] or 0
+    gone = spans(texts, firsts, max(BUCKETS, total // BUCKET), span)
     per_row = gone.repartition("row").groupBy("row").agg(F.collect_list("mark").alias("marks"))
 
     def make():

@@ -145,8 +145,35 @@ def test_shards_equal_brute():
         for i in range(len(b) - 49):
             if strings[b[i : i + 50]] < k:
                 want |= {(k, (m >> 13) + j) for j in range(i, i + 50)}
-    got = {(k, j) for k, m in suffix.sort_shard(entries)[0] for j in range(m >> 13, (m >> 13) + (m & 8191))}
-    assert got == want and want
+    regions = suffix.Regions([1] * len(entries), *zip(*entries, strict=True))
+    regions.data = list(regions.data)
+    again = suffix.Regions.unpack([regions.take(np.arange(25)).pack(), regions.take(np.arange(25, 40)).pack()])
+    assert again.data == regions.data and (again.mark == regions.mark).all() and (again.key == regions.key).all()
+    old = suffix.SHARD
+    try:
+        for suffix.SHARD in (old, 300):  # in one part, and in many
+            row, mark, left = suffix.sort_all(again)
+            pairs = zip(np.concatenate(row).tolist(), np.concatenate(mark).tolist(), strict=True)
+            assert {(k, j) for k, m in pairs for j in range(m >> 13, (m >> 13) + (m & 8191))} == want and want
+            assert {x for b in left.data for x in (b[i : i + 50] for i in range(len(b) - 49))} == set(strings)
+    finally:
+        suffix.SHARD = old
+
+
+def test_common_strings_are_split(spark):
+    """A rule of signs in all texts, with other words around it: its hash is found and split, results hold."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 7))
+    rows = [(d, f"{word()} {word()} {'=' * 40} {word()} {word() if d % 3 else 'the same tail of some more than fifty bytes, word for word'}") for d in range(900)]
+    old = suffix.RATE, suffix.OFTEN
+    try:
+        suffix.RATE, suffix.OFTEN = 2, 100
+        texts = spark.createDataFrame([(d, suffix.pack(t)) for d, t in rows], "row long, data binary")
+        assert len(suffix.common(texts)) > 0
+        got = suffix.substring_dedup(table(spark, shuffled(rows))).collect()
+    finally:
+        suffix.RATE, suffix.OFTEN = old
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_substrings(rows)
 
 
 # Mixing
