@@ -10,6 +10,7 @@ if no rule rejects it.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 from functools import cached_property
@@ -26,6 +27,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 
+BULLET = re.compile(r"[ \t\x0b-\r]*[-*\u2022\u2023]")
+ELLIPSIS = re.compile(r"(?:\.\.\.|\u2026)[ \t\x0b-\r]*\Z")
+
+
 class Features:
     """What the rules look at; each part is computed once, when first asked for."""
 
@@ -56,6 +61,18 @@ class Features:
     def n_dup_lines(self) -> int:
         return len(self.lines) - len(set(self.lines))
 
+    @cached_property
+    def n_bullets(self) -> int:
+        return sum(BULLET.match(x) is not None for x in self.lines)
+
+    @cached_property
+    def n_ellipses(self) -> int:
+        return sum(ELLIPSIS.search(x) is not None for x in self.lines) if "..." in self.text or "\u2026" in self.text else 0
+
+    @cached_property
+    def n_unique(self) -> int:
+        return len(set(self.words))
+
     @cached_property
     def n_letters(self) -> int:
         plain = self.text.encode("ascii", "ignore")
@@ -116,6 +133,9 @@ RULES: dict[str, Callable[[Features], bool]] = {
     "long_words": lambda x: x.word_chars > 30 * x.n_words,
     "few_letters": lambda x: 100 * x.n_letters < 40 * x.word_chars,
     "controls": lambda x: 100 * x.n_controls > x.word_chars,
+    "bullet_lines": lambda x: len(x.lines) > 2 and 100 * x.n_bullets > 90 * len(x.lines),
+    "ellipsis_lines": lambda x: len(x.lines) > 2 and 100 * x.n_ellipses > 30 * len(x.lines),
+    "few_unique_words": lambda x: x.n_words >= 50 and 100 * x.n_unique < 10 * x.n_words and x.n_words < 5_000,
 }
 BASE = ("too_short", "repeated_windows")
 
@@ -128,12 +148,7 @@ def estimate(docs: DataFrame, text_col: str = "text", rules: tuple[str, ...] = t
     """
 
     def make():
-        done = [0]
-
         def row(x):
-            if done[0] >= sample:
-                return
-            done[0] += 1
             for name in rules:
                 t = time.perf_counter()
                 bad = RULES[name](Features(x[0]))
@@ -141,7 +156,8 @@ def estimate(docs: DataFrame, text_col: str = "text", rules: tuple[str, ...] = t
 
         return row
 
-    got = map_rows(docs.select(F.col(text_col)), make, "rule string, cost double, bad int")
+    first = docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))  # in its partition
+    got = map_rows(first.where(F.col("place") < sample).select("text"), make, "rule string, cost double, bad int")
     stats = {r.rule: (r.bad, r.cost) for r in got.groupBy("rule").agg(F.sum("bad").alias("bad"), F.sum("cost").alias("cost")).collect()}  # a row for each rule
     return sorted(rules, key=lambda r: (-stats.get(r, (0, 1))[0] / max(stats.get(r, (0, 1))[1], 1e-9), r))
 
@@ -191,6 +207,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", order: list[str] | None =
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of every document."""
     return quality(documents(spark, sf_dir))
 
 
@@ -205,10 +222,12 @@ c AS (SELECT doc_id, max(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETW
 n AS (SELECT doc_id, sum(covered) AS n_repeat FROM c GROUP BY doc_id),
 s AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
-  CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) AS n_letters,
+  CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, len(list_distinct(ws)) AS n_unique,
+  len(list_filter(ls, lambda l: regexp_matches(l, '^[ \x09\x0B-\x0D]*[-*\x{2022}\x{2023}]'))) AS n_bullets, len(list_filter(ls, lambda l: regexp_matches(l, '(\.\.\.|\x{2026})[ \x09\x0B-\x0D]*\z'))) AS n_ellipses, length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) AS n_letters,
   length(text) - length(regexp_replace(text, '[\x00-\x08\x0E-\x1F\x7F\x{FFFD}]', '', 'g')) AS n_controls FROM w LEFT JOIN n USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (10 * n_symbols > 3 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 10 * word_chars < 15 * n_words OR word_chars > 30 * n_words OR 100 * n_letters < 40 * word_chars OR 100 * n_controls > word_chars) AS kept
+  NOT base_failed AND NOT (10 * n_symbols > 3 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 10 * word_chars < 15 * n_words OR word_chars > 30 * n_words OR 100 * n_letters < 40 * word_chars OR 100 * n_controls > word_chars
+    OR n_lines > 2 AND 100 * n_bullets > 90 * n_lines OR n_lines > 2 AND 100 * n_ellipses > 30 * n_lines OR n_words >= 50 AND 100 * n_unique < 10 * n_words AND n_words < 5000) AS kept
 FROM b
 """

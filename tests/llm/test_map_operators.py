@@ -224,6 +224,13 @@ def test_quality(spark):
     assert quality.quality(table(spark, [])).count() == 0 and sorted(quality.estimate(table(spark, []))) == sorted(quality.RULES)
 
 
+def test_line_rules():
+    f = quality.Features
+    assert quality.RULES["bullet_lines"](f("- a b\n * c\n\u2022d\n")) and not quality.RULES["bullet_lines"](f("- a\n- b\nc"))
+    assert quality.RULES["ellipsis_lines"](f("one...\ntwo\u2026 \t\nthree")) and not quality.RULES["ellipsis_lines"](f("one..\ntwo\nthree"))
+    assert quality.RULES["few_unique_words"](f("a b c " * 30)) and not quality.RULES["few_unique_words"](f("a b c " * 10))
+
+
 def test_order_never_changes_the_verdict(spark):
     rows = table(spark, AWKWARD + corpus(20))
     names = list(quality.RULES)
