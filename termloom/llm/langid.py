@@ -145,6 +145,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by profiles of those that are not held out."""
     docs = documents(spark, sf_dir)
     profiles = learn(docs.where(~held_out("doc_id")))
     return identify(docs, profiles).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

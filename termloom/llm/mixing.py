@@ -28,9 +28,10 @@ def words(text_col: str) -> Column:
     return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
 
 
-def hash60(id_col: str) -> Column:
-    """The first 60 bits of the id's MD5; a null id hashes as an empty string."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def hash60(id_col: str, text_col: str) -> Column:
+    """The first 60 bits of the id's MD5, or where it is null of the text's after a colon."""
+    named = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     Sources weigh ``weights`` in turn, by code point, null last, and share
     ``total`` words (all, if None).
     """
-    sized = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"), hash60(id_col).alias("hash")))
+    sized = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"), hash60(id_col, text_col).alias("hash")))
     sources = ranked(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     n = len(weights)
     sources = stored(sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % n + 1).cast("int")).cast("long")))
@@ -119,18 +120,19 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Rows without words are dropped where their source takes none of them.
     """
     _, sources = plan(docs, id_col, text_col, source_col, **how)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("own"), hash60(id_col).alias("hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("own"), hash60(id_col, text_col).alias("hash"))
     got = rows.join(sources, F.col("own").eqNullSafe(F.col("source"))).withColumn("n", takes()).where("n > 0")
     return got.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mixture takes of every document."""
     return mix(documents(spark, sf_dir))
 
 
 SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), ':' || coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),
 o AS (SELECT *, source_size * 3 / w AS ratio FROM p),
 l AS (SELECT ratio, ((SELECT sum(source_size) FROM p) - coalesce((SELECT sum(3 * source_size) FROM o AS x WHERE x.ratio < o.ratio), 0)) / (SELECT sum(w) FROM o AS x WHERE x.ratio >= o.ratio) AS share FROM o),

@@ -194,7 +194,7 @@ def brute_mix(rows):
             break
         capped |= more
     target = {s: 3.0 * total[s] if s in capped else weight[s] * share for s in sources}
-    h = [int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:15], 16) for d, *_ in rows]
+    h = [int(hashlib.md5((f":{t or ''}" if d is None else str(d)).encode()).hexdigest()[:15], 16) for d, t, _ in rows]
     out = []
     for i, (d, _, s) in enumerate(rows):
         copies = int(target[s] // total[s]) if total[s] else 0
