@@ -30,8 +30,8 @@ def test_fixed_cases(spark):
     gone = index_of(spark, [(0, [("a", 1.0), ("b", 1.0)]), (1, [("a", 1.0)])])
     assert got(score.top_k(gone, [("a", 1.0), ("b", -1.0)], 5)) == [(1, 1.0)]
     assert got(score.top_k(gone, [("a", 1.0)], 0)) == [] and got(score.top_k(gone, [], 3)) == [] and got(score.top_k(gone, [("a", 0.0)], 3)) == []
-    toy = [(0, [("search", 0.5), ("neural", 1.5)]), (2, [("retrieval", 2.0), ("neural", 1.25)]), (3, [("search", 2.0)])]
-    assert got(score.top_k(index_of(spark, toy), [("neural", 1.5), ("retrieval", 2.0), ("search", 1.0)], 3)) == brute(toy, [("neural", 1.5), ("retrieval", 2.0), ("search", 1.0)], 3)
+    toy = [(0, [("river", 0.75), ("copper", 1.25)]), (2, [("salt", 3.0), ("copper", 0.5)]), (3, [("river", 4.0)])]
+    assert got(score.top_k(index_of(spark, toy), [("copper", 2.5), ("salt", 0.5), ("river", 1.0)], 3)) == brute(toy, [("copper", 2.5), ("salt", 0.5), ("river", 1.0)], 3)
 
 
 @pytest.mark.parametrize("stride", [1, 97])
