@@ -184,7 +184,8 @@ def disclosing(docs: DataFrame, seen: DataFrame, text_col: str = "text", support
         return F.log2(n_et * n / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(n) / F.col("n_e"))
 
     # A pair can't be in more documents than the rarer of both: terms too common for that never count.
-    may = holds.join(hot_join(words, n_t, ["term"], "n_t", ["row_id"]), "row_id").where(share(F.least("n_e", "n_t")) >= general - 1e-9)
+    together = hot_join(words, n_t, ["term"], "n_t", ["row_id"], total=n_t.agg(F.sum("n_t")).first()[0] or 0)
+    may = holds.join(together, "row_id").where(share(F.least("n_e", "n_t")) >= general - 1e-9)
     pairs = may.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_et"), F.min("context").alias("a"), F.max("context").alias("b"))
     known = pairs.where((F.col("n_et") >= support) & (F.col("a") < F.col("b"))).withColumn("share", share(F.col("n_et")))
     return known.where(F.col("share") >= general).select("entity", "term", "n_e", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind"))

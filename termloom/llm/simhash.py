@@ -46,6 +46,8 @@ MUL = np.uint64(0x9E3779B97F4A7C15)
 SHORT = 24
 #: Texts, about, whose shingles are counted for the order, and shingles at most that are put last.
 SAMPLE, FREQUENT = 20_000, 200_000
+#: Neighbours of one node above which its links are dealt to many tasks.
+WIDE = 100_000
 #: Places whose parities are compared.
 PLACES = 1024
 #: Longer lists of texts that are not alike are compared part by part.
@@ -228,7 +230,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select("b", "a")).toDF("a", "b")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        e = hot_join(both, low, ["a"], "n", ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # Few nodes have so many neighbours that one task would feel them.
+        wide = 2 * e.count() > WIDE and (low.agg(F.max("n")).first()[0] or 0) > WIDE
+        e = (hot_join(both, stored(low), ["a"], "n", ["b"]) if wide else both.join(low, "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         small = e.join(low, "a")
         e = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).where("a <> b").distinct())
