@@ -50,6 +50,8 @@ SAMPLE, FREQUENT = 20_000, 200_000
 WIDE = 100_000
 #: Places whose parities are compared.
 PLACES = 1024
+#: Turns of comparing components with hubs, before what is left apart is compared pair by pair.
+TURNS = 3
 #: Longer lists of texts that are not alike are compared part by part.
 PART = 2_048
 
@@ -291,45 +293,50 @@ def shingle_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     return map_rows(rows.select("row_id", "doc_id", "text"), make, "row_id long, doc_id long, node long, size int, odd binary, head array<long>", 2_000)
 
 
-def hub_pairs(some: DataFrame) -> DataFrame:
-    """(a, b): of lists (h, node) the first node of each with every other one.
+def hub_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """(a, b, to): of lists (h, node, root) the first node of each with every other one of
+    another root, which ``to`` is.  Each turn has an order, and so first nodes, of its own.
 
-    Ranges of (h, node) cut a long list into many tasks, each with a hub of its own.
+    Ranges of the order cut a long list into many tasks, each with a hub of its own.
     """
-    schema = pa_schema(some.sparkSession, "a long, b long")
+    schema = pa_schema(placed.sparkSession, "a long, b long, to long")
 
     def run(batches):
-        h0 = hub = None
+        h0 = hub = hub_root = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            h, node, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            hubs = node[starts]
+            hubs, roots = node[starts], root[starts]
             if h[0] == h0:
-                hubs[0] = hub
-            h0, hub = h[-1], hubs[-1]
-            a = np.repeat(hubs, np.diff(np.append(starts, len(h))))
-            yield pa.RecordBatch.from_arrays([pa.array(a[a != node]), pa.array(node[a != node])], schema=schema)
+                hubs[0], roots[0] = hub, hub_root
+            h0, hub, hub_root = h[-1], hubs[-1], roots[-1]
+            times = np.diff(np.append(starts, len(h)))
+            a, of = np.repeat(hubs, times), np.repeat(roots, times)
+            apart = of != root
+            yield pa.RecordBatch.from_arrays([pa.array(a[apart]), pa.array(node[apart]), pa.array(root[apart])], schema=schema)
 
-    return some.repartitionByRange("h", "node").sortWithinPartitions("h", "node").mapInArrow(run, "a long, b long")
+    ordered = placed.select("h", "node", "root", F.xxhash64("node", F.lit(turn)).alias("place"))
+    return ordered.repartitionByRange("h", "place").sortWithinPartitions("h", "place").select("h", "node", "root").mapInArrow(run, "a long, b long, to long")
 
 
 def within_bounds(pairs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, row_a, row_b): pairs that sizes and parities don't rule out.
+    """(a, b, row_a, row_b, to, count): pairs that sizes and parities don't rule out.
 
     Sets of a share s in common differ in (1 - s) / (1 + s) of their sizes' sum at most.
     """
-    schema, bound = pa_schema(pairs.sparkSession, "a long, b long, row_a long, row_b long"), (1 - similarity) / (1 + similarity)
+    kind = "a long, b long, row_a long, row_b long, to long, count long"
+    schema, bound = pa_schema(pairs.sparkSession, kind), (1 - similarity) / (1 + similarity)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 5))
-                ok = (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6) & (np.bitwise_count(odds(batch.column(6)) ^ odds(batch.column(7))).sum(1, dtype=np.int64) <= bound * (x + y) + 1e-6)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:4]], schema=schema)
+                x, y = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (6, 7))
+                ok = (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6) & (np.bitwise_count(odds(batch.column(8)) ^ odds(batch.column(9))).sum(1, dtype=np.int64) <= bound * (x + y) + 1e-6)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:6]], schema=schema)
 
-    return pairs.select("a", "b", "row_a", "row_b", "size_a", "size_b", "odd_a", "odd_b").mapInArrow(run, "a long, b long, row_a long, row_b long")
+    return pairs.select("a", "b", "row_a", "row_b", "to", "count", "size_a", "size_b", "odd_a", "odd_b").mapInArrow(run, kind)
 
 
 def unlike_pairs(lists: DataFrame, similarity: float) -> DataFrame:
@@ -415,22 +422,32 @@ def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     node that links reach, a link being a Jaccard similarity of at least ``similarity``.
     Rows that share a row_id (:func:`row_number`) have the same id and text.
 
-    First each node is compared with the hub that it shares most lists with; then,
-    of lists whose nodes are not connected by that, the pairs between components.
+    A few turns compare each component with one hub, that of most shared lists, which
+    takes a pair for each component at most; then, of lists whose nodes are not connected
+    by that, the pairs between components are looked at.
     """
     sets = stored(shingle_rows(rows, n, similarity))
     own = stored(sets.groupBy("node", "size", "odd").agg(F.min("row_id").alias("row"), F.count("*").alias("n")))
     heads = sets.select(F.explode("head").alias("h"), "node")
     common = heads.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("h")  # most shingles list one set only
     some = stored(in_bitmap(heads, common, "h").distinct())
-    tally = hub_pairs(some).groupBy("a", "b").count()
-    best = tally.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
     info = own.drop("n")
     a, b = (info.toDF(*[f"{c}_{x}" if c != "node" else x for c in info.columns]) for x in "ab")
-    first = within_bounds(best.join(a, "a").join(b, "b"), similarity)
-    edges = stored(alike(stored(first), rows, n, similarity))
-    tree = components(edges)
-    placed = stored(some.join(tree, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root")))
+    edges, tree = None, rows.sparkSession.createDataFrame([], "node long, root long")
+
+    def place() -> DataFrame:
+        return stored(some.join(tree, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root")))
+
+    for turn in range(TURNS):
+        tally = hub_pairs(place(), turn).groupBy("a", "b", "to").count()
+        pairs = within_bounds(tally.join(a, "a").join(b, "b"), similarity)
+        best = pairs.groupBy("to").agg(F.max_by(F.struct("a", "b", "row_a", "row_b"), F.struct("count", -F.col("a"), -F.col("b"))).alias("x"))
+        new = stored(alike(stored(best.select("x.*")), rows, n, similarity))
+        if new.isEmpty():
+            break
+        edges = new if edges is None else edges.union(new)
+        tree = components(edges)
+    placed = place()
     apart = placed.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     parts = F.ceil(F.col("n") / PART)
     rest = placed.join(apart.select("h", "n"), "h").withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
@@ -438,7 +455,8 @@ def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     lists = rest.select("h", "x", "y", "part", "size", "root", "node", "row", "odd").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "size")
     more = stored(unlike_pairs(lists, similarity).distinct())
     if not more.isEmpty():
-        tree = components(edges.union(alike(more, rows, n, similarity)))
+        new = alike(more, rows, n, similarity)
+        tree = components(new if edges is None else edges.union(new))
     rooted = stored(own.select("node", "n").join(tree, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
     return hot_join(sets.select("row_id", "doc_id", "node"), rooted, ["node"], "n", ["row_id"]).drop("n")
 
