@@ -51,7 +51,9 @@ def main() -> None:
     def build():
         if "index" in state:
             state["index"].unpersist()
-        i = index_documents(tokenised(spark.read.parquet(f"{SF}/documents.parquet")), positional=True)
+        # The table is one file of one row group, so one task would read and tokenize it all.
+        docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(int(CPUS))
+        i = index_documents(tokenised(docs), positional=True)
         i = i.persist()
         state["index"], state["n"] = i, (i.entries.count(), i.positions.count(), i.docs.count())
 
