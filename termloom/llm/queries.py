@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, licenses, linededup, mixing, packing, pii, quality, simhash, suffix
+from . import ann, bpe, langid, licenses, linededup, mixing, negatives, packing, pii, quality, simhash, spelling, suffix
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_substrings": suffix.op8_substrings,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
+    "op11_negatives": negatives.op11_negatives,
+    "op12_bpe": bpe.op12_bpe,
+    "op13_spelling": spelling.op13_spelling,
 }
-ORACLE = {"op4_quality": quality.SQL, "op5_line_dedup": linededup.SQL, "op9_mixing": mixing.SQL}
+ORACLE = {"op4_quality": quality.SQL, "op5_line_dedup": linededup.SQL, "op9_mixing": mixing.SQL, "op11_negatives": negatives.SQL, "op13_spelling": spelling.SQL}
