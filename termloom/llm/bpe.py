@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import documents, ship, utf8
 
 #: Words that a worker keeps, at most; their bytes, at most; characters of the texts handled in one go, about.
-KEPT, KEPT_BYTES, BATCH = 1_000_000, 1 << 25, 1 << 22
+KEPT, KEPT_BYTES, BATCH = 300_000, 1 << 24, 1 << 20
 #: Words of up to so many bytes are merged together.
 SHORT = 64
 #: The only kinds of steps that a vocabulary file may ask for (fixed values of the file format).
@@ -70,8 +71,8 @@ class Bpe:
         self.unassigned = regex.compile(r"\p{Cn}")
         self.library = None
         vocab, chars = model["vocab"], byte_characters()
-        self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.name_of = [self.names.get(i) for i in range(max(self.names) + 1)]
+        names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.name_of = [names.get(i) for i in range(max(names) + 1)]
         byte_of = {c: b for b, c in enumerate(chars)}
         self.n = len(self.name_of)
         self.base = [vocab[c] for c in chars]
@@ -298,50 +299,49 @@ def _mapped(df: DataFrame, made, schema: str, path: str | None) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, ids array<long>) of every row: its whole text in tokens of the vocabulary.
+def packed(ids: array) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return np.asarray(ids, "<u4").tobytes()
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, back: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every row: its whole text in tokens of the vocabulary, as
+    little-endian unsigned 32-bit integers.  ``back``: with ``text``, what the ids decode to.
 
     Null and empty texts, and those of white space only, have no ids.  Strings of special
     tokens are these tokens, wherever they stand.  Repeated rows each get their own, null ids
     stay null, an empty table gives no rows, other columns are ignored.  ``path``: the
     vocabulary's JSON file, on every executor.
     """
+    schema = "doc_id long, n_tokens long, ids binary" + ", text string" * back
 
     def made(tokenizer: Bpe, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, at, size = b.column(1).to_pylist(), 0, 0
-        for k, t in enumerate(texts, 1):
-            size += len(t or "")
-            if size >= BATCH or k == len(texts):
-                got = tokenizer.encode(texts[at:k])
-                ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
-                flat = np.concatenate([np.frombuffer(x, np.uint32) for x in got]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, k - at), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "ids"])
+        texts, at, size = b.column(1), 0, 0
+        lengths = pc.coalesce(pc.utf8_length(texts), 0).to_pylist()
+        for k, n in enumerate(lengths, 1):
+            size += n
+            if size >= BATCH or k == len(lengths):
+                got = tokenizer.encode(texts.slice(at, k - at).to_pylist())
+                out = {"doc_id": b.column(0).slice(at, k - at), "n_tokens": pa.array(map(len, got), pa.int64()), "ids": pa.array(map(packed, got), pa.binary())}
+                if back:
+                    out["text"] = pa.array(map(tokenizer.decode, got), pa.string())
+                yield pa.RecordBatch.from_pydict(out)
                 at, size = k, 0
 
-    return _mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), made, "doc_id long, ids array<long>", path)
+    return _mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), made, schema, path)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """encoded (doc_id, ids) with ``text``, what its ids spell; no ids: empty, null ids: null."""
+    """(doc_id, text) of (doc_id, ids): what the ids spell; no ids: empty, null ids: null."""
 
     def made(tokenizer: Bpe, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        flat = b.column(1)
-        ends = flat.offsets.to_numpy()
-        ids = flat.values.to_numpy()
-        valid = flat.is_valid().to_pylist()
-        text = [tokenizer.decode(ids[a:z].tolist()) if ok else None for a, z, ok in zip(ends[:-1], ends[1:], valid, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], names=["doc_id", "ids", "text"])
+        text = [None if ids is None else tokenizer.decode(np.frombuffer(ids, "<u4").tolist()) for ids in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text": pa.array(text, pa.string())})
 
-    return _mapped(encoded.select("doc_id", "ids"), made, "doc_id long, ids array<long>, text string", path)
+    return _mapped(encoded.select("doc_id", "ids"), made, "doc_id long, text string", path)
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
-
-    @F.arrow_udf("binary")
-    def little_endian(ids: pa.Array) -> pa.Array:
-        ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-        return pa.array([flat[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-
-    got = decode(encode(documents(spark, sf_dir)))
-    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(little_endian("ids"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    got = encode(documents(spark, sf_dir), back=True)
+    return got.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

@@ -45,7 +45,7 @@ def test_very_long_words(both):
 
 def test_only_failing_words_are_merged(both):
     ours = bpe.Bpe()
-    words = [w for w, i in zip(ours.names.values(), ours.names, strict=True) if i not in ours.special.values()]
+    words = [w for w in ours.name_of if w and w not in ours.special]
     whole = [w.removesuffix("</w>") for w in words if w.endswith("</w>") and w.isascii() and w.removesuffix("</w>").isalpha()][:5000]
     ours.encode_words(whole)
     assert ours.merged == 0
@@ -85,18 +85,24 @@ def test_kept_words_are_bounded(both, monkeypatch):
     assert len(ours.words) <= 50 + max(len(set(t.split())) for t in texts)
 
 
-def test_tables(spark, both, tmp_path):
+def test_tables(spark, both):
     docs = table(spark, AWKWARD)
-    got = bpe.decode(bpe.encode(docs)).collect()
-    assert len(got) == len(AWKWARD)
+    encoded = bpe.encode(docs, back=True).collect()
     expected = sorted(((d, both[0].encode([t])[0]) for d, t in AWKWARD), key=str)
-    assert sorted(((r.doc_id, array("I", r.ids)) for r in got), key=str) == expected
-    assert all(r.text == both[0].decode(r.ids) for r in got)
+    assert sorted(((r.doc_id, array("I", bytes(r.ids))) for r in encoded), key=str) == expected
+    assert all(r.n_tokens == len(r.ids) // 4 and r.text == both[0].decode(array("I", bytes(r.ids))) for r in encoded)
+    assert sorted(map(str, bpe.decode(bpe.encode(docs)).collect())) == sorted(str(r) for r in bpe.encode(docs, back=True).select("doc_id", "text").collect())
     assert bpe.encode(docs.limit(0)).collect() == [] and bpe.decode(bpe.encode(docs.limit(0))).collect() == []
-    nulls = spark.createDataFrame([(1, None), (2, []), (3, [320])], "doc_id long, ids array<long>")
+    nulls = spark.createDataFrame([(1, None), (2, b""), (3, array("I", [320]).tobytes())], "doc_id long, ids binary")
     assert [r.text for r in bpe.decode(nulls).orderBy("doc_id").collect()] == [None, "", "a</w>"]
 
 
+def test_batches_cut_anywhere(spark, both, monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH", 100)
+    docs = table(spark, corpus(50))
+    assert {(r.doc_id, bytes(r.ids)) for r in bpe.encode(docs).collect()} == {(d, both[0].encode([t])[0].tobytes()) for d, t in corpus(50)}
+
+
 def test_query(spark, both, tmp_path):
     import hashlib
 
