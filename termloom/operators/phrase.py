@@ -14,6 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bitmaps
 from ..schema import CacheMismatch
 from .boolean import of_terms
 from .build import Index, visible
@@ -44,11 +45,12 @@ def phrase_in(tokens: DataFrame, phrase: Sequence[str], mask: DataFrame | Column
     return starts.groupBy("doc_id", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(phrase)).select("doc_id").distinct()
 
 
-def phrase_match(index: Index, phrase: Sequence[str], mask: DataFrame | Column | None = None) -> DataFrame:
+def phrase_match(index: Index, phrase: Sequence[str], mask: DataFrame | Column | None = None, stats: DataFrame | None = None) -> DataFrame:
     """doc_ids whose positions hold the phrase.
 
     Only documents that hold all of its terms are looked at; in them the terms' lists,
-    moved to where the phrase would start, must have a place in common.
+    moved to where the phrase would start, must have a place in common.  stats: stored
+    (term, df), which name the rarest term as an anchor (see :func:`anchored`).
     """
     phrase = list(phrase)
     if not phrase:
@@ -60,12 +62,33 @@ def phrase_match(index: Index, phrase: Sequence[str], mask: DataFrame | Column |
     common = starts[0]
     for s in starts[1:]:
         common = F.array_intersect(common, s)
-    return _lists_of(index, list(names), mask).where(F.size(common) > 0).select("doc_id")
+    return _lists_of(index, list(names), mask, stats).where(F.size(common) > 0).select("doc_id")
 
 
-def _lists_of(index: Index, terms: Sequence[str], mask) -> DataFrame:
+def anchored(rows: DataFrame, terms: Sequence[str], stats: DataFrame) -> DataFrame:
+    """rows (term, doc_id, ...) of the documents that hold the rarest of the terms.
+
+    Its documents become a bitmap, against which the lists of the other terms are tested in
+    the stage that scans them, so that of frequent terms only these documents' lists are
+    shuffled.  stats (term, df) tell which term is the rarest and bound the bitmap: beyond
+    the size that is broadcast there is nothing to be won, and rows stay as they are.  A term
+    that stats don't know is in no document.
+    """
+    known = {r.term: r.df for r in of_terms(stats, terms).groupBy("term").agg(F.sum("df").alias("df")).collect()}  # the query's terms
+    if any(t not in known for t in terms):
+        return rows.where(F.lit(False))
+    rarest = min(terms, key=lambda t: (known[t], t))
+    key = F.col("doc_id.doc_id") if dict(rows.dtypes)["doc_id"].startswith("struct") else F.col("doc_id")
+    if len(set(terms)) < 2 or known[rarest] > bitmaps.ROWS:
+        return rows
+    bitmap = bitmaps.bitmap_of(rows.where(F.col("term") == rarest).select(key.alias("doc_id")))
+    return bitmaps.select(rows, bitmap, rows=known[rarest], doc_id=key)  # no more ranges than documents
+
+
+def _lists_of(index: Index, terms: Sequence[str], mask, stats: DataFrame | None = None) -> DataFrame:
     """The same from an index: its lists are ready, so they are only brought together."""
     rows = visible(of_terms(index.positions, terms), mask)
+    rows = rows if stats is None else anchored(rows, terms, stats)
     lists = [F.max(F.when(F.col("term") == t, F.col("ps"))).alias(f"p{i}") for i, t in enumerate(terms)]
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), *lists).where(F.col("n") == len(terms))
 
@@ -110,26 +133,26 @@ def _ordered(query: Sequence[str], terms: Sequence[str], window: int) -> Column:
     return F.aggregate(_places(len(terms)), start, step, lambda acc: acc["ok"])
 
 
-def near_terms(index: Index, query: Sequence[str], window: int, ordered: bool = False, mask: DataFrame | Column | None = None) -> DataFrame:
+def near_terms(index: Index, query: Sequence[str], window: int, ordered: bool = False, mask: DataFrame | Column | None = None, stats: DataFrame | None = None) -> DataFrame:
     """doc_ids where all query terms stand within a window of positions.
 
     Unordered: some span with last - first <= window holds each term as often as
     the query does.  Ordered: strictly increasing positions in query order.  Less
-    than two terms or a window of 0: none.
+    than two terms or a window of 0: none.  stats: as for :func:`phrase_match`.
     """
     query = list(query)
     if len(query) < 2 or window < 1:
         return _none(index.positions)
     counts = Counter(query)
-    rows = _lists_of(index, list(counts), mask)
+    rows = _lists_of(index, list(counts), mask, stats)
     condition = _ordered(query, list(counts), window) if ordered else _unordered(counts, window)
     return rows.where(condition).select("doc_id")
 
 
-def near_match(index: Index, a: str, b: str, window: int, mask: DataFrame | Column | None = None) -> DataFrame:
+def near_match(index: Index, a: str, b: str, window: int, mask: DataFrame | Column | None = None, stats: DataFrame | None = None) -> DataFrame:
     """doc_ids where a and b stand at most ``window`` positions apart, either first;
     the same term twice needs two places."""
-    return near_terms(index, [a, b], window, False, mask)
+    return near_terms(index, [a, b], window, False, mask, stats)
 
 
 def segmented(index: Index, segment_id: Column) -> Index:
@@ -142,7 +165,8 @@ def over_segments(match, index: Index, *args, **kwargs) -> DataFrame:
     """phrase_match, near_match or near_terms on each segment for itself; a
     document of several segments matches if one of them does.
 
-    The segment joins the document key, so one pass serves all segments.
+    The segment joins the document key, so one pass serves all segments.  With ``stats``
+    (stored, of all segments) the lists of frequent terms are filtered first.
     """
     key = F.struct("segment_id", "doc_id")
     keyed = Index(index.entries, index.docs, index.positions.select("term", key.alias("doc_id"), "ps"))

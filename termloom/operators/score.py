@@ -20,6 +20,8 @@ from .build import Index, visible
 
 #: Query terms above this many go into a table instead of an expression; above the other no filter lists them.
 INLINE, LISTED = 64, 1000
+#: Ranges that a filter lists, at most.
+FILTERED = 4096
 
 
 def normalise(query: Iterable[tuple]) -> dict:
@@ -91,49 +93,144 @@ def bucket_bounds(entries: DataFrame, width: int) -> DataFrame:
     return entries.groupBy("term", F.floor(F.col("doc_id") / width).alias("bucket")).agg(F.max("w").alias("max_weight"))
 
 
-def stored_bounds(blocks: DataFrame, query: Iterable[tuple], width: int) -> DataFrame:
-    """The same from stored blocks (term, base_doc_id, last_doc_id, max_weight), a row for
-    128 entries; a block counts for each range that it may reach into."""
-    reach = F.sequence(F.floor(F.col("base_doc_id") / width), F.floor(F.col("last_doc_id") / width))
-    rows = of_terms(blocks, normalise(query)).select("term", F.explode(reach).alias("bucket"), "max_weight")
-    return rows.groupBy("term", "bucket").agg(F.max("max_weight").alias("max_weight"))
+def top_k_pruned(index: Index, query: Iterable[tuple], k: int, width: int = 4096, mask: DataFrame | Column | None = None) -> DataFrame:
+    """The same answer as :func:`top_k` on a live index, skipping id ranges that can't reach it.
 
-
-def reachable(per_bucket: DataFrame, least: float) -> DataFrame:
-    """The ranges whose bound reaches a score."""
-    return per_bucket.where(F.col("score") >= least).select(F.col("doc_id").alias("_bucket"))
-
-
-def top_k_pruned(
-    index: Index, query: Iterable[tuple], k: int, width: int = 4096, bounds: DataFrame | None = None, mask: DataFrame | Column | None = None, stats: DataFrame | None = None
-) -> DataFrame:
-    """The same answer as :func:`top_k`, skipping id ranges that can't reach it.
-
-    The best ranges by upper bound are scored first; their k-th score is the
-    threshold that other ranges' bounds must reach (a tie may still win by its
-    id).  Worth it with stored bounds and statistics, which then are all that is read
-    besides those ranges, and with uneven weights; without proof that no entry lowers a
-    score it is the plain plan.
+    The bounds of ranges come from a pass over the entries of the query's terms, so this is
+    for an index that is kept; over sealed segments :func:`top_k_sealed` reads stored bounds
+    and opens only the files of some ranges.  The best ranges are scored first; their k-th
+    score is the threshold that other ranges' bounds must reach (a tie may still win by its
+    id).  Without proof that no entry lowers a score it is the plain plan.
     """
     q = normalise(query)
-    if k < 1 or not q or not nonnegative(index, q.items(), stats):
+    if k < 1 or not q or not nonnegative(index, q.items()):
         return top_k(index, q.items(), k, mask)
-    bounds = bucket_bounds(of_terms(index.entries, q), width) if bounds is None else bounds
+    bounds = bucket_bounds(of_terms(index.entries, q), width)
     per = scores(bounds.select("term", F.col("bucket").alias("doc_id"), F.col("max_weight").alias("w")), q.items())
     ahead = [r.doc_id for r in best(per, 4).collect()]
-    bucket = F.floor(F.col("doc_id") / width)
-    near = F.lit(False)
-    for b in ahead:  # as ranges of ids, which reach the scan
-        near = near | F.col("doc_id").between(b * width, (b + 1) * width - 1)
-    first = best(scores(index.entries.where(near), q.items(), mask), k).collect()
+    first = best(scores(index.entries.where(within(ahead, width)), q.items(), mask), k).collect()
     if len(first) < k:
         return top_k(index, q.items(), k, mask)
-    least = first[-1].score
-    keep = reachable(per, least)
-    rows = index.entries.withColumn("_bucket", bucket).join(keep, "_bucket", "left_semi").drop("_bucket")
+    reach = per.where(F.col("score") >= first[-1].score).select(F.col("doc_id").alias("_bucket"))
+    few = [r[0] for r in reach.limit(FILTERED + 1).collect()]
+    if len(few) <= FILTERED:
+        rows = index.entries.where(within(few, width))
+    else:
+        rows = index.entries.withColumn("_bucket", F.floor(F.col("doc_id") / width)).join(reach, "_bucket", "left_semi").drop("_bucket")
     return best(scores(rows, q.items(), mask), k)
 
 
+def within(buckets: Iterable[int], width: int) -> Column:
+    """A condition on doc_id for ranges of ids, neighbours joined: one that reaches a scan."""
+    out, runs = F.lit(False), []
+    for b in sorted(buckets):
+        if runs and runs[-1][1] == b - 1:
+            runs[-1][1] = b
+        else:
+            runs.append([b, b])
+    for a, z in runs:
+        out = out | F.col("doc_id").between(a * width, (z + 1) * width - 1)
+    return out
+
+
+@dataclass(frozen=True)
+class Round:
+    """One job of a pruned search: how many ranges it opened, the entries of the query's terms
+    that they hold, and the k-th score after it (None while there are less than k hits)."""
+
+    ranges: int
+    entries: int
+    threshold: float | None
+
+
+@dataclass(frozen=True)
+class PrunedHits:
+    """hits (doc_id, score); the ranges (segment_id, doc_range, bound, n) of the query's terms,
+    n being their entries, with whether they were opened; and the rounds."""
+
+    hits: DataFrame
+    ranges: DataFrame
+    rounds: list[Round]
+
+    @property
+    def opened(self) -> int:
+        return sum(r.ranges for r in self.rounds)
+
+    @property
+    def entries_read(self) -> int:
+        return sum(r.entries for r in self.rounds)
+
+
+def range_bounds(ranges: DataFrame, query: Iterable[tuple]) -> tuple[list, bool]:
+    """Rows (segment_id, doc_range, bound, n) by falling bound, and whether bounds hold: all
+    weights, of the query and stored, are finite and not negative.  One scan of the query's
+    terms in the statistics of ranges; a row for each range that holds one comes back."""
+    q = normalise(query)
+    part = F.lit(None).cast("double")
+    for term, weight in reversed(q.items()):
+        part = F.when(F.col("term") == F.lit(term), F.lit(weight) * F.col("max_weight")).otherwise(part)
+    per = of_terms(ranges, q).groupBy("segment_id", "doc_range").agg(F.sum(part).alias("bound"), F.sum("df").alias("n"), F.min("min_weight").alias("least"), F.bool_and("all_finite").alias("finite"))
+    rows = per.collect()
+    safe = all(0 <= w < math.inf for w in q.values()) and all(r.finite and r.least >= 0 for r in rows)
+    return sorted(rows, key=lambda r: (-r.bound, r.segment_id, r.doc_range)), safe
+
+
+def top_k_sealed(store, query: Iterable[tuple], k: int, mask: DataFrame | Column | None = None, seed: Iterable[tuple] = (), first: int = 1) -> PrunedHits:
+    """Exact top-k over sealed segments, opening the files of as few ranges as it can.
+
+    Stored statistics bound the score of each range of documents.  Ranges are opened in
+    rounds of falling bound, ``first`` ranges and then twice as many each time; each round
+    is one job, whose scan gets the ranges as partition filters.  After each the k-th score
+    so far is the threshold: a range stays closed if its bound lies below, or equals it (at
+    which it could only tie) while all its ids are larger than that of the k-th hit.  With
+    weights that may lower scores all ranges are opened at once.
+
+    Deleted documents don't count.  ``seed``: hits (doc_id, score) found elsewhere.  Ties go to
+    the smaller id.
+    """
+    q = normalise(query)
+    ranked, safe = range_bounds(store.ranges(), q.items()) if q and k > 0 else ([], True)
+    hits = sorted(((int(d), float(x)) for d, x in seed), key=lambda h: (-h[1], h[0]))[: max(k, 0)]
+    hidden, entries = store.hidden(), store.entries()
+    widths = {r.segment_id: r.range_width for r in store.manifest().select("segment_id", "range_width").collect()}
+    rounds: list[Round] = []
+    opened: set[tuple[int, int]] = set()
+
+    def can_win(r) -> bool:
+        if len(hits) < k or not safe:
+            return True
+        least, at = hits[-1][1], hits[-1][0]
+        return r.bound > least or (r.bound == least and r.doc_range * widths[r.segment_id] < at)
+
+    waiting, size = [r for r in ranked if r.bound or not safe], first if safe else len(ranked)
+    while waiting:
+        batch, waiting = [r for r in waiting[:size] if can_win(r)], waiting[size:]
+        size = min(2 * size, FILTERED)
+        if not batch:
+            break
+        pairs = [(r.segment_id, r.doc_range) for r in batch]
+        for at in range(0, len(pairs), FILTERED):
+            rows = of_terms(entries.where(in_ranges(pairs[at : at + FILTERED])), q)
+            found = best(scores(store.visible(rows, hidden), q.items(), mask), k).collect()  # k rows
+            hits = sorted(hits + [(r.doc_id, r.score) for r in found], key=lambda h: (-h[1], h[0]))[:k]
+        opened |= set(pairs)
+        rounds.append(Round(len(batch), sum(r.n for r in batch), hits[-1][1] if len(hits) == k else None))
+    spark = store.spark
+    told = [(r.segment_id, r.doc_range, float(r.bound or 0), r.n, (r.segment_id, r.doc_range) in opened) for r in ranked]
+    return PrunedHits(spark.createDataFrame(hits, "doc_id bigint, score double"), spark.createDataFrame(told, "segment_id bigint, doc_range bigint, bound double, n bigint, opened boolean"), rounds)
+
+
+def in_ranges(pairs: Iterable[tuple[int, int]]) -> Column:
+    """A condition on (segment_id, doc_range), which are folders: a partition filter."""
+    by_segment: dict[int, list[int]] = {}
+    for segment, part in pairs:
+        by_segment.setdefault(segment, []).append(part)
+    out = F.lit(False)
+    for segment, parts in sorted(by_segment.items()):
+        out = out | ((F.col("segment_id") == segment) & F.col("doc_range").isin(sorted(parts)))
+    return out
+
+
 @dataclass(frozen=True)
 class SegmentedHits:
     hits: DataFrame
@@ -157,16 +254,17 @@ def segment_bounds(segmented: DataFrame, query: Iterable[tuple], maxima: DataFra
     return [(r.segment_id, r.bound) for r in rows]
 
 
-def top_k_with_stats(segmented: DataFrame, query: Iterable[tuple], k: int, seed: DataFrame | None = None, mask: DataFrame | Column | None = None, maxima: DataFrame | None = None, n_segments: int | None = None) -> SegmentedHits:
+def top_k_with_stats(segmented: DataFrame, query: Iterable[tuple], k: int, seed: DataFrame | None = None, mask: DataFrame | Column | None = None, maxima: DataFrame | None = None, n_segments: int | None = None, stats: DataFrame | None = None) -> SegmentedHits:
     """Top-k over segments (entries with segment_id) from the highest bound on, in
     batches of one, two, four and so on, each of them one job; segments whose bound
     lies below the k-th score before their batch are skipped.
 
-    seed: hits (doc_id, score) found elsewhere, such as in a live index.  With
-    weights that may lower scores nothing is skipped.
+    seed: hits (doc_id, score) found elsewhere, such as in a live index.  stats: stored
+    (term, min_weight, all_finite), else taken from a pass over the entries; with weights
+    that may lower scores nothing is skipped.
     """
     spark, q = segmented.sparkSession, normalise(query)
-    safe = nonnegative(Index(segmented, segmented), q.items())
+    safe = nonnegative(Index(segmented, segmented), q.items(), stats)
     seen = n_segments if n_segments is not None else segmented.select("segment_id").distinct().count()
     hits = [(r.doc_id, r.score) for r in (best(seed, k).collect() if seed is not None else [])]
     if not safe:
@@ -193,5 +291,15 @@ def top_k_segments(segmented: DataFrame, query: Iterable[tuple], k: int, mask: D
 
 
 def top_k_segments_and_live(segmented: DataFrame, live: Index, query: Iterable[tuple], k: int, mask: DataFrame | Column | None = None) -> DataFrame:
-    """Exact top-k over sealed segments and a live index."""
+    """Exact top-k over entries with segment_id and a live index, as one plan."""
     return best(scores(segmented.select("term", "doc_id", "w").unionByName(live.entries.select("term", "doc_id", "w")), query, mask), k)
+
+
+def top_k_sealed_and_live(store, live: Index, query: Iterable[tuple], k: int, mask: DataFrame | Column | None = None, first: int = 1) -> PrunedHits:
+    """Exact top-k over sealed segments and a live index, whose ids are different.
+
+    The live index is searched first: its k-th score decides which ranges of which segments
+    are opened at all.
+    """
+    own = top_k(live, query, k, mask).collect() if k > 0 else []
+    return top_k_sealed(store, query, k, mask, [(r.doc_id, r.score) for r in own], first)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..functions.tokens import terms_of, token_rows, tokenised
 from ..operators import boolean, lookup, phrase, score
-from ..operators.build import Index, block_table, blocked, delete_documents, empty_index, index_documents, index_impacts, index_texts, index_weighted, latest, term_stats, upsert_documents
+from ..operators.build import Index, block_table, blocked, delete_documents, index_documents, index_impacts, index_texts, index_weighted, latest, term_stats, upsert_documents
 from ..sources import store
 from ..streaming import log
 from . import planner
@@ -301,9 +301,13 @@ def _scratch(spark) -> str:
     return f"{store.shared_dir(spark)}/segments-{uuid.uuid4().hex}"
 
 
+#: Ids of a range in the sealed queries, so that small tables have several.
+WIDTH = 64
+
+
 def sealed(spark, sf, positional: bool = False, part=None) -> store.SegmentStore:
     """documents as segments of 250 ids each."""
-    s = store.SegmentStore(spark, _scratch(spark))
+    s = store.SegmentStore(spark, _scratch(spark), WIDTH)
     i = index(spark, sf, positional)
     if part is not None:
         i = Index(i.entries.where(part), i.docs.where(part), None if i.positions is None else i.positions.where(part))
@@ -318,7 +322,7 @@ def seal_roundtrip(spark, sf):
 
 @query("SELECT doc_id // 250 AS segment_id, 1 AS format_version, count(DISTINCT term) AS term_count, count(DISTINCT doc_id) AS doc_count, min(doc_id) AS min_doc_id, max(doc_id) AS max_doc_id, CAST(sum(w) AS BIGINT) AS total_doc_len, 128 AS block_size FROM p GROUP BY 1")
 def segment_manifest(spark, sf):
-    return sealed(spark, sf).manifest().drop("path")
+    return sealed(spark, sf).manifest().drop("path", "range_width")
 
 
 @query(_top_sql(dict(MULTI), 10))
@@ -334,16 +338,41 @@ def topk_segments_filtered(spark, sf):
 @query(_top_sql(dict(MULTI), 10))
 def topk_files_and_live(spark, sf):
     live = index_documents(tokenised(documents(spark, sf).where("doc_id % 2 = 1")))
-    return score.top_k_segments_and_live(sealed(spark, sf, part=F.col("doc_id") % 2 == 0).entries(), live, MULTI, 10)
+    return score.top_k_sealed_and_live(sealed(spark, sf, part=F.col("doc_id") % 2 == 0), live, MULTI, 10).hits
+
+
+#: Bounds of the ranges of even documents, and the tenth score of odd ones.
+BOUNDS = f""", e AS (SELECT doc_id // 250 AS segment_id, doc_id // {WIDTH} AS doc_range, term, max(w) AS m, count(*) AS n FROM p WHERE doc_id % 2 = 0 AND term IN ('the', 'with', 'and') GROUP BY ALL),
+b AS (SELECT segment_id, doc_range, CAST(sum(CASE term WHEN 'the' THEN 1.5 WHEN 'with' THEN 2.0 ELSE 0.25 END * m) AS DOUBLE) AS bound, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY segment_id, doc_range),
+o AS (SELECT doc_id, CAST(sum(CASE term WHEN 'the' THEN 1.5 WHEN 'with' THEN 2.0 ELSE 0.25 END * w) AS DOUBLE) AS score FROM p WHERE doc_id % 2 = 1 AND term IN ('the', 'with', 'and') GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10),
+k AS (SELECT CASE WHEN count(*) = 10 THEN min(score) END AS least, max(doc_id) FILTER (WHERE score = (SELECT min(score) FROM o)) AS last FROM o)"""
+
+
+@query(BOUNDS + f" SELECT segment_id, doc_range, bound, n, coalesce(bound > least OR (bound = least AND doc_range * {WIDTH} < last), true) AS opened FROM b, k")
+def topk_live_skips(spark, sf):
+    """Which ranges of the sealed even documents are opened, once the live odd ones are searched."""
+    live = index_documents(tokenised(documents(spark, sf).where("doc_id % 2 = 1")))
+    return score.top_k_sealed_and_live(sealed(spark, sf, part=F.col("doc_id") % 2 == 0), live, MULTI, 10, first=score.FILTERED).ranges
+
+
+@query(_top_sql(dict(MULTI), 25))
+def topk_rounds(spark, sf):
+    """Ranges opened in rounds, each with the threshold of those before."""
+    return score.top_k_sealed(sealed(spark, sf), MULTI, 25).hits
 
 
 @query(_top_sql(dict(MULTI), 10))
 def topk_stats(spark, sf):
     s = sealed(spark, sf)
-    return score.top_k_with_stats(s.entries(), MULTI, 10, maxima=s.terms(), n_segments=s.manifest().count()).hits
+    return score.top_k_with_stats(s.entries(), MULTI, 10, maxima=s.terms(), n_segments=s.manifest().count(), stats=s.statistics()).hits
 
 
-@query("SELECT x.violation, 0 AS n FROM (VALUES ('non_increasing_doc'), ('zero_weight'), ('weight_overflow'), ('unknown_doc'), ('duplicate_doc')) x(violation)")
+#: Violations of (term, doc_id, w) in x against documents in k, counted.
+AUDIT = """SELECT 'non_increasing_doc' AS violation, count(*) AS n FROM (SELECT term, doc_id FROM x GROUP BY term, doc_id HAVING count(*) > 1) UNION ALL SELECT 'zero_weight', count(*) FROM x WHERE w = 0
+UNION ALL SELECT 'weight_overflow', count(*) FROM x WHERE w > 4294967295 UNION ALL SELECT 'unknown_doc', count(*) FROM x WHERE doc_id NOT IN (SELECT doc_id FROM k) UNION ALL SELECT 'duplicate_doc', count(*) FROM (SELECT doc_id FROM k GROUP BY doc_id HAVING count(*) > 1)"""
+
+
+@query(", x AS (SELECT * FROM p), k AS (SELECT doc_id FROM d) " + AUDIT)
 def audit(spark, sf):
     i = index(spark, sf)
     return store.audit_entries(i.entries, i.docs)
@@ -361,45 +390,56 @@ def checksum(spark, sf):
     return s.terms().select("segment_id", "term", "checksum")
 
 
-@query(""", x AS (SELECT term, doc_id, w FROM p WHERE doc_id < 50), k AS (SELECT doc_id FROM d WHERE doc_id < 50)
-SELECT 'non_increasing_doc' AS violation, count(*) AS n FROM x WHERE doc_id = 3 UNION ALL SELECT 'zero_weight', count(*) FROM x WHERE doc_id = 5 UNION ALL SELECT 'weight_overflow', count(*) FROM x WHERE doc_id = 7
-UNION ALL SELECT 'unknown_doc', count(*) FROM x WHERE doc_id % 10 = 9 UNION ALL SELECT 'duplicate_doc', 1""")
+@query(""", x AS (SELECT term, doc_id, CASE doc_id WHEN 5 THEN 0 WHEN 7 THEN 4294967296 ELSE w END AS w FROM p UNION ALL SELECT term, doc_id, w FROM p WHERE doc_id = 3),
+k AS (SELECT doc_id FROM d WHERE doc_id % 10 <> 9 UNION ALL SELECT doc_id FROM d WHERE doc_id = 2) """ + AUDIT)
 def audit_faults(spark, sf):
     """Entries with a fault of each kind, found and counted."""
     i = index(spark, sf)
-    rows, docs = i.entries.where("doc_id < 50"), i.docs.where("doc_id < 50 and doc_id % 10 <> 9")
-    twice = rows.where("doc_id = 3")
-    bad = rows.withColumn("w", F.expr("CASE doc_id WHEN 5 THEN 0 WHEN 7 THEN 4294967296 ELSE w END"))
-    return store.audit_entries(bad.unionByName(twice), docs.union(docs.where("doc_id = 2")))
+    docs = i.docs.where("doc_id % 10 <> 9")
+    bad = i.entries.withColumn("w", F.expr("CASE doc_id WHEN 5 THEN 0 WHEN 7 THEN 4294967296 ELSE w END"))
+    return store.audit_entries(bad.unionByName(i.entries.where("doc_id = 3")), docs.union(docs.where("doc_id = 2")))
+
 
+FAULTS = [
+    ("DocLengthOverflow", "SELECT 1 FROM d WHERE doc_len + 4294967295 > 4294967295"),
+    ("DuplicateDocId", "SELECT 1 FROM (SELECT doc_id FROM d UNION ALL SELECT doc_id FROM d WHERE doc_id = 2) GROUP BY doc_id HAVING count(*) > 1"),
+    ("UnsortedDocId", "SELECT 1 FROM (SELECT doc_id <= lag(doc_id) OVER (ORDER BY -doc_id) AS bad FROM d) WHERE bad"),
+    ("DuplicateTermId", "SELECT 1 FROM (SELECT DISTINCT term FROM p UNION ALL SELECT DISTINCT term FROM p) GROUP BY term HAVING count(*) > 1"),
+    ("EmptyEntryList", "SELECT 1 FROM p GROUP BY term HAVING count(*) FILTER (WHERE doc_id < 0) = 0"),
+    ("UnsortedTermId", "SELECT 1 FROM (SELECT term <= lag(term) OVER (ORDER BY length(term), term DESC) AS bad FROM (SELECT DISTINCT term FROM p)) WHERE bad"),
+    ("EmptyTerm", "SELECT 1 FROM (SELECT substr(term, 1, 0) AS term FROM p) WHERE term = ''"),
+    ("PositionOutOfRange", "SELECT 1 FROM tok JOIN d USING (doc_id) WHERE pos + 1000000 >= doc_len"),
+]
 
-@query("SELECT * FROM (VALUES ('DocLengthOverflow'), ('DuplicateDocId'), ('DuplicateTermId'), ('EmptyEntryList'), ('EmptyTerm'), ('PositionOutOfRange'), ('UnsortedDocId'), ('UnsortedTermId')) x(error)")
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{e}' AS error, EXISTS ({q}) AS raised" for e, q in FAULTS) + ")")
 def validations(spark, sf):
-    """The error that each planted fault raises."""
-    i = index(spark, sf, True)
-    docs, ps = i.docs.where("doc_id < 50"), i.positions.where("doc_id < 50")
-    lists = i.entries.where("term in ('the', 'license')").groupBy("term").agg(F.collect_list(F.struct("doc_id", "w")).alias("entries")).withColumn("at", F.col("term") == "the")
-    faults = [
-        lambda: store.validate_document_lengths(docs.withColumn("doc_len", F.lit(2**32))),
-        lambda: store.validate_document_lengths(docs.union(docs.where("doc_id = 2"))),
-        lambda: store.validate_document_lengths(docs.withColumn("at", -F.col("doc_id")), "at"),
-        lambda: store.validate_term_lists(lists.union(lists)),
-        lambda: store.validate_term_lists(lists.withColumn("entries", F.slice("entries", 1, 0))),
-        lambda: store.validate_term_lists(lists.withColumn("at", ~F.col("at")), "at"),
-        lambda: store.validate_positions(ps.withColumn("term", F.lit("")), docs),
-        lambda: store.validate_positions(ps.withColumn("ps", F.reverse(F.transform("ps", lambda p: p + 1_000_000))), docs),
-    ]
+    """Whether each planted fault raises its error, in whole tables."""
+    i = index(spark, sf, True).persist()
+    lists = i.entries.groupBy("term").agg(F.collect_list(F.struct("doc_id", "w")).alias("entries")).withColumn("at", F.col("term"))
+    backwards = F.concat(F.format_string("%09d", F.char_length("term")), F.translate("term", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"))
+    faults = {
+        "DocLengthOverflow": lambda: store.validate_document_lengths(i.docs.withColumn("doc_len", F.col("doc_len") + (2**32 - 1))),
+        "DuplicateDocId": lambda: store.validate_document_lengths(i.docs.union(i.docs.where("doc_id = 2"))),
+        "UnsortedDocId": lambda: store.validate_document_lengths(i.docs.withColumn("at", -F.col("doc_id")), "at"),
+        "DuplicateTermId": lambda: store.validate_term_lists(lists.union(lists)),
+        "EmptyEntryList": lambda: store.validate_term_lists(lists.withColumn("entries", F.filter("entries", lambda x: x["doc_id"] < 0))),
+        "UnsortedTermId": lambda: store.validate_term_lists(lists.withColumn("at", backwards), "at"),
+        "EmptyTerm": lambda: store.validate_positions(i.positions.withColumn("term", F.substring("term", 1, 0)), i.docs),
+        "PositionOutOfRange": lambda: store.validate_positions(i.positions.withColumn("ps", F.transform("ps", lambda p: p + 1_000_000)), i.docs),
+    }
     out = []
-    for f in faults:
+    for name, f in faults.items():
         try:
             f()
-            out.append(("none",))
+            out.append((name, False))
         except store.IndexDataError as e:
-            out.append((type(e).__name__,))
-    store.validate_document_lengths(docs.withColumn("at", F.col("doc_id")), "at")
+            out.append((type(e).__name__, True))
+    store.validate_document_lengths(i.docs.withColumn("at", F.col("doc_id")), "at")
     store.validate_term_lists(lists, "at")
-    store.validate_positions(ps, docs)
-    return spark.createDataFrame(out, "error string")
+    store.validate_positions(i.positions, i.docs)
+    i.unpersist()
+    return spark.createDataFrame(out, "error string, raised boolean")
 
 
 @query("SELECT term, doc_id, w FROM p WHERE doc_id % 7 <> 0")
@@ -426,9 +466,10 @@ def docs_with_term(spark, sf):
     return lookup.docs_with_term(index(spark, sf, True), "license")
 
 
-@query("SELECT 0 AS num_docs, 0 AS total_doc_len, CAST(0 AS DOUBLE) AS avg_doc_len, CAST(NULL AS BIGINT) AS min_doc_id, CAST(NULL AS BIGINT) AS max_doc_id")
+@query("SELECT count(*) AS num_docs, CAST(coalesce(sum(doc_len), 0) AS BIGINT) AS total_doc_len, coalesce(CAST(sum(doc_len) AS DOUBLE) / count(*), 0) AS avg_doc_len, min(doc_id) AS min_doc_id, max(doc_id) AS max_doc_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def empty_stats(spark, sf):
-    return lookup.corpus_stats(empty_index(spark))
+    """Of an index whose documents were all deleted again."""
+    return lookup.corpus_stats(delete_documents(index(spark, sf), documents(spark, sf)))
 
 
 @query(_top_sql(dict(MULTI), 10, where="doc_id % 7 <> 0"))
@@ -438,21 +479,82 @@ def topk_pruned_mask(spark, sf):
 
 @query(_top_sql(dict(MULTI), 10))
 def topk_pruned_sealed(spark, sf):
-    """Pruned by the bounds and statistics that sealing has stored."""
-    s = sealed(spark, sf)
-    return score.top_k_pruned(s.open(), MULTI, 10, width=128, bounds=score.stored_bounds(s.blocks(), MULTI, 128), stats=s.statistics())
+    """Pruned by the bounds that sealing has stored; what stays closed isn't read."""
+    return score.top_k_sealed(sealed(spark, sf), MULTI, 10).hits
 
 
 @query(_top_sql(dict(MULTI), 10, where="doc_id % 7 <> 0"))
 def topk_pruned_sealed_mask(spark, sf):
-    s = sealed(spark, sf)
-    return score.top_k_pruned(s.open(), MULTI, 10, width=128, bounds=score.stored_bounds(s.blocks(), MULTI, 128), stats=s.statistics(), mask=hidden(spark, sf))
+    return score.top_k_sealed(sealed(spark, sf), MULTI, 10, hidden(spark, sf)).hits
 
 
-@query("SELECT min(w) >= 0 AS plain, false AS with_negative FROM p")
+@query("SELECT (SELECT min(w * qw) >= 0 FROM p JOIN (VALUES ('the', 1.5), ('with', 2.0), ('and', 0.25)) q(term, qw) USING (term)) AS plain, (SELECT min(w * qw) >= 0 FROM p JOIN (VALUES ('the', 1.0), ('with', -2.0)) q(term, qw) USING (term)) AS with_negative")
 def nonnegativity(spark, sf):
+    """Proved from stored statistics."""
     s = sealed(spark, sf)
-    return spark.createDataFrame([(score.nonnegative(s.open(), MULTI, s.statistics()), score.nonnegative(s.open(), [("the", 1.0), ("with", -2.0)]))], "plain boolean, with_negative boolean")
+    return spark.createDataFrame([(score.nonnegative(s.open(), MULTI, s.statistics()), score.nonnegative(s.open(), [("the", 1.0), ("with", -2.0)], s.statistics()))], "plain boolean, with_negative boolean")
+
+
+# Deletes, verification and plans of sealed segments
+
+
+def thinned(spark, sf, positional: bool = False) -> store.SegmentStore:
+    """Sealed documents, of which the hidden ones are deleted afterwards in two goes."""
+    s = sealed(spark, sf, positional)
+    gone = hidden(spark, sf)
+    s.delete(gone.where("doc_id % 2 = 0"))
+    s.delete(gone.where("doc_id % 3 <> 0"))
+    s.delete(gone.where("doc_id % 2 = 1"))
+    return s
+
+
+@query("SELECT term, count(*) AS df, CAST(sum(w) AS BIGINT) AS total_weight, max(w) AS max_weight, min(w) AS min_weight, true AS all_finite FROM p WHERE doc_id % 7 <> 0 GROUP BY term")
+def sealed_delete(spark, sf):
+    return term_stats(thinned(spark, sf).open().entries)
+
+
+@query(_top_sql(dict(MULTI), 10, where="doc_id % 7 <> 0"))
+def topk_sealed_delete(spark, sf):
+    return score.top_k_sealed(thinned(spark, sf), MULTI, 10).hits
+
+
+@query(f""", x AS (SELECT 'docs' AS tab, doc_id, 1 AS n FROM d UNION ALL SELECT 'entries', doc_id, 1 FROM p UNION ALL SELECT 'positions', doc_id, 1 FROM p)
+SELECT tab, doc_id // 250 AS segment_id, doc_id // {WIDTH} AS part, doc_id // {store.CHECKED_IDS} AS block, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY ALL""")
+def block_rows(spark, sf):
+    """Rows of the blocks that have a checksum; verification finds no fault in them."""
+    s = sealed(spark, sf, True)
+    s.verify()
+    return s.table("checksums", "tab string, part bigint, block bigint, n bigint, crc bigint").where("tab in ('docs', 'entries', 'positions')").select("tab", "segment_id", "part", "block", "n")
+
+
+@query("SELECT term, doc_id, w FROM p")
+def seal_ordered_lists(spark, sf):
+    """Entry lists in order of their terms, checked while they are written."""
+    i = index(spark, sf)
+    lists = i.entries.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "w"))).alias("entries")).withColumn("at", F.col("term"))
+    s = store.SegmentStore(spark, _scratch(spark))
+    s.seal_lists(i.docs, lists, "at", 0)
+    return s.open().entries.select("term", "doc_id", "w")
+
+
+SEGMENT_PLANS = """, c AS (SELECT doc_id // 250 AS segment_id, count(*) AS doc_count FROM d GROUP BY 1), e AS (SELECT doc_id // 250 AS segment_id, count(*) AS estimate FROM p WHERE term IN ('license', 'the') GROUP BY 1)
+SELECT segment_id, doc_count, coalesce(estimate, 0) AS estimate, coalesce(estimate, 0) >= 200000 OR CAST(CAST(coalesce(estimate, 0) AS FLOAT) / CAST(doc_count AS FLOAT) AS FLOAT) > CAST(0.6 AS FLOAT) AS scan_all FROM c LEFT JOIN e USING (segment_id)"""
+
+
+@query(SEGMENT_PLANS)
+def plan_segments(spark, sf):
+    """A choice for each segment, from stored statistics alone."""
+    return planner.plan_segments(sealed(spark, sf), ["license", "the", "license"])
+
+
+@query(_plan_sql("'license', 'der'", "SELECT doc_id FROM p WHERE term IN ('license', 'der') GROUP BY doc_id HAVING count(*) = 2"))
+def plan_sealed_near(spark, sf):
+    return _planned(spark, planner.plan_candidates_sealed(sealed(spark, sf), ["license", "der"], near=True))
+
+
+@query(_plan_sql("'license'", "SELECT doc_id FROM p WHERE term = 'license'"))
+def plan_sealed(spark, sf):
+    return _planned(spark, planner.plan_candidates_sealed(sealed(spark, sf), ["license"]))
 
 
 # Phrases and proximity
@@ -525,6 +627,19 @@ def near_pair_segments(spark, sf):
     return phrase.over_segments(phrase.near_match, _segments(spark, sf), "of", "with", 4, mask=hidden(spark, sf))
 
 
+@query(_pairs("JOIN tok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN tok c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 WHERE a.term = 'in' AND b.term = 'onbleea' AND c.term = 'of'"))
+def phrase_anchored(spark, sf):
+    """The lists of frequent terms are filtered by the documents of the rarest one."""
+    s = sealed(spark, sf, True)
+    return phrase.over_segments(phrase.phrase_match, s.open(), ["in", "onbleea", "of"], stats=s.statistics())
+
+
+@query(_pairs("JOIN tok b ON b.doc_id = a.doc_id JOIN tok c ON c.doc_id = a.doc_id WHERE a.term = 'license' AND b.term = 'the' AND c.term = 'of' AND greatest(a.pos, b.pos, c.pos) - least(a.pos, b.pos, c.pos) <= 30"))
+def near_anchored(spark, sf):
+    s = sealed(spark, sf, True)
+    return phrase.near_terms(s.open(), ["license", "the", "of"], 30, stats=s.statistics())
+
+
 @query(_pairs("JOIN tok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN tok c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 WHERE a.term = 'in' AND b.term = 'onbleea' AND c.term = 'of'"))
 def cached_terms(spark, sf):
     cache = phrase.TermCache(index(spark, sf, True))

@@ -23,7 +23,7 @@ def entries_schema(term: T.DataType | None = None, weight: T.DataType | None = N
 
 DOCS = T.StructType([T.StructField("doc_id", LONG), T.StructField("doc_len", LONG)])
 POSITIONS = T.StructType([T.StructField("term", T.StringType()), T.StructField("doc_id", LONG), T.StructField("ps", T.ArrayType(T.IntegerType(), False))])
-MANIFEST = T.StructType([T.StructField("segment_id", LONG), T.StructField("format_version", T.IntegerType()), T.StructField("term_count", LONG), T.StructField("doc_count", LONG), T.StructField("min_doc_id", LONG), T.StructField("max_doc_id", LONG), T.StructField("total_doc_len", LONG), T.StructField("block_size", T.IntegerType()), T.StructField("path", T.StringType())])
+MANIFEST = T.StructType([T.StructField("segment_id", LONG), T.StructField("format_version", T.IntegerType()), T.StructField("term_count", LONG), T.StructField("doc_count", LONG), T.StructField("min_doc_id", LONG), T.StructField("max_doc_id", LONG), T.StructField("total_doc_len", LONG), T.StructField("block_size", T.IntegerType()), T.StructField("range_width", LONG), T.StructField("path", T.StringType())])
 
 
 class IndexDataError(ValueError):
@@ -82,6 +82,10 @@ class ChecksumMismatch(IndexDataError):
     """Stored entries differ from what was written."""
 
 
+class LostFile(ChecksumMismatch):
+    """A stored file is missing, or not the one that was written."""
+
+
 class DuplicateSegment(IndexDataError):
     """A published segment has this id."""
 

@@ -47,20 +47,6 @@ def test_a_reader_finds_a_snapshot_at_any_time(spark, tmp_path):
     assert set(seen) <= {1, 2, 3} and seen == sorted(seen) and lookup.num_docs(store.load(spark, path)) == 3
 
 
-def test_stored_bounds_skip_most_entries(spark, tmp_path):
-    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id").between(4_000, 4_009), 50).otherwise(1).alias("w"))
-    entries = rows.select(F.explode(F.array(F.lit("x"), F.lit("y"))).alias("term"), "doc_id", F.col("w").cast("long").alias("w"))
-    s = store.SegmentStore(spark, f"file://{tmp_path}/s")
-    s.seal(Index(entries, rows.select("doc_id", F.lit(2).cast("long").alias("doc_len"))), 0)
-    q, width = [("x", 1.0), ("y", 0.5)], 512
-    bounds = score.stored_bounds(s.blocks(), q, width)
-    got = score.top_k_pruned(s.open(), q, 10, width, bounds=bounds, stats=s.statistics()).collect()
-    assert [(r.doc_id, r.score) for r in got] == [(d, 75.0) for d in range(4_000, 4_010)]
-    keep = [r._bucket for r in score.reachable(score.scores(bounds.select("term", F.col("bucket").alias("doc_id"), F.col("max_weight").alias("w")), q), 75.0).collect()]
-    read = entries.where(F.floor(F.col("doc_id") / width).isin(keep)).count()
-    assert read < 0.5 * entries.count() and read < 2_500
-
-
 def test_order_is_checked_over_ranges(spark):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("doc_len"), F.col("id").alias("at"))
     store.validate_document_lengths(docs, "at")
