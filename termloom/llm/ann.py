@@ -13,12 +13,14 @@ rejects that its distance could be within r, the k-th best distance so far.
 Candidates that are never abandoned are scored on their original vectors, each by the
 same sums in the same order, so equal vectors have equal scores.
 
-Search takes two rounds: the lists nearest to a query give it a first r, which goes
-with it to the other lists.  How many lists a query visits follows from the sample
+Search takes two rounds: with the k-th distance in the training sample as its first r a
+query scans its nearest lists; what they give is the r that goes with it to the other lists.  How many lists a query visits follows from the sample
 that trains them: as many as hold nearly all near neighbours there.  On clustered
 vectors these are few; without any structure no index of lists can do with few.
 
-Lists come from k-means on a bounded sample; every vector is indexed.  A list is
+Lists come from k-means on a bounded sample; every vector is indexed.  There are at most
+:data:`LISTS` of them, so from some 17 million vectors on lists grow with their number
+(``n_lists`` asks for more, which a larger sample should then train).  A list is
 dealt out in blocks of about :data:`BLOCK` rows, so a list that a hot vector
 fills is scanned by many tasks.
 """
@@ -38,6 +40,8 @@ from .common import pa_schema, stored
 TRAIN, LISTS, BLOCK = 16_384, 2048, 4096
 #: Coordinates of a column block; the test's e; pairs of a query and a candidate looked at in one go.
 COLUMNS, TEST, PAIRS = 16, 2.1, 1 << 20
+#: A null id comes after all others in ties.
+LAST = (1 << 63) - 1
 #: Share of the sample's near neighbours that the visited lists hold; share of these lists that give the first r.
 RECALL, NEAR = 0.95, 0.1
 
@@ -48,7 +52,7 @@ class Space:
     def __init__(self, sample: np.ndarray, longest: float, n_lists: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         d = sample.shape[1] + 1
-        self.longest = longest
+        self.longest, self.sample = longest, sample
         self.rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
         x = self.rows(sample)
         self.centres = x[np.sort(rng.choice(len(x), min(n_lists, len(x)), replace=False))]
@@ -78,6 +82,18 @@ class Space:
         ranks = np.sort(np.take_along_axis(place, self.nearest(x)[best], axis=1).ravel())
         return int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)) - 1)]) + 1
 
+    def first_r(self, x: np.ndarray, k: int) -> np.ndarray:
+        """For each query a squared distance within which k rows other than itself surely lie:
+        those of the sample, which are rows, do."""
+        if len(self.sample) <= k:
+            return np.full(len(x), np.inf)
+        sample, out = self.sample.astype(np.float64), np.empty(len(x))
+        for at in range(0, len(x), 512):
+            q = x[at : at + 512].astype(np.float64)
+            kth = np.partition(q @ sample.T, len(sample) - k - 1, axis=1)[:, len(sample) - k - 1]
+            out[at : at + 512] = self.longest**2 + (q * q).sum(1) - 2 * kth
+        return out * (1 + 1e-9)
+
     def rows(self, x: np.ndarray) -> np.ndarray:
         """Database vectors, lengthened and rotated."""
         x = x.astype(np.float64)
@@ -145,21 +161,22 @@ def inner_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, probes: float | None = None, n_lists: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each query.
 
-    ``is_query``: a condition on rows.  Candidates are all rows with another id.
+    ``is_query``: a condition on rows.  Candidates are all rows but the query's own: rows that
+    share an id are candidates each, and queries each.
     score is the inner product of the original vectors, in doubles.  ``probes``
     is the share of lists that a query visits, if not as many as the sample asks for
     (in any case as many as hold 4k vectors).
 
     Vectors that are null, zero, or hold null or non-finite components take no
     part; nor do those of another length than the commonest (of equally common
-    ones the longest).  Queries that share an id are one, with the smallest
-    vector; repeated rows are candidates each.  Ties go to the smaller id.
+    ones the longest).  A row with a null id is a candidate, never a query.  Ties go to the
+    smaller id, null last.
     Without vectors there are no rows.  Other columns are ignored.
     """
     spark = vectors.sparkSession
     x = F.col("v")
     kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"), is_query.alias("q"))
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"), F.coalesce(is_query & F.col(id_col).isNotNull(), F.lit(False)).alias("q"))
     v = v.where(x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(x, lambda c: c != 0))
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
     widths = v.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
@@ -192,19 +209,21 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
         counts[r["list"]] = r["count"]
     blocks = np.maximum(1, -(-counts // BLOCK))
     dealt = F.pmod(F.col("part"), F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("list") + 1)).cast("int")
-    candidates = index.select("list", dealt.alias("block"), F.lit(float("inf")).alias("r"), F.lit(False).alias("q"), "id", "v")
-    visit = f"list int, block int, r double, q boolean, id long, v {kind}"
+    candidates = index.select("list", dealt.alias("block"), F.lit(float("inf")).alias("r"), F.lit(False).alias("q"), "part", "id", "v")
+    visit = f"list int, block int, r double, q boolean, part long, id long, v {kind}"
     asked = pa_schema(spark, visit)
 
     def visits(queries: DataFrame, first: bool) -> DataFrame:
-        """Each query (id, v, r) for each block of the lists of one round."""
+        """Each query (part, id, v, r) for each block of the lists of one round."""
 
         def run(batches):
             for b in batches:
                 if not b.num_rows:
                     continue
-                away = shared.value.away(shared.value.queries(matrix(b.column(1))))
+                vectors = matrix(b.column(2))
+                away = shared.value.away(shared.value.queries(vectors))
                 order = np.argsort(away, axis=1, kind="stable")
+                r = shared.value.first_r(vectors, k) if first else b.column(3).to_numpy()
                 take, li, bl = [], [], []
                 for i, o in enumerate(order):
                     enough = int(np.searchsorted(np.cumsum(counts[o]), 4 * k)) + 1
@@ -216,62 +235,62 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
                 for at in range(0, len(take), 10_000):
                     t = pa.array(take[at : at + 10_000])
                     m = len(t)
-                    yield pa.RecordBatch.from_arrays([pa.array(li[at : at + m], pa.int32()), pa.array(bl[at : at + m], pa.int32()), b.column(2).take(t), pa.array([True] * m), b.column(0).take(t), b.column(1).take(t).cast(asked.field(5).type)], schema=asked)
+                    yield pa.RecordBatch.from_arrays([pa.array(li[at : at + m], pa.int32()), pa.array(bl[at : at + m], pa.int32()), pa.array(r).take(t), pa.array([True] * m), b.column(0).take(t), b.column(1).take(t), b.column(2).take(t).cast(asked.field("v").type)], schema=asked)
 
-        return queries.select("id", "v", "r").mapInArrow(run, visit)
+        return queries.select("part", "id", "v", "r").mapInArrow(run, visit)
 
-    out = pa_schema(spark, "query_id long, vec_id long, score double")
+    hit = "query long, query_id long, part long, vec_id long, score double"
+    out = pa_schema(spark, hit)
     slack = 1e-9 * max(1.0, longest * longest)
 
     def scan_blocks(batches):
         """Rows come by block, candidates before queries; a task holds one block."""
-        now, ids, vecs, columns = None, [], [], None
+        now, held, columns = None, [], None
         for b in batches:
-            li, bl, rs, qs = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            bid, bv = b.column(4).to_numpy(zero_copy_only=False), matrix(b.column(5))
+            li, bl, rs, qs, row = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            bid, known, bv = b.column(5).fill_null(LAST).to_numpy(), b.column(5).is_valid().to_numpy(zero_copy_only=False), matrix(b.column(6))
             cuts = [0, *(np.flatnonzero((li[1:] != li[:-1]) | (bl[1:] != bl[:-1]) | (qs[1:] != qs[:-1])) + 1).tolist(), len(li)]
             for a, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == e:
                     continue
                 if (li[a], bl[a]) != now:
-                    now, ids, vecs, columns = (li[a], bl[a]), [], [], None
+                    now, held, columns = (li[a], bl[a]), [], None
                 if not qs[a]:
-                    ids.append(bid[a:e])
-                    vecs.append(bv[a:e])
+                    held.append((row[a:e], bid[a:e], known[a:e], bv[a:e]))
                     continue
-                if not ids:
+                if not held:
                     continue
                 if columns is None:
-                    own, original = np.concatenate(ids), np.concatenate(vecs)
+                    own, ids, named, original = (np.concatenate(x) for x in zip(*held, strict=True))
                     columns = column_blocks(shared.value.rows(original))
-                    same = np.unique(own, return_counts=True)[1].max()  # rows that share an id, at most
                 step = max(1, PAIRS // len(own))
                 for at in range(a, e, step):
                     to = min(at + step, e)
-                    i, j = scan(columns, shared.value.queries(bv[at:to]), rs[at:to], k + int(same), slack)
-                    other = own[j] != bid[at:to][i]
+                    i, j = scan(columns, shared.value.queries(bv[at:to]), rs[at:to], k + 1, slack)  # one may be the query itself
+                    other = own[j] != row[at:to][i]
                     i, j = i[other], j[other]
                     score = inner_products(original[j], bv[at:to][i])
-                    order = np.lexsort((own[j], -score, i))
+                    order = np.lexsort((own[j], ids[j], -score, i))
                     i, j, score = i[order], j[order], score[order]
                     starts = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, int)
                     best = np.arange(len(i)) - np.repeat(starts, np.diff(np.append(starts, len(i)))) < k
-                    yield pa.RecordBatch.from_arrays([pa.array(bid[at:to][i[best]]), pa.array(own[j[best]]), pa.array(score[best])], schema=out)
+                    i, j = i[best], j[best]
+                    yield pa.RecordBatch.from_arrays([pa.array(row[at:to][i]), pa.array(bid[at:to][i]), pa.array(own[j]), pa.array(ids[j], mask=~named[j]), pa.array(score[best])], schema=out)
 
     def round_of(queries: DataFrame, first: bool) -> DataFrame:
         both = candidates.union(visits(queries, first)).repartition("list", "block").sortWithinPartitions("list", "block", "q")
-        return both.mapInArrow(scan_blocks, "query_id long, vec_id long, score double")
+        return both.mapInArrow(scan_blocks, hit)
 
     def best(hits: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "part"))
         return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    queries = stored(index.where("q").groupBy("id").agg(F.min("v").alias("v")))
+    queries = stored(index.where("q").select("part", "id", "v"))
     near = stored(best(round_of(queries.withColumn("r", F.lit(float("inf"))), True)))
     # The k-th score as a squared distance of lengthened vectors.
-    kth = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    kth = near.where(F.col("rank") == k).select(F.col("query").alias("part"), F.col("score").alias("kth"))
     r = F.coalesce(F.lit(longest * longest) + norm * norm - 2 * F.col("kth"), F.lit(float("inf")))
-    rest = round_of(queries.join(kth, "id", "left").withColumn("r", r), False)
+    rest = round_of(queries.join(kth, "part", "left").withColumn("r", r), False)
     return best(near.drop("rank").union(rest)).select("query_id", "rank", "vec_id", "score")
 
 

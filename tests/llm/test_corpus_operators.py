@@ -509,3 +509,31 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     assert got.dtypes == docs.dtypes
     assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("None", a), ("4", b), ("1", c), ("7", d), ("3", "")])
     assert corpus_pipeline.near_deduplication(spark, docs.limit(0), "").count() == 0
+
+
+def test_ann_rows_are_rows(spark):
+    """Null ids are candidates, never queries; rows that share an id are candidates and queries each."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((200, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[20].tolist()), (None, x[3].tolist()), (20, (2 * x[20]).tolist()), (20, x[20].tolist()), (2**60 + 1, x[40].tolist())]
+    got = ann.search(vectors(spark, rows), F.col("vec_id") % 20 == 0, k=6, probes=1.0).collect()
+    full = np.array([v for _, v in rows], np.float32).astype(np.float64)
+    expected = []
+    for q, (i, _) in enumerate(rows):
+        if i is None or i % 20:
+            continue
+        scored = sorted((-float(full[q] @ full[j]), 2**63 if rows[j][0] is None else rows[j][0], j) for j in range(len(rows)) if j != q)
+        expected += [(i, n, rows[j][0]) for n, (_, _, j) in enumerate(scored[:6], 1)]
+    key = lambda r: tuple(-1 if c is None else c for c in r)
+    assert sorted(((r.query_id, r.rank, r.vec_id) for r in got), key=key) == sorted(expected, key=key)
+    assert sum(r.query_id == 20 for r in got) == 18
+
+
+def test_ann_first_distance_holds(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((500, 6))
+    space = ann.Space(x[:200], float(np.linalg.norm(x, axis=1).max()), 8)
+    r, q, all_ = space.first_r(x[150:260], 5), space.queries(x[150:260]), space.rows(x)
+    distance = ((q[:, None, :] - all_[None, :, :]) ** 2).sum(2)
+    distance[np.arange(110), np.arange(150, 260)] = np.inf
+    assert (np.sort(distance, axis=1)[:, 4] <= r).all()
