@@ -1,11 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule is a cheap predicate over lazily computed features of one text.  The
-cost and the rejection rate of each rule are estimated on a sample of the rows
-(the first :data:`SAMPLE` of every partition); rules then run in the order of
-rejections per second, and a document leaves the cascade at the first rule that
-rejects it.  The order changes the work, never the verdict: a document is kept
-if no rule rejects it.
+Every rule is a cheap predicate over lazily computed features of one text.  On a random
+sample of the rows each feature is timed and each rule's verdict noted; then rules are put
+in order of rejections per second, each time among the sampled texts that the rules before
+it let pass and with only the features that these have not computed yet.  A document
+leaves the cascade at the first rule that rejects it.  The order changes the work, never the
+verdict: a document is kept if no rule rejects it.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, map_rows, ship, utf8
 
-#: Rows of each partition on which rules are timed.
-SAMPLE = 40
+#: Rows on which rules are timed, about.
+SAMPLE = 2000
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
@@ -123,7 +123,7 @@ def repeat_words(words: list[bytes]) -> int:
     return int((step.cumsum()[:-1] > 0).sum())
 
 
-#: A rule rejects a text where it is true; all but the first two let short texts pass.
+#: A rule rejects a text where it is true.
 RULES: dict[str, Callable[[Features], bool]] = {
     "too_short": lambda x: x.n_words < 10,
     "repeated_windows": lambda x: 100 * x.n_repeat_words > 20 * x.n_words,
@@ -135,31 +135,66 @@ RULES: dict[str, Callable[[Features], bool]] = {
     "controls": lambda x: 100 * x.n_controls > x.word_chars,
     "bullet_lines": lambda x: len(x.lines) > 2 and 100 * x.n_bullets > 90 * len(x.lines),
     "ellipsis_lines": lambda x: len(x.lines) > 2 and 100 * x.n_ellipses > 30 * len(x.lines),
-    "few_unique_words": lambda x: x.n_words >= 50 and 100 * x.n_unique < 10 * x.n_words and x.n_words < 5_000,
+    "few_unique_words": lambda x: 4 * x.n_unique * x.n_unique < x.n_words,  # a text's vocabulary grows about as the root of its length
 }
 BASE = ("too_short", "repeated_windows")
 
 
-def estimate(docs: DataFrame, text_col: str = "text", rules: tuple[str, ...] = tuple(RULES), sample: int = SAMPLE) -> list[str]:
-    """The rules by rejections per second, most first, as measured on a sample.
+#: The features by name, each after those it is made of.
+FEATURES = [n for n, p in vars(Features).items() if isinstance(p, cached_property)]
 
-    Every sampled text is put to every rule with features of its own, so a
-    rule's cost holds all that it needs.  Ties and an empty table: by name.
-    """
+
+def measure(docs: DataFrame, text_col: str = "text", rules: tuple[str, ...] = tuple(RULES), sample: int = SAMPLE) -> tuple[dict[int, tuple[int, list[float]]], dict[str, set[str]]]:
+    """Of a random sample of about ``sample`` rows: for each set of rules that reject a text (a
+    bit for each) how many texts have it and the seconds of each feature; and each rule's features."""
 
     def make():
         def row(x):
-            for name in rules:
+            f, costs = Features(x[0]), []
+            for name in FEATURES:
                 t = time.perf_counter()
-                bad = RULES[name](Features(x[0]))
-                yield name, time.perf_counter() - t, int(bad)
+                getattr(f, name)
+                costs.append(time.perf_counter() - t)
+            bits, used = 0, []
+            for k, name in enumerate(rules):
+                alone = Features(x[0])
+                bits |= RULES[name](alone) << k
+                used.append(sum(1 << FEATURES.index(a) for a in vars(alone) if a != "text"))
+            yield bits, costs, used
 
         return row
 
-    first = docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))  # in its partition
-    got = map_rows(first.where(F.col("place") < sample).select("text"), make, "rule string, cost double, bad int")
-    stats = {r.rule: (r.bad, r.cost) for r in got.groupBy("rule").agg(F.sum("bad").alias("bad"), F.sum("cost").alias("cost")).collect()}  # a row for each rule
-    return sorted(rules, key=lambda r: (-stats.get(r, (0, 1))[0] / max(stats.get(r, (0, 1))[1], 1e-9), r))
+    n = docs.count()
+    rows = docs.select(F.col(text_col)).where(F.rand(11) * n < sample)
+    got = map_rows(rows, make, "bits long, costs array<double>, used array<long>")
+    sums = [F.sum(F.get("costs", F.lit(k))).alias(f"c{k}") for k in range(len(FEATURES))] + [F.bit_or(F.get("used", F.lit(k))).alias(f"u{k}") for k in range(len(rules))]
+    found, needs = {}, {r: set() for r in rules}
+    for r in got.groupBy("bits").agg(F.count("*").alias("n"), *sums).collect():  # no more rows than the sample has
+        found[r.bits] = r.n, [r[f"c{k}"] for k in range(len(FEATURES))]
+        for k, name in enumerate(rules):
+            needs[name] |= {f for j, f in enumerate(FEATURES) if r[f"u{k}"] >> j & 1}
+    return found, needs
+
+
+def estimate(docs: DataFrame, text_col: str = "text", rules: tuple[str, ...] = tuple(RULES), sample: int = SAMPLE, given: tuple[str, ...] = ()) -> list[str]:
+    """The rules in the order of the cascade: most rejections per second first, each among the
+    texts and with the features that the ones before it leave.  ``given``: features that are
+    computed in any case.  Ties and an empty table: by name."""
+    found, needs = measure(docs, text_col, rules, sample)
+    order: list[str] = []
+    done = set(given)
+    while len(order) < len(rules):
+
+        def gain(name: str) -> float:
+            bit = rules.index(name)
+            cost = sum(c[FEATURES.index(f)] for _, c in found.values() for f in needs[name] - done)
+            return sum(n for bits, (n, _) in found.items() if bits >> bit & 1) / max(cost, 1e-9)
+
+        best = min((r for r in rules if r not in order), key=lambda r: (-gain(r), r))
+        order.append(best)
+        done |= needs[best]
+        found = {bits: x for bits, x in found.items() if not bits >> rules.index(best) & 1}
+    return order
 
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -172,8 +207,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     are read whole.  Repeated ids are judged row by row; an empty table gives no
     rows; other columns are ignored.
     """
-    order = order or estimate(docs, text_col, rules)
-    rest = [r for r in order if r not in BASE]
+    order = order or estimate(docs, text_col, rules, given=("words", "word_chars", "n_symbols", "lines", "n_dup_lines", "n_repeat_words"))
+    rest = [r for r in order if r not in BASE]  # base figures are reported in any case
 
     def make():
         def row(x):
@@ -228,6 +263,6 @@ s AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_re
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (10 * n_symbols > 3 * n_words OR 100 * n_dup_lines > 30 * n_lines OR 10 * word_chars < 15 * n_words OR word_chars > 30 * n_words OR 100 * n_letters < 40 * word_chars OR 100 * n_controls > word_chars
-    OR n_lines > 2 AND 100 * n_bullets > 90 * n_lines OR n_lines > 2 AND 100 * n_ellipses > 30 * n_lines OR n_words >= 50 AND 100 * n_unique < 10 * n_words AND n_words < 5000) AS kept
+    OR n_lines > 2 AND 100 * n_bullets > 90 * n_lines OR n_lines > 2 AND 100 * n_ellipses > 30 * n_lines OR 4 * n_unique * n_unique < n_words) AS kept
 FROM b
 """

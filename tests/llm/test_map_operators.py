@@ -366,3 +366,33 @@ def test_loss_limit(spark):
     for r in got:
         by.setdefault(r.sequence_id, []).append(r)
     assert all(sum(r.n_loss for r in x) <= 300 for x in by.values()) and max(len(x) for x in by.values()) > 1
+
+
+def test_the_same_vocabulary_has_the_same_verdict_at_any_length():
+    import random
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    text = [rng.choice(words) for _ in range(30_000)]
+    for n in (600, 4_990, 4_999, 5_000, 5_010, 30_000):
+        assert not quality.RULES["few_unique_words"](quality.Features(" ".join(text[:n]))), n
+    few = [w for w in text if w in words[:30]]
+    assert len({quality.RULES["few_unique_words"](quality.Features(" ".join((few * 5)[:n]))) for n in (4_990, 5_010, 9_000)}) == 1
+
+
+def test_rules_are_ordered_among_what_is_left(spark, monkeypatch):
+    """The second rule rejects as much as the first, but only the same texts: the third comes before it."""
+    rules = {"a": lambda x: "1" in x.text, "b": lambda x: "1" in x.text and x.n_letters >= 0, "c": lambda x: "2" in x.text}
+    monkeypatch.setattr(quality, "RULES", rules)
+    found = {0: (10, [1.0] * len(quality.FEATURES)), 3: (60, [1.0] * len(quality.FEATURES)), 4: (30, [1.0] * len(quality.FEATURES))}
+    needs = {"a": {"words"}, "b": {"words", "n_letters"}, "c": {"words", "lines"}}
+    monkeypatch.setattr(quality, "measure", lambda *a: (found, needs))
+    assert quality.estimate(None, rules=("a", "b", "c")) == ["a", "c", "b"]
+
+
+def test_the_sample_is_spread_over_the_rows(spark):
+    rows = table(spark, [(k, "sorted " * 20 if k < 500 else "### " * 20) for k in range(1000)]).coalesce(1)
+    found, needs = quality.measure(rows, sample=200)
+    n = sum(x[0] for x in found.values())
+    assert 100 < n < 320 and len(found) == 2 and min(x[0] for x in found.values()) > n // 4
+    assert needs["symbols"] == {"words", "n_symbols"} and "lines" in needs["duplicate_lines"]
