@@ -138,4 +138,4 @@ def test_log(spark, tmp_path):
     follow()
     spark.createDataFrame(EVENTS[4:], KIND).coalesce(1).write.mode("append").parquet(source)
     follow()
-    assert rows(spark.read.parquet(f"{tmp_path}/state/batch=1").select("doc_id", "terms")) == want
+    assert rows(log.LogState(spark, f"{tmp_path}/state").live().select("doc_id", "terms")) == want
