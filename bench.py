@@ -15,9 +15,8 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from termloom.functions.tokens import tokenised
 from termloom.operators import boolean, lookup, phrase, score
-from termloom.operators.build import delete_documents, index_documents
+from termloom.operators.build import delete_documents, index_texts
 from termloom.plans.planner import plan_candidates
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -51,10 +50,8 @@ def main() -> None:
     def build():
         if "index" in state:
             state["index"].unpersist()
-        # The table is one file of one row group, so one task would read and tokenize it all.
-        docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(int(CPUS))
-        i = index_documents(tokenised(docs), positional=True)
-        i = i.persist()
+        # bulk also deals the rows of the table, one file of one row group, to all cores.
+        i = index_texts(spark.read.parquet(f"{SF}/documents.parquet"), positional=True, bulk=True).persist()
         state["index"], state["n"] = i, (i.entries.count(), i.positions.count(), i.docs.count())
 
     timed("build", build, 1)

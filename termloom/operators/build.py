@@ -72,7 +72,15 @@ def index_documents(docs: DataFrame, positional: bool = False, checked: bool = F
     return Index(positions.select("term", "doc_id", F.size("ps").cast("long").alias("w")), lengths, positions)
 
 
-def index_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", positional: bool = False) -> Index:
+def index_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", positional: bool = False, bulk: bool = False) -> Index:
+    """Index of texts.
+
+    bulk: for an index that is kept or sealed whole.  Texts are shuffled by document, and then
+    their tokens are grouped where they are made; otherwise tokens are shuffled, of which a
+    query's terms leave few.
+    """
+    if bulk:
+        docs = docs.select(id_col, text_col).repartition(id_col)
     return index_documents(tokenised(docs, id_col, text_col), positional)
 
 

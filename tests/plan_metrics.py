@@ -24,6 +24,7 @@ def _scala(seq):
 def watched(spark):
     """A list that gets, once the block has ended, a (node, description, {metric: value}) for each
     node of each plan that ran in it."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # whole paths
     _, before = _executions(spark)
     known = {e.executionId() for e in _scala(before)}
     out = []

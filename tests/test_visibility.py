@@ -2,6 +2,7 @@
 
 import glob
 import os
+import shutil
 import threading
 
 import pytest
@@ -122,13 +123,19 @@ def flip(path):
         f.write(bytes([byte[0] ^ 0x55]))
 
 
+@pytest.fixture(scope="module")
+def saved(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("saved")
+    store.save(index_of(spark, [(d, [f"t{d % 50}", "a"]) for d in range(600)]), f"file://{path}")
+    assert store.load(spark, f"file://{path}").entries.count() == 1200
+    return path
+
+
 @pytest.mark.parametrize("table", ["entries", "docs", "positions"])
-def test_load_notices_lost_and_damaged_files(spark, tmp_path, table):
-    i = index_of(spark, [(d, [f"t{d % 50}", "a"]) for d in range(600)])
+def test_load_notices_lost_and_damaged_files(spark, tmp_path, saved, table):
     for harm in ("remove", "flip", "add"):
         path = f"{tmp_path}/{harm}"
-        store.save(i, f"file://{path}")
-        assert store.load(spark, f"file://{path}").entries.count() == 1200
+        shutil.copytree(saved, path)
         own = parts(f"{path}/v*/{table}")
         if harm == "remove":
             os.remove(own[0])
@@ -153,13 +160,21 @@ def test_open_notices_lost_files(spark, tmp_path):
         s.open()
 
 
-@pytest.mark.parametrize("table", ["entries", "docs", "positions", "blocks", "terms", "ranges"])
-def test_verification_names_the_block(spark, tmp_path, table):
-    """One row of one file is changed, as a writer with a fault would."""
-    s = store.SegmentStore(spark, f"file://{tmp_path}/s", width=8192)
+@pytest.fixture(scope="module")
+def whole(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("whole")
+    s = store.SegmentStore(spark, f"file://{path}", width=8192)
     s.seal(index_of(spark, [(d, ["a", f"t{d % 40}"]) for d in range(0, 30_000, 10)]), by=F.floor(F.col("doc_id") / 16384))
     assert s.faults().count() == 0
     s.verify()
+    return path
+
+
+@pytest.mark.parametrize("table", ["entries", "docs", "positions", "blocks", "terms", "ranges"])
+def test_verification_names_the_block(spark, tmp_path, whole, table):
+    """One row of one file is changed, as a writer with a fault would."""
+    shutil.copytree(whole, f"{tmp_path}/s")
+    s = store.SegmentStore(spark, f"file://{tmp_path}/s", width=8192)
     path = parts(f"{tmp_path}/s/{table}/batch=*/segment_id=1")[0]
     rows = spark.read.parquet(path).collect()
     schema_ = spark.read.parquet(path).schema
