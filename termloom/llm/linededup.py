@@ -1,18 +1,20 @@
 """Line dedup by content-defined chunks.
 
-A text is cut into chunks of lines.  A rolling hash over the hashes of the last
-two lines decides where a chunk may end; of neighbouring places the first one
-counts, so a chunk has two lines at least (but for a text's last one).  The same
-lines are cut the same way wherever they stand, and inserted lines move no
-boundary but those around them.
-Chunks of two or more lines (with something in them) that stand more than once
-in the corpus are removed but for their first place, by (doc_id, position).
-
-Equality is that of bytes: hashes only choose candidates, and candidates are
-grouped by their text.  DataFrame functions only.  Counts are combined before
-each shuffle and the places of a frequent chunk are dealt to many tasks, so one that
-stands in a third of all documents is as cheap as any other; a bitmap of fixed size (2 MB) keeps chunks whose hash stands alone
-out of the shuffle that carries text.
+A rolling hash over the hashes of two neighbouring lines is taken at every line.  Where it
+stands once in the corpus, a chunk ends; where it stands again, one goes on.  So chunks are
+the runs of lines that are repeated somewhere: their boundaries follow from content alone,
+inserted lines move none but those around them, and no passage of two or more lines is
+too short to be a chunk.  (Boundaries by the value of the hash leave most passages of
+two to ten lines within larger chunks, which stand once.)
+
+Of each pair of neighbouring lines (both with something in them) that stands more than once
+the first place, by (doc_id, position), stays, and the lines of the others go.
+
+Equality is that of bytes: hashes only choose candidates, and candidates are grouped by
+their text.  DataFrame functions only.  Hashes are counted without texts; a bitmap of fixed
+size (8 MB) of the repeated ones keeps the lines of all others out of the shuffle that carries
+text.  Counts are combined before each shuffle and the places of a frequent pair are dealt to
+many tasks, so one that stands in a third of all documents is as cheap as any other.
 """
 
 from __future__ import annotations
@@ -22,89 +24,67 @@ from pyspark.sql import functions as F
 
 from .common import documents, hot_join, stored
 
-#: A chunk may end after a line where the rolling hash is divisible by this.
-EVERY = 2
-PRIME, BASE = 268435399, 1000003
-MARK, ESCAPE = "\x01\x02", "\x01\x03"
-BITS = 24
+BITS, PAIR_BITS = 24, 26
+#: What a line must have something besides.
+BLANK = " \t\r\n"
 
 
-def line_hash(line: Column) -> Column:
-    """28 bits of the line's MD5."""
-    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
-def chunks(text: Column, every: int = EVERY) -> Column:
-    """The chunks of a text, each its lines joined by line feeds.
-
-    Line breaks that end a chunk are replaced by a mark, at which the text is
-    then split: linear in the text, whatever the number of lines.
-    """
-    lines = F.split(F.replace(text, F.lit("\x01"), F.lit(ESCAPE)), "\n", -1)
-    hashes = F.transform(lines, line_hash)
-    zero = F.lit(0).cast("long")
-    late = [F.concat(F.array(*[zero] * k), hashes) for k in (1, 2, 3)]
-    zipped = F.slice(F.arrays_zip(lines.alias("line"), *[x.alias(f"h{k}") for k, x in enumerate(late, 1)]), 1, F.size(lines))
-
-    def hit(older: Column, newer: Column) -> Column:
-        return (older * BASE + newer) % PRIME % every == 0
-
-    def glue(x: Column, i: Column) -> Column:
-        end = (i > 1) & hit(x["h2"], x["h1"]) & ~((i > 2) & hit(x["h3"], x["h2"]))
-        return F.concat(F.when(i == 0, "").when(end, MARK).otherwise("\n"), x["line"])
-
-    return F.split(F.array_join(F.transform(zipped, glue), ""), MARK, -1)
-
-
-def plain(chunk: Column) -> Column:
-    return F.replace(chunk, F.lit(ESCAPE), F.lit("\x01"))
-
-
-def multi_line(chunk: Column) -> Column:
-    return F.instr(F.trim(chunk, F.lit(" \t\r\n")), "\n") > 0
+def rolling(lines: Column) -> Column:
+    """At each line but the last a hash over the hashes of it and the next one; null where
+    one of them is blank."""
+    hashes = F.transform(lines, lambda x: F.when(F.trim(x, F.lit(BLANK)) != "", F.xxhash64(x)))
+    n = F.greatest(F.size(lines) - 1, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 2, n), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.xxhash64(a, b)))
 
 
-def in_bitmap(df: DataFrame, hashes: DataFrame, col: str) -> DataFrame:
+def in_bitmap(df: DataFrame, hashes: DataFrame, col: str, bits: int = BITS) -> DataFrame:
     """Rows of df whose hash may be among the hashes: none is lost, few others stay.
 
-    The bitmap has 2^24 bits in 512 rows of 4 KB, whatever it is made of.
+    The bitmap has 2^bits bits in rows of 4 KB (2 MB for 24), whatever it is made of.
     """
-    low = F.col(col).bitwiseAND(F.lit((1 << BITS) - 1))
+    low = F.col(col).bitwiseAND(F.lit((1 << bits) - 1))
     bucket, place = (low / 32768).cast("int"), low % 32768
     maps = hashes.select(bucket.alias("_b"), place.alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_m"))
     byte = F.conv(F.hex(F.substring("_m", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return df.join(F.broadcast(maps), bucket == F.col("_b")).where(F.pmod(F.floor(byte / F.pow(F.lit(2), place % 8)), F.lit(2)) == 1).select(df.columns)
 
 
-def repeated(docs: DataFrame, every: int = EVERY) -> DataFrame:
-    """(key, th, removed): the places of chunks that go, for rows (key, th, text) that lose any."""
-    cut = docs.where(F.instr("text", "\n") > 0).select("key", "th", F.posexplode_outer(chunks(F.col("text"), every)).alias("pos", "chunk"))  # outer: no test for empty arrays, which would cut each text twice
-    all_ = stored(cut.where(multi_line(F.col("chunk"))).withColumn("h", F.xxhash64("chunk")))
-    counts = all_.select("h").groupBy("h").count().where("count > 1")
-    some = stored(in_bitmap(all_, counts.select("h"), "h"))
+def repeated(docs: DataFrame) -> DataFrame:
+    """(key, th, removed): the numbers of lines that go, for rows (key, th, text) that lose any."""
+    cut = docs.where(F.instr("text", "\n") > 0).select("key", "th", lines_of(F.col("text")).alias("lines"))
+    # outer: no test for empty arrays, which would cut each text twice
+    hashes = cut.select(F.explode_outer(rolling(F.col("lines"))).alias("h")).where("h is not null")
+    counts = hashes.groupBy("h").count().where("count > 1")
+    at = cut.select("key", "th", "lines", F.posexplode_outer(rolling(F.col("lines"))).alias("pos", "h")).where("h is not null")
+    pair = F.concat(F.get("lines", F.col("pos")), F.lit("\n"), F.get("lines", F.col("pos") + 1))
+    some = stored(in_bitmap(at, counts.select("h"), "h", PAIR_BITS).select("key", "th", "pos", "h", pair.alias("pair")))
     place = F.struct("key", "th", "pos")
-    first = stored(some.groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
-    later = hot_join(some, first, ["h", "chunk"], "n", ["key", "th", "pos"], by=["h"]).where(place != F.col("first"))
-    return later.groupBy("key", "th").agg(F.collect_set("pos").alias("removed"))
+    first = stored(some.groupBy("h", "pair").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
+    later = hot_join(some, first, ["h", "pair"], "n", ["key", "th", "pos"], by=["h"]).where(place != F.col("first"))
+    return later.groupBy("key", "th").agg(F.collect_set("pos").alias("pos")).select("key", "th", F.array_union("pos", F.transform("pos", lambda i: i + 1)).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = EVERY, count: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: bool = False) -> DataFrame:
     """docs with repeated chunks gone from their texts; all rows and columns stay.
 
     Null texts stay null; empty texts stay empty, and a text may become empty.
     Rows with the same id and text count as one document and keep the same.
     Null ids come last.  An empty table gives no rows.  With ``count``, a column
-    ``n_removed`` (chunks) follows.
+    ``n_removed`` (lines) follows.
     """
     own = docs.columns
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("key")
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), key, F.xxhash64(text_col).alias("th"))
-    gone = repeated(base.select("key", "th", F.col(f"row.`{text_col}`").alias("text")), every)
+    gone = repeated(base.select("key", "th", F.col(f"row.`{text_col}`").alias("text")))
     text = F.col(f"row.`{text_col}`")
-    # Only texts that lose something are cut again; the generator makes their chunks a column.
-    both = base.join(gone, ["key", "th"], "left").select("row", "removed", F.explode(F.array(F.when(F.col("removed").isNotNull(), chunks(text, every)))).alias("chunks"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.col("removed"))
-    rest = F.when(F.col("removed").isNull(), text).otherwise(plain(F.array_join(F.transform(kept, lambda i: F.get("chunks", i)), "\n")))
+    # Only texts that lose something are cut again; the generator makes their lines a column.
+    both = base.join(gone, ["key", "th"], "left").select("row", "removed", F.explode(F.array(F.when(F.col("removed").isNotNull(), lines_of(text)))).alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
+    rest = F.when(F.col("removed").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
     out = [rest.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in own]
     if count:
         out.append(F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"))
@@ -112,18 +92,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text without repeated chunks of lines, and how many went."""
+    """Every document's text without repeated chunks of lines, and how many lines went."""
     return line_dedup(documents(spark, sf_dir).select("doc_id", "text"), count=True)
 
 
-SQL = f"""
-WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS i FROM documents WHERE text IS NOT NULL),
-h AS (SELECT doc_id, line, i, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM l),
-a AS (SELECT doc_id, line, i, i > 1 AND ((lag(h, 2) OVER w * {BASE} + lag(h, 1) OVER w) % {PRIME}) % {EVERY} = 0 AS hit FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-b AS (SELECT doc_id, line, i, CASE WHEN hit AND NOT coalesce(lag(hit) OVER w, false) THEN 1 ELSE 0 END AS cut FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-g AS (SELECT doc_id, line, i, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM b),
-c AS (SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS chunk FROM g GROUP BY doc_id, pos),
-m AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) > 1 AND contains(trim(chunk, ' ' || chr(9) || chr(13) || chr(10)), chr(10)) AS gone FROM c),
-r AS (SELECT doc_id, string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept, count(*) FILTER (WHERE gone) AS n_removed FROM m GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN r USING (doc_id)
+SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS i FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM l),
+w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) > 1 AS again FROM a WHERE trim(line, ' ' || chr(9) || chr(13)) <> '' AND trim(next, ' ' || chr(9) || chr(13)) <> ''),
+g AS (SELECT doc_id, i FROM w WHERE again UNION SELECT doc_id, i + 1 FROM w WHERE again),
+r AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept FROM l ANTI JOIN g USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM g GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)
 """

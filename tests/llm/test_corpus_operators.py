@@ -16,17 +16,6 @@ from termloom.llm import ann, common, linededup, mixing, quality, sais, simhash,
 # Line dedup
 
 
-def brute_chunks(text):
-    lines, out = text.split("\n"), []
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-    hit = [i > 1 and (h[i - 2] * linededup.BASE + h[i - 1]) % linededup.PRIME % linededup.EVERY == 0 for i in range(len(lines))]
-    for i, line in enumerate(lines):
-        if i == 0 or hit[i] and not hit[i - 1]:
-            out.append([])
-        out[-1].append(line)
-    return ["\n".join(x) for x in out]
-
-
 def brute_lines(rows):
     """Texts after line dedup, of rows with distinct ids (null last)."""
     seen, out = set(), {}
@@ -34,14 +23,12 @@ def brute_lines(rows):
         if t is None:
             out[d] = None
             continue
-        kept = []
-        for c in brute_chunks(t):
-            multi = "\n" in c.strip(" \t\r\n")
-            if not (multi and c in seen):
-                kept.append(c)
-            if multi:
-                seen.add(c)
-        out[d] = "\n".join(kept)
+        lines, gone = t.split("\n"), set()
+        for i, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if all(x.strip(" \t\r") for x in pair):
+                gone |= {i, i + 1} if pair in seen else set()
+                seen.add(pair)
+        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return out
 
 
@@ -70,6 +57,30 @@ def test_shifted_lines_are_found(spark):
     assert left[1] == len(rows[0][1]) and left[2] < 0.3 * len(rows[1][1]) and left[3] < 0.3 * len(rows[2][1])
 
 
+def test_passages_of_any_length_go(spark):
+    """Passages of two to ten lines in otherwise different texts, wherever they stand."""
+    rng = np.random.default_rng(7)
+    line = lambda: " ".join("".join(chr(97 + c) for c in rng.integers(0, 16, 6)) for _ in range(8))
+    rows, passages = [], []
+    for n in (2, 3, 4, 5, 6, 8, 10):
+        for _ in range(12):
+            passage = [line() for _ in range(n)]
+            for _ in range(2):
+                rows.append((len(rows), "\n".join([line() for _ in range(rng.integers(0, 9))] + passage + [line() for _ in range(rng.integers(0, 9))])))
+            passages.append(passage)
+    got = {r.doc_id: r.text for r in linededup.line_dedup(table(spark, rows)).collect()}
+    for k, passage in enumerate(passages):
+        assert got[2 * k] == rows[2 * k][1]
+        own = rows[2 * k + 1][1].split("\n")
+        assert got[2 * k + 1] == "\n".join(x for x in own if x not in passage)
+
+
+def test_lines_of_very_long_texts(spark):
+    text = "\n".join(f"line {k}" for k in range(60_000))
+    got = {r.doc_id: r.text for r in linededup.line_dedup(table(spark, [(1, text), (2, "x\n" + text + "\ny"), (3, "line 5\nline 7")])).collect()}
+    assert got == {1: text, 2: "x\ny", 3: "line 5\nline 7"}
+
+
 # Suffix arrays and substring dedup
 
 
