@@ -57,14 +57,15 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], n: str, spread: list[str], by: list[str] | None = None, ways: int = 64, total: int | None = None) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], n: str, spread: list[str], by: list[str] | None = None, ways: int = 64, total: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Inner join of left with stored right, whose column ``n`` counts the rows of left that
     have its key (in each of its rows, of which a key may have several).  A key with more than a thousandth of all those rows (there are less than
     a thousand such) is split ``ways`` ways by the columns ``spread`` of left.  ``by``:
-    columns of the key that tell hot keys well enough, if others are large."""
+    columns of the key that tell hot keys well enough, if others are large.  ``counts``: the
+    table (by, n), if right itself has no such column."""
     by = by or on
     total = left.count() if total is None else total
-    hot = F.broadcast(right.where(F.col(n) * 1000 > total).select(*by).distinct().withColumn("_hot", F.lit(True)))  # under 1,000 keys
+    hot = F.broadcast((right if counts is None else counts).where(F.col(n) * 1000 > total).select(*by).distinct().withColumn("_hot", F.lit(True)))  # under 1,000 keys
     part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(ways))).otherwise(0).cast("long").alias("_part")
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     a = left.join(hot, by, "left").select(*left.columns, part)

@@ -406,9 +406,13 @@ def alike(pairs: DataFrame, rows: DataFrame, n: int, similarity: float) -> DataF
 
         return row
 
+    total = pairs.count()
     wanted = pairs.select(F.explode(F.array("row_a", "row_b")).alias("row_id")).select(F.xxhash64("row_id").alias("h"))
     texts = in_bitmap(rows.select("row_id", "text", F.xxhash64("row_id").alias("h")), wanted, "h").groupBy("row_id").agg(F.first("text").alias("text"))
-    both = pairs.join(texts.toDF("row_b", "text_b"), "row_b").join(texts.toDF("row_a", "text_a"), "row_a")
+    both = pairs
+    for row, other in (("row_b", "row_a"), ("row_a", "row_b")):  # a hub may be in very many pairs
+        counts = stored(pairs.groupBy(row).agg(F.count("*").alias("n")).where("n > 1"))
+        both = hot_join(both, texts.toDF(row, row.replace("row", "text")), [row], "n", [other], total=total, counts=counts)
     return map_rows(both.select("a", "b", "row_a", "text_a", "text_b"), make, "a long, b long", 2_000)
 
 
@@ -439,8 +443,9 @@ def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
         return stored(some.join(tree, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root")))
 
     for turn in range(TURNS):
-        tally = hub_pairs(place(), turn).groupBy("a", "b", "to").count()
-        pairs = within_bounds(tally.join(a, "a").join(b, "b"), similarity)
+        tally = stored(hub_pairs(place(), turn).groupBy("a", "b", "to").count())
+        hubs = stored(tally.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
+        pairs = within_bounds(hot_join(tally, a, ["a"], "n", ["b"], counts=hubs).join(b, "b"), similarity)
         best = pairs.groupBy("to").agg(F.max_by(F.struct("a", "b", "row_a", "row_b"), F.struct("count", -F.col("a"), -F.col("b"))).alias("x"))
         new = stored(alike(stored(best.select("x.*")), rows, n, similarity))
         if new.isEmpty():
