@@ -13,8 +13,8 @@ sorted:
 2. Regions of shared hashes are cut from their texts.  Of equal regions in a batch
    the one with the smallest id is sent, so of a passage with thousands of copies
    each batch sends one.
-3. Regions with the same hash meet in a shard.  All of a shard are joined into one
-   text whose suffix array is built by induced sorting, and neighbours that share a
+3. Regions with the same hash meet in a shard.  Of equal ones again only the smallest id's
+   goes on; all others lose their bytes.  What is left of a shard is joined into one text whose suffix array is built by induced sorting, and neighbours that share a
    prefix of ``span`` bytes give the strings that stand in several documents.  Of a
    group too large for one shard the regions that hold a first string wait for the
    next; a hash that a sample finds in very many texts is split by the next least
@@ -184,7 +184,7 @@ def common(texts: DataFrame, span: int = SPAN) -> np.ndarray:
 
 
 def pack(text: str | None) -> bytes:
-    return zstandard.compress(utf8(text), 1)
+    return zstandard.compress(utf8(text), 5)
 
 
 def unpack(data: bytes) -> bytes:
@@ -216,7 +216,7 @@ class Regions:
 
     def pack(self) -> bytes:
         head = np.array([len(self.data)], np.int64)
-        return zstandard.compress(b"".join([x.tobytes() for x in (head, self.h, self.key, self.row, self.mark)] + self.data), 3)
+        return zstandard.compress(b"".join([x.tobytes() for x in (head, self.h, self.key, self.row, self.mark)] + self.data), 5)
 
     @staticmethod
     def unpack(packed: list[bytes]) -> Regions:
@@ -233,6 +233,18 @@ class Regions:
         return Regions(*(np.concatenate([getattr(self, c), getattr(other, c)]) for c in ("h", "key", "row", "mark")), self.data + other.data)
 
 
+def distinct(r: Regions) -> tuple[Regions, np.ndarray, np.ndarray]:
+    """Of equal regions those with the smallest key, and (row, mark) of the others: each of
+    their strings starts in a region with a smaller key, so all of their bytes go."""
+    least: dict[bytes, int] = {}
+    keys = r.key.tolist()
+    for data, key in zip(r.data, keys, strict=True):
+        if least.setdefault(data, key) > key:
+            least[data] = key
+    later = np.fromiter((key > least[data] for data, key in zip(r.data, keys, strict=True)), bool, len(keys))
+    return r.take(np.flatnonzero(~later)), r.row[later], r.mark[later]
+
+
 def sort_shard(r: Regions, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, mark) of the intervals that go, and which regions hold a string whose smallest key is theirs."""
     lengths = r.mark & 8191
@@ -358,9 +370,10 @@ def spans(texts: DataFrame, firsts: DataFrame, buckets: int, span: int = SPAN) -
         def sorted_():
             nonlocal packed, held
             r = Regions.unpack(packed)
-            row, m, held = sort_all(r if held is None else held.join(r), span)
+            r, *equal = distinct(r if held is None else held.join(r))
+            row, m, held = sort_all(r, span)
             packed = []
-            return rows_of(np.concatenate(row), np.concatenate(m))
+            return rows_of(np.concatenate([equal[0], *row]), np.concatenate([equal[1], *m]))
 
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
