@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom import schema
-from termloom.operators import lookup, phrase, score
+from termloom.operators import lookup, phrase
 from termloom.operators.build import Index, index_documents
 from termloom.sources import store
 from termloom.streaming import log
