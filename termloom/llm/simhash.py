@@ -50,10 +50,14 @@ SAMPLE, FREQUENT = 20_000, 200_000
 WIDE = 100_000
 #: Places whose parities are compared.
 PLACES = 1024
-#: Turns of comparing components with hubs, before what is left apart is compared pair by pair.
+#: Turns, at most, of comparing components with hubs, before what is left apart is compared pair by pair.
 TURNS = 3
 #: Longer lists of texts that are not alike are compared part by part.
 PART = 2_048
+#: Nodes of a list, about, that share a hub in a turn.
+HUB = 512
+#: A turn that finds less than this part of all links so far is the last.
+FEW = 10
 
 
 #: The three positions of each list, and their bytes' mask.
@@ -222,22 +226,31 @@ def links(nodes: DataFrame, most: int = 4) -> DataFrame:
     return listed.mapInArrow(run, "a long, b long")
 
 
+def star_step(e: DataFrame) -> DataFrame:
+    """Edges (a, b), a above b, after a large-star and a small-star step: a written table."""
+    both = e.union(e.select("b", "a")).toDF("a", "b")
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    # Few nodes have so many neighbours that one task would feel them.
+    wide = 2 * e.count() > WIDE and (low.agg(F.max("n")).first()[0] or 0) > WIDE
+    e = (hot_join(both, stored(low), ["a"], "n", ["b"]) if wide else both.join(low, "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    low = e.groupBy("a").agg(F.min("b").alias("m"))
+    small = e.join(low, "a")
+    return stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).where("a <> b").distinct())
+
+
+def downward(edges: DataFrame) -> DataFrame:
+    """Edges (a, b), each once and from the larger node to the smaller one: a written table."""
+    return stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches.
 
     Alternating large-star and small-star steps; each step is a written table.
     """
-    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    e, before = downward(edges), None
     while True:
-        both = e.union(e.select("b", "a")).toDF("a", "b")
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        # Few nodes have so many neighbours that one task would feel them.
-        wide = 2 * e.count() > WIDE and (low.agg(F.max("n")).first()[0] or 0) > WIDE
-        e = (hot_join(both, stored(low), ["a"], "n", ["b"]) if wide else both.join(low, "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        small = e.join(low, "a")
-        e = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).where("a <> b").distinct())
+        e = star_step(e)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -293,50 +306,38 @@ def shingle_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     return map_rows(rows.select("row_id", "doc_id", "text"), make, "row_id long, doc_id long, node long, size int, odd binary, head array<long>", 2_000)
 
 
-def hub_pairs(placed: DataFrame, turn: int) -> DataFrame:
-    """(a, b, to): of lists (h, node, root) the first node of each with every other one of
-    another root, which ``to`` is.  Each turn has an order, and so first nodes, of its own.
+def hub_pairs(placed: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """(a, b, row_a, row_b, to): of lists (h, n, node, root, size, row, odd) the first node of
+    each with every other one of another root, which ``to`` is, unless sizes or parities rule
+    the pair out.  Each turn has an order, and so first nodes, of its own.
 
-    Ranges of the order cut a long list into many tasks, each with a hub of its own.
+    Sets of a share s in common differ in (1 - s) / (1 + s) of their sizes' sum at most.
+    A list of more than HUB nodes is dealt to several tasks, each part with a hub of its own.
     """
-    schema = pa_schema(placed.sparkSession, "a long, b long, to long")
+    kind = "a long, b long, row_a long, row_b long, to long"
+    schema, bound = pa_schema(placed.sparkSession, kind), (1 - similarity) / (1 + similarity)
 
     def run(batches):
-        h0 = hub = hub_root = None
+        hub = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, node, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            hubs, roots = node[starts], root[starts]
-            if h[0] == h0:
-                hubs[0], roots[0] = hub, hub_root
-            h0, hub, hub_root = h[-1], hubs[-1], roots[-1]
-            times = np.diff(np.append(starts, len(h)))
-            a, of = np.repeat(hubs, times), np.repeat(roots, times)
-            apart = of != root
-            yield pa.RecordBatch.from_arrays([pa.array(a[apart]), pa.array(node[apart]), pa.array(root[apart])], schema=schema)
-
-    ordered = placed.select("h", "node", "root", F.xxhash64("node", F.lit(turn)).alias("place"))
-    return ordered.repartitionByRange("h", "place").sortWithinPartitions("h", "place").select("h", "node", "root").mapInArrow(run, "a long, b long, to long")
-
-
-def within_bounds(pairs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, row_a, row_b, to, count): pairs that sizes and parities don't rule out.
-
-    Sets of a share s in common differ in (1 - s) / (1 + s) of their sizes' sum at most.
-    """
-    kind = "a long, b long, row_a long, row_b long, to long, count long"
-    schema, bound = pa_schema(pairs.sparkSession, kind), (1 - similarity) / (1 + similarity)
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (6, 7))
-                ok = (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6) & (np.bitwise_count(odds(batch.column(8)) ^ odds(batch.column(9))).sum(1, dtype=np.int64) <= bound * (x + y) + 1e-6)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:6]], schema=schema)
+            c = [col.to_numpy(zero_copy_only=False) for col in batch.columns[:-1]] + [odds(batch.columns[-1])]
+            if hub is not None:
+                c = [np.concatenate(z) for z in zip(hub, c, strict=True)]
+            h, part, node, root, size, row, odd = c
+            starts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (part[1:] != part[:-1])))
+            i = np.repeat(starts, np.diff(np.append(starts, len(h))))
+            hub = [z[starts[-1] : starts[-1] + 1].copy() for z in c]
+            j = np.flatnonzero((root != root[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-6))
+            i = i[j]
+            ok = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) <= bound * (size[i] + size[j]) + 1e-6
+            i, j = i[ok], j[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], row[i], row[j], root[j])], schema=schema)
 
-    return pairs.select("a", "b", "row_a", "row_b", "to", "count", "size_a", "size_b", "odd_a", "odd_b").mapInArrow(run, kind)
+    part = F.pmod(F.xxhash64("node", F.lit(-1 - turn)), F.ceil(F.col("n") / HUB)).alias("part")
+    ordered = placed.select("h", part, "node", "root", F.col("size").cast("long").alias("size"), "row", "odd", F.xxhash64("node", F.lit(turn)).alias("place"))
+    return ordered.repartition("h", "part").sortWithinPartitions("h", "part", "place").drop("place").mapInArrow(run, kind)
 
 
 def unlike_pairs(lists: DataFrame, similarity: float) -> DataFrame:
@@ -411,7 +412,7 @@ def alike(pairs: DataFrame, rows: DataFrame, n: int, similarity: float) -> DataF
     texts = in_bitmap(rows.select("row_id", "text", F.xxhash64("row_id").alias("h")), wanted, "h").groupBy("row_id").agg(F.first("text").alias("text"))
     both = pairs
     for row, other in (("row_b", "row_a"), ("row_a", "row_b")):  # a hub may be in very many pairs
-        counts = stored(pairs.groupBy(row).agg(F.count("*").alias("n")).where("n > 1"))
+        counts = pairs.groupBy(row).agg(F.count("*").alias("n")).where("n > 1")
         both = hot_join(both, texts.toDF(row, row.replace("row", "text")), [row], "n", [other], total=total, counts=counts)
     return map_rows(both.select("a", "b", "row_a", "text_a", "text_b"), make, "a long, b long", 2_000)
 
@@ -435,33 +436,33 @@ def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     heads = sets.select(F.explode("head").alias("h"), "node")
     common = heads.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("h")  # most shingles list one set only
     some = stored(in_bitmap(heads, common, "h").distinct())
-    info = own.drop("n")
-    a, b = (info.toDF(*[f"{c}_{x}" if c != "node" else x for c in info.columns]) for x in "ab")
-    edges, tree = None, rows.sparkSession.createDataFrame([], "node long, root long")
-
-    def place() -> DataFrame:
-        return stored(some.join(tree, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root")))
-
+    sizes = stored(some.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    lists = stored(hot_join(some, sizes, ["h"], "n", ["node"]).join(own.drop("n"), "node").select("h", "n", "node", "size", "row", "odd"))
+    linked, total = None, 0
+    placed = lists.withColumn("root", F.col("node"))
     for turn in range(TURNS):
-        tally = stored(hub_pairs(place(), turn).groupBy("a", "b", "to").count())
-        hubs = stored(tally.groupBy("a").agg(F.count("*").alias("n")).where("n > 1"))
-        pairs = within_bounds(hot_join(tally, a, ["a"], "n", ["b"], counts=hubs).join(b, "b"), similarity)
-        best = pairs.groupBy("to").agg(F.max_by(F.struct("a", "b", "row_a", "row_b"), F.struct("count", -F.col("a"), -F.col("b"))).alias("x"))
+        tally = hub_pairs(placed, turn, similarity).groupBy("a", "b", "row_a", "row_b", "to").count()
+        best = tally.groupBy("to").agg(F.max_by(F.struct("a", "b", "row_a", "row_b"), F.struct("count", -F.col("a"), -F.col("b"))).alias("x"))
         new = stored(alike(stored(best.select("x.*")), rows, n, similarity))
-        if new.isEmpty():
+        found = new.count()
+        if not found:
+            break
+        # One step: rows of one root are linked; those that further steps would bring together may still meet.
+        linked = star_step(downward(new if linked is None else linked.union(new)))
+        tree = linked.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+        placed = stored(lists.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        total += found
+        if found * FEW < total:  # another turn would find little
             break
-        edges = new if edges is None else edges.union(new)
-        tree = components(edges)
-    placed = place()
-    apart = placed.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    apart = stored(placed.groupBy("h", "n").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h", "n"))
     parts = F.ceil(F.col("n") / PART)
-    rest = placed.join(apart.select("h", "n"), "h").withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    rest = rest.select("h", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "root", "node").join(info, "node")
-    lists = rest.select("h", "x", "y", "part", "size", "root", "node", "row", "odd").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "size")
-    more = stored(unlike_pairs(lists, similarity).distinct())
+    rest = hot_join(placed.drop("n"), apart, ["h"], "n", ["node"]).withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rest = rest.select("h", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "size", "root", "node", "row", "odd")
+    more = stored(unlike_pairs(rest.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "size"), similarity).distinct())
     if not more.isEmpty():
         new = alike(more, rows, n, similarity)
-        tree = components(new if edges is None else edges.union(new))
+        linked = new if linked is None else linked.union(new)
+    tree = rows.sparkSession.createDataFrame([], "node long, root long") if linked is None else components(linked)
     rooted = stored(own.select("node", "n").join(tree, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
     return hot_join(sets.select("row_id", "doc_id", "node"), rooted, ["node"], "n", ["row_id"]).drop("n")
 
