@@ -307,14 +307,14 @@ def shingle_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
 
 
 def hub_pairs(placed: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """(a, b, row_a, row_b, to): of lists (h, n, node, root, size, row, odd) the first node of
-    each with every other one of another root, which ``to`` is, unless sizes or parities rule
-    the pair out.  Each turn has an order, and so first nodes, of its own.
+    """(a, b, row_a, row_b, of, to): of lists (h, n, node, root, size, row, odd) the first node of
+    each with every other one of another root, unless sizes or parities rule the pair out;
+    ``of`` and ``to`` are the two roots.  Each turn has an order, and so first nodes, of its own.
 
     Sets of a share s in common differ in (1 - s) / (1 + s) of their sizes' sum at most.
     A list of more than HUB nodes is dealt to several tasks, each part with a hub of its own.
     """
-    kind = "a long, b long, row_a long, row_b long, to long"
+    kind = "a long, b long, row_a long, row_b long, of long, to long"
     schema, bound = pa_schema(placed.sparkSession, kind), (1 - similarity) / (1 + similarity)
 
     def run(batches):
@@ -333,7 +333,7 @@ def hub_pairs(placed: DataFrame, turn: int, similarity: float) -> DataFrame:
             i = i[j]
             ok = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64) <= bound * (size[i] + size[j]) + 1e-6
             i, j = i[ok], j[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], row[i], row[j], root[j])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], row[i], row[j], root[i], root[j])], schema=schema)
 
     part = F.pmod(F.xxhash64("node", F.lit(-1 - turn)), F.ceil(F.col("n") / HUB)).alias("part")
     ordered = placed.select("h", part, "node", "root", F.col("size").cast("long").alias("size"), "row", "odd", F.xxhash64("node", F.lit(turn)).alias("place"))
@@ -427,9 +427,9 @@ def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     node that links reach, a link being a Jaccard similarity of at least ``similarity``.
     Rows that share a row_id (:func:`row_number`) have the same id and text.
 
-    A few turns compare each component with one hub, that of most shared lists, which
-    takes a pair for each component at most; then, of lists whose nodes are not connected
-    by that, the pairs between components are looked at.
+    A few turns compare each component with the hubs of its lists, by the pair of most shared
+    lists for each hub's component, so no more pairs than list entries; then, of lists whose
+    nodes are not connected by that, the pairs between components are looked at.
     """
     sets = stored(shingle_rows(rows, n, similarity))
     own = stored(sets.groupBy("node", "size", "odd").agg(F.min("row_id").alias("row"), F.count("*").alias("n")))
@@ -441,15 +441,14 @@ def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     linked, total = None, 0
     placed = lists.withColumn("root", F.col("node"))
     for turn in range(TURNS):
-        tally = hub_pairs(placed, turn, similarity).groupBy("a", "b", "row_a", "row_b", "to").count()
-        best = tally.groupBy("to").agg(F.max_by(F.struct("a", "b", "row_a", "row_b"), F.struct("count", -F.col("a"), -F.col("b"))).alias("x"))
+        tally = hub_pairs(placed, turn, similarity).groupBy("a", "b", "row_a", "row_b", "of", "to").count()
+        best = tally.groupBy("of", "to").agg(F.max_by(F.struct("a", "b", "row_a", "row_b"), F.struct("count", -F.col("a"), -F.col("b"))).alias("x"))
         new = stored(alike(stored(best.select("x.*")), rows, n, similarity))
         found = new.count()
         if not found:
             break
-        # One step: rows of one root are linked; those that further steps would bring together may still meet.
-        linked = star_step(downward(new if linked is None else linked.union(new)))
-        tree = linked.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+        tree = components(new if linked is None else linked.union(new))
+        linked = tree.toDF("a", "b")
         placed = stored(lists.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node")))
         total += found
         if found * FEW < total:  # another turn would find little
