@@ -9,7 +9,9 @@ verified by their differing bits, and verified pairs are linked, each in the fir
 of the lists that they share.
 
 A share of common shingles (Jaccard similarity) is no number of bits, so texts
-are linked at one by their shingle sets.  Sets of n that overlap by a share s
+are linked at one by their shingle sets.  First the fingerprints' links, found as
+above, are checked on the sets; most near copies are connected by that.  What
+differs in more bits is found by shared shingles.  Sets of n that overlap by a share s
 have s n elements in common, so in any fixed order of all shingles they share
 one of their first n - s n + 1: sets are listed under those, and no pair is
 lost.  Shingles frequent in a sample come last, which keeps lists short; the
@@ -80,15 +82,19 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :], strict=False)), np.uint64, len(words) - n + 1)
 
 
-def fingerprint(text: str | None, n: int = 4) -> int:
-    """A bit is 1 if more than half the hashes have it; without words in the text all are 0."""
-    h = shingle_hashes(text, n)
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if more than half the hashes have it; without hashes all are 0."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 200):  # sums of a byte each don't overflow
         ones += np.add.reduce(np.unpackbits(h[at : at + 200].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, n: int = 4) -> int:
+    """The majority of the hashes of a text's shingles; without words in the text it is 0."""
+    return majority(shingle_hashes(text, n))
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -261,6 +267,21 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, n))
 
 
+def print_pairs(own: DataFrame, most: int = 4) -> DataFrame:
+    """(a, b, row_a, row_b): pairs of sets (node, row, fp) whose fingerprints are the same or linked.
+
+    Sets of one fingerprint are paired with the smallest node among them, which stands for it in links.
+    """
+    least = stored(own.groupBy("fp").agg(F.min(F.struct("node", "row")).alias("x"), F.count("*").alias("n")).select("fp", F.col("x.node").alias("first"), F.col("x.row").alias("row_first"), "n"))
+    same = hot_join(own.select("fp", "node", "row"), least.where("n > 1"), ["fp"], "n", ["node"]).where("node <> first")
+    near_ = stored(links(least.select(F.col("fp").alias("node")), most).distinct())
+    total, both = near_.count(), near_
+    for end, other in (("a", "b"), ("b", "a")):  # one fingerprint may be near very many
+        counts = near_.groupBy(end).agg(F.count("*").alias("n")).where("n > 1")
+        both = hot_join(both, least.select(F.col("fp").alias(end), F.col("first").alias(f"node_{end}"), F.col("row_first").alias(f"row_{end}")), [end], "n", [other], total=total, counts=counts)
+    return same.select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("row_first").alias("row_a"), F.col("row").alias("row_b")).union(both.select("node_a", "node_b", "row_a", "row_b"))
+
+
 def parities(own: np.ndarray) -> bytes:
     """Bit k is the parity of how many of the hashes fall in place k of 1,024."""
     odd = np.bincount((own >> np.uint64(54)).astype(np.int64), minlength=PLACES).astype(np.uint8) & 1
@@ -273,7 +294,7 @@ def odds(column) -> np.ndarray:
 
 
 def shingle_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
-    """row_id, doc_id, node (a hash of the shingle set), size, odd (parities)
+    """row_id, doc_id, node (a hash of the shingle set), fp (the fingerprint), size, odd (parities)
     and head (the shingles under which the set is listed) of rows (row_id, doc_id, text)."""
     spark = rows.sparkSession
     rate = max(1, rows.count() // SAMPLE)
@@ -290,7 +311,8 @@ def shingle_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
         known, times = shared.value
 
         def row(x):
-            own = shingle_set(x[2], n)
+            every = shingle_hashes(x[2], n)
+            own = np.unique(every)
             size, hashes = len(own), own.view(np.int64)
             head = hashes
             if size:
@@ -299,11 +321,11 @@ def shingle_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                     rank = np.where(known[at] == hashes, times[at], 0)
                 head = hashes[np.lexsort((hashes, rank))[: size - math.ceil(similarity * size - 1e-9) + 1]]
-            yield x[0], x[1], signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), size, parities(own), head.tolist()
+            yield x[0], x[1], signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), signed(majority(every)), size, parities(own), head.tolist()
 
         return row
 
-    return map_rows(rows.select("row_id", "doc_id", "text"), make, "row_id long, doc_id long, node long, size int, odd binary, head array<long>", 2_000)
+    return map_rows(rows.select("row_id", "doc_id", "text"), make, "row_id long, doc_id long, node long, fp long, size int, odd binary, head array<long>", 2_000)
 
 
 def hub_pairs(placed: DataFrame, turn: int, similarity: float) -> DataFrame:
@@ -340,6 +362,11 @@ def hub_pairs(placed: DataFrame, turn: int, similarity: float) -> DataFrame:
     return ordered.repartition("h", "part").sortWithinPartitions("h", "part", "place").drop("place").mapInArrow(run, kind)
 
 
+def apart(placed: DataFrame) -> DataFrame:
+    """(h, n) of the lists whose nodes have several roots."""
+    return placed.groupBy("h", "n").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h", "n")
+
+
 def unlike_pairs(lists: DataFrame, similarity: float) -> DataFrame:
     """(a, b, row_a, row_b): pairs of one list that no links connect so far and that
     no bound rules out, of rows (h, x, y, part, size, root, node, row, odd).
@@ -427,21 +454,25 @@ def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     node that links reach, a link being a Jaccard similarity of at least ``similarity``.
     Rows that share a row_id (:func:`row_number`) have the same id and text.
 
-    A few turns compare each component with the hubs of its lists, by the pair of most shared
-    lists for each hub's component, so no more pairs than list entries; then, of lists whose
-    nodes are not connected by that, the pairs between components are looked at.
+    Links of fingerprints (positional index, tally of shared bytes, differing bits) come first and
+    are checked on the sets.  Then a few turns compare each component with the hubs of its lists, by
+    the pair of most shared lists for each hub's component, so no more pairs than list entries; then,
+    of lists whose nodes are not connected by that, the pairs between components are looked at.
     """
     sets = stored(shingle_rows(rows, n, similarity))
-    own = stored(sets.groupBy("node", "size", "odd").agg(F.min("row_id").alias("row"), F.count("*").alias("n")))
+    own = stored(sets.groupBy("node", "size", "odd").agg(F.min("row_id").alias("row"), F.min("fp").alias("fp"), F.count("*").alias("n")))
+    new = stored(alike(stored(print_pairs(own)), rows, n, similarity))
+    total = new.count()
+    tree = components(new) if total else rows.sparkSession.createDataFrame([], "node long, root long")
+    linked = tree.toDF("a", "b") if total else None
     heads = sets.select(F.explode("head").alias("h"), "node")
     common = heads.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("h")  # most shingles list one set only
     some = stored(in_bitmap(heads, common, "h").distinct())
     sizes = stored(some.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
-    lists = stored(hot_join(some, sizes, ["h"], "n", ["node"]).join(own.drop("n"), "node").select("h", "n", "node", "size", "row", "odd"))
-    linked, total = None, 0
-    placed = lists.withColumn("root", F.col("node"))
+    lists = stored(hot_join(some, sizes, ["h"], "n", ["node"]).join(own.drop("n", "fp"), "node").select("h", "n", "node", "size", "row", "odd"))
+    placed = stored(lists.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node")))
     for turn in range(TURNS):
-        tally = hub_pairs(placed, turn, similarity).groupBy("a", "b", "row_a", "row_b", "of", "to").count()
+        tally = hub_pairs(in_bitmap(placed, apart(placed), "h"), turn, similarity).groupBy("a", "b", "row_a", "row_b", "of", "to").count()
         best = tally.groupBy("of", "to").agg(F.max_by(F.struct("a", "b", "row_a", "row_b"), F.struct("count", -F.col("a"), -F.col("b"))).alias("x"))
         new = stored(alike(stored(best.select("x.*")), rows, n, similarity))
         found = new.count()
@@ -453,9 +484,9 @@ def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
         total += found
         if found * FEW < total:  # another turn would find little
             break
-    apart = stored(placed.groupBy("h", "n").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h", "n"))
+    several = stored(apart(placed))
     parts = F.ceil(F.col("n") / PART)
-    rest = hot_join(placed.drop("n"), apart, ["h"], "n", ["node"]).withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rest = hot_join(placed.drop("n"), several, ["h"], "n", ["node"]).withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     rest = rest.select("h", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "size", "root", "node", "row", "odd")
     more = stored(unlike_pairs(rest.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "size"), similarity).distinct())
     if not more.isEmpty():

@@ -382,6 +382,24 @@ def test_similarity_equals_brute(spark, similarity):
     assert simhash.near_duplicates(table(spark, []), similarity=similarity).count() == 0
 
 
+def test_fingerprints_link_before_shingles_do(spark, monkeypatch):
+    """With the search by shared shingles left out, what the fingerprints' index finds and the sets confirm is linked."""
+    rows = [(d, t) for d, (_, t) in enumerate(graded_texts() + corpus(60))]
+    fp, sets = [brute_fingerprint(t, 5) for _, t in rows], [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    least = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fp[i] ^ fp[j]).bit_count() <= 4 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and least[i] != least[j]:
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    monkeypatch.setattr(simhash, "TURNS", 0)
+    monkeypatch.setattr(simhash, "unlike_pairs", lambda lists, similarity: spark.createDataFrame([], "a long, b long, row_a long, row_b long"))
+    got = simhash.near_duplicates(table(spark, shuffled(rows)), n=5, similarity=0.8)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == list(enumerate(least))
+    sizes = [least.count(x) for x in set(least)]
+    assert sum(n > 1 for n in sizes) > 5 and len({sets.index(s) for s in sets}) > len(sizes)  # sets that differ were linked
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = [(int(a), int(b)) for a, b in rng.integers(-40, 40, (50, 2))] + [(k, k + 1) for k in range(100, 130)]
