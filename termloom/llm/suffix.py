@@ -14,7 +14,9 @@ sorted:
    the one with the smallest id is sent, so of a passage with thousands of copies
    each batch sends one.
 3. Regions with the same hash meet in a shard.  Of equal ones again only the smallest id's
-   goes on; all others lose their bytes.  What is left of a shard is joined into one text whose suffix array is built by induced sorting, and neighbours that share a
+   goes on; all others lose their bytes.  Of what is left, regions are cut to the strings whose
+   hash another document's region in the shard has, and the rest, in which nothing can go, stays
+   behind.  The others of a shard are joined into one text whose suffix array is built by induced sorting, and neighbours that share a
    prefix of ``span`` bytes give the strings that stand in several documents.  Of a
    group too large for one shard the regions that hold a first string wait for the
    next; a hash that a sample finds in very many texts is split by the next least
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, hot_join, map_rows, pa_schema, stored, utf8
-from .sais import common_prefixes, suffix_array
+from .sais import byte_words, common_prefixes, suffix_array
 
 SPAN, SEED_BYTES = 50, 16
 MUL_A, MUL_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -245,6 +247,60 @@ def distinct(r: Regions) -> tuple[Regions, np.ndarray, np.ndarray]:
     return r.take(np.flatnonzero(~later)), r.row[later], r.mark[later]
 
 
+def string_hashes(data: list[bytes], lengths: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, number of its region, place in it) of each string of ``span`` bytes; equal strings have equal hashes."""
+    n = np.maximum(lengths - span + 1, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.cumsum(lengths) - lengths)[owner] + place
+    words = byte_words(np.frombuffer(b"".join(data), np.uint8), 0)
+    x = np.zeros(len(at), np.uint64)
+    for k in [*range(0, span - 8, 8), span - 8]:
+        x = (x ^ words[at + k]) * MUL_A
+        x ^= x >> np.uint64(32)
+    return x, owner, place
+
+
+def partnered(r: Regions, span: int = SPAN) -> tuple[Regions, np.ndarray, np.ndarray]:
+    """Of regions by hash those with a string that a region of another key may have, cut to
+    all between their first and last such string; their numbers; and which of all regions
+    have a string that is no other key's.
+
+    Equal strings are in regions of one hash, so a few groups are looked at at a time.
+    """
+    lengths = r.mark & 8191
+    upto = np.append(0, np.cumsum(lengths))
+    ends = np.flatnonzero(np.append(r.h[1:] != r.h[:-1], True)) + 1
+    of, begin, end, alone, a = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(lengths), bool), 0
+    while a < len(lengths):
+        b = int(ends[max(np.searchsorted(upto[ends], upto[a] + SHARD, side="right") - 1, np.searchsorted(ends, a, side="right"))])
+        found, i = [], a
+        while i < b:  # one large group takes several steps
+            j = min(b, max(i + 1, int(np.searchsorted(upto, upto[i] + SHARD, side="right")) - 1))
+            x, owner, place = string_hashes(r.data[i:j], lengths[i:j], span)
+            found.append((x, owner + i, place))
+            i = j
+        x, owner, place = (np.concatenate(z) for z in zip(*found, strict=True))
+        if len(x):
+            order = np.argsort(x)
+            x, keys = x[order], r.key[owner[order]]
+            starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            several = np.minimum.reduceat(keys, starts) < np.maximum.reduceat(keys, starts)
+            with_ = np.zeros(len(x), bool)
+            with_[order] = np.repeat(several, np.diff(np.append(starts, len(x))))
+            alone[owner[~with_]] = True
+            owner, place = owner[with_], place[with_]
+        if len(owner):
+            firsts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            of.append(owner[firsts])
+            begin.append(place[firsts])
+            end.append(place[np.append(firsts[1:], len(owner)) - 1] + span)
+        a = b
+    at, begin, end = (np.concatenate(z) for z in (of, begin, end))
+    data = [r.data[k][i:j] for k, i, j in zip(at.tolist(), begin.tolist(), end.tolist(), strict=True)]
+    return Regions(r.h[at], r.key[at], r.row[at], (r.mark[at] & -8192) + (begin << 13) + end - begin, data), at, alone
+
+
 def sort_shard(r: Regions, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, mark) of the intervals that go, and which regions hold a string whose smallest key is theirs."""
     lengths = r.mark & 8191
@@ -277,12 +333,13 @@ def sort_all(r: Regions, span: int = SPAN) -> tuple[list[np.ndarray], list[np.nd
     Groups of a hash stay together.  One that is larger than a shard is sorted in parts,
     each with what is left of the parts before it: a string that goes is still there once.
     """
-    r = r.take(np.argsort(r.h, kind="stable"))
+    every = r.take(np.argsort(r.h, kind="stable"))
+    r, number, stays = partnered(every, span)
     size = (r.mark & 8191) + 1
-    starts = np.flatnonzero(np.append(True, r.h[1:] != r.h[:-1]))
+    starts = np.flatnonzero(np.append(True, r.h[1:] != r.h[:-1]))[: len(size)]
     ends = np.append(starts[1:], len(size))
     upto = np.append(0, np.cumsum(size))
-    rows, marks, left, a = [], [], [], 0
+    rows, marks, a = [], [], 0
 
     def sort(at: np.ndarray) -> np.ndarray:
         row, m, held = sort_shard(r.take(at), span)
@@ -297,9 +354,9 @@ def sort_all(r: Regions, span: int = SPAN) -> tuple[list[np.ndarray], list[np.nd
         while len(at):
             n = max(1, int(np.searchsorted(np.cumsum(size[at]), max(SHARD, int(size[kept].sum())), side="right"))) if b == a + 1 else len(at)
             kept, at = sort(np.concatenate([kept, at[:n]])), at[n:]
-        left.append(kept)
+        stays[number[kept]] = True
         a = b
-    return rows, marks, r.take(np.concatenate(left) if left else np.zeros(0, np.int64))
+    return rows, marks, every.take(np.flatnonzero(stays))
 
 
 def mark(check: int, first: int, length: int) -> int:
