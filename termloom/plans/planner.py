@@ -94,5 +94,8 @@ def plan_candidates_sealed(store, query: Iterable, config: PlannerConfig = Plann
     if terms and n and too_broad(total, n, config):
         return SealedPlan(None, total)
     held = tuple(sorted(r.segment_id for r in rows if r.estimate))
-    entries = store.visible(of_terms(store.entries().where(F.col("segment_id").isin(list(held))), terms))
+    entries = store.entries()
+    if len(held) < len(rows):
+        entries = entries.where(F.col("segment_id").isin(list(held)))
+    entries = store.visible(of_terms(entries, terms))
     return SealedPlan((candidates_all if near else candidates_any)(Index(entries, store.docs()), terms), total, held)
