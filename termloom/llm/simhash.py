@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, hot_join, map_rows, pa_schema, stored, utf8
+from .common import LOWER, documents, forget, hot_join, map_rows, pa_schema, stored, utf8
 from .linededup import in_bitmap
 
 SEED = 42
@@ -458,6 +458,7 @@ def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     are checked on the sets.  Then a few turns compare each component with the hubs of its lists, by
     the pair of most shared lists for each hub's component, so no more pairs than list entries; then,
     of lists whose nodes are not connected by that, the pairs between components are looked at.
+    Tables of lists are deleted as soon as the next one is written.
     """
     sets = stored(shingle_rows(rows, n, similarity))
     own = stored(sets.groupBy("node", "size", "odd").agg(F.min("row_id").alias("row"), F.min("fp").alias("fp"), F.count("*").alias("n")))
@@ -468,8 +469,11 @@ def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
     heads = sets.select(F.explode("head").alias("h"), "node")
     common = heads.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("h")  # most shingles list one set only
     some = stored(in_bitmap(heads, common, "h").distinct())
+    every = stored(sets.select("row_id", "doc_id", "node"))
+    forget(sets)  # the heads are listed
     sizes = stored(some.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     lists = stored(hot_join(some, sizes, ["h"], "n", ["node"]).join(own.drop("n", "fp"), "node").select("h", "n", "node", "size", "row", "odd"))
+    forget(some, sizes)
     placed = stored(lists.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node")))
     for turn in range(TURNS):
         tally = hub_pairs(in_bitmap(placed, apart(placed), "h"), turn, similarity).groupBy("a", "b", "row_a", "row_b", "of", "to").count()
@@ -480,21 +484,24 @@ def similar_rows(rows: DataFrame, n: int, similarity: float) -> DataFrame:
             break
         tree = components(new if linked is None else linked.union(new))
         linked = tree.toDF("a", "b")
+        forget(placed)
         placed = stored(lists.join(tree, "node", "left").withColumn("root", F.coalesce("root", "node")))
         total += found
         if found * FEW < total:  # another turn would find little
             break
+    forget(lists)
     several = stored(apart(placed))
     parts = F.ceil(F.col("n") / PART)
     rest = hot_join(placed.drop("n"), several, ["h"], "n", ["node"]).withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     rest = rest.select("h", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "size", "root", "node", "row", "odd")
     more = stored(unlike_pairs(rest.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "size"), similarity).distinct())
+    forget(placed)
     if not more.isEmpty():
         new = alike(more, rows, n, similarity)
         linked = new if linked is None else linked.union(new)
     tree = rows.sparkSession.createDataFrame([], "node long, root long") if linked is None else components(linked)
     rooted = stored(own.select("node", "n").join(tree, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
-    return hot_join(sets.select("row_id", "doc_id", "node"), rooted, ["node"], "n", ["row_id"]).drop("n")
+    return hot_join(every, rooted, ["node"], "n", ["row_id"]).drop("n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, most: int = 4, similarity: float | None = None) -> DataFrame:
